@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from medialake.llm import decontaminate, simhash
+from medialake.llm import decontaminate, langid, quality, rules, simhash, toxicity
 from medialake.llm.common import id_fold, table
 
 
@@ -16,9 +16,41 @@ def op9_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _labelled(spark, sf_dir, label, folds, held):
+    """Documents to learn from with their label: none of the held-out fold."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", label)
+    return table(spark, sf_dir, "documents").where(id_fold("doc_id", folds) != held).select("doc_id", "text").join(labels, "doc_id")
+
+
+def op2_quality(spark, sf_dir):
+    model = quality.fit(_labelled(spark, sf_dir, "quality", 4, 2))
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", id_fold("doc_id", 4) == 2)
+    return quality.score(docs, model, ["doc_id", "held_out"])
+
+
+def op6_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(id_fold("doc_id", 3) != 1))
+    return langid.identify(docs.withColumn("held_out", id_fold("doc_id", 3) == 1), model, ["doc_id", "held_out"])
+
+
+def op8_toxicity(spark, sf_dir):
+    model = toxicity.fit(_labelled(spark, sf_dir, "toxic", 3, 1))
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", id_fold("doc_id", 3) == 1)
+    return quality.score(docs, model, ["doc_id", "held_out"], neutral=0.0)
+
+
+def op10_rules(spark, sf_dir):
+    return rules.judge(table(spark, sf_dir, "documents"), rules.fit(_labelled(spark, sf_dir, "quality", 4, 2)))
+
+
 QUERIES = {
+    "op2_quality": op2_quality,
     "op4_decontaminate": op4_decontaminate,
+    "op6_langid": op6_langid,
+    "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
+    "op10_rules": op10_rules,
 }
 
 ORACLE_SQL = {
