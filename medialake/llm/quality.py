@@ -26,14 +26,15 @@ from medialake.llm.lines import Lines, fit_lines
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> np.ndarray:
-    """Weights of a logistic regression by Newton steps (ridge on all but the first column)."""
+    """Weights of a logistic regression by Newton steps, both classes weighing the same (ridge on all but the first column)."""
     w = np.zeros(x.shape[1])
+    each = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())) * len(y)
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (y - p) - penalty * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        grad = x.T @ (each * (y - p)) - penalty * w
+        hess = (x * (each * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(hess, grad)
         w = w + step * min(1.0, 4.0 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-8:
@@ -97,4 +98,4 @@ def score(docs: DataFrame, model, keep: list[str], text_col: str = "text", thres
             yield pa.RecordBatch.from_arrays([*cols, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
     slim = docs.select(*names, docs[text_col].alias("_scored_text"))
-    return slim.mapInArrow(run, slim.drop("_scored_text").schema.add("score", "double").add("predicted", "int"))
+    return slim.mapInArrow(run, slim.drop("_scored_text").schema.add("score", "double").add("predicted", "integer"))

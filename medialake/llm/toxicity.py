@@ -3,7 +3,7 @@
 Texts are lower-cased and folded first: homoglyphs become the Latin letters
 they imitate, digits and signs between letters the letters they stand for,
 marks that show nothing go.  The lexicon holds whole words and word beginnings;
-each has a weight, its log odds of standing in a toxic text.  A term counts as
+each has a weight, its log odds of standing in a toxic text (lower bound).  A term counts as
 evidence only if the sample shows it between different neighbours, so words of
 one much-copied text do not enter.  Exception phrases are pairs of words that
 hold a term and that clean texts use; a match inside one does not count.  The
@@ -59,7 +59,7 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(fold(text)) if text else []
 
 
-def _terms(word: str, stems=(4, 5, 6)):
+def _terms(word: str, stems=(4, 5, 6, 7, 8)):
     """The word itself, and its beginnings as ``stem*``."""
     yield word
     for n in stems:
@@ -87,7 +87,10 @@ class Lexicon:
         return Lexicon, (self.weights, self.exceptions)
 
     def weight(self, words: list[str]) -> tuple[float, int]:
-        """(sum of the weights of matched words, matched words): the heaviest term of each word counts."""
+        """(sum of the weights of matched words, matched words).
+
+        The heaviest term of each word counts; the k-th repeat of a word adds 1/k of its weight.
+        """
         if self.empty or not words:
             return 0.0, 0
         at, spared = {}, []
@@ -100,7 +103,12 @@ class Lexicon:
         for a, z in spared:
             for begin in [x for x in at if a <= x < z]:
                 del at[begin]
-        return sum(at.values()), len(at)
+        times: dict[float, int] = {}
+        total = 0.0
+        for w in at.values():
+            times[w] = times.get(w, 0) + 1
+            total += w / times[w]
+        return total, len(at)
 
 
 class Model:
@@ -131,8 +139,11 @@ def _contexts(texts: list[list[str]], wanted) -> dict[str, int]:
     return {t: len(s) for t, s in seen.items()}
 
 
-def learn_lexicon(texts: list[str | None], labels: list[int], min_contexts: int = 3, min_odds: float = 6.0, top: int = 20_000) -> Lexicon:
-    """Terms that stand between ``min_contexts`` different neighbours in toxic texts, with odds of ``min_odds`` at least."""
+def learn_lexicon(texts: list[str | None], labels: list[int], min_contexts: int = 3, min_weight: float = 1.2, top: int = 20_000) -> Lexicon:
+    """Terms that stand between ``min_contexts`` different neighbours in toxic texts.
+
+    A term's weight is its log odds less one standard error; ``min_weight`` at least.
+    """
     split = [words_of(t) for t in texts]
     total = [sum(len(w) for w, y in zip(split, labels) if y == v) for v in (0, 1)]
     uses = _contexts([w for w, y in zip(split, labels) if y], lambda t: True)
@@ -141,9 +152,10 @@ def learn_lexicon(texts: list[str | None], labels: list[int], min_contexts: int
     weights = {}
     for t, n in uses.items():
         other = clean.get(t, 0)
-        odds = ((n + 0.5) / (total[1] + 1)) / ((other + 0.5) / (total[0] + 1))
-        if odds >= min_odds:
-            weights[t] = math.log(odds)
+        odds = math.log(((n + 0.5) / (total[1] + 1)) / ((other + 0.5) / (total[0] + 1)))
+        low = odds - math.sqrt(1 / (n + 0.5) + 1 / (other + 0.5))
+        if low >= min_weight:
+            weights[t] = low
     weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:top])
     pairs = (defaultdict(int), defaultdict(int))
     for words, y in zip(split, labels):
