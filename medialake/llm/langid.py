@@ -25,7 +25,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medialake.llm.common import bounded_sample
@@ -195,6 +195,16 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str], text_col: st
     return slim.mapInArrow(run, schema)
 
 
-def accepted(min_score: float = 0.5) -> Column:
-    """A clear language: not ``und`` and at least ``min_score`` of the letters."""
-    return (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)
+def keep_clear(docs: DataFrame, model: Model | None, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose language is ``und`` or holds less than ``min_score`` of the letters."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        labeller = Labeller(shared.value) if shared.value else None
+        for b in batches:
+            found = labeller.languages(b.column(at).to_pylist()) if labeller else []
+            yield b.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in found], pa.bool_())) if labeller else b
+
+    return docs.mapInArrow(run, docs.schema)
+

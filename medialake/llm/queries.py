@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from medialake.llm import decontaminate, langid, quality, rules, simhash, toxicity
+from medialake.llm import decontaminate, langid, mixing, quality, rules, sharding, simhash, toxicity
 from medialake.llm.common import id_fold, table
 
 
@@ -28,6 +28,17 @@ def op2_quality(spark, sf_dir):
     return quality.score(docs, model, ["doc_id", "held_out"])
 
 
+def op3_sharding(spark, sf_dir):
+    placed = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    placed = mixing.calibrated(docs, mixing.plan(docs))
+    return placed.select("doc_id", F.col("_d0").alias("source"), F.col("_d1").alias("lang"), F.col("_d2").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_p").alias("probability"), F.col("_kept").alias("kept"))
+
+
 def op6_langid(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(id_fold("doc_id", 3) != 1))
@@ -46,7 +57,9 @@ def op10_rules(spark, sf_dir):
 
 QUERIES = {
     "op2_quality": op2_quality,
+    "op3_sharding": op3_sharding,
     "op4_decontaminate": op4_decontaminate,
+    "op5_mixing": op5_mixing,
     "op6_langid": op6_langid,
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
