@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from medialake.llm import decontaminate, langid, mixing, quality, rules, sharding, simhash, toxicity
+from medialake.llm import decontaminate, langid, lm, mixing, quality, rules, sharding, simhash, toxicity
 from medialake.llm.common import id_fold, table
 
 
@@ -22,6 +22,10 @@ def _labelled(spark, sf_dir, label, folds, held):
     return table(spark, sf_dir, "documents").where(id_fold("doc_id", folds) != held).select("doc_id", "text").join(labels, "doc_id")
 
 
+def op1_lm(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark, sf_dir):
     model = quality.fit(_labelled(spark, sf_dir, "quality", 4, 2))
     docs = table(spark, sf_dir, "documents").withColumn("held_out", id_fold("doc_id", 4) == 2)
@@ -56,6 +60,7 @@ def op10_rules(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_lm": op1_lm,
     "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
     "op4_decontaminate": op4_decontaminate,
