@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from medialake.llm import decontaminate, langid, lm, mixing, quality, rules, sharding, simhash, toxicity
+from medialake.llm import decontaminate, langid, licenses, lm, mixing, quality, rules, sharding, simhash, toxicity
 from medialake.llm.common import id_fold, table
 
 
@@ -49,6 +49,23 @@ def op6_langid(spark, sf_dir):
     return langid.identify(docs.withColumn("held_out", id_fold("doc_id", 3) == 1), model, ["doc_id", "held_out"])
 
 
+def with_paths(docs):
+    """Documents as files of a tree: source / package / part; every tenth is a licence file."""
+    up = F.concat_ws("/", F.col("source"), F.concat(F.lit("pkg"), F.col("doc_id") % 7))
+    part = F.concat(F.lit("part"), F.floor(F.col("doc_id") / 7) % 5)
+    path = F.when(F.col("doc_id") % 20 == 0, F.concat_ws("/", up, F.concat(F.lit("LICENSE.d"), "doc_id"))).when(F.col("doc_id") % 10 == 0, F.concat_ws("/", up, part, F.concat(F.lit("LICENSE.d"), "doc_id"))).otherwise(F.concat_ws("/", up, part, F.concat("doc_id", F.lit(".txt"))))
+    return docs.withColumn("path", path)
+
+
+def op7_licenses(spark, sf_dir):
+    return licenses.scan(with_paths(table(spark, sf_dir, "documents")))
+
+
+def _values(rows):
+    quote = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
+
+
 def op8_toxicity(spark, sf_dir):
     model = toxicity.fit(_labelled(spark, sf_dir, "toxic", 3, 1))
     docs = table(spark, sf_dir, "documents").withColumn("held_out", id_fold("doc_id", 3) == 1)
@@ -66,12 +83,35 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_mixing": op5_mixing,
     "op6_langid": op6_langid,
+    "op7_licenses": op7_licenses,
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_rules": op10_rules,
 }
 
 ORACLE_SQL = {
+    "op7_licenses": f"""
+WITH f AS (SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', source, 'pkg' || doc_id % 7) AS up, 'part' || (doc_id // 7) % 5 AS part FROM documents),
+p AS (SELECT doc_id, text, doc_id % 10 = 0 AS is_file, CASE WHEN doc_id % 20 = 0 THEN up ELSE up || '/' || part END AS dir,
+  CASE WHEN doc_id % 20 = 0 THEN up || '/LICENSE.d' || doc_id WHEN doc_id % 10 = 0 THEN up || '/' || part || '/LICENSE.d' || doc_id ELSE up || '/' || part || '/' || doc_id || '.txt' END AS path FROM f),
+t(template, license, body) AS (VALUES {_values([(i, a, b) for i, (a, b) in enumerate(licenses.TEMPLATES)])}),
+tw AS (SELECT template, license, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS w FROM t),
+vocab AS (SELECT DISTINCT w FROM tw),
+df AS (SELECT w, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM p) JOIN vocab USING (w) GROUP BY w),
+idf AS (SELECT w, ln((1 + (SELECT count(*) FROM p)) / (1 + coalesce(n, 0))::DOUBLE) + 1 AS idf FROM vocab LEFT JOIN df USING (w)),
+tv AS (SELECT template, license, w, count(*) * any_value(idf) AS y FROM tw JOIN idf USING (w) GROUP BY ALL),
+tn AS (SELECT template, license, w, y / sqrt(sum(y * y) OVER (PARTITION BY template)) AS x FROM tv),
+units AS (SELECT doc_id, i, s[i] AS line FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, CASE WHEN is_file THEN list_append(string_split(text, chr(10)), text) ELSE string_split(text, chr(10)) END AS s FROM p))),
+uw AS (SELECT doc_id, i, w, count(*) * any_value(idf) AS y FROM (SELECT doc_id, i, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS w FROM units) JOIN idf USING (w) GROUP BY doc_id, i, w),
+un AS (SELECT doc_id, i, w, y / sqrt(sum(y * y) OVER (PARTITION BY doc_id, i)) AS y FROM uw),
+cos AS (SELECT doc_id, i, template, license, sum(x * y) AS c FROM un JOIN tn USING (w) GROUP BY ALL),
+own AS (SELECT doc_id, license, round(c, 9) AS cosine FROM cos WHERE c >= 0.75 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(c, 9) DESC, license) = 1),
+holders AS (SELECT dir AS license_dir, license, cosine FROM p JOIN own USING (doc_id) WHERE is_file QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, license) = 1),
+near AS (SELECT doc_id, h.* FROM p JOIN holders h ON dir = license_dir OR starts_with(dir, license_dir || '/') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(license_dir) DESC) = 1)
+SELECT doc_id, path, coalesce(own.license, near.license) AS license, coalesce(own.cosine, near.cosine) AS cosine,
+  CASE WHEN own.license IS NOT NULL THEN 'own' WHEN near.license IS NOT NULL THEN 'inherited' END AS origin,
+  CASE WHEN own.license IS NULL THEN near.license_dir END AS license_dir
+FROM p LEFT JOIN own USING (doc_id) LEFT JOIN near USING (doc_id)""",
     "op4_decontaminate": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
