@@ -8,16 +8,20 @@ ratio of the two components of each held-out token enters a histogram (bucket
 by quarter of a binary order), which is all that reaches the driver.  The final
 counts include the part set aside.
 
-All counts are taken over all training documents.  N-grams are 64-bit keys
-(even: one word, odd: a pair), so the tables hold no text:
-1. Documents are dealt to blocks of about ``block_bytes`` of text by a hash; a
-   block sends each of its distinct keys once, with its count, to the key's
-   range (``buckets``).  A word that is everywhere costs one entry a block.
-2. Each range sums its keys and returns the sums in the block's own order, so
-   the answer holds no keys.  This table is written to the shared folder.
-3. Blocks meet their answers and score their documents.
-Memory of a task is that of one block or one range; both stay the same size as
-the input grows, as their number grows.
+All counts are taken over all training documents.  N-grams travel as keys, so
+the tables hold no text: 64 bits for a word; for a pair 20 bits more than the
+number of tokens takes (63 at most), so that about one pair in a million
+shares its key with another.
+1. Each task packs the documents it reads into blocks, one row each, with the
+   texts compressed; this table is written to the shared folder.
+2. A block sends each of its distinct keys once, with its count, to the key's
+   range.  A word that is everywhere costs one entry a block.
+3. Each range sums its keys and returns the sums in the block's own order, so
+   the answer holds no keys.  This table is written, too.
+4. Blocks meet their answers and score their documents.
+Memory of a task is that of one block or one range.  Blocks hold
+``block_bytes`` of text, more only as the square root of the input, which
+keeps the pieces that go from a block to a range from becoming tiny.
 
 Defined cases: a null or empty text is one end token; a null id is trained on
 and never held out; repeated rows each count and each get a row; without
@@ -27,47 +31,69 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medialake.llm.common import id_fold, materialise
 
-_END = 0x5BD1E995A5A5A5A4
+_END = (0x5BD1E995A5A5A5A5).to_bytes(8, "big")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_ONE, _NONE_BIN = np.uint64(1), -1000
-_COUNTS = "block int, bucket int, n_all binary, n_held binary, tokens long, vocab long"
+_NONE_BIN = -1000
+_SPACES = ("w", "p")  # words, pairs
 
 
 # --- tokens and keys --------------------------------------------------------
 def word_keys(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """(word keys of all texts, each followed by the end key; tokens of each text)."""
-    parts, lengths, key = [], [], xxhash.xxh3_64_intdigest
+    parts, lengths, key = [], [], xxhash.xxh3_64_digest
     for t in texts:
-        k = [key(w) for w in t.lower().split()] if t else []
-        k.append(_END)
-        parts.append(np.array(k, dtype=np.uint64))
-        lengths.append(len(k))
-    words = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
-    return words & ~_ONE, np.array(lengths, dtype=np.int64)
-
-
-def pair_keys(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys of (word before, word), word before); a text starts after an end."""
-    before = np.empty_like(words)
-    before[1:] = words[:-1]
-    before[(np.cumsum(lengths) - lengths)] = np.uint64(_END)
-    x = before * _M1
+        words = t.lower().split() if t else []
+        parts.append(b"".join([key(w) for w in words]) + _END)
+        lengths.append(len(words) + 1)
+    return np.frombuffer(b"".join(parts), dtype=">u8").astype(np.uint64), np.array(lengths, dtype=np.int64)
+
+
+def pair_keys(words: np.ndarray, lengths: np.ndarray, bits: int) -> np.ndarray:
+    """Keys below 2**bits of (word before, word); a text starts after an end."""
+    x = np.empty_like(words)
+    x[1:] = words[:-1]
+    x[np.cumsum(lengths) - lengths] = np.uint64(int.from_bytes(_END, "big"))
+    x *= _M1
     x ^= (words >> np.uint64(31)) ^ (words << np.uint64(33))
     x *= _M2
     x ^= x >> np.uint64(32)
-    return x | _ONE, before
+    x *= _M1
+    return x >> np.uint64(64 - bits)
+
+
+class Distinct:
+    """Distinct keys in order, and the place among them of each key given."""
+
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys)
+        ordered = keys[self.order]
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        self.starts = np.flatnonzero(new)
+        self.keys = ordered[self.starts]
+        self.at = np.empty(len(keys), dtype=np.int64)
+        self.at[self.order] = np.cumsum(new) - 1
+
+    def count(self, flags: np.ndarray) -> np.ndarray:
+        """Occurrences of each distinct key whose flag is set."""
+        return np.add.reduceat(flags[self.order].astype(np.int64), self.starts)
 
 
-def _edges(buckets: int) -> np.ndarray:
-    return np.array([-(-(i << 64) // buckets) for i in range(1, buckets)], dtype=np.uint64)
+def _edges(buckets: int, bits: int) -> np.ndarray:
+    return np.array([-(-(i << bits) // buckets) for i in range(1, buckets)], dtype=np.uint64)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -79,96 +105,133 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-# --- the three steps --------------------------------------------------------
-def _block_counts(buckets: int, n_blocks: int):
-    """Rows (bucket, block, keys, n_train, n_held) of one block."""
-
-    def run(t: pa.Table) -> pa.Table:
-        block = t.column("_b")[0].as_py()
-        words, lengths = word_keys(t.column("_t").to_pylist())
-        pairs, _ = pair_keys(words, lengths)
-        keys = np.unique(np.concatenate([words, pairs]))
-        out = {"n_train": np.zeros(len(keys), dtype=np.int64), "n_held": np.zeros(len(keys), dtype=np.int64)}
-        if block < n_blocks:  # blocks of the part set aside only ask
-            for name, flag in (("n_train", "_train"), ("n_held", "_em")):
-                rows = np.repeat(t.column(flag).to_numpy().astype(bool), lengths)
-                k, n = np.unique(np.concatenate([words[rows], pairs[rows]]), return_counts=True)
-                out[name][np.searchsorted(keys, k)] = n
-        cut = np.concatenate([[0], np.searchsorted(keys, _edges(buckets)), [len(keys)]])
-        some = [i for i in range(buckets) if cut[i] < cut[i + 1]]
-        steps = [np.diff(keys[cut[i] : cut[i + 1]], prepend=np.uint64(0)) for i in some]
-        data = {"bucket": pa.array(some, pa.int32()), "block": pa.array([block] * len(some), pa.int32()), "keys": pa.array([pack(s) for s in steps], pa.binary())}
-        for name, n in out.items():
-            data[name] = pa.array([pack(n[cut[i] : cut[i + 1]]) if n[cut[i] : cut[i + 1]].any() else b"" for i in some], pa.binary())
-        return pa.table(data)
+# --- blocks of documents ----------------------------------------------------
+def _pack_blocks(block_bytes: int, id_type: pa.DataType):
+    """Rows of the block table from the documents of one task."""
+    def row(number: int, docs: list, asking: bool):
+        ids, texts, held, train, em = zip(*docs)
+        data = [[number], [asking], [list(ids)], [list(held)], [list(train)], [list(em)], [[len(t) for t in texts]], [zstandard.compress(b"".join(texts), 1)]]
+        bools = pa.list_(pa.bool_())
+        kinds = [pa.int64(), pa.bool_(), pa.list_(id_type), bools, bools, bools, pa.list_(pa.int32()), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(d, k) for d, k in zip(data, kinds)], names=["block", "asking", "ids", "held", "train", "em", "sizes", "blob"])
+
+    def run(batches):
+        numbers = itertools.count(TaskContext.get().partitionId() << 24)
+        open_ = {False: ([], 0), True: ([], 0)}
+        for b in batches:
+            for doc in zip(*[b.column(i).to_pylist() for i in range(5)]):
+                doc = (doc[0], doc[1] or b"", *doc[2:])
+                for asking in (False, True) if doc[4] else (False,):
+                    docs, size = open_[asking]
+                    docs.append(doc)
+                    size += len(doc[1])
+                    if size >= block_bytes:
+                        yield row(next(numbers), docs, asking)
+                        docs, size = [], 0
+                    open_[asking] = docs, size
+        for asking, (docs, _) in open_.items():
+            if docs:
+                yield row(next(numbers), docs, asking)
 
     return run
 
 
-def _bucket_sums(n_blocks: int):
-    """Answers of one key range: the sums in each block's order, and a row of totals."""
-
-    def run(t: pa.Table) -> pa.Table:
-        keys = [np.cumsum(unpack(x.as_py()), dtype=np.uint64) for x in t.column("keys")]
-        ends = np.cumsum([len(k) for k in keys])
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        del keys
-        sums = {}
-        for name in ("n_train", "n_held"):
-            total = np.zeros(len(distinct), dtype=np.int64)
-            for x, a, z in zip(t.column(name), [0, *ends], ends):
-                if packed := x.as_py():
-                    total[at[a:z]] += unpack(packed).astype(np.int64)  # keys of a block are distinct
-            sums[name] = total
-        words = (distinct & _ONE) == 0
-        seen = sums["n_train"][words]
-        blocks = t.column("block").to_pylist()
-        bucket = t.column("bucket")[0].as_py()
-        answers = [pack(sums["n_train"][at[a:z]]) for a, z in zip([0, *ends], ends)]
-        held = [pack(sums["n_held"][at[a:z]]) if b >= n_blocks else b"" for b, a, z in zip(blocks, [0, *ends], ends)]
-        totals = [int(seen.sum()), int((seen > 0).sum())]
-        return pa.table({
-            "block": pa.array([*blocks, -1], pa.int32()), "bucket": pa.array([bucket] * (len(blocks) + 1), pa.int32()),
-            "n_all": pa.array([*answers, b""], pa.binary()), "n_held": pa.array([*held, pack(np.array([int(sums["n_held"][words].sum())]))], pa.binary()),
-            "tokens": pa.array([0] * len(blocks) + totals[:1], pa.int64()), "vocab": pa.array([0] * len(blocks) + totals[1:], pa.int64()),
-        })
+def _texts(blob: bytes, sizes: list[int]) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(blob, max_output_size=max(1, sum(sizes)))
+    ends = np.cumsum(sizes).tolist()
+    return [data[a:z] for a, z in zip([0, *ends], ends)]
+
+
+# --- counts -----------------------------------------------------------------
+def _block_counts(buckets: int, bits: int):
+    """Rows (bucket, block, asking, keys and counts of words and of pairs) of each block."""
+
+    def run(batches):
+        for b in batches:
+            for block, asking, train, em, sizes, blob in zip(*[b.column(i).to_pylist() for i in range(6)]):
+                words, lengths = word_keys(_texts(blob, sizes))
+                flags = [np.repeat(np.array(f, dtype=bool) & (not asking), lengths) for f in (train, em)]  # blocks of the part set aside only ask
+                columns = {}
+                for space, keys, width in (("w", words, 64), ("p", pair_keys(words, lengths, bits), bits)):
+                    d = Distinct(keys)
+                    cut = [0, *np.searchsorted(d.keys, _edges(buckets, width)).tolist(), len(d.keys)]
+                    columns[space] = [pack(np.diff(d.keys[x:y], prepend=np.uint64(0))) for x, y in zip(cut, cut[1:])]
+                    for name, f in zip(("train", "held"), flags):
+                        n = d.count(f)
+                        columns[f"{space}_{name}"] = [pack(n[x:y]) if n[x:y].any() else b"" for x, y in zip(cut, cut[1:])]
+                some = [i for i in range(buckets) if columns["w"][i] or columns["p"][i]]
+                arrays = [pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([asking] * len(some), pa.bool_())]
+                arrays += [pa.array([columns[c][i] for i in some], pa.binary()) for c in columns]
+                yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "block", "asking", *columns])
 
     return run
 
 
+_COUNTED = "bucket int, block long, asking boolean, w binary, w_train binary, w_held binary, p binary, p_train binary, p_held binary"
+_ANSWERS = "block long, bucket int, asking boolean, w_all binary, w_held binary, p_all binary, p_held binary, tokens long, held_tokens long, vocab long"
+
+
+def _bucket_sums(t: pa.Table) -> pa.Table:
+    """Answers of one key range: the sums in each block's order, and a row (block -1) of totals."""
+    n, asking = len(t), t.column("asking").to_pylist()
+    out = {"block": [*t.column("block").to_pylist(), -1], "bucket": t.column("bucket").to_pylist()[:1] * (n + 1), "asking": [*asking, False]}
+    totals = {}
+    for space in _SPACES:
+        keys = [np.cumsum(unpack(x.as_py()), dtype=np.uint64) for x in t.column(space)]
+        ends = np.cumsum([len(k) for k in keys]).tolist()
+        spans = list(zip([0, *ends], ends))
+        d = Distinct(np.concatenate(keys))
+        del keys
+        sums = {}
+        for name in ("train", "held"):
+            sums[name] = np.zeros(len(d.keys), dtype=np.int64)
+            for x, (a, z) in zip(t.column(f"{space}_{name}"), spans):
+                if packed := x.as_py():
+                    sums[name][d.at[a:z]] += unpack(packed).astype(np.int64)  # keys of a block are distinct
+        out[f"{space}_all"] = [pack(sums["train"][d.at[a:z]]) for a, z in spans] + [b""]
+        out[f"{space}_held"] = [pack(sums["held"][d.at[a:z]]) if ask else b"" for ask, (a, z) in zip(asking, spans)] + [b""]
+        if space == "w":
+            totals = {"tokens": sums["train"].sum(), "held_tokens": sums["held"].sum(), "vocab": (sums["train"] > 0).sum()}
+    for name, v in totals.items():
+        out[name] = [0] * n + [int(v)]
+    kinds = {"block": pa.int64(), "bucket": pa.int32(), "asking": pa.bool_()} | {f"{s}_{x}": pa.binary() for s in _SPACES for x in ("all", "held")} | {x: pa.int64() for x in totals}
+    return pa.table({name: pa.array(out[name], kind) for name, kind in kinds.items()})
+
+
+# --- scores -----------------------------------------------------------------
 class _Counted:
-    """Tokens of a block with the sums of its keys."""
-
-    def __init__(self, docs: pa.Table, answers: pa.Table):
-        self.words, self.lengths = word_keys(docs.column("_t").to_pylist())
-        pairs, before = pair_keys(self.words, self.lengths)
-        keys = np.unique(np.concatenate([self.words, pairs]))
-        self.at_word, self.at_pair, self.at_before = (np.searchsorted(keys, k) for k in (self.words, pairs, before & ~_ONE))
-        # an end before the first word of a text is a key too: every text ends with it
-        order = np.argsort(answers.column("bucket").to_numpy())
-        self.column = lambda name: np.concatenate([unpack(answers.column(name)[int(i)].as_py()) for i in order]).astype(np.float64)
+    """Tokens of a block with the sums of their keys."""
+
+    def __init__(self, docs: pa.Table, answers: pa.Table, bits: int):
+        words, self.lengths = word_keys(_texts(docs.column("blob")[0].as_py(), docs.column("sizes")[0].as_py()))
+        self.at = {"w": Distinct(words).at, "p": Distinct(pair_keys(words, self.lengths, bits)).at}
         self.starts = np.cumsum(self.lengths) - self.lengths
+        self.answers, self.order = answers, np.argsort(answers.column("bucket").to_numpy()).tolist()
+
+    def counts(self, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of each token's word, of its pair and of its context."""
+        word, pair = (np.concatenate([unpack(self.answers.column(f"{s}_{name}")[i].as_py()) for i in self.order]).astype(np.float64)[self.at[s]] for s in _SPACES)
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
+        before[self.starts] = word[-1]  # the last token is an end
+        return word, pair, before
 
 
 def context_bucket(count: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(count + 1)).astype(np.int64)
 
 
-def _ratios(n_tokens: int, n_vocab: int):
+def _ratios(n_tokens: int, n_vocab: int, bits: int):
     """Histogram (context bucket, quarter binary orders of the components' ratio) of the part set aside."""
 
     def run(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(docs):
-            bins, n = np.zeros((2, 0), dtype=np.int64), np.zeros(0, dtype=np.int64)
-        else:
-            c = _Counted(docs, answers)
-            kept = c.column("n_all") - c.column("n_held")
-            pair, before = kept[c.at_pair], kept[c.at_before]
-            low = (kept[c.at_word] + 0.5) / (n_tokens + 0.5 * (n_vocab + 1))
-            ratio = np.full(len(pair), float(_NONE_BIN))
-            hit = (pair > 0) & (before > 0)
-            ratio[hit] = np.round(4 * np.log2(pair[hit] / before[hit] / low[hit]))
-            bins, n = np.unique(np.stack([context_bucket(before), ratio.astype(np.int64)]), axis=1, return_counts=True)
+        c = _Counted(docs, answers, bits)
+        word, pair, before = (a - h for a, h in zip(c.counts("all"), c.counts("held")))
+        low = (word + 0.5) / (n_tokens + 0.5 * (n_vocab + 1))
+        ratio = np.full(len(pair), float(_NONE_BIN))
+        hit = (pair > 0) & (before > 0)
+        ratio[hit] = np.round(4 * np.log2(pair[hit] / before[hit] / low[hit]))
+        bins, n = np.unique(np.stack([context_bucket(before), ratio.astype(np.int64)]), axis=1, return_counts=True)
         return pa.table({"context": pa.array(bins[0], pa.int32()), "ratio": pa.array(bins[1], pa.int32()), "n": pa.array(n, pa.int64())})
 
     return run
@@ -194,51 +257,46 @@ def mixture_weights(histogram: list[tuple[int, int, int]], rounds: int = 100) ->
     return weights
 
 
-def _scores(id_col: str, n_tokens: int, n_vocab: int, weights: np.ndarray):
+def _scores(id_col: str, n_tokens: int, n_vocab: int, weights: np.ndarray, bits: int):
     def run(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(docs):
-            base = score = np.zeros(0)
-            lengths = known = np.zeros(0, dtype=np.int64)
-        else:
-            c = _Counted(docs, answers)
-            n = c.column("n_all")
-            word, pair, before = n[c.at_word], n[c.at_pair], n[c.at_before]
-            low = (word + 0.5) / (n_tokens + 0.5 * (n_vocab + 1))
-            a = weights[context_bucket(before)]
-            p = a * np.divide(pair, before, out=np.zeros_like(pair), where=before > 0) + (1 - a) * low
-            base, score = (np.add.reduceat(np.log10(x), c.starts) for x in (low, p))
-            known = np.add.reduceat((word > 0).astype(np.int64), c.starts)
-            lengths = c.lengths
-        out = [docs.column(id_col), docs.column("held_out"), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(lengths), n_tokens, dtype=np.int64)), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
-        return pa.table(out, names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        c = _Counted(docs, answers, bits)
+        word, pair, before = c.counts("all")
+        low = (word + 0.5) / (n_tokens + 0.5 * (n_vocab + 1))
+        a = weights[context_bucket(before)]
+        p = a * np.divide(pair, before, out=np.zeros_like(pair), where=before > 0) + (1 - a) * low
+        base, score = (np.add.reduceat(np.log10(x), c.starts) for x in (low, p))
+        known = np.add.reduceat((word > 0).astype(np.int64), c.starts)
+        columns = [docs.column("ids")[0].values, docs.column("held")[0].values, c.lengths, known, np.full(len(known), n_tokens, dtype=np.int64), base, score]
+        return pa.table(columns, names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, em_part: int = 20, block_bytes: int = 16 << 20, min_blocks: int = 24) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, em_part: int = 20, block_bytes: int = 6 << 20, bucket_bytes: int = 16 << 20, min_buckets: int = 24) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(id_col, F.col(text_col).cast("binary").alias("_t"), (id_fold(id_col, folds) == held).alias("held_out"), (F.floor(id_fold(id_col, folds * em_part) / folds) == 0).alias("_part"))
-    slim = slim.withColumns({"_train": ~F.col("held_out"), "_em": F.col("_part") & ~F.col("held_out")}).drop("_part")
+    fold = id_fold(id_col, folds * em_part)
+    held_out = F.coalesce(fold % folds == held, F.lit(False))
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_t"), held_out.alias("held"), (~held_out).alias("train"), ((F.floor(fold / folds) == 0) & ~held_out).alias("em"))
     total = slim.agg(F.sum(F.coalesce(F.octet_length("_t"), F.lit(0)).cast("long") + 16)).first()[0] or 0
-    blocks = max(min_blocks, -(-total // block_bytes))
-    asking = max(1, blocks // em_part)
-    draw = F.xxhash64(id_col, F.crc32(F.coalesce("_t", F.lit(b""))))
-    own, extra = F.pmod(draw, F.lit(blocks)).cast("int"), (F.pmod(draw, F.lit(asking)) + blocks).cast("int")
-    dealt = slim.withColumn("_b", F.explode(F.when(F.col("_em"), F.array(own, extra)).otherwise(F.array(own))))
-    keyed = dealt.select("_b", "_t", "_train", "_em").groupBy("_b").applyInArrow(_block_counts(blocks, blocks), "bucket int, block int, keys binary, n_train binary, n_held binary")
-    answers = materialise(keyed.groupBy("bucket").applyInArrow(_bucket_sums(blocks), _COUNTS))
-    totals = answers.where("block = -1").select("tokens", "vocab", "n_held").toLocalIterator()
-    n_tokens = n_vocab = n_held = 0
-    for r in totals:
-        n_tokens, n_vocab, n_held = n_tokens + r[0], n_vocab + r[1], n_held + int(unpack(bytes(r[2]))[0])
-    em_docs = slim.where("_em").withColumn("_b", extra).select("_b", "_t")
-    asked = answers.where(F.col("block") >= blocks).select(F.col("block").alias("_b"), "bucket", "n_all", "n_held")
-    bins = em_docs.groupBy("_b").cogroup(asked.groupBy("_b")).applyInArrow(_ratios(n_tokens - n_held, n_vocab), "context int, ratio int, n long")
-    histogram = [tuple(map(int, r)) for r in bins.groupBy("context", "ratio").agg(F.sum("n")).collect()]
-    weights = mixture_weights(histogram)
-    mine = answers.where((F.col("block") >= 0) & (F.col("block") < blocks)).select(F.col("block").alias("_b"), "bucket", "n_all")
-    rows = slim.withColumn("_b", own).select("_b", "_t", id_col, "held_out")
-    out = f"{id_col} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("_b").cogroup(mine.groupBy("_b")).applyInArrow(_scores(id_col, n_tokens, n_vocab, weights), out)
-
+    size = max(block_bytes, int(math.sqrt(64 * total)))
+    buckets = max(min_buckets, -(-total // max(bucket_bytes, 4 * size)))
+    bits = min(63, max(32, total.bit_length() - 2) + 20)
+    bools = "array<boolean>"
+    id_type = pa.schema(_arrow_field(slim.schema["_id"].dataType)).field(0).type
+    blocks = materialise(slim.mapInArrow(_pack_blocks(size, id_type), f"block long, asking boolean, ids array<{kind}>, held {bools}, train {bools}, em {bools}, sizes array<int>, blob binary"))
+    counted = blocks.select("block", "asking", "train", "em", "sizes", "blob").mapInArrow(_block_counts(buckets, bits), _COUNTED)
+    answers = materialise(counted.groupBy("bucket").applyInArrow(_bucket_sums, _ANSWERS))
+    n_tokens, n_held, n_vocab = (x or 0 for x in answers.where("block = -1").agg(F.sum("tokens"), F.sum("held_tokens"), F.sum("vocab")).first())
+    asked = answers.where("asking").select("block", "bucket", "w_all", "w_held", "p_all", "p_held").groupBy("block")
+    bins = blocks.where("asking").select("block", "sizes", "blob").groupBy("block").cogroup(asked).applyInArrow(_ratios(n_tokens - n_held, n_vocab, bits), "context int, ratio int, n long")
+    weights = mixture_weights([tuple(map(int, r)) for r in bins.groupBy("context", "ratio").agg(F.sum("n")).collect()])
+    mine = answers.where("not asking and block >= 0").select("block", "bucket", "w_all", "p_all").groupBy("block")
+    out = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return blocks.where("not asking").select("block", "ids", "held", "sizes", "blob").groupBy("block").cogroup(mine).applyInArrow(_scores(id_col, n_tokens, n_vocab, weights, bits), out)
+
+
+def _arrow_field(spark_type) -> list:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return [pa.field("x", to_arrow_type(spark_type))]

@@ -48,7 +48,7 @@ def _text(c: str) -> Column:
 
 
 def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumns({"_h": _hash60(_text(text_col).cast("binary")), "_t": F.coalesce(_hash60(F.col(id_col).cast("string").cast("binary")), F.lit(-1)), "size": F.octet_length(_text(text_col)).cast("long") + 1})
+    return docs.withColumns({"_h": _hash60(_text(text_col).cast("binary")), "_t": F.coalesce(_hash60(F.col(id_col).cast("string").cast("binary")), F.lit(-1)), "size": F.octet_length(_text(text_col)).cast("long") + 1, "text_crc32": F.crc32(_text(text_col).cast("binary"))})
 
 
 def _uniform() -> Column:
@@ -156,4 +156,4 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     ranges = _range_table(spark, cuts, extra, ", shard int, _first long")
     within = Window.partitionBy("_range").orderBy("_h", "_t")
     placed = _in_ranges(keyed, ranges).withColumn("slot", F.col("_first") + F.row_number().over(within) - 1)
-    return placed.select(*plain.columns, "size", F.crc32(_text(text_col).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot")
+    return placed.select(*plain.columns, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot")
