@@ -13,6 +13,8 @@ from medialake.plans.library import Library
 from medialake.plans.pipelines import library_rows, numbered
 from medialake.sources.decode import decode
 
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
 
 def stream_index(spark: SparkSession, folder: str, library: Library, checkpoint: str, suffixes=IMAGE_SUFFIXES, available_now: bool = True) -> StreamingQuery:
     """Start a query that saves new image files; a file stream sees neither edits nor deletions.
@@ -20,7 +22,7 @@ def stream_index(spark: SparkSession, folder: str, library: Library, checkpoint:
     Each batch is one upsert keyed by content, so a batch that runs twice
     leaves the library as one run does.
     """
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true").load(folder)
     rows = files.select(F.regexp_replace("path", "^file:/*", "/").alias("original_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").cast("timestamp_ntz").alias("modified_time"))
     named = rows.withColumn("filename", basename(F.col("original_path"))).where(has_suffix(F.col("filename"), suffixes)).withColumn("norm_path", F.col("original_path"))
 
