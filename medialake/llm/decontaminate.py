@@ -19,7 +19,6 @@ tables are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import ahocorasick
@@ -93,8 +92,8 @@ def char_offsets(text: bytes, spans) -> list[tuple[int, int]]:
     return [(int(chars[at[a][0]]), int(chars[at[b][1]])) for a, b in spans]
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, max_words: int = 2_000_000) -> DataFrame:
-    """One row per document: id, n_words, n_hit, items (sorted ids), offsets [start, end) of hit passages."""
+def item_blocks(benchmark: DataFrame, item_col: str, item_text: str, max_words: int) -> list[list[tuple[str | None, bytes]]]:
+    """The items that have a text, in blocks of about ``max_words`` words."""
     blocks, size = [[]], 0
     for r in benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_col).cast("string"), F.col(item_text).cast("binary")).orderBy(1, 2).toLocalIterator():
         n = len(words_of(bytes(r[1])))
@@ -102,6 +101,12 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
             blocks, size = [*blocks, []], 0
         blocks[-1].append((r[0], bytes(r[1])))
         size += n
+    return blocks
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, max_words: int = 2_000_000) -> DataFrame:
+    """One row per document: id, n_words, n_hit, items (sorted ids), offsets [start, end) of hit passages."""
+    blocks = item_blocks(benchmark, item_col, item_text, max_words)
     spark, id_type = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_t"), F.lit(0).cast("long").alias("n_words"), F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
     for block in blocks:
@@ -157,23 +162,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return hits.select(id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, max_words: int = 2_000_000) -> DataFrame:
     """``docs`` without the rows that hold a benchmark window.
 
-    The verdict is computed on the row itself, so nothing is shuffled.
+    The verdict is computed on the row itself, block by block of the benchmark,
+    so nothing is shuffled.
     """
-    columns, types = docs.columns, docs.schema
-    shared = docs.sparkSession.sparkContext.broadcast([(None, bytes(r[0])) for r in benchmark.where(F.col("text").isNotNull()).select(F.col("text").cast("binary")).distinct().toLocalIterator()])
-    at = columns.index(text_col)
+    types, at = docs.schema, docs.columns.index(text_col)
+    for block in item_blocks(benchmark, item_col, item_text, max_words):
+        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(block), window, at), types)
+    return docs
+
 
+def _clean(shared, window, at):
     def run(batches):
         m = Matcher(shared.value, window)
         for b in batches:
             clean = [not m.scan(words_of(t))[0] for t in b.column(at).cast(pa.binary()).to_pylist()]
             yield b.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, types)
-
+    return run
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
