@@ -35,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from medialake.llm.common import materialise
 
@@ -221,7 +222,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """One row per document: id, fingerprint (hex), component_id, n_links_class.
+    """One row per document: id, fingerprint (hex), component_id, component_size.
 
     ``component_id`` is the smallest id reachable over links; ``component_size``
     counts the documents of the component.
@@ -238,9 +239,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: that of the smallest id.
 
-    Rows without an id cannot be told apart by it and stay; repeated rows of
-    one id and text stay once.
+    Rows without an id cannot be told apart by it and all stay.  Of rows that
+    share an id, that with the smallest hash of the text stays.  The texts are
+    shuffled once, by id; numbering them reuses that order.
     """
     first = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(first, id_col, "left_semi").dropDuplicates([id_col, text_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
+    kept = docs.join(first, id_col, "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1")
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
