@@ -3,9 +3,9 @@
 Texts are lower-cased and folded first: homoglyphs become the Latin letters
 they imitate, digits and signs between letters the letters they stand for,
 marks that show nothing go.  The lexicon holds whole words and word beginnings;
-each has a weight, its log odds of standing in a toxic text (lower bound).  A term counts as
-evidence only if the sample shows it between different neighbours, so words of
-one much-copied text do not enter.  Exception phrases are pairs of words that
+each has a weight, its log odds of standing in a toxic text (lower bound).  A text counts
+as evidence for a term only if it shows it between neighbours that no other
+text showed, so words of one much-copied text do not enter.  Exception phrases are pairs of words that
 hold a term and that clean texts use; a match inside one does not count.  The
 sum of weights, and that sum divided by the text's length, enter a logistic
 curve.
@@ -127,28 +127,32 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.curve, -30, 30)))
 
 
-def _contexts(texts: list[list[str]], wanted) -> dict[str, int]:
-    """Different pairs of neighbours of each wanted term."""
-    seen = defaultdict(set)
+def _evidence(texts: list[list[str]], wanted) -> dict[str, int]:
+    """Texts that show a wanted term between neighbours in which no text before showed it."""
+    seen, found = defaultdict(set), defaultdict(int)
     for words in texts:
-        padded = ["", *words, ""]
+        padded, here = ["", *words, ""], defaultdict(set)
         for i, w in enumerate(words):
             for t in _terms(w):
                 if wanted(t):
-                    seen[t].add(hash((padded[i], padded[i + 2])))
-    return {t: len(s) for t, s in seen.items()}
+                    here[t].add(hash((padded[i], padded[i + 2])))
+        for t, pairs in here.items():
+            found[t] += not pairs <= seen[t]
+            seen[t] |= pairs
+    return found
 
 
-def learn_lexicon(texts: list[str | None], labels: list[int], min_contexts: int = 3, min_weight: float = 1.2, top: int = 20_000) -> Lexicon:
-    """Terms that stand between ``min_contexts`` different neighbours in toxic texts.
+def learn_lexicon(texts: list[str | None], labels: list[int], min_texts: int = 3, min_weight: float = 1.2, top: int = 20_000) -> Lexicon:
+    """Terms that ``min_texts`` toxic texts show, each between other neighbours.
 
-    A term's weight is its log odds less one standard error; ``min_weight`` at least.
+    A term's weight is the log odds of a toxic text showing it, against a clean
+    one, less one standard error; ``min_weight`` at least.
     """
     split = [words_of(t) for t in texts]
-    total = [sum(len(w) for w, y in zip(split, labels) if y == v) for v in (0, 1)]
-    uses = _contexts([w for w, y in zip(split, labels) if y], lambda t: True)
-    uses = {t: n for t, n in uses.items() if n >= min_contexts}
-    clean = _contexts([w for w, y in zip(split, labels) if not y], uses.__contains__)
+    total = [sum(y == v for y in labels) for v in (0, 1)]
+    uses = _evidence([w for w, y in zip(split, labels) if y], lambda t: True)
+    uses = {t: n for t, n in uses.items() if n >= min_texts}
+    clean = _evidence([w for w, y in zip(split, labels) if not y], uses.__contains__)
     weights = {}
     for t, n in uses.items():
         other = clean.get(t, 0)
