@@ -97,12 +97,21 @@ def _edges(buckets: int, bits: int) -> np.ndarray:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Eight byte planes; the planes of high bytes are runs of zeros, which compress to nothing."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """The byte planes that the largest value needs, after a byte with their number."""
+    if not len(values):
+        return b""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8)
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width]
+    return bytes([width]) + planes.tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    if not data:
+        return np.zeros(0, dtype=np.uint64)
+    planes = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel()
 
 
 # --- blocks of documents ----------------------------------------------------
@@ -272,7 +281,7 @@ def _scores(id_col: str, n_tokens: int, n_vocab: int, weights: np.ndarray, bits:
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, em_part: int = 20, block_bytes: int = 6 << 20, bucket_bytes: int = 16 << 20, min_buckets: int = 24) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, em_part: int = 20, block_bytes: int = 6 << 20, bucket_bytes: int = 8 << 20, min_buckets: int = 24) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     kind = docs.schema[id_col].dataType.simpleString()
     fold = id_fold(id_col, folds * em_part)
@@ -280,7 +289,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_t"), held_out.alias("held"), (~held_out).alias("train"), ((F.floor(fold / folds) == 0) & ~held_out).alias("em"))
     total = slim.agg(F.sum(F.coalesce(F.octet_length("_t"), F.lit(0)).cast("long") + 16)).first()[0] or 0
     size = max(block_bytes, int(math.sqrt(64 * total)))
-    buckets = max(min_buckets, -(-total // max(bucket_bytes, 4 * size)))
+    buckets = max(min_buckets, -(-total // max(bucket_bytes, 2 * size)))
     bits = min(63, max(32, total.bit_length() - 2) + 20)
     bools = "array<boolean>"
     id_type = pa.schema(_arrow_field(slim.schema["_id"].dataType)).field(0).type
