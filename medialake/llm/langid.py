@@ -21,6 +21,7 @@ ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -83,14 +84,15 @@ def train(texts: list[tuple[str, str]], max_words: int = 300_000, rounds: int =
         return None
     parts = [parts[i] for i in rng.permutation(len(parts))]
     found = Counter()
-    features = [word_features(w) for w in kind_ids]
-    for f, w in zip(features, kind_ids):
-        for x in f:
+    for w in kind_ids:
+        for x in word_features(w):
             found[x] += kinds[w]
     feature_ids = {"": 0} | {f: i for i, f in enumerate((f for f, n in sorted(found.items()) if n >= 3), 1)}
-    fids, indptr = [], [0]
-    for f in features:
-        fids += [0, *sorted(feature_ids[x] for x in f if x in feature_ids)]
+    del found
+    fids, indptr = array("l"), [0]
+    for w in kind_ids:  # made again rather than kept: they would be most of the driver's memory
+        fids.append(0)
+        fids.extend(sorted(feature_ids[x] for x in word_features(w) if x in feature_ids))
         indptr.append(len(fids))
     lengths = np.array([sum(len(p) for p, _ in parts[i : i + 8]) for i in range(0, len(parts), 8)])
     labels = np.concatenate([np.full(len(p), y) for p, y in parts])
