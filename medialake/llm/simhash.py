@@ -14,8 +14,10 @@ Plan
    directly.  Larger ones get a tree: consecutive nodes share the bits on which
    all of them agree (mask and pattern), upper nodes hold what their children
    share, and a search carries the differences counted so far downwards and
-   drops whole subtrees once these pass ``max_bits``.  Only a spanning forest
-   of the links leaves the group, never all pairs.
+   drops whole subtrees once these pass ``max_bits``.  Subtrees that are known
+   to be connected with the query are skipped, so that a large group of close
+   fingerprints is not compared pair by pair, and only a spanning forest of the
+   links leaves the group.
 5. Components by alternating large-star and small-star rounds, each written
    to the shared folder.
 
@@ -90,23 +92,39 @@ class GrayIndex:
             pattern = pattern[starts] & mask
             self.levels.append((mask, pattern))
 
-    def links(self, queries: np.ndarray, max_bits: int):
-        """Arrays (query, member) of positions with at most ``max_bits`` differences."""
+    def shared_labels(self, label: np.ndarray) -> list[np.ndarray]:
+        """For the members and then each level: the label that all members below carry, or -1."""
+        out = [label]
+        for _ in self.levels:
+            starts = np.arange(0, len(out[-1]), self.fanout)
+            low, high = np.minimum.reduceat(out[-1], starts), np.maximum.reduceat(out[-1], starts)
+            out.append(np.where(low == high, low, -1))
+        return out
+
+    def links(self, queries: np.ndarray, max_bits: int, own: np.ndarray | None = None, shared: list[np.ndarray] | None = None):
+        """Arrays (query, member) of positions with at most ``max_bits`` differences.
+
+        With ``own`` labels of the queries and ``shared_labels``, members of a query's own label are left out.
+        """
         top_mask, top_pattern = self.levels[-1]
         q = np.repeat(np.arange(len(queries)), len(top_mask))
         node = np.tile(np.arange(len(top_mask)), len(queries))
         spent = np.bitwise_count((queries[q] ^ top_pattern[node]) & top_mask[node])
         above = top_mask
         keep = spent <= max_bits
+        if shared:
+            keep &= shared[-1][node] != own[q]
         q, node, spent = q[keep], node[keep], spent[keep]
         full = np.full(len(self.fps), ~np.uint64(0))
-        for mask, pattern in [*self.levels[-2::-1], (full, self.fps)]:
+        for depth, (mask, pattern) in enumerate([*self.levels[-2::-1], (full, self.fps)], 2):
             child = (node[:, None] * self.fanout + np.arange(self.fanout)).ravel()
             q, spent, known = (np.repeat(x, self.fanout) for x in (q, spent, above[node]))
             real = child < len(mask)
             child, q, spent, known = child[real], q[real], spent[real], known[real]
             spent = spent + np.bitwise_count((queries[q] ^ pattern[child]) & mask[child] & ~known)
             keep = spent <= max_bits
+            if shared:
+                keep &= shared[-depth][child] != own[q]
             q, node, spent, above = q[keep], child[keep], spent[keep], mask
         return q, node
 
@@ -127,12 +145,23 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def forest(fps: np.ndarray, max_bits: int, block: int = 256):
-    """Spanning forest of the links among distinct ``fps`` (sorted by Gray rank)."""
+def forest(fps: np.ndarray, max_bits: int, block: int = 256, pairs: int = 1 << 22):
+    """Spanning forest of the links among distinct ``fps`` (sorted by Gray rank).
+
+    At most ``pairs`` pairs are held at a time.  The labels known to the search
+    are renewed once the links found since are a sixteenth of the members.
+    """
     index, label = GrayIndex(fps), np.arange(len(fps))
+    known, found = label.copy(), 0
+    shared = index.shared_labels(known)
+    block = max(1, min(block, pairs // max(1, len(fps))))
     for i in range(0, len(fps), block):
-        q, m = index.links(fps[i : i + block], max_bits)
+        q, m = index.links(fps[i : i + block], max_bits, known[i : i + block], shared)
         _union(label, q + i, m)
+        found += len(m)
+        if 16 * found >= len(fps):
+            known, found = label.copy(), 0
+            shared = index.shared_labels(known)
     child = np.flatnonzero(label != np.arange(len(fps)))
     return fps[child], fps[label[child]]
 

@@ -58,8 +58,19 @@ def test_tree_equals_all_pairs():
     q, m = simhash.GrayIndex(a).links(a, 2)
     expected = {(i, j) for i in range(len(fps)) for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 2}
     assert set(zip(q.tolist(), m.tolist())) == expected
-    child, parent = simhash.forest(a, 2)
-    assert len(child) == len(fps) - len(set(brute_components(fps, 2)))
+    for bits in (0, 1, 2, 4):
+        child, parent = simhash.forest(a, bits, block=7)
+        roots = dict(zip(fps, brute_components(fps, bits)))
+        assert len(child) == len(set(child.tolist())) == len(fps) - len(set(roots.values()))
+        assert all(roots[int(x)] == roots[int(y)] for x, y in zip(child, parent))
+
+
+def test_dense_group_is_not_compared_pair_by_pair(monkeypatch):
+    fps = np.array(sorted((1 << a | 1 << b | 1 << c for a in range(30) for b in range(a) for c in range(b)), key=lambda x: x ^ x >> 1), dtype=np.uint64)
+    held, links = [], simhash.GrayIndex.links
+    monkeypatch.setattr(simhash.GrayIndex, "links", lambda *a: held.append(links(*a)) or held[-1])
+    child, _ = simhash.forest(fps, 4, block=16)
+    assert len(child) == len(fps) - 1 and sum(len(q) for q, _ in held) < 40 * len(fps)
 
 
 def test_components_equal_all_pairs(spark):
