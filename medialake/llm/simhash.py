@@ -64,15 +64,15 @@ def simhash64(text: bytes | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
+    """(id, text_hash, fp): fp is the fingerprint as a signed long."""
 
     def run(batches):
         for b in batches:
-            fps = np.array([simhash64(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
+            fps = np.array([simhash64(t, shingle) for t in b.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=[id_col, "text_hash", "fp"])
 
-    slim = docs.select(id_col, F.col(text_col).cast("binary").alias("_t"))
-    return slim.mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, fp long")
+    slim = docs.select(id_col, F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("_t"))
+    return slim.mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, text_hash long, fp long")
 
 
 # --- search in one group ----------------------------------------------------
@@ -250,29 +250,43 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _rooted(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """``nodes`` with the root of each fingerprint's component."""
+    roots = components(links(nodes.select("fp"), max_bits))
+    return nodes.join(roots, nodes.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """One row per document: id, fingerprint (hex), component_id, component_size.
 
     ``component_id`` is the smallest id reachable over links; ``component_size``
     counts the documents of the component.
     """
-    fps = materialise(fingerprints(docs, id_col, text_col, shingle))
+    fps = materialise(fingerprints(docs, id_col, text_col, shingle).select(id_col, "fp"))
     nodes = materialise(fps.groupBy("fp").agg(F.min(id_col).alias("rep"), F.count("*").alias("n")))
-    roots = components(links(nodes, max_bits))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(nodes, max_bits)
     groups = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("n").alias("component_size"))
     named = rooted.join(groups, "root").select("fp", "component_id", "component_size")
     return fps.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest id.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 4) -> DataFrame:
+    """``docs`` with exactly one row of each component, and no other text lost.
 
-    Rows without an id cannot be told apart by it and all stay.  Of rows that
-    share an id, that with the smallest hash of the text stays.  The texts are
-    shuffled once, by id; numbering them reuses that order.
+    It is that of the smallest id (none comes last), then fingerprint, then
+    hash of the text.  Rows with neither id nor text are one component of their
+    own, apart from other texts without words.  A row is known by id and hash
+    of the text, so rows that share an id stand for themselves; of rows that
+    share both, one stays.  The texts are shuffled once, by that key; numbering
+    them reuses that order.
     """
-    first = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    kept = docs.join(first, id_col, "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1")
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    fps = fingerprints(docs, id_col, text_col)
+    blank = F.col(id_col).isNull() & (F.col("text_hash") == F.xxhash64(F.lit(None).cast("string")))
+    row = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "fp", F.col("text_hash").alias("hash"))
+    nodes = materialise(fps.groupBy("fp", blank.alias("blank")).agg(F.min(row).alias("row")))
+    rooted = _rooted(materialise(nodes.select("fp").distinct()), max_bits).select("fp", "root")
+    first = nodes.join(rooted, "fp").groupBy("root", "blank").agg(F.min("row").alias("row")).select(F.struct("row.id", "row.hash").alias("_key"))
+    keyed = docs.withColumn("_key", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")))
+    order = Window.partitionBy("_key").orderBy(F.lit(0))
+    kept = keyed.join(first, "_key", "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1")
+    return kept.select(*docs.columns)

@@ -110,3 +110,17 @@ def test_cases(spark):
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 2, 6, 7, 8] and ids.count(None) == 2
     assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.keep_first(empty(spark)).count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    words = [[f"{c}{i}" for i in range(60)] for c in "abcd"]
+    a, b, c, d = map(" ".join, words)
+    near = " ".join(words[0][:-1] + ["end"])
+    assert 0 < (brute_fingerprint(a) ^ brute_fingerprint(near)).bit_count() <= 4
+    rows = [(3, a), (5, near), (5, b), (7, b), (7, b), (9, c), (9, c), (None, a), (None, near), (None, d), (None, d), (None, None), (None, None), (11, None), (11, "")]
+    for rows in (rows, rows[::-1]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        kept = sorted(map(tuple, simhash.keep_first(docs).collect()), key=str)
+        wordless = [r for r in kept if r[0] == 11]
+        assert len(wordless) == 1 and sorted(set(kept) - set(wordless), key=str) == sorted([(3, a), (5, b), (9, c), (None, d), (None, None)], key=str)
+        assert len(kept) == 6
