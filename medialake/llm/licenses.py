@@ -2,13 +2,18 @@
 
 Templates and texts are sparse TF-IDF vectors over the templates' words, with
 document frequencies counted over the whole corpus.  The units compared are
-every line of a text (headers, wherever they stand) and, for licence files,
-the whole text.  A unit carries the licence of the template with the greatest
-cosine, if that is at least ``min_cosine``.
+every line of a text, every run of consecutive lines of at most ``ROOM`` times
+the longest template's words (headers wrapped over lines, wherever they stand;
+lines without a word are passed over) and, for licence files, the whole text.
+A unit carries the licence of the template with the greatest cosine, if that is
+at least ``min_cosine``.
 
 Exact pruning: from each template the heaviest words are taken as anchors
 until the rest of its vector is shorter than ``min_cosine``; a unit without
 any anchor cannot reach that cosine, so only lines with an anchor are expanded.
+Runs are made around their first line with an anchor, and only where the words
+of all lines in reach could make up that cosine with one template: a cosine is
+at most the length of the part of a template whose words the unit holds.
 
 A file without a licence of its own inherits that of the licence file in the
 nearest directory above it: directories are expanded to their ancestors and
@@ -19,7 +24,7 @@ What travels to all tasks (word weights and templates) is bounded by the fixed
 template list.
 
 Defined cases: a null or empty text has no licence of its own and may inherit;
-a null path inherits nothing; of equal cosines the licence that sorts first
+a null path inherits nothing, but keeps a licence of its own; of equal cosines the licence that sorts first
 wins; of several licence files in a directory that with the greatest cosine,
 then the licence that sorts first; repeated rows each get a row; an empty
 table gives an empty result; other columns are ignored.
@@ -52,6 +57,8 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved."),
 ]
 _SPLIT = "[^a-z0-9]+"
+#: Words of a run, in lengths of the longest template: its first and last line hold other words too.
+ROOM = 2
 
 
 def words_of(text: str) -> list[str]:
@@ -93,6 +100,52 @@ def anchors(vectors, min_cosine: float) -> list[str]:
     return sorted(out)
 
 
+def runs(text: Column, mark: Column, vectors, min_cosine: float, most: int) -> Column:
+    """Runs of two lines or more and ``most`` words at most that may reach ``min_cosine``.
+
+    Each run is made once, from the first of its lines with an anchor.
+    """
+    terms = F.array(*(F.array(*(F.struct(F.lit(w).alias("w"), F.lit(x * x).alias("xx")) for w, x in v.items())) for _, v in vectors))
+    vocabulary = F.array(*(F.lit(w) for w in sorted({w for _, v in vectors for w in v})))
+
+    def near(lines: Column) -> Column:
+        held = F.array_intersect(words(F.array_join(lines.s, " ")), vocabulary)
+        share = lambda t: F.aggregate(t, F.lit(0.0), lambda a, e: a + F.when(F.array_contains(held, e.w), e.xx).otherwise(0.0))
+        return F.exists(terms, lambda t: share(t) >= min_cosine * min_cosine * (1 - 1e-9))
+
+    def n_words(lines: Column) -> Column:
+        return F.aggregate(lines.n, F.lit(0), lambda a, n: a + n)
+
+    def fitting(lines: Column, ends: Column) -> Column:
+        """The first of ``lines`` up to ``most`` words, and before one with an anchor if ``ends``."""
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit(True).alias("go"))
+
+        def step(a, x):
+            go = a.go & (a.n + x.n <= most) & ~(x.anchor & ends)
+            return F.struct((a.n + F.when(go, x.n).otherwise(0)).alias("n"), (a.k + go.cast("int")).alias("k"), go.alias("go"))
+
+        return F.slice(lines, 1, F.aggregate(lines, start, step, lambda a: a.k))
+
+    def window(lines: Column, i: Column) -> Column:
+        """Around line ``i``, which has an anchor: (lines before it, nearest first; itself and those after)."""
+        first = F.greatest(i - most, F.lit(1))
+        before = fitting(F.reverse(F.slice(lines, first, i - first)), F.lit(True))
+        return F.struct(before.alias("before"), fitting(F.slice(lines, i, most), F.lit(False)).alias("after"))
+
+    def parts(w: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(0), F.size(w.before)), lambda b: F.transform(F.sequence(F.lit(1), F.size(w.after)), lambda a: F.concat(F.reverse(F.slice(w.before, 1, b)), F.slice(w.after, 1, a))))
+        return F.filter(F.flatten(made), lambda x: (F.size(x) > 1) & (n_words(x) <= most) & near(x))
+
+    def windows(lines: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.get(lines, i - 1).anchor)
+        return F.filter(F.transform(at, lambda i: window(lines, i)), lambda w: (F.size(w.after) > 0) & near(F.concat(w.before, w.after)))
+
+    line = lambda x: F.struct(x.alias("s"), F.size(words(x)).alias("n"), F.regexp_like(F.lower(x), mark).alias("anchor"))
+    lines = F.filter(F.transform(F.split(text, "\n"), line), lambda x: x.n > 0)
+    found = F.transform(F.filter(F.array(lines), lambda x: F.size(x) > 1), lambda x: F.flatten(F.transform(windows(x), parts)))  # array(lines): made once
+    return F.transform(F.flatten(found), lambda x: F.array_join(x.s, " "))
+
+
 def is_license_file(path: Column) -> Column:
     return F.coalesce(F.regexp_like(F.element_at(F.split(path, "/"), -1), F.lit(r"(?i)^(licen[sc]e|copying|unlicense)(\..*)?$")), F.lit(False))
 
@@ -111,9 +164,11 @@ def own_licenses(docs: DataFrame, path_col: str, text_col: str, templates=TEMPLA
     weights = F.broadcast(spark.createDataFrame(list(idf.items()), "w string, idf double"))
     mark = F.lit(r"(^|[^a-z0-9])(" + "|".join(anchors(vectors, min_cosine)) + r")($|[^a-z0-9])")
     lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: F.regexp_like(F.lower(x), mark))
+    most = ROOM * max((len(words_of(t)) for _, t in templates), default=0)
+    wrapped = runs(F.col("_text"), mark, vectors, min_cosine, most)
     whole = F.when(is_license_file(F.col(path_col)), F.array("_text")).otherwise(F.array().cast("array<string>"))
     held = docs.select(path_col, F.coalesce(text_col, F.lit("")).alias("_text")).where(F.regexp_like(F.lower("_text"), mark))
-    units = held.select(path_col, F.xxhash64("_text").alias("_hash"), F.posexplode(F.concat(lines, whole)).alias("_unit", "_line"))
+    units = held.select(path_col, F.xxhash64("_text").alias("_hash"), F.posexplode(F.concat(lines, wrapped, whole)).alias("_unit", "_line"))
     tf = units.select(path_col, "_hash", "_unit", F.explode(words(F.col("_line"))).alias("w")).join(weights, "w").groupBy(path_col, "_hash", "_unit", "w").agg((F.count("*") * F.first("idf")).alias("y"))
     norms = tf.groupBy(path_col, "_hash", "_unit").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"), F.collect_list(F.struct("w", "y")).alias("v"))
     dots = norms.select(path_col, "_hash", "_unit", "norm", F.explode("v").alias("v")).select(path_col, "_hash", "_unit", "norm", "v.w", "v.y").join(terms, "w")
@@ -132,6 +187,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_c
     ancestors = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     dirs = slim.where("_dir is not null").select("_dir").distinct().select("_dir", F.explode(ancestors).alias("license_dir")).distinct()
     nearest = dirs.join(holders, "license_dir").groupBy("_dir").agg(F.max_by(F.struct("license_dir", "license", "cosine"), F.length("license_dir")).alias("up"))
-    joined = slim.join(own, [path_col, "_hash"], "left").join(nearest, "_dir", "left")
+    keyed = own.withColumnsRenamed({path_col: "_own_path", "_hash": "_own_hash"})
+    joined = slim.join(keyed, slim[path_col].eqNullSafe(keyed["_own_path"]) & (slim["_hash"] == keyed["_own_hash"]), "left").join(nearest, "_dir", "left")
     origin = F.when(F.col("license").isNotNull(), "own").when(F.col("up").isNotNull(), "inherited")
     return joined.select(id_col, path_col, F.coalesce("license", "up.license").alias("license"), F.coalesce("cosine", "up.cosine").alias("cosine"), origin.alias("origin"), F.when(origin == "inherited", F.col("up.license_dir")).alias("license_dir"))

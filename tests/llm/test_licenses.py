@@ -34,3 +34,30 @@ def test_cases(spark):
     docs = awkward(spark).withColumns({"path": F.concat(F.lit("p/"), "doc_id"), "license": F.lit("clash")})
     assert licenses.scan(docs).count() == 11
     assert licenses.scan(empty(spark).withColumn("path", F.lit("x"))).count() == 0
+
+
+def test_wrapped_headers(spark):
+    mit = "# Copyright (c) 2020 Someone. Permission is hereby granted, free of charge, to any\n# person obtaining a copy of this software and associated documentation files (the\n# \"Software\"), to deal in the Software without restriction, including without\n# limitation the rights to use"
+    gpl = " * This program is free software: you can redistribute it and/or modify\r\n * it under the terms of the GNU General Public License as published by\r\n *\r\n * the Free Software Foundation, either version 3 of the License, or\r\n * (at your option) any later version."
+    bsd = "// Redistribution and use in source and binary forms, with or without\n// modification, are permitted provided that the following conditions\n// are met"
+    far = "free software\n" + "other words stand here\n" * 40 + "GNU General Public License"
+    code = "\nx = call(y)\n" * 30
+    rows = [(1, "a/x.py", code + mit + code), (2, "b/y.c", code + gpl), (3, "c/z.go", bsd + code), (4, "d/w.py", far), (5, None, bsd), (6, None, "Released under the MIT License."), (7, None, "none")]
+    got = {r.doc_id: (r.license, r.origin) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("MIT", "own"), 2: ("GPL-3.0", "own"), 3: ("BSD-3-Clause", "own"), 4: (None, None), 5: ("BSD-3-Clause", "own"), 6: ("MIT", "own"), 7: (None, None)}
+
+
+def test_runs_equal_all_pairs_of_lines(spark):
+    vectors = licenses.template_vectors([("a", "p q r s"), ("b", "u v")], dict.fromkeys("pqrsuv", 1.0))
+    text = "x p\n\nq\nr s x\nx x\nu\nx u\n--\nv p q\nr\ns x x x x x x\nq r s\nx x x\np"
+    lines = [x.split() for x in text.split("\n") if x.strip("-")]
+    marks = set(licenses.anchors(vectors, 0.75))
+    want = []
+    for i in range(len(lines)):
+        for j in range(i + 2, len(lines) + 1):
+            held = set(sum(lines[i:j], []))
+            if len(sum(lines[i:j], [])) <= 8 and held & marks and any(sum(v[w] ** 2 for w in held & set(v)) >= 0.5624 for _, v in vectors):
+                want.append(" ".join(map(" ".join, lines[i:j])))
+    mark = F.lit("(^|[^a-z0-9])(" + "|".join(marks) + ")($|[^a-z0-9])")
+    got = spark.createDataFrame([(text,)], "t string").select(licenses.runs(F.col("t"), mark, vectors, 0.75, 8)).first()[0]
+    assert want and sorted(got) == sorted(want)
