@@ -1,12 +1,15 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton.
 
 Texts are lower-cased and folded first: homoglyphs become the Latin letters
-they imitate, digits and signs between letters the letters they stand for,
-marks that show nothing go.  The lexicon holds whole words and word beginnings;
+they imitate, marks that show nothing go, and in every token of letters, digits
+and signs that holds a letter the digits and signs become the letters they stand
+for (all but ``!`` at its end).  Such a token is matched in this form and in its
+plain one, cut at digits and signs; the heavier match counts.  The lexicon holds whole words and word beginnings;
 each has a weight, its log odds of standing in a toxic text (lower bound).  A text counts
 as evidence for a term only if it shows it between neighbours that no other
 text showed, so words of one much-copied text do not enter.  Exception phrases are pairs of words that
-hold a term and that clean texts use; a match inside one does not count.  The
+hold a term and that clean texts use; a match inside one does not count, in
+whichever form the token stands there.  The
 sum of weights, and that sum divided by the text's length, enter a logistic
 curve.
 
@@ -43,20 +46,45 @@ _HIDDEN = "​‌‍⁠﻿­"
 
 _TABLE = str.maketrans(HOMOGLYPHS | {c: None for c in _HIDDEN})
 _ODD = re.compile("[" + "".join(HOMOGLYPHS) + _HIDDEN + "̀-ͯ＀-￯\U0001d400-\U0001d7ff]")
-_LEET = re.compile(r"(?<=[^\W\d_])[01345789@$!]+(?=[^\W\d_])|(?<![^\W_])[01345789@$]+(?=[^\W\d_]{2})")
+#: Tokens with a digit or sign to fold; underscores are blanks by then.
+_LEET = re.compile(r"(?<![\w@$!])[^\W01345789]*+[01345789@$!][\w@$!]*")
 _WORD = re.compile(r"[^\W\d_]+")
 _LEET_TABLE = str.maketrans(SUBSTITUTES)
 
 
-def fold(text: str) -> str:
+def _normal(text: str) -> str:
     text = text.lower()
     if _ODD.search(text):
         text = unicodedata.normalize("NFKC", text).lower().translate(_TABLE)
-    return _LEET.sub(lambda m: m.group().translate(_LEET_TABLE), text)
+    return text.replace("_", " ")
+
+
+def _folded(token: re.Match) -> str:
+    core = token.group().rstrip("!")
+    return core.translate(_LEET_TABLE) + token.group()[len(core) :] if _WORD.search(core) else token.group()
+
+
+def fold(text: str) -> str:
+    return _LEET.sub(_folded, _normal(text))
+
+
+def forms_of(text: str | None) -> tuple[list[str], dict[int, tuple[int, list[str]]]]:
+    """Folded words, and position of a token's first word -> (its folded words, its plain words) where these differ."""
+    words, plain, at = [], {}, 0
+    text = _normal(text) if text else ""
+    for m in _LEET.finditer(text):
+        new = _WORD.findall(_folded(m))
+        old = _WORD.findall(m.group())
+        if new != old:
+            words += _WORD.findall(text, at, m.start())
+            plain[len(words)] = len(new), old
+            words += new
+            at = m.end()
+    return words + _WORD.findall(text, at), plain
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(fold(text)) if text else []
+    return forms_of(text)[0]
 
 
 def _terms(word: str, stems=(4, 5, 6, 7, 8)):
@@ -86,29 +114,53 @@ class Lexicon:
     def __reduce__(self):
         return Lexicon, (self.weights, self.exceptions)
 
-    def weight(self, words: list[str]) -> tuple[float, int]:
+    def _matches(self, words: list[str], owner) -> tuple[dict[int, tuple[float, str]], set[int]]:
+        """(owner -> its heaviest match and the word, owners inside an exception); ``owner`` has one number a word."""
+        place, begin = {}, 0
+        text = f" {' '.join(words)} "
+        hits = [(end - n + 1, end, w) for end, (n, w) in self.automaton.iter(text)]
+        if not hits:
+            return {}, set()
+        for i, word in enumerate(words):
+            place[begin] = i
+            begin += len(word) + 1
+        at, spared = {}, set()
+        for begin, end, w in hits:
+            i = place[begin]
+            if w is None:
+                spared |= {owner[i], owner[i + 1]}
+            elif w > at.get(owner[i], (0.0,))[0]:
+                at[owner[i]] = w, words[i]
+        return at, spared
+
+    def weight(self, words: list[str], plain: dict[int, tuple[int, list[str]]] | None = None) -> tuple[float, int]:
         """(sum of the weights of matched words, matched words).
 
-        The heaviest term of each word counts; the k-th repeat of a word adds 1/k of its weight.
+        The heaviest term of each word counts, in its folded or plain form; the k-th repeat of a word adds 1/k of its weight.
         """
         if self.empty or not words:
             return 0.0, 0
-        at, spared = {}, []
-        for end, (n, w) in self.automaton.iter(f" {' '.join(words)} "):
-            begin = end - n + 1
-            if w is None:
-                spared.append((begin, end))
-            elif w > at.get(begin, 0.0):
-                at[begin] = w
-        for a, z in spared:
-            for begin in [x for x in at if a <= x < z]:
-                del at[begin]
-        times: dict[float, int] = {}
+        owner = list(range(len(words)))
+        for i, (n, _) in (plain or {}).items():
+            owner[i : i + n] = [i] * n
+        at, spared = self._matches(words, owner)
+        if plain:
+            other, owners, last = [], [], 0
+            for i, (n, old) in plain.items():
+                other += words[last:i] + old
+                owners += owner[last:i] + [i] * len(old)
+                last = i + n
+            more, clean = self._matches(other + words[last:], owners + owner[last:])
+            spared |= clean
+            for i, m in more.items():
+                at[i] = max(at.get(i, m), m)
+        times: dict[str, int] = {}
         total = 0.0
-        for w in at.values():
-            times[w] = times.get(w, 0) + 1
-            total += w / times[w]
-        return total, len(at)
+        kept = [m for i, m in sorted(at.items()) if i not in spared]
+        for w, word in kept:
+            times[word] = times.get(word, 0) + 1
+            total += w / times[word]
+        return total, len(kept)
 
 
 class Model:
@@ -118,8 +170,8 @@ class Model:
     def features(self, texts) -> np.ndarray:
         rows = []
         for t in texts:
-            words = words_of(t)
-            total, n = self.lexicon.weight(words)
+            words, plain = forms_of(t)
+            total, n = self.lexicon.weight(words, plain)
             rows.append((1.0, math.log1p(total), math.log1p(1000 * total / (len(words) + 20)), min(n, 4) / 4))
         return np.array(rows).reshape(len(rows), 4)
 

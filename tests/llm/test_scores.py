@@ -75,6 +75,18 @@ def test_toxic_spellings():
     assert toxicity.fold("АPPLE h3ll0w 4you 1234") == "apple hellow ayou 1234"
 
 
+def test_toxic_spellings_at_both_ends():
+    for text, folded in {"5h1t $h1t": "shit shit", "1d10t": "idiot", "a55 a$$": "ass ass", "hat3 h8": "hate hb", "sh!t!! 1d1ot!": "shit!! idiot!", "55 $5 !": "55 $5 !", "x_5hit": "x shit"}.items():
+        assert toxicity.fold(text) == folded
+    lexicon = toxicity.Lexicon({"shit": 3.0, "idiot": 3.0, "ass": 2.0, "hate": 2.5, "trash": 2.0}, {("trash", "can")})
+    weight = lambda text: lexicon.weight(*toxicity.forms_of(text))
+    for text in ("5h1t", "$h1t", "1d10t", "idiot", "idiot7", "7idiot", "idiot!!", "wow!idiot", "idiot2"):
+        assert weight(f"you {text} there") == (3.0, 1), text
+    assert weight("a55") == (2.0, 1) and weight("hat3") == (2.5, 1) and weight("h3llo 4you 12 !") == (0, 0)
+    assert weight("tra5h can") == weight("trash can5") == weight("trash7 can") == (0, 0)
+    assert weight("shit idiot") == (6.0, 2) and weight("idiot 1d10t") == (4.5, 2) and weight("a55 a55 shit") == (6.0, 3)
+
+
 def test_cases(spark):
     docs = awkward(spark)
     for model, neutral in ((None, 0.5), (quality.train(["good line of words here.\nand more of it."] * 5 + ["| | | ##\n$$ %%"] * 5, [1] * 5 + [0] * 5), 0.5)):
