@@ -7,15 +7,22 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests) a temporary folder is set.
+    Only a local session (tests) may leave it unset: a temporary folder is set
+    then.  On a cluster a missing setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="medialake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -25,14 +32,29 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage, so that a lost executor never makes an earlier step run
-    again, and later readers do not repeat the work.
+    again, and later readers do not repeat the work.  ``release`` removes the
+    tables once nothing reads them any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/medialake-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, newest: int = 0) -> int:
+    """Delete the tables ``materialise`` has written, but for the ``newest``; how many went.
+
+    Call it only when every DataFrame built on them has been written or read.
+    """
+    gone = _WRITTEN[: len(_WRITTEN) - newest]
+    del _WRITTEN[: len(gone)]
+    for path in gone:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(gone)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,18 +64,40 @@ def id_fold(id_col: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds, F.lit(-1))
 
 
-def bounded_sample(rows: DataFrame, id_col: str, class_col: str, per_class: int, max_chars: int, text_col: str) -> list:
-    """At most ``per_class`` whole rows of each class, picked by a hash of the id.
+def decoded(text: bytes | None) -> str | None:
+    """Text of UTF-8 bytes; what is not UTF-8 becomes U+FFFD."""
+    return None if text is None else text.decode("utf-8", "replace")
+
+
+def join_spread(rows: DataFrame, other: DataFrame, key: str, weight: str, total: int, parts: int = 64) -> DataFrame:
+    """``rows`` joined with ``other``, which has one row a key, without a task that gets a whole hot key.
+
+    ``weight`` is the number of rows of each key.  Keys with more than one in
+    ``parts`` of the ``total`` rows, of which there are fewer than ``parts``,
+    are broadcast; the others are shuffled.
+    """
+    hot = F.broadcast(other.where(F.col(weight) * parts > total))
+    cold = other.where(F.col(weight) * parts <= total)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+def bounded_sample(docs: DataFrame, id_col: str, class_col: str, per_class: int, max_chars: int, text_col: str, labels: DataFrame | None = None, max_rows: int = 10_000) -> list:
+    """At most ``per_class`` whole rows of each class, and ``max_rows`` in all, picked by a hash of the id.
 
-    Rows longer than ``max_chars`` are passed over, so that the driver holds
-    ``classes * per_class * max_chars`` characters at most.
+    The class is a column of ``docs``, or of ``labels`` (id and class).  Slim
+    keys are ranked first; the texts of those picked are fetched by a second
+    scan.  Rows longer than ``max_chars`` are passed over, so that the driver
+    holds ``max_rows * max_chars`` characters at most.  Beyond ``max_rows``
+    every class keeps its first rows before any keeps one more.
     """
-    fits = rows.where(F.length(text_col) <= max_chars)
-    counts = {r[0]: r[1] for r in fits.groupBy(class_col).count().collect()}
-    picked = []
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1_000_003))
-    for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
-        cut = int(1_000_003 * min(1.0, 1.3 * (per_class + 20) / n)) + 1
-        part = fits.where((F.col(class_col) == F.lit(value)) & (draw < cut)).withColumn("_draw", draw)
-        picked += part.orderBy("_draw", id_col, text_col).limit(per_class).drop("_draw").collect()
-    return picked
+    keyed = docs.where(F.length(text_col) <= max_chars).withColumns({"_hash": F.xxhash64(text_col), "_draw": F.xxhash64(F.col(id_col), F.lit(17))})
+    slim = keyed.select(id_col, "_hash", "_draw", *([] if labels is not None else [class_col]))
+    if labels is not None:
+        slim = slim.join(labels.select(id_col, class_col), id_col)
+    order = Window.partitionBy(class_col).orderBy("_draw", "_hash")
+    first = slim.where(F.col(class_col).isNotNull()).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class)
+    picks = first.orderBy("_n", "_draw", "_hash", class_col).limit(max_rows).select(F.col(id_col).alias("_id"), F.col("_hash").alias("_h"), F.col(class_col).alias("_class")).distinct()
+    texts = keyed.select(F.col(id_col), F.col(text_col).cast("binary").alias("_bytes"), "_hash", "_draw")
+    found = texts.join(F.broadcast(picks), (F.col("_hash") == F.col("_h")) & F.col(id_col).eqNullSafe(F.col("_id")))
+    rows = found.dropDuplicates(["_id", "_h", "_class"]).select(F.col(id_col), F.col("_bytes").alias(text_col), F.col("_class").alias(class_col), "_draw", "_h").collect()
+    return sorted(((decoded(bytes(r[1])), r[2]) for r in sorted(rows, key=lambda r: (r["_draw"], r["_h"]))), key=lambda r: str(r[1]))

@@ -94,6 +94,66 @@ def viterbi(emit: np.ndarray, lengths, trans: np.ndarray, start: np.ndarray) ->
     return path
 
 
+def long_marginals(parts: int, emissions, trans: np.ndarray, start: np.ndarray, use) -> None:
+    """Forward-backward over one chain that is held a part at a time.
+
+    ``emissions(i)`` gives those of part ``i``, and is called twice;
+    ``use(i, marginals)`` takes the result, last part first.  The forward
+    vector is carried from part to part and kept only where a part begins.
+    """
+    a_mat, s_vec = np.exp(trans - trans.max()), np.exp(start - start.max())
+    k, alpha, entries = len(start), None, []
+
+    def scaled(i):
+        e = emissions(i)
+        return np.exp(np.maximum(e - e.max(axis=1, keepdims=True), -60.0)) if len(e) else e
+
+    def forward(e, alpha, keep):
+        for t, row in enumerate(e):
+            alpha = row * (s_vec if alpha is None else alpha @ a_mat)
+            alpha = alpha / alpha.sum()
+            if keep is not None:
+                keep[t] = alpha
+        return alpha
+
+    for i in range(parts):
+        entries.append(alpha)
+        alpha = forward(scaled(i), alpha, None)
+    beta, back = np.ones(k), a_mat.T.copy()
+    for i in reversed(range(parts)):
+        e = scaled(i)
+        gamma = np.empty((len(e), k))
+        forward(e, entries[i], gamma)
+        for t in range(len(e) - 1, -1, -1):
+            gamma[t] *= beta
+            beta = (e[t] * beta) @ back
+            beta /= beta.sum()
+        use(i, gamma / gamma.sum(axis=1, keepdims=True))
+
+
+def long_viterbi(parts: int, emissions, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Best path of one chain whose emissions come a part at a time; one byte a position and label is held."""
+    best, back = None, []
+    for i in range(parts):
+        e = emissions(i)
+        came = np.zeros((len(e), len(start)), dtype=np.int8)
+        for t, row in enumerate(e):
+            if best is None:
+                best = start + row
+            else:
+                via = best[:, None] + trans
+                came[t] = via.argmax(axis=0)
+                best = via.max(axis=0) + row
+        back.append(came)
+    came = np.concatenate(back) if back else np.zeros((0, len(start)), dtype=np.int8)
+    path = np.zeros(len(came), dtype=np.int64)
+    label = 0 if best is None else int(best.argmax())
+    for t in range(len(came) - 1, -1, -1):
+        path[t] = label
+        label = int(came[t, label])
+    return path
+
+
 class Crf:
     """Weights of binary features (rows of ``weights``), transitions and starts."""
 

@@ -10,32 +10,54 @@ words' marginals; that share is its score.
 
 Training sees a bounded sample of whole documents: at most ``per_language``
 documents of ``max_chars`` characters at most, and ``max_words`` words of
-whole documents in all.
+whole documents in all.  Words are letters (and marks after the first), by
+Unicode category.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 ties go to the language that sorts first; with no row to learn from every text
-is ``und``; repeated rows and null ids give a row each; other columns are
-ignored.
+is ``und``; bytes that are not UTF-8 count as U+FFFD; a very long text is read a
+part at a time with the forward vector carried on; repeated rows and null ids
+give a row each; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from array import array
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialake.llm.common import bounded_sample
-from medialake.llm.crf import Crf, forward_backward
+from medialake.llm.common import bounded_sample, decoded
+from medialake.llm.crf import Crf, forward_backward, long_marginals
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_ASCII = re.compile("[a-z]+")
+#: A word begins with a letter; marks, such as vowel signs, belong to it.
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNKNOWN = "und"
 
 
+def words_of(text: str) -> list[str]:
+    text = text.lower()
+    return (_ASCII if text.isascii() else _LETTERS).findall(text)
+
+
+def slices(text: str, size: int):
+    """Consecutive (from, to) of about ``size`` characters that cut no word."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + size)
+        while end < len(text) and (text[end].isalpha() or unicodedata.category(text[end])[0] == "M"):
+            end += 1
+        yield at, end
+        at = end
+
+
 def word_features(word: str) -> set[str]:
     padded = f"^{word}$"
     found = {f"={word}"}
@@ -69,7 +91,7 @@ def train(texts: list[tuple[str, str]], max_words: int = 300_000, rounds: int =
     kinds, kind_ids, parts = Counter(), {}, []
     rng = np.random.default_rng(seed)
     for text, lang in texts:
-        words = _LETTERS.findall(text.lower())
+        words = words_of(text)
         if not words or used[lang] > share:
             continue
         used[lang] += len(words)
@@ -122,29 +144,58 @@ class Labeller:
         self.emit[at : at + len(new)] = self.model.emission(new)
         self.ids.update(zip(new, range(at, at + len(new))))
 
-    def marginals(self, texts: list[str]):
-        """(marginals of all words, letters of each word, words of each text)."""
+    def _kinds(self, words: list[str]) -> np.ndarray:
+        get = self.ids.get
+        ids = [get(w) for w in words]
+        if None in ids:
+            self._learn([w for w, i in zip(words, ids) if i is None])
+            ids = [get(w) for w in words]
+        return np.array(ids, dtype=np.int64)
+
+    def _make_room(self) -> None:
         if len(self.ids) > self.memory:
             self._reset()
+
+    def long_mass(self, text: str, part: int) -> np.ndarray:
+        """Letters of each language, and those told with certainty, in a text of which ``part`` characters are held at a time."""
+        places = list(slices(text, part))
+        mass = np.zeros(len(self.model.languages) + 1)
+
+        def emissions(i):
+            self._make_room()
+            return self.emit[self._kinds(words_of(text[slice(*places[i])]))]
+
+        def use(i, gamma):
+            words = words_of(text[slice(*places[i])])
+            if words:
+                letters = np.array([len(w) for w in words])
+                mass[:-1] += letters @ gamma
+                mass[-1] += letters @ gamma.max(axis=1)
+
+        long_marginals(len(places), emissions, self.model.crf.trans, self.model.crf.start, use)
+        return mass
+
+    def marginals(self, texts: list[str]):
+        """(marginals of all words, letters of each word, words of each text)."""
+        self._make_room()
         kinds, letters, lengths = [], [], []
         for text in texts:
-            words = _LETTERS.findall(text.lower())
-            get = self.ids.get
-            ids = [get(w) for w in words]
-            if None in ids:
-                self._learn([w for w, i in zip(words, ids) if i is None])
-                ids = [get(w) for w in words]
-            kinds.append(np.array(ids, dtype=np.int64))
+            words = words_of(text)
+            kinds.append(self._kinds(words))
             letters.append(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
             lengths.append(len(words))
         kind = np.concatenate(kinds) if kinds else np.zeros(0, dtype=np.int64)
         m = forward_backward(self.emit[kind], np.array(lengths, dtype=np.int64), self.model.crf.trans, self.model.crf.start)
         return m, np.concatenate(letters) if letters else kind, np.array(lengths, dtype=np.int64)
 
-    def languages(self, texts: list[str | None]):
-        """[(language, score)] of each text."""
-        out = [(UNKNOWN, 0.0)] * len(texts)
-        live = [i for i, t in enumerate(texts) if t]
+    def judge(self, texts: list[str | None], long: int = 3_000_000):
+        """[(language, its share of the letters, mean best marginal)] of each text; those of over ``long`` characters are read a part at a time."""
+        out = [(UNKNOWN, 0.0, 0.0)] * len(texts)
+        for i, t in enumerate(texts):
+            if t and len(t) > long and (mass := self.long_mass(t, max(1, long // 3)))[:-1].sum():
+                best, total = int(mass[:-1].argmax()), mass[:-1].sum()
+                out[i] = self.model.languages[best], float(min(1.0, mass[best] / total)), float(mass[-1] / total)
+        live = [i for i, t in enumerate(texts) if t and len(t) <= long]
         for lo, hi in _runs([len(texts[i]) for i in live], 3_000_000):
             part = live[lo:hi]
             m, letters, lengths = self.marginals([texts[i] for i in part])
@@ -153,12 +204,18 @@ class Labeller:
                 continue
             starts = (np.cumsum(lengths) - lengths)[full]
             mass = np.add.reduceat(m * letters[:, None], starts, axis=0)
-            share = mass / mass.sum(axis=1, keepdims=True)
+            total = mass.sum(axis=1)
+            sure = np.add.reduceat(m.max(axis=1) * letters, starts) / total
+            share = mass / total[:, None]
             best = share.argmax(axis=1)
-            for j, b, s in zip(full, best, share[np.arange(len(full)), best]):
-                out[part[j]] = (self.model.languages[b], float(min(1.0, s)))
+            for j, b, s, c in zip(full, best, share[np.arange(len(full)), best], sure):
+                out[part[j]] = self.model.languages[b], float(min(1.0, s)), float(c)
         return out
 
+    def languages(self, texts: list[str | None], **kw):
+        """[(language, score)] of each text."""
+        return [(x, s) for x, s, _ in self.judge(texts, **kw)]
+
 
 def _runs(sizes: list[int], limit: int):
     """Consecutive (from, to) whose sizes sum to about ``limit`` at most."""
@@ -175,8 +232,7 @@ def _runs(sizes: list[int], limit: int):
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 200, max_chars: int = 20_000, max_words: int = 300_000) -> Model | None:
     """Train on a bounded sample of the rows of ``labelled`` that have a text and a language."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(id_col, text_col, lang_col)
-    sample = bounded_sample(rows, id_col, lang_col, per_language, max_chars, text_col)
-    return train([(r[text_col], r[lang_col]) for r in sample], max_words)
+    return train(bounded_sample(rows, id_col, lang_col, per_language, max_chars, text_col), max_words)
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -187,26 +243,35 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str], text_col: st
     def run(batches):
         labeller = Labeller(shared.value) if shared.value else None
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
+            texts = [decoded(t) for t in b.column(b.num_columns - 1).to_pylist()]
             found = labeller.languages(texts) if labeller else [(UNKNOWN, 0.0)] * len(texts)
             cols = [b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*names, "lang_pred", "score"])
 
-    slim = docs.select(*names, F.col(text_col).alias("_scored_text"))
+    slim = docs.select(*names, F.col(text_col).cast("binary").alias("_scored_text"))
     schema = slim.drop("_scored_text").schema.add("lang_pred", "string").add("score", "double")
     return slim.mapInArrow(run, schema)
 
 
 def keep_clear(docs: DataFrame, model: Model | None, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose language is ``und`` or holds less than ``min_score`` of the letters."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    """``docs`` without the rows that are ``und`` or whose words are unclear.
+
+    A text that switches between languages is clear if its words are: the mean
+    of each word's best marginal, by letters, is ``min_score`` at least.
+    Without a model all are ``und``, so none stays.
+    """
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
         labeller = Labeller(shared.value) if shared.value else None
         for b in batches:
-            found = labeller.languages(b.column(at).to_pylist()) if labeller else []
-            yield b.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in found], pa.bool_())) if labeller else b
+            found = labeller.judge([decoded(t) for t in b.column(at).to_pylist()]) if labeller else [(UNKNOWN, 0.0, 0.0)] * len(b)
+            yield b.filter(pa.array([x != UNKNOWN and sure >= min_score for x, _, sure in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # texts travel as bytes, as Arrow takes no string that is not UTF-8
+    def carried(f):
+        return docs[f.name].cast("binary").alias(f.name) if f.dataType.typeName() == "string" else docs[f.name]
 
+    packed = docs.select(*map(carried, docs.schema.fields))
+    kept = packed.mapInArrow(run, packed.schema)
+    return kept.select(*(kept[f.name].cast(f.dataType).alias(f.name) for f in docs.schema.fields))

@@ -9,8 +9,10 @@ Training sees at most ``per_class`` whole documents of each label, none longer
 than ``max_chars``.
 
 Defined cases: a text that is null or has no visible character scores 0; with
-no labelled row of both classes every other text scores 0.5; null ids and
-repeated rows give a row each; other columns are ignored.
+no labelled row of both classes every other text scores 0.5; bytes that are not
+UTF-8 count as U+FFFD; a text of very many lines is scored a part at a time
+with the forward vector carried on; null ids and repeated rows give a row each;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,8 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from medialake.llm.common import bounded_sample
-from medialake.llm.crf import forward_backward
+from medialake.llm.common import bounded_sample, decoded
 from medialake.llm.langid import _runs
 from medialake.llm.lines import Lines, fit_lines
 
@@ -46,8 +47,7 @@ def good_share(crf, texts: list[str | None]) -> np.ndarray:
     out = np.full(len(texts), np.nan)
     for lo, hi in _runs([len(t or "") for t in texts], 2_000_000):
         lines = Lines(texts[lo:hi])
-        gamma = forward_backward(lines.emissions(crf), lines.per_text, crf.trans, crf.start)
-        out[lo:hi] = lines.share(gamma[:, 1])
+        out[lo:hi] = lines.share(lines.marginals(crf))
     return out
 
 
@@ -74,11 +74,18 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
     return Model(crf, logistic(_curve(good_share(crf, texts)), y))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 400, max_chars: int = 30_000) -> Model | None:
-    """Train on a bounded sample of ``labelled`` (id, text, label 0/1)."""
-    rows = labelled.where(f"`{label_col}` in (0, 1) and trim(coalesce(`{text_col}`, '')) != ''").select(id_col, text_col, label_col)
-    sample = bounded_sample(rows, id_col, label_col, per_class, max_chars, text_col)
-    return train([r[text_col] for r in sample], [int(r[label_col]) for r in sample])
+def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 400, max_chars: int = 30_000) -> Model | None:
+    """Train on a bounded sample of ``docs`` (id, text); the label 0/1 is a column of it, or of ``labels`` (id, label)."""
+    sample = labelled_sample(docs, labels, id_col, text_col, label_col, per_class, max_chars)
+    return train([t for t, _ in sample], [y for _, y in sample])
+
+
+def labelled_sample(docs, labels, id_col, text_col, label_col, per_class, max_chars) -> list[tuple[str, int]]:
+    """Whole texts of rows labelled 0 or 1 that have a visible character."""
+    known = f"`{label_col}` in (0, 1)"
+    rows = docs.where(f"trim(coalesce(`{text_col}`, '')) != ''")
+    rows, labels = (rows.where(known), None) if labels is None else (rows, labels.where(known))
+    return [(t, int(y)) for t, y in bounded_sample(rows, id_col, label_col, per_class, max_chars, text_col, labels)]
 
 
 def score(docs: DataFrame, model, keep: list[str], text_col: str = "text", threshold: float = 0.7, neutral: float = 0.5) -> DataFrame:
@@ -92,10 +99,10 @@ def score(docs: DataFrame, model, keep: list[str], text_col: str = "text", thres
     def run(batches):
         m = shared.value
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
+            texts = [decoded(t) for t in b.column(b.num_columns - 1).to_pylist()]
             s = m.score(texts) if m else np.array([neutral if t and t.strip() else 0.0 for t in texts])
             cols = [b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    slim = docs.select(*names, docs[text_col].alias("_scored_text"))
+    slim = docs.select(*names, docs[text_col].cast("binary").alias("_scored_text"))
     return slim.mapInArrow(run, slim.drop("_scored_text").schema.add("score", "double").add("predicted", "integer"))

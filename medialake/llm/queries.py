@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from medialake.llm import decontaminate, langid, licenses, lm, mixing, quality, rules, sharding, simhash, toxicity
-from medialake.llm.common import id_fold, table
+from medialake.llm import decontaminate, langid, licenses, lm, mixing, quality, rules, sharding, simhash, topics, toxicity
+from medialake.llm.common import id_fold, materialise, table
 
 
 def op4_decontaminate(spark, sf_dir):
@@ -16,10 +16,10 @@ def op9_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def _labelled(spark, sf_dir, label, folds, held):
-    """Documents to learn from with their label: none of the held-out fold."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", label)
-    return table(spark, sf_dir, "documents").where(id_fold("doc_id", folds) != held).select("doc_id", "text").join(labels, "doc_id")
+def _learnt(spark, sf_dir, label, folds, held):
+    """Documents to learn from, none of the held-out fold, and the labels."""
+    docs = table(spark, sf_dir, "documents").where(id_fold("doc_id", folds) != held)
+    return docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", label)
 
 
 def op1_lm(spark, sf_dir):
@@ -27,7 +27,7 @@ def op1_lm(spark, sf_dir):
 
 
 def op2_quality(spark, sf_dir):
-    model = quality.fit(_labelled(spark, sf_dir, "quality", 4, 2))
+    model = quality.fit(*_learnt(spark, sf_dir, "quality", 4, 2))
     docs = table(spark, sf_dir, "documents").withColumn("held_out", id_fold("doc_id", 4) == 2)
     return quality.score(docs, model, ["doc_id", "held_out"])
 
@@ -39,8 +39,9 @@ def op3_sharding(spark, sf_dir):
 
 def op5_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    placed = mixing.calibrated(docs, mixing.plan(docs))
-    return placed.select("doc_id", F.col("_d0").alias("source"), F.col("_d1").alias("lang"), F.col("_d2").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_p").alias("probability"), F.col("_kept").alias("kept"))
+    placed = materialise(mixing.described(docs, topics.fit(docs), keep=["doc_id"]))
+    found = mixing.calibrated(placed, mixing.plan(placed))
+    return found.select("row.doc_id", F.col("d0").alias("source"), F.col("d1").alias("lang"), F.col("d2").alias("topic"), F.col("tokens").alias("n_tokens"), F.col("p").alias("probability"), "kept")
 
 
 def op6_langid(spark, sf_dir):
@@ -67,13 +68,13 @@ def _values(rows):
 
 
 def op8_toxicity(spark, sf_dir):
-    model = toxicity.fit(_labelled(spark, sf_dir, "toxic", 3, 1))
+    model = toxicity.fit(*_learnt(spark, sf_dir, "toxic", 3, 1))
     docs = table(spark, sf_dir, "documents").withColumn("held_out", id_fold("doc_id", 3) == 1)
     return quality.score(docs, model, ["doc_id", "held_out"], neutral=0.0)
 
 
 def op10_rules(spark, sf_dir):
-    return rules.judge(table(spark, sf_dir, "documents"), rules.fit(_labelled(spark, sf_dir, "quality", 4, 2)))
+    return rules.judge(table(spark, sf_dir, "documents"), rules.fit(*_learnt(spark, sf_dir, "quality", 4, 2)))
 
 
 QUERIES = {

@@ -13,8 +13,9 @@ five-word windows that occur twice or more, first occurrence included).
 ``base_failed``: fewer than 10 words, or more than 20 % repeated words.
 
 Defined cases: a null or empty text has no words and fails; with no labelled
-rows every line is content; null ids and repeated rows give a row each; other
-columns are ignored.
+rows every line is content; bytes that are not UTF-8 count as U+FFFD; a text of
+very many lines is decoded a part at a time; null ids and repeated rows give a
+row each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialake.llm.common import bounded_sample
-from medialake.llm.crf import viterbi
+from medialake.llm.common import decoded
 from medialake.llm.langid import _runs
 from medialake.llm.lines import Lines, fit_lines
+from medialake.llm.quality import labelled_sample
 
 _SYMBOLS = b"#*$%&|<>"
 _INNER_SPACE = b" \t\x0b\x0c\r"
@@ -80,17 +81,16 @@ def content_share(crf, texts: list[str | None]) -> np.ndarray:
     out = np.full(len(texts), np.nan)
     for lo, hi in _runs([len(t or "") for t in texts], 2_000_000):
         lines = Lines(texts[lo:hi])
-        path = viterbi(lines.emissions(crf), lines.per_text, crf.trans, crf.start) if crf else np.ones(len(lines.chars))
+        path = lines.best_path(crf) if crf else np.ones(len(lines))
         out[lo:hi] = lines.share(path.astype(float))
     return out
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 400, max_chars: int = 30_000):
+def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 400, max_chars: int = 30_000):
     """Line field from at most ``per_class`` whole labelled texts of each class; None if a class is missing."""
-    rows = labelled.where(f"`{label_col}` in (0, 1) and trim(coalesce(`{text_col}`, '')) != ''").select(id_col, text_col, label_col)
-    sample = bounded_sample(rows, id_col, label_col, per_class, max_chars, text_col)
-    labels = [int(r[label_col]) for r in sample]
-    return fit_lines([r[text_col] for r in sample], labels) if {0, 1} <= set(labels) else None
+    sample = labelled_sample(docs, labels, id_col, text_col, label_col, per_class, max_chars)
+    found = [y for _, y in sample]
+    return fit_lines([t for t, _ in sample], found) if {0, 1} <= set(found) else None
 
 
 def judge(docs: DataFrame, crf, id_col: str = "doc_id", text_col: str = "text", min_share: float = 0.5) -> DataFrame:
@@ -101,7 +101,7 @@ def judge(docs: DataFrame, crf, id_col: str = "doc_id", text_col: str = "text",
     def run(batches):
         for b in batches:
             counts = [base_counts(t) for t in b.column(1).to_pylist()]
-            share = content_share(shared.value, b.column(1).cast(pa.string()).to_pylist())
+            share = content_share(shared.value, [decoded(t) for t in b.column(1).to_pylist()])
             failed = np.array([base_fails(c[0], c[4]) for c in counts], dtype=bool)
             kept = ~failed & (np.nan_to_num(share) >= min_share)
             cols = [pa.array([c[i] for c in counts], pa.int64()) for i in range(5)]

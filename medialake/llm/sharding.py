@@ -1,25 +1,29 @@
 """Shards of near equal size by sampled splitters (DataFrame functions only).
 
-Records are ordered by (hash of the text, hash of the id), so copies of a text
-lie side by side and a group of copies can still be cut anywhere.
-1. One pass writes the slim keys with each record's size.
+Records are ordered by (hash of the text, hash of id and row number), so copies
+of a text lie side by side and a group of copies, equal rows included, can
+still be cut anywhere.
+1. One pass writes the records with these keys and each record's size; the row
+   numbers are part of what is written, so every later read sees the same ones.
 2. A size-weighted sample of the keys gives quantile splitters for many ranges.
 3. Exact bytes and rows are summed by range; ranges that hold more than twice
-   their share are sampled again and subdivided.
+   their share are sampled again and subdivided, until none is left.
 4. The few ranges in which a shard must end are read in order, which gives the
    exact key at which it ends; these keys become splitters too.
 5. Each range now lies in one shard, and its first slot is known, so one window
    per range numbers the records.
 No step needs all rows of a shard in one task.  A range holds about
-``range_bytes``; splitters and range sums are bounded by ``max_ranges``.
+``range_bytes``, or a 65,536th (``max_ranges``) of all bytes where that is more
+(1.5 GB at 100 TB, of which only keys are sorted before the last step);
+splitters and range sums on the driver are bounded by ``max_ranges``.
 
 Law: ``bytes``.  A shard differs from the mean by about one record.
 
-Defined cases: a null text has size 1 and the checksum of an empty one; a null
-id sorts by the hash of nothing; rows that repeat id and text sort together and
-stay in one shard, with slots in arbitrary order among themselves; with fewer
-records than shards some shards are empty; an empty table gives an empty
-result; other columns are kept, those named like the new ones give way.
+Defined cases: a null text has size 1 and the checksum of an empty one; rows
+that repeat id and text, or have no id, are told apart by their row number and
+spread like others, in arbitrary order; with fewer records than shards some
+shards are empty; an empty table gives an empty result; other columns are kept
+whatever their names, but those named like the new ones give way.
 """
 
 from __future__ import annotations
@@ -43,34 +47,51 @@ def _hash60(c: Column) -> Column:
     return F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("long")
 
 
-def _text(c: str) -> Column:
-    return F.coalesce(F.col(c), F.lit(""))
-
-
 def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumns({"_h": _hash60(_text(text_col).cast("binary")), "_t": F.coalesce(_hash60(F.col(id_col).cast("string").cast("binary")), F.lit(-1)), "size": F.octet_length(_text(text_col)).cast("long") + 1, "text_crc32": F.crc32(_text(text_col).cast("binary"))})
+    """row (all columns), _h, _t, size, text_crc32; to be written before use, as ``_t`` holds a row number."""
+    text = F.coalesce(docs[text_col], F.lit("")).cast("binary")
+    own = F.concat_ws("\x00", F.monotonically_increasing_id().cast("string"), docs[id_col].cast("string"))
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), _hash60(text).alias("_h"), _hash60(own.cast("binary")).alias("_t"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
 
 
 def _uniform() -> Column:
     return F.pmod(F.xxhash64("_h", "_t", F.lit(99)), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def _range_table(spark: SparkSession, cuts: list[Key], extra: list[tuple] | None = None, names: str = "") -> DataFrame:
-    """Rows (cell, bounds, range, ...) of ranges [cut, next cut); the first starts below all keys."""
+def _range_tables(spark: SparkSession, cuts: list[Key], only=None, extra: list[tuple] | None = None, names: str = "") -> tuple[DataFrame, DataFrame]:
+    """(wide, deep): rows of ranges [cut, next cut), or of those in ``only``; the first starts below all keys.
+
+    A range within one text hash is deep and found by that hash and a cell of
+    the second part; the others are wide and found by a cell of the first, so
+    the many ranges of a hot text meet only its own records.
+    """
     bounds = [_LEAST, *cuts, _MOST]
-    rows = []
+    wide, deep = [], []
     for r, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
-        for cell in range(max(0, lo[0] >> _CELL_BITS), min(4095, hi[0] >> _CELL_BITS) + 1):
-            rows.append((cell, *lo, *hi, r, *(extra[r] if extra else ())))
-    return spark.createDataFrame(rows, f"_cell long, _lo_h long, _lo_t long, _hi_h long, _hi_t long, _range int{names}")
-
-
-def _in_ranges(keyed: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``keyed`` with the columns of its range; the range table's size is bounded by ``max_ranges``."""
-    at = F.shiftrightunsigned("_h", _CELL_BITS)
-    above = (F.col("_h") > F.col("_lo_h")) | ((F.col("_h") == F.col("_lo_h")) & (F.col("_t") >= F.col("_lo_t")))
-    below = (F.col("_h") < F.col("_hi_h")) | ((F.col("_h") == F.col("_hi_h")) & (F.col("_t") < F.col("_hi_t")))
-    return keyed.join(F.broadcast(ranges), (at == F.col("_cell")) & above & below).drop("_cell", "_lo_h", "_lo_t", "_hi_h", "_hi_t")
+        if only is not None and r not in only:
+            continue
+        more = (r, *(extra[r] if extra else ()))
+        if lo[0] == hi[0]:
+            deep += [(lo[0], cell, lo[1], hi[1], *more) for cell in range(max(0, lo[1] >> _CELL_BITS), min(4095, hi[1] >> _CELL_BITS) + 1)]
+        else:
+            wide += [(cell, *lo, *hi, *more) for cell in range(max(0, lo[0] >> _CELL_BITS), min(4095, hi[0] >> _CELL_BITS) + 1)]
+    of = lambda rows, columns: spark.createDataFrame(rows, f"{columns}, _range int{names}")
+    return of(wide, "_cell long, _lo_h long, _lo_t long, _hi_h long, _hi_t long"), of(deep, "_at long, _deep_cell long, _from long, _to long")
+
+
+def _in_ranges(keyed: DataFrame, ranges: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``keyed`` with the columns of its range; both range tables are bounded by ``max_ranges``."""
+    wide, deep = ranges
+    own = [c for c in wide.columns if c not in ("_cell", "_lo_h", "_lo_t", "_hi_h", "_hi_t")]
+    h, t = F.col("_h"), F.col("_t")
+    inner = deep.select("_at", "_deep_cell", "_from", "_to", F.struct(*own).alias("_inner"))
+    outer = wide.select("_cell", "_lo_h", "_lo_t", "_hi_h", "_hi_t", F.struct(*own).alias("_outer"))
+    first = keyed.join(F.broadcast(inner), (h == F.col("_at")) & (F.shiftrightunsigned("_t", _CELL_BITS) == F.col("_deep_cell")) & (t >= F.col("_from")) & (t < F.col("_to")), "left")
+    above = (h > F.col("_lo_h")) | ((h == F.col("_lo_h")) & (t >= F.col("_lo_t")))
+    below = (h < F.col("_hi_h")) | ((h == F.col("_hi_h")) & (t < F.col("_hi_t")))
+    both = first.join(F.broadcast(outer), (F.shiftrightunsigned("_h", _CELL_BITS) == F.col("_cell")) & above & below, "left")
+    found = F.coalesce("_inner", "_outer")
+    return both.where(found.isNotNull()).select(*keyed.columns, *(found[c].alias(c) for c in own))
 
 
 def _quantiles(sample: list[Key], pieces: int) -> list[Key]:
@@ -80,29 +101,28 @@ def _quantiles(sample: list[Key], pieces: int) -> list[Key]:
 
 def _stats(keys: DataFrame, cuts: list[Key]) -> list[tuple[int, int]]:
     """(rows, bytes) of each range."""
-    found = {r[0]: (r[1], r[2]) for r in _in_ranges(keys, _range_table(keys.sparkSession, cuts)).groupBy("_range").agg(F.count("*"), F.sum("size")).collect()}
+    found = {r[0]: (r[1], r[2]) for r in _in_ranges(keys, _range_tables(keys.sparkSession, cuts)).groupBy("_range").agg(F.count("*"), F.sum("size")).collect()}
     return [found.get(i, (0, 0)) for i in range(len(cuts) + 1)]
 
 
-def splitters(keys: DataFrame, total: int, pieces: int, oversample: int = 32, rounds: int = 4) -> list[Key]:
-    """Cut keys for about ``pieces`` ranges of equal bytes."""
+def splitters(keys: DataFrame, total: int, pieces: int, oversample: int = 32) -> list[Key]:
+    """Cut keys for about ``pieces`` ranges of equal bytes, none with two records or more and over twice that."""
     rate = oversample * pieces / total
     cuts = sorted(set(_quantiles([tuple(r) for r in keys.where(_uniform() < F.col("size") * rate).select("_h", "_t").collect()], pieces)))
-    for _ in range(rounds):
+    while True:
         stats = _stats(keys, cuts)
         over = {r: -(-b * pieces // total) for r, (n, b) in enumerate(stats) if n > 1 and b * pieces > 2 * total}
         if not over:
-            break
-        ranges = _range_table(keys.sparkSession, cuts)
-        inside = _in_ranges(keys, ranges.where(F.col("_range").isin(list(over))))
+            return cuts
+        inside = _in_ranges(keys, _range_tables(keys.sparkSession, cuts, over))
+        rate *= 4  # a cut is missed only where no record was drawn; at last all are
         sample: dict[int, list[Key]] = {}
-        for h, t, r in inside.where(_uniform() < F.col("size") * rate * 4).select("_h", "_t", "_range").collect():
+        for h, t, r in inside.where(_uniform() < F.col("size") * rate).select("_h", "_t", "_range").collect():
             sample.setdefault(r, []).append((h, t))
         more = sorted(set(cuts).union(*(_quantiles(s, over[r]) for r, s in sample.items())))
-        if more == cuts:
-            break
+        if more == cuts and rate >= 1:
+            return cuts  # what is left are single records as large as a range, beside small ones
         cuts = more
-    return cuts
 
 
 def _shard_ends(keys: DataFrame, cuts: list[Key], total: int, shards: int) -> list[Key | None]:
@@ -116,13 +136,13 @@ def _shard_ends(keys: DataFrame, cuts: list[Key], total: int, shards: int) -> li
         goal = total * k // shards
         wanted.setdefault(min(len(stats) - 1, bisect.bisect_right(before, goal) - 1), []).append((k, goal))
     spark = keys.sparkSession
-    ranges = _range_table(spark, cuts)
+    ranges = _range_tables(spark, cuts, wanted)
     goals = spark.createDataFrame([(r, k, goal - before[r]) for r, x in wanted.items() for k, goal in x], "_range int, k int, goal long")
-    inside = _in_ranges(keys, ranges.where(F.col("_range").isin(list(wanted))))
+    inside = _in_ranges(keys, ranges)
     order = Window.partitionBy("_range").orderBy("_h", "_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = inside.withColumn("_to", F.sum("size").over(order))
+    placed = inside.withColumn("_sum", F.sum("size").over(order))
     # a record starts the shard if the larger part of it lies beyond the goal
-    found = placed.join(F.broadcast(goals), "_range").where("2 * _to - size >= 2 * goal").groupBy("k").agg(F.min(F.struct("_h", "_t")).alias("x"))
+    found = placed.join(F.broadcast(goals), "_range").where("2 * _sum - size >= 2 * goal").groupBy("k").agg(F.min(F.struct("_h", "_t")).alias("x"))
     ends: list[Key | None] = [None] * (shards - 1)
     for k, x in found.collect():
         ends[k - 1] = tuple(x)
@@ -137,8 +157,8 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     """``docs`` with size, text_crc32, law, shard (0 to shards - 1) and slot (gapless from 0 in each shard)."""
     spark = docs.sparkSession
     plain = docs.drop("size", "text_crc32", "law", "shard", "slot")
-    keyed = with_keys(plain, id_col, text_col)
-    keys = materialise(keyed.select("_h", "_t", "size"))
+    keyed = materialise(with_keys(plain, id_col, text_col))
+    keys = keyed.select("_h", "_t", "size")
     total = keys.agg(F.sum("size")).first()[0] or 0
     cuts: list[Key] = []
     ends: list[Key | None] = [None] * (shards - 1)
@@ -153,7 +173,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
         seen, last = (seen if number == last else 0), number
         extra.append((number, seen))
         seen += rows
-    ranges = _range_table(spark, cuts, extra, ", shard int, _first long")
+    ranges = _range_tables(spark, cuts, None, extra, ", shard int, _first long")
     within = Window.partitionBy("_range").orderBy("_h", "_t")
     placed = _in_ranges(keyed, ranges).withColumn("slot", F.col("_first") + F.row_number().over(within) - 1)
-    return placed.select(*plain.columns, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot")
+    return placed.select("row.*", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot")

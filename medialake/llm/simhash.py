@@ -7,17 +7,22 @@ Plan
 1. One pass over the texts gives (id, fingerprint); it is written once.
 2. Equal fingerprints collapse to one node before anything else, so a group of
    copies, however large, costs one node.
-3. The 64 bits are cut into ``n`` blocks.  Two fingerprints within ``max_bits``
-   bits agree on at least ``n - max_bits`` whole blocks, so each node is dealt
-   to one row for every choice of that many blocks; no pair can be missed.
-4. Each key's nodes are sorted by Gray rank.  Groups of a few nodes are compared
-   directly.  Larger ones get a tree: consecutive nodes share the bits on which
-   all of them agree (mask and pattern), upper nodes hold what their children
-   share, and a search carries the differences counted so far downwards and
-   drops whole subtrees once these pass ``max_bits``.  Subtrees that are known
-   to be connected with the query are skipped, so that a large group of close
-   fingerprints is not compared pair by pair, and only a spanning forest of the
-   links leaves the group.
+3. Nodes are sorted by Gray rank and cut into ranges.  Each range is a tree:
+   consecutive nodes share the bits on which all of them agree (mask and
+   pattern), and upper nodes hold what their children share.  This is done in
+   two Gray orders, the second with the bits turned by 32: of at most four
+   differing bits at most two lie in one of the halves, so in the order which
+   that half leads a search may give up after two differences in the first 32
+   bits.  No pair can be missed, and far fewer nodes survive.
+4. A range searches itself first.  The upper nodes of all ranges (four numbers
+   each) are the routing layer: two ranges meet in a task only if their shared
+   bits do not rule out every link.  Both trees are then descended together;
+   differences counted above are carried downwards, and a pair of groups goes
+   as a whole once these pass the bound.  Groups known to be connected with
+   each other are skipped, so a large group of close fingerprints is not
+   compared pair by pair, and only a spanning forest leaves a task.
+   A task holds two ranges of at most 2^22 fingerprints.  A range of 2^r goes to
+   about 1 + r + r(r-1)/2 others in each order, which is what the shuffle grows by.
 5. Components by alternating large-star and small-star rounds, each written
    to the shared folder.
 
@@ -30,18 +35,17 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from medialake.llm.common import materialise
+from medialake.llm.common import join_spread, materialise
 
-LEAF = 16
+FANOUT = 16
 
 
 # --- fingerprints -----------------------------------------------------------
@@ -75,59 +79,57 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, text_hash long, fp long")
 
 
-# --- search in one group ----------------------------------------------------
-class GrayIndex:
-    """Tree over fingerprints in Gray order; upper nodes hold shared bit patterns."""
-
-    def __init__(self, fps: np.ndarray, fanout: int = LEAF):
-        self.fps, self.fanout = fps, fanout
-        self.levels = []  # from the leaves up: (mask, pattern, mask not yet counted above)
-        full = np.full(len(fps), ~np.uint64(0))
-        mask, pattern = full, fps
-        while len(mask) > fanout or not self.levels:
-            starts = np.arange(0, len(mask), fanout)
-            first = np.repeat(pattern[starts], np.diff(np.append(starts, len(mask))))
-            agree = mask & ~(pattern ^ first)
-            mask = np.bitwise_and.reduceat(agree, starts)
-            pattern = pattern[starts] & mask
-            self.levels.append((mask, pattern))
-
-    def shared_labels(self, label: np.ndarray) -> list[np.ndarray]:
-        """For the members and then each level: the label that all members below carry, or -1."""
+# --- search -----------------------------------------------------------------
+def gray_rank(x: np.ndarray) -> np.ndarray:
+    """Place of each 64-bit word in Gray order."""
+    x = x.copy()
+    for s in (1, 2, 4, 8, 16, 32):
+        x ^= x >> np.uint64(s)
+    return x
+
+
+def turned(x: np.ndarray, bits: int) -> np.ndarray:
+    """64-bit words turned left by ``bits``."""
+    bits %= 64
+    return x if not bits else (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+class GrayTree:
+    """Distinct fingerprints in Gray order below nodes that hold what all of theirs share.
+
+    Level 0 are the fingerprints; each node of a higher level stands for
+    ``FANOUT`` neighbours of the level below and keeps the bits on which all of
+    them agree (mask) and their values (pattern).  Levels are padded with
+    copies of their last node; ``sizes`` are the real ones.
+    """
+
+    def __init__(self, fps: np.ndarray, height: int = 0):
+        self.fps, self.sizes, self.masks, self.patterns = fps, [], [], []
+        mask, pattern = np.full(len(fps), ~np.uint64(0)), fps
+        while True:
+            self.sizes.append(len(mask))
+            pad = -len(mask) % FANOUT
+            self.masks.append(np.pad(mask, (0, pad), mode="edge").reshape(-1, FANOUT))
+            self.patterns.append(np.pad(pattern, (0, pad), mode="edge").reshape(-1, FANOUT))
+            if self.sizes[-1] <= FANOUT and len(self.sizes) > height:
+                break
+            below, value = self.masks[-1], self.patterns[-1]
+            mask = np.bitwise_and.reduce(below & ~(value ^ value[:, :1]), axis=1)
+            pattern = value[:, 0] & mask
+
+    @property
+    def height(self) -> int:
+        return len(self.sizes) - 1
+
+    def shared(self, label: np.ndarray) -> list[np.ndarray]:
+        """Of each level's nodes: the label that all fingerprints below carry, or -1."""
         out = [label]
-        for _ in self.levels:
-            starts = np.arange(0, len(out[-1]), self.fanout)
-            low, high = np.minimum.reduceat(out[-1], starts), np.maximum.reduceat(out[-1], starts)
-            out.append(np.where(low == high, low, -1))
+        for n in self.sizes[1:]:
+            x = np.pad(out[-1], (0, -len(out[-1]) % FANOUT), mode="edge").reshape(-1, FANOUT)
+            low, high = x.min(axis=1), x.max(axis=1)
+            out.append(np.where(low == high, low, -1)[:n])
         return out
 
-    def links(self, queries: np.ndarray, max_bits: int, own: np.ndarray | None = None, shared: list[np.ndarray] | None = None):
-        """Arrays (query, member) of positions with at most ``max_bits`` differences.
-
-        With ``own`` labels of the queries and ``shared_labels``, members of a query's own label are left out.
-        """
-        top_mask, top_pattern = self.levels[-1]
-        q = np.repeat(np.arange(len(queries)), len(top_mask))
-        node = np.tile(np.arange(len(top_mask)), len(queries))
-        spent = np.bitwise_count((queries[q] ^ top_pattern[node]) & top_mask[node])
-        above = top_mask
-        keep = spent <= max_bits
-        if shared:
-            keep &= shared[-1][node] != own[q]
-        q, node, spent = q[keep], node[keep], spent[keep]
-        full = np.full(len(self.fps), ~np.uint64(0))
-        for depth, (mask, pattern) in enumerate([*self.levels[-2::-1], (full, self.fps)], 2):
-            child = (node[:, None] * self.fanout + np.arange(self.fanout)).ravel()
-            q, spent, known = (np.repeat(x, self.fanout) for x in (q, spent, above[node]))
-            real = child < len(mask)
-            child, q, spent, known = child[real], q[real], spent[real], known[real]
-            spent = spent + np.bitwise_count((queries[q] ^ pattern[child]) & mask[child] & ~known)
-            keep = spent <= max_bits
-            if shared:
-                keep &= shared[-depth][child] != own[q]
-            q, node, spent, above = q[keep], child[keep], spent[keep], mask
-        return q, node
-
 
 def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Merge the trees of each pair (a, b) in ``label`` (position -> root)."""
@@ -145,95 +147,219 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def forest(fps: np.ndarray, max_bits: int, block: int = 256, pairs: int = 1 << 22):
-    """Spanning forest of the links among distinct ``fps`` (sorted by Gray rank).
+def connect(a: GrayTree, b: GrayTree, label: np.ndarray, max_bits: int, lead: int = 64, lead_bits: int | None = None, chunk: int = 2048) -> int:
+    """Merge in ``label`` the fingerprints of ``a`` with those of ``b`` that differ in at most ``max_bits`` bits; how many pairs were compared.
 
-    At most ``pairs`` pairs are held at a time.  The labels known to the search
-    are renewed once the links found since are a sixteenth of the members.
+    ``label`` names a root for each member of ``a``, then of ``b`` (only of
+    ``a`` if both are the same tree).  Pairs of nodes are opened from the top;
+    each carries the differences counted on the way down, and only bits that
+    no node above had fixed in both are added.  A pair is dropped once these
+    pass ``max_bits``, or those within the first ``lead`` bits pass
+    ``lead_bits``, or when all below both are known to be connected.
     """
-    index, label = GrayIndex(fps), np.arange(len(fps))
-    known, found = label.copy(), 0
-    shared = index.shared_labels(known)
-    block = max(1, min(block, pairs // max(1, len(fps))))
-    for i in range(0, len(fps), block):
-        q, m = index.links(fps[i : i + block], max_bits, known[i : i + block], shared)
-        _union(label, q + i, m)
-        found += len(m)
-        if 16 * found >= len(fps):
-            known, found = label.copy(), 0
-            shared = index.shared_labels(known)
-    child = np.flatnonzero(label != np.arange(len(fps)))
-    return fps[child], fps[label[child]]
-
-
-def _search(max_bits: int):
+    same, after = a is b, 0 if a is b else len(a.fps)
+    first = ~np.uint64(0) << np.uint64(64 - lead)
+    lead_bits = max_bits if lead_bits is None else lead_bits
+    top = a.height
+    if b.height != top:
+        raise ValueError("trees of one height, please")
+    ia, ib = (x.ravel() for x in np.meshgrid(np.arange(a.sizes[top]), np.arange(b.sizes[top]), indexing="ij"))
+    known_a = a.shared(label[: len(a.fps)])
+    known_b = known_a if same else b.shared(label[after:])
+    found_a, found_b, found, compared = [], [], 0, 0
+    ma, mb, pa, pb = (x[top].ravel()[i] for x, i in ((a.masks, ia), (b.masks, ib), (a.patterns, ia), (b.patterns, ib)))
+    differ = (pa ^ pb) & ma & mb
+    spent = np.bitwise_count(differ)
+    led = np.bitwise_count(differ & first)
+    keep = (spent <= max_bits) & (led <= lead_bits)
+    if same:
+        keep &= ia <= ib
+    if top == 0:  # these are the fingerprints
+        _union(label, ia[keep], ib[keep] + after)
+        return len(keep)
+    stack = [(top, ia[keep], ib[keep], spent[keep], led[keep])]
+    while stack:
+        level, ia, ib, spent, led = stack.pop()
+        if len(ia) > chunk:
+            for i in range(0, len(ia), chunk):
+                stack.append((level, *(x[i : i + chunk] for x in (ia, ib, spent, led))))
+            continue
+        open_ = (known_a[level][ia] != known_b[level][ib]) | (known_a[level][ia] < 0)
+        ia, ib, spent, led = ia[open_], ib[open_], spent[open_], led[open_]
+        if not len(ia):
+            continue
+        compared += len(ia) * FANOUT * FANOUT
+        differ = a.patterns[level - 1][ia][:, :, None] ^ b.patterns[level - 1][ib][:, None, :]
+        if level == 1:
+            keep = np.bitwise_count(differ) <= max_bits
+        else:
+            above = a.masks[level].ravel()[ia] & b.masks[level].ravel()[ib]
+            differ &= a.masks[level - 1][ia][:, :, None] & b.masks[level - 1][ib][:, None, :] & ~above[:, None, None]
+            more, lead_more = np.bitwise_count(differ) + spent[:, None, None], np.bitwise_count(differ & first) + led[:, None, None]
+            keep = (more <= max_bits) & (lead_more <= lead_bits)
+        n, x, y = np.nonzero(keep)
+        ca, cb = ia[n] * FANOUT + x, ib[n] * FANOUT + y
+        real = (ca < a.sizes[level - 1]) & (cb < b.sizes[level - 1])
+        if same:
+            real &= ca < cb if level == 1 else ca <= cb
+        ca, cb = ca[real], cb[real]
+        if level > 1:
+            n, x, y = n[real], x[real], y[real]
+            stack.append((level - 1, ca, cb, more[n, x, y], lead_more[n, x, y]))
+            continue
+        found_a.append(ca)
+        found_b.append(cb + after)
+        found += len(ca)
+        if found > max(1 << 16, len(label) // 16):
+            _union(label, np.concatenate(found_a), np.concatenate(found_b))
+            found_a, found_b, found = [], [], 0
+            known_a = a.shared(label[: len(a.fps)])
+            known_b = known_a if same else b.shared(label[after:])
+    if found:
+        _union(label, np.concatenate(found_a), np.concatenate(found_b))
+    return compared
+
+
+def range_count(nodes: int, least: int = 12, fewest: int = 1024, factor: int = 100, most: int = 1 << 22) -> int:
+    """Ranges of each Gray order: of ``factor * sqrt(nodes)`` fingerprints, ``most`` at most, and ``least`` in number if that leaves ``fewest``."""
+    size = min(most, max(1, int(factor * nodes**0.5)))
+    return max(1, -(-nodes // size), min(least, nodes // fewest))
+
+
+_RANGES = "turn int, place int, mask long, pattern long, fps binary, roots binary"
+
+
+def _index_ranges(max_bits: int, orders: int):
+    """One row for each Gray order's share of a task: what its fingerprints share, they themselves, and their roots among themselves."""
+    step = 64 // orders
+
     def run(batches):
-        rest = None  # rows of the key that may go on in the next batch
-        for b in itertools.chain(batches, [None]):
-            if b is not None:
-                rows = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
-                rows = rows if rest is None else np.concatenate([rest, rows], axis=1)
-                if not rows.shape[1]:
-                    continue
-                same = (rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])
-                cut = int(np.argmax(same))
-                rest, rows = rows[:, cut:], rows[:, :cut]
-            else:
-                rows, rest = rest, None
-            if rows is None or not rows.shape[1]:
-                continue
-            fps = rows[2].view(np.uint64)
-            new = np.ones(len(fps), dtype=bool)
-            new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
-            starts = np.flatnonzero(new)
-            sizes = np.diff(np.append(starts, len(fps)))
-            group, size = np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes, sizes)
-            left, right = [], []
-            small = size <= LEAF
-            for d in range(1, min(LEAF, int(sizes.max(initial=1)))):
-                hit = np.flatnonzero((group[d:] == group[:-d]) & small[d:] & (np.bitwise_count(fps[d:] ^ fps[:-d]) <= max_bits))
-                left.append(fps[hit + d])
-                right.append(fps[hit])
-            for g in np.flatnonzero(sizes > LEAF):
-                a, c = forest(fps[starts[g] : starts[g] + sizes[g]], max_bits)
-                left.append(a)
-                right.append(c)
-            if left:
-                a, c = np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, c)), pa.array(np.minimum(a, c))], names=["a", "b"])
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not parts:
+            return
+        turn, word = (np.concatenate(x) for x in zip(*parts))
+        place = TaskContext.get().partitionId()
+        for t in np.unique(turn):
+            tree = GrayTree(word[turn == t].view(np.uint64))
+            label = np.arange(len(tree.fps))
+            connect(tree, tree, label, max_bits, step, max_bits // orders)
+            mask = np.bitwise_and.reduce(tree.masks[-1].ravel() & ~(tree.patterns[-1].ravel() ^ tree.patterns[-1].ravel()[0]))
+            yield pa.RecordBatch.from_pydict({"turn": pa.array([t], pa.int32()), "place": pa.array([place], pa.int32()), "mask": pa.array([mask.view(np.int64)]), "pattern": pa.array([(tree.fps[0] & mask).view(np.int64)]), "fps": [tree.fps.tobytes()], "roots": [label.astype(np.int32).tobytes()]})
 
     return run
 
 
-def _blocks(nodes: int) -> int:
-    """Blocks to cut the 64 bits into, so that a key of random bits has about one node."""
-    return 6 if nodes <= 1 << 22 else 7 if nodes <= 1 << 28 else 8
+def partners(upper: list[tuple[int, int, int, int]], max_bits: int, orders: int) -> dict[tuple[int, int], list[int]]:
+    """(turn, place) of a range -> places of the later ranges of its order that its upper node does not rule out.
 
+    ``upper`` holds (turn, place, mask, pattern) of every range: four numbers for millions of fingerprints.
+    """
+    out: dict[tuple[int, int], list[int]] = {}
+    first = ~np.uint64(0) << np.uint64(64 - 64 // orders)
+    for t in sorted({u[0] for u in upper}):
+        rows = sorted(u for u in upper if u[0] == t)
+        place = [u[1] for u in rows]
+        mask, pattern = (np.array([u[i] for u in rows], dtype=np.int64).view(np.uint64) for i in (2, 3))
+        for i in range(len(rows)):
+            differ = (pattern[i] ^ pattern[i + 1 :]) & mask[i] & mask[i + 1 :]
+            near = (np.bitwise_count(differ) <= max_bits) & (np.bitwise_count(differ & first) <= max_bits // orders)
+            out[t, place[i]] = [place[j] for j in i + 1 + np.flatnonzero(near)]
+    return out
+
+
+def _deal_pairs(pairs: dict[tuple[int, int], list[int]]):
+    """Each range once for every pair it belongs to."""
+    back: dict[tuple[int, int], list[int]] = {}
+    for (t, i), later in pairs.items():
+        for j in later:
+            back.setdefault((t, j), []).append(i)
+
+    def run(batches):
+        for b in batches:
+            for t, place, fps, roots in zip(*(b.column(i).to_pylist() for i in range(4))):
+                for i, j in [(place, j) for j in pairs.get((t, place), [])] + [(i, place) for i in back.get((t, place), [])]:
+                    yield pa.RecordBatch.from_pydict({"turn": pa.array([t], pa.int32()), "i": pa.array([i], pa.int32()), "j": pa.array([j], pa.int32()), "place": pa.array([place], pa.int32()), "fps": [fps], "roots": [roots]})
+
+    return run
+
+
+def _edge_table(turn: int, step: int, fps: np.ndarray, label: np.ndarray, at: np.ndarray) -> pa.Table:
+    """Edges (a, b), a > b, from the fingerprints at ``at`` to their roots."""
+    x, y = (turned(v, 64 - turn * step).view(np.int64) for v in (fps[at], fps[label[at]]))
+    return pa.table({"a": np.maximum(x, y), "b": np.minimum(x, y)})
 
-def links(nodes: DataFrame, max_bits: int = 4, blocks: int | None = None) -> DataFrame:
-    """Edges (a, b), a > b, that connect all fingerprints within ``max_bits`` bits."""
-    n = blocks or _blocks(nodes.count())
-    edges = [round(64 * i / n) for i in range(n + 1)]
-    part = [F.shiftrightunsigned("fp", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)) for i in range(n)]
-    keys = []
-    for t, chosen in enumerate(itertools.combinations(range(n), n - max_bits)):
-        key = F.lit(0).cast("long")
-        for i in chosen:
-            key = F.shiftleft(key, edges[i + 1] - edges[i]).bitwiseOR(part[i])
-        keys.append(F.struct(F.lit(t).cast("long").alias("t"), key.alias("k")))
-    gray = F.col("fp")
-    for s in (1, 2, 4, 8, 16, 32):
-        gray = gray.bitwiseXOR(F.shiftrightunsigned(gray, s))
-        nodes = nodes.withColumn("gray", gray)
-        gray = F.col("gray")
-    dealt = nodes.select("fp", "gray", F.explode(F.array(*keys)).alias("x")).select("x.t", "x.k", "fp", "gray")
-    spread = dealt.repartition(F.col("t"), F.col("k")).sortWithinPartitions("t", "k", "gray").select("t", "k", "fp")
-    return spread.mapInArrow(_search(max_bits), "a long, b long").distinct()
+
+def _join_ranges(max_bits: int, orders: int):
+    """Edges between the roots of two ranges."""
+    step = 64 // orders
+
+    def run(key, t):
+        order = np.argsort(t.column("place").to_numpy())
+        fps = [np.frombuffer(t.column("fps")[int(i)].as_py(), dtype=np.uint64) for i in order]
+        roots = [np.frombuffer(t.column("roots")[int(i)].as_py(), dtype=np.int32).astype(np.int64) for i in order]
+        trees = [GrayTree(f) for f in fps]
+        top = max(x.height for x in trees)
+        trees = [x if x.height == top else GrayTree(x.fps, top) for x in trees]
+        label = np.concatenate([roots[0], roots[1] + len(fps[0])])
+        before = label.copy()
+        connect(*trees, label, max_bits, step, max_bits // orders)
+        own = np.flatnonzero((before == np.arange(len(before))) & (label != before))
+        return _edge_table(key[0].as_py(), step, np.concatenate(fps), label, own)
+
+    return run
+
+
+def _local_edges(orders: int):
+    step = 64 // orders
+
+    def run(batches):
+        for b in batches:
+            for t, fps, roots in zip(*(b.column(i).to_pylist() for i in range(3))):
+                label = np.frombuffer(roots, dtype=np.int32)
+                edges = _edge_table(t, step, np.frombuffer(fps, dtype=np.uint64), label, np.flatnonzero(label != np.arange(len(label))))
+                yield from edges.to_batches(max_chunksize=1 << 16)
+
+    return run
+
+
+def _ranked(orders: int):
+    """Rows (turn, word, rank): each fingerprint turned so that each part of its bits leads once."""
+    step = 64 // orders
+
+    def run(batches):
+        for b in batches:
+            fps = b.column(0).to_numpy().view(np.uint64)
+            for t in range(orders):
+                word = turned(fps, t * step)
+                rank = gray_rank(word) ^ (np.uint64(1) << np.uint64(63))  # in the order of signed numbers
+                yield pa.RecordBatch.from_pydict({"turn": pa.array(np.full(len(fps), t), pa.int32()), "word": word.view(np.int64), "rank": rank.view(np.int64)})
+
+    return run
+
+
+def links(nodes: DataFrame, max_bits: int = 4, orders: int = 2, ranges: int | None = None) -> DataFrame:
+    """Edges (a, b), a > b, that connect all fingerprints of ``nodes`` within ``max_bits`` bits: a spanning forest of each pair of ranges.
+
+    ``orders`` divides 64.
+    """
+    n = ranges or range_count(nodes.count())
+    ranked = nodes.select("fp").mapInArrow(_ranked(orders), "turn int, word long, rank long")
+    spread = ranked.repartitionByRange(n * orders, "turn", "rank").sortWithinPartitions("turn", "rank").select("turn", "word")
+    indexed = materialise(spread.mapInArrow(_index_ranges(max_bits, orders), _RANGES))
+    upper = [tuple(r) for r in indexed.select("turn", "place", "mask", "pattern").collect()]  # one row a range
+    pairs = partners(upper, max_bits, orders)
+    dealt = indexed.select("turn", "place", "fps", "roots").mapInArrow(_deal_pairs(pairs), "turn int, i int, j int, place int, fps binary, roots binary")
+    across = dealt.groupBy("turn", "i", "j").applyInArrow(_join_ranges(max_bits, orders), "a long, b long")
+    return indexed.select("turn", "fps", "roots").mapInArrow(_local_edges(orders), "a long, b long").unionByName(across).distinct()
 
 
 # --- components -------------------------------------------------------------
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node on an edge; root is the smallest node reachable."""
+    """(node, root) for every node on an edge; root is the smallest node reachable.
+
+    The centre of a large star meets one row on the other side of each join,
+    so its rows stream through; AQE deals them to several tasks.
+    """
     edges = materialise(edges.select("a", "b"))
     seen = None
     for _ in range(max_rounds):
@@ -264,10 +390,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = materialise(fingerprints(docs, id_col, text_col, shingle).select(id_col, "fp"))
     nodes = materialise(fps.groupBy("fp").agg(F.min(id_col).alias("rep"), F.count("*").alias("n")))
-    rooted = _rooted(nodes, max_bits)
-    groups = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("n").alias("component_size"))
-    named = rooted.join(groups, "root").select("fp", "component_id", "component_size")
-    return fps.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
+    rooted = materialise(_rooted(nodes, max_bits))
+    groups = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("n").alias("component_size"), F.count("*").alias("_nodes"))
+    named = join_spread(rooted, groups, "root", "_nodes", rooted.count()).select("fp", "n", "component_id", "component_size")
+    found = join_spread(fps, named, "fp", "n", fps.count())
+    return found.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 4) -> DataFrame:
@@ -277,16 +404,18 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hash of the text.  Rows with neither id nor text are one component of their
     own, apart from other texts without words.  A row is known by id and hash
     of the text, so rows that share an id stand for themselves; of rows that
-    share both, one stays.  The texts are shuffled once, by that key; numbering
-    them reuses that order.
+    share both, one stays: that with the smallest hash of all columns.  The
+    texts are shuffled once, by that key; numbering them reuses that order.
     """
     fps = fingerprints(docs, id_col, text_col)
     blank = F.col(id_col).isNull() & (F.col("text_hash") == F.xxhash64(F.lit(None).cast("string")))
     row = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "fp", F.col("text_hash").alias("hash"))
     nodes = materialise(fps.groupBy("fp", blank.alias("blank")).agg(F.min(row).alias("row")))
-    rooted = _rooted(materialise(nodes.select("fp").distinct()), max_bits).select("fp", "root")
-    first = nodes.join(rooted, "fp").groupBy("root", "blank").agg(F.min("row").alias("row")).select(F.struct("row.id", "row.hash").alias("_key"))
-    keyed = docs.withColumn("_key", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")))
-    order = Window.partitionBy("_key").orderBy(F.lit(0))
-    kept = keyed.join(first, "_key", "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1")
-    return kept.select(*docs.columns)
+    rooted = materialise(_rooted(materialise(nodes.select("fp").distinct()), max_bits).select("fp", "root"))
+    first = nodes.join(rooted, "fp").groupBy("root", "blank").agg(F.min("row").alias("row")).select(F.struct("row.id", "row.hash").alias("key"))
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")).alias("key")
+    plain = [c.name for c in docs.schema.fields if c.dataType.typeName() != "map"]
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), key, F.xxhash64(*(docs[c] for c in plain)).alias("tie"))
+    order = Window.partitionBy("key").orderBy("tie")
+    kept = keyed.join(first, "key", "left_semi").withColumn("place", F.row_number().over(order)).where("place = 1")
+    return kept.select("row.*")

@@ -14,9 +14,9 @@ sum of weights, and that sum divided by the text's length, enter a logistic
 curve.
 
 Training sees at most ``per_class`` whole documents of each label, none longer
-than ``max_chars``.
+than ``max_chars``; every term of theirs that passes the tests enters.
 
-Defined cases: a text that is null or has no letter scores as one without a
+Defined cases: bytes that are not UTF-8 count as U+FFFD; a text that is null or has no letter scores as one without a
 match; with no labelled row of both classes every score is 0; null ids and
 repeated rows give a row each; other columns are ignored.
 """
@@ -194,7 +194,7 @@ def _evidence(texts: list[list[str]], wanted) -> dict[str, int]:
     return found
 
 
-def learn_lexicon(texts: list[str | None], labels: list[int], min_texts: int = 3, min_weight: float = 1.2, top: int = 20_000) -> Lexicon:
+def learn_lexicon(texts: list[str | None], labels: list[int], min_texts: int = 3, min_weight: float = 1.2) -> Lexicon:
     """Terms that ``min_texts`` toxic texts show, each between other neighbours.
 
     A term's weight is the log odds of a toxic text showing it, against a clean
@@ -212,7 +212,6 @@ def learn_lexicon(texts: list[str | None], labels: list[int], min_texts: int = 3
         low = odds - math.sqrt(1 / (n + 0.5) + 1 / (other + 0.5))
         if low >= min_weight:
             weights[t] = low
-    weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:top])
     pairs = (defaultdict(int), defaultdict(int))
     for words, y in zip(split, labels):
         for p in {(a, b) for a, b in zip(words, words[1:]) if any(t in weights for w in (a, b) for t in _terms(w))}:
@@ -235,8 +234,9 @@ def train(texts: list[str | None], labels: list[int], **kw) -> Model | None:
     return model
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500, max_chars: int = 20_000) -> Model | None:
-    """Train on at most ``per_class`` whole texts of each label."""
-    rows = labelled.where(f"`{label_col}` in (0, 1) and `{text_col}` is not null").select(id_col, text_col, label_col)
-    sample = bounded_sample(rows, id_col, label_col, per_class, max_chars, text_col)
-    return train([r[text_col] for r in sample], [int(r[label_col]) for r in sample])
+def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500, max_chars: int = 20_000) -> Model | None:
+    """Train on at most ``per_class`` whole texts of each label; it is a column of ``docs``, or of ``labels`` (id, label)."""
+    known = f"`{label_col}` in (0, 1)"
+    rows, labels = (docs.where(known), None) if labels is None else (docs, labels.where(known))
+    sample = bounded_sample(rows, id_col, label_col, per_class, max_chars, text_col, labels)
+    return train([t for t, _ in sample], [int(y) for _, y in sample])

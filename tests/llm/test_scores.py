@@ -1,10 +1,17 @@
 """Learned scores: held-out accuracy, exact base counts, awkward rows."""
 
+import itertools
+import math
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
+import regex
 
 from medialake.llm import langid, quality, queries, rules, toxicity
+from medialake.llm.common import bounded_sample
+from medialake.llm.lines import Lines
 from tests.llm.cases import awkward, empty
 
 SF = "/root/testdata/sf0.1"
@@ -87,6 +94,148 @@ def test_toxic_spellings_at_both_ends():
     assert weight("shit idiot") == (6.0, 2) and weight("idiot 1d10t") == (4.5, 2) and weight("a55 a55 shit") == (6.0, 3)
 
 
+def plain_marginals(emit, trans, start):
+    """Forward-backward in Python numbers."""
+    k, n = len(start), len(emit)
+    f = [[math.exp(start[y] + emit[0][y]) for y in range(k)]]
+    for t in range(1, n):
+        f.append([sum(f[-1][x] * math.exp(trans[x][y]) for x in range(k)) * math.exp(emit[t][y]) for y in range(k)])
+        f[-1] = [v / sum(f[-1]) for v in f[-1]]
+    b = [[1.0] * k]
+    for t in range(n - 1, 0, -1):
+        row = [sum(math.exp(trans[x][y] + emit[t][y]) * b[0][y] for y in range(k)) for x in range(k)]
+        b.insert(0, [v / sum(row) for v in row])
+    both = [[f[t][y] * b[t][y] for y in range(k)] for t in range(n)]
+    return [[v / sum(r) for v in r] for r in both]
+
+
+def some_texts(n=60, most=4000):
+    rows = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    return [t for t in rows.text if t and 0 < len(t) < most and t.strip()][:n]
+
+
+def test_language_by_brute_force(spark):
+    model = langid.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), per_language=20)
+    for text, (lang, score) in zip(some_texts(), langid.Labeller(model).languages(some_texts())):
+        words = [w for w in regex.findall(r"\p{L}[\p{L}\p{M}]*", text.lower())]
+        if not words:
+            assert lang == "und"
+            continue
+        weight = lambda w, y: model.crf.weights[0][y] + sum(model.crf.weights[model.feature_ids[f]][y] for f in langid.word_features(w) if f in model.feature_ids)
+        gamma = plain_marginals([[weight(w, y) for y in range(len(model.languages))] for w in words], model.crf.trans, model.crf.start)
+        mass = [sum(len(w) * g[y] for w, g in zip(words, gamma)) for y in range(len(model.languages))]
+        best = max(range(len(mass)), key=lambda y: mass[y])
+        assert lang == model.languages[best] and abs(score - mass[best] / sum(mass)) < 1e-6
+
+
+def line_model():
+    rows = pd.read_parquet("/root/testdata/sf0.01/labels.parquet").merge(pd.read_parquet("/root/testdata/sf0.01/documents.parquet"), on="doc_id").dropna(subset=["text"])
+    rows = rows[(rows.text.str.strip() != "") & (rows.text.str.len() < 3000)]
+    return quality.train(rows.text.tolist(), rows.quality.tolist())
+
+
+def test_quality_and_rules_by_brute_force():
+    model, texts = line_model(), some_texts()
+    crf = model.crf
+    for text, score, share in zip(texts, model.score(texts), rules.content_share(crf, texts)):
+        lines = Lines([text])
+        rows = [x for x in text.split("\n") if x.strip()]
+        emit = [[sum(crf.weights[f][y] for f in fids) for y in (0, 1)] for fids in lines.fids()]
+        gamma = plain_marginals(emit, crf.trans, crf.start)
+        good = sum(len(x) * g[1] for x, g in zip(rows, gamma)) / sum(map(len, rows))
+        x = min(max(good, 0.005), 0.995)
+        z = model.weights @ [1, math.log(x / (1 - x)), x]
+        assert abs(score - 1 / (1 + math.exp(-z))) < 1e-6
+        if len(rows) <= 10:
+            cost = lambda p: crf.start[p[0]] + sum(emit[t][y] for t, y in enumerate(p)) + sum(crf.trans[a][b] for a, b in zip(p, p[1:]))
+            best = max(itertools.product((0, 1), repeat=len(rows)), key=cost)
+            assert abs(share - sum(len(x) * y for x, y in zip(rows, best)) / sum(map(len, rows))) < 1e-9
+
+
+def test_line_features_by_hand():
+    lines = Lines(["Good day, my friend.\n\n  | a | 12 |\nGood day, my friend.", "x"])
+    assert lines.per_text.tolist() == [3, 1] and lines.chars.tolist() == [20, 12, 20, 1]
+    assert lines.own[:, -1].tolist() == [0, 0, 1, 0]  # repeated
+    assert lines.own[:, -3].tolist() == [0, 2, 0, 4] and lines.own[:, -2].tolist() == [0, 3, 0, 1]  # last and first character
+    none = np.array([n - 1 for n in (12, 10, 10, 8, 6, 6, 11, 12, 9, 7, 6, 5, 3)])
+    width = len(none)
+    fids = lines.fids() - np.cumsum([0, *(none + 1), *(none + 1), *(none + 1)])
+    assert (fids[0, width : 2 * width] == none).all() and (fids[2, 2 * width : 3 * width] == none).all() and (fids[3, width:-1] == [*none, *none]).all()
+    assert (fids[1, width : 2 * width] == lines.own[0]).all() and (fids[1, 2 * width : 3 * width] == lines.own[2]).all()
+
+
+def test_toxicity_by_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    lexicon = model.lexicon
+    assert lexicon.weights
+    for text in [*some_texts(), *(f"you {w.rstrip('*')} there" for w in lexicon.weights)]:
+        words, plain = toxicity.forms_of(text)
+        if plain:
+            continue
+        spared = {k for i, p in enumerate(zip(words, words[1:])) if p in lexicon.exceptions for k in (i, i + 1)}
+        total, n, times = 0.0, 0, {}
+        for i, w in enumerate(words):
+            best = max((x for t, x in lexicon.weights.items() if (w.startswith(t[:-1]) if t.endswith("*") else w == t)), default=0)
+            if best and i not in spared:
+                times[w] = times.get(w, 0) + 1
+                total, n = total + best / times[w], n + 1
+        z = model.curve @ [1, math.log1p(total), math.log1p(1000 * total / (len(words) + 20)), min(n, 4) / 4]
+        assert abs(model.score([text])[0] - 1 / (1 + math.exp(-min(max(z, -30), 30)))) < 1e-9
+
+
+def test_long_texts_a_part_at_a_time():
+    texts = some_texts(20)
+    text = " ".join(texts)
+    lang = langid.train([(t, "abcd"[i % 4]) for i, t in enumerate(texts)], rounds=5)
+    labeller = langid.Labeller(lang)
+    (whole,), (parts,) = labeller.judge([text]), labeller.judge([text], long=300)
+    assert whole[0] == parts[0] and abs(whole[1] - parts[1]) < 1e-9 and abs(whole[2] - parts[2]) < 1e-9
+    assert "".join(text[a:z] for a, z in langid.slices(text, 50)) == text
+    model, lines = line_model(), Lines(["\n".join(texts)])
+    assert np.abs(lines.marginals(model.crf) - lines.marginals(model.crf, step=7)).max() < 1e-6
+    assert (lines.best_path(model.crf) == lines.best_path(model.crf, step=7)).all()
+
+
+def test_fifty_megabytes():
+    line = "some words in a line that goes on for a while, and then it ends.\n"
+    text = line * (50_000_000 // len(line))
+    model = line_model()
+    few = model.score([line * 4000, text, "word " * 10_000_000])
+    assert few.shape == (3,) and abs(few[0] - few[1]) < 0.05 and 0 <= few[2] <= 1
+
+
+def test_bytes_that_are_not_utf8_and_letters(spark):
+    docs = spark.createDataFrame([(1, bytearray(b"good words \xff and more of them")), (2, bytearray("½ ②".encode())), (3, bytearray("हिन्दी".encode()))], "doc_id long, b binary").selectExpr("doc_id", "cast(b as string) as text", "'x' as lang", "0 as row")
+    lang, line = langid.train([("good words and more " * 4, "en"), ("हिन्दी भाषा " * 4, "hi")]), line_model()
+    assert [r.lang_pred for r in langid.identify(docs, lang, ["doc_id"]).orderBy("doc_id").collect()] == ["en", "und", "hi"]
+    assert langid.words_of("हिन्दी it's ½x") == ["हिन्दी", "it", "s", "x"]
+    kept = langid.keep_clear(docs, lang)
+    assert kept.schema == docs.schema and kept.selectExpr("doc_id", "cast(text as binary) b").orderBy("doc_id").first().b == b"good words \xff and more of them"
+    toxic = toxicity.Model(toxicity.Lexicon({"bad": 3.0}, set()), np.array([-1.0, 1, 1, 1]))
+    for model in (line, toxic):
+        assert quality.score(docs, model, ["doc_id"]).count() == 3
+    assert rules.judge(docs, line.crf).where("n_words > 0").count() == 3
+
+
+def test_samples_are_bounded(spark):
+    docs = spark.range(3000).selectExpr("if(id < 5, null, id) as doc_id", "concat('text ', id % 1500) as text", "concat('c', if(id < 1000, 0, id % 40)) as class")
+    rows = bounded_sample(docs, "doc_id", "class", 10, 100, "text")
+    assert Counter(c for _, c in rows) == Counter({f"c{i}": 10 for i in range(40)})
+    assert len(bounded_sample(docs, "doc_id", "class", 10, 100, "text", max_rows=60)) == 60
+    assert rows == bounded_sample(docs.repartition(7), "doc_id", "class", 10, 100, "text")
+    labels = docs.where("doc_id is not null").select("doc_id", "class")
+    assert {c for _, c in bounded_sample(docs.drop("class"), "doc_id", "class", 3, 100, "text", labels)} == {f"c{i}" for i in range(40)}
+    assert bounded_sample(docs, "doc_id", "class", 10, 3, "text") == []
+
+
+def test_texts_of_three_languages_are_clear():
+    words = {"en": "the house stands near water while they watch", "de": "das haus steht am wasser während sie schauen", "fr": "la maison est près du lac quand ils regardent"}
+    model = langid.train([(" ".join(np.random.default_rng(i).permutation(w.split() * 6)), k) for i in range(8) for k, w in words.items()])
+    ((_, share, sure),) = langid.Labeller(model).judge([" ".join(words.values())])
+    assert share < 0.5 < 0.8 < sure
+
+
 def test_cases(spark):
     docs = awkward(spark)
     for model, neutral in ((None, 0.5), (quality.train(["good line of words here.\nand more of it."] * 5 + ["| | | ##\n$$ %%"] * 5, [1] * 5 + [0] * 5), 0.5)):

@@ -50,35 +50,74 @@ def near_points(n, seed=3):
     return sorted(set(fps))
 
 
+def in_gray_order(fps):
+    x = np.array(list(fps), dtype=np.uint64)
+    return x[np.argsort(simhash.gray_rank(x))]
+
+
+def test_gray_rank_and_turns():
+    code = np.array([i ^ i >> 1 for i in range(300)], dtype=np.uint64)
+    assert simhash.gray_rank(code).tolist() == list(range(300))
+    x = np.array([1 << 63 | 5], dtype=np.uint64)
+    assert simhash.turned(x, 32).tolist() == [5 << 32 | 1 << 31] and simhash.turned(simhash.turned(x, 32), 32).tolist() == simhash.turned(x, 64).tolist() == x.tolist()
+
+
+def test_upper_nodes_hold_what_all_below_share():
+    tree = simhash.GrayTree(in_gray_order(near_points(200)))
+    for level in range(1, tree.height + 1):
+        below = simhash.FANOUT**level
+        for i in range(tree.sizes[level]):
+            own = tree.fps[i * below : (i + 1) * below]
+            mask, pattern = tree.masks[level].ravel()[i], tree.patterns[level].ravel()[i]
+            assert mask == ~np.bitwise_or.reduce(own ^ own[0]) and pattern == own[0] & mask
+
+
 def test_tree_equals_all_pairs():
     rng = np.random.default_rng(4)
     base = int(rng.integers(0, 1 << 63))
-    fps = sorted({base ^ int(m) for m in rng.integers(0, 1 << 14, 900)}, key=lambda x: x ^ x >> 1)
-    a = np.array(fps, dtype=np.uint64)
-    q, m = simhash.GrayIndex(a).links(a, 2)
-    expected = {(i, j) for i in range(len(fps)) for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 2}
-    assert set(zip(q.tolist(), m.tolist())) == expected
-    for bits in (0, 1, 2, 4):
-        child, parent = simhash.forest(a, bits, block=7)
-        roots = dict(zip(fps, brute_components(fps, bits)))
-        assert len(child) == len(set(child.tolist())) == len(fps) - len(set(roots.values()))
-        assert all(roots[int(x)] == roots[int(y)] for x, y in zip(child, parent))
-
-
-def test_dense_group_is_not_compared_pair_by_pair(monkeypatch):
-    fps = np.array(sorted((1 << a | 1 << b | 1 << c for a in range(30) for b in range(a) for c in range(b)), key=lambda x: x ^ x >> 1), dtype=np.uint64)
-    held, links = [], simhash.GrayIndex.links
-    monkeypatch.setattr(simhash.GrayIndex, "links", lambda *a: held.append(links(*a)) or held[-1])
-    child, _ = simhash.forest(fps, 4, block=16)
-    assert len(child) == len(fps) - 1 and sum(len(q) for q, _ in held) < 40 * len(fps)
+    for fps in ({base ^ int(m) for m in rng.integers(0, 1 << 14, 900)}, set(near_points(300)), {base}, {base, base ^ 3}):
+        x = in_gray_order(fps)
+        for bits in (0, 1, 2, 4):
+            label = np.arange(len(x))
+            tree = simhash.GrayTree(x)
+            simhash.connect(tree, tree, label, bits, chunk=7)
+            want = brute_components([int(v) for v in x], bits)
+            assert label.tolist() == want
+
+
+def test_two_ranges_equal_all_pairs():
+    x = in_gray_order(near_points(400))
+    for cut in (5, len(x) // 2, len(x) - 20):
+        trees = [simhash.GrayTree(x[:cut]), simhash.GrayTree(x[cut:])]
+        top = max(t.height for t in trees)
+        trees = [simhash.GrayTree(t.fps, top) for t in trees]
+        label = np.arange(len(x))
+        simhash.connect(*trees, label, 4, chunk=50)
+        pairs = [(i, j) for i in range(cut) for j in range(cut, len(x)) if (int(x[i]) ^ int(x[j])).bit_count() <= 4]
+        want = np.arange(len(x))
+        simhash._union(want, np.array([p[0] for p in pairs], dtype=int), np.array([p[1] for p in pairs], dtype=int))
+        assert label.tolist() == want.tolist()
+
+
+def test_pruning_spares_most_comparisons():
+    x = in_gray_order(np.random.default_rng(7).integers(0, 1 << 63, 40_000, dtype=np.uint64))
+    tree, label = simhash.GrayTree(x), np.arange(40_000)
+    assert simhash.connect(tree, tree, label, 4, 32, 2) < len(x) ** 2 / 25  # all pairs are half of the square
+
+
+def test_dense_group_is_not_compared_pair_by_pair():
+    x = in_gray_order([1 << a | 1 << b | 1 << c for a in range(60) for b in range(a) for c in range(b)])
+    tree, label = simhash.GrayTree(x), np.arange(len(x))
+    assert simhash.connect(tree, tree, label, 4, chunk=64) < len(x) ** 2 / 8
+    assert (label == 0).all()
 
 
 def test_components_equal_all_pairs(spark):
     fps = near_points(250)
     roots = brute_components(fps)
     nodes = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long")
-    for blocks in (6, 8):
-        found = {r.node: r.root for r in simhash.components(simhash.links(nodes, 4, blocks)).collect()}
+    for ranges, orders in ((9, 2), (5, 1), (3, 4)):
+        found = {r.node: r.root for r in simhash.components(simhash.links(nodes, 4, orders, ranges)).collect()}
         got = {}
         for x, want in zip(fps, roots):
             node = int(np.uint64(x).view(np.int64))
@@ -86,6 +125,35 @@ def test_components_equal_all_pairs(spark):
         assert all(len(v) == 1 for v in got.values()) and len({*map(frozenset, got.values())}) == len(got)
 
 
+def test_upper_nodes_rule_ranges_out():
+    x = in_gray_order(np.random.default_rng(8).integers(0, 1 << 63, 1 << 14, dtype=np.uint64))
+    upper = []
+    for i, own in enumerate(np.split(x, 256)):
+        mask = ~np.bitwise_or.reduce(own ^ own[0])
+        upper.append((0, i, int(mask.view(np.int64)), int((own[0] & mask).view(np.int64))))
+    pairs = simhash.partners(upper, 4, 2)
+    assert sum(map(len, pairs.values())) < 256 * 255 / 2 / 3
+    for i in range(0, 256, 17):
+        for j in range(i + 1, 256):
+            a, b = x[i * 64 : i * 64 + 64, None], x[None, j * 64 : j * 64 + 64]
+            near = (np.bitwise_count(a ^ b) <= 4) & (np.bitwise_count((a ^ b) >> np.uint64(32)) <= 2)
+            assert j in pairs[0, i] or not near.any()
+
+
+def test_tree_search_finds_every_link_of_the_table(spark):
+    """``links`` has no other search; its forest spans just what all pairs would."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fps = [int(np.int64(r.fp).view(np.uint64)) for r in simhash.fingerprints(docs).select("fp").distinct().collect()]
+    nodes = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long")
+    roots = dict(zip(fps, brute_components(fps)))
+    edges = [(int(np.int64(r.a).view(np.uint64)), int(np.int64(r.b).view(np.uint64))) for r in simhash.links(nodes, ranges=8).collect()]
+    assert edges and all(roots[a] == roots[b] for a, b in edges)
+    at = {x: i for i, x in enumerate(fps)}
+    label = np.arange(len(fps))
+    simhash._union(label, np.array([at[a] for a, _ in edges]), np.array([at[b] for _, b in edges]))
+    assert len(set(label.tolist())) == len(set(roots.values()))
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = docs.collect()
