@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -101,3 +102,23 @@ def bounded_sample(docs: DataFrame, id_col: str, class_col: str, per_class: int,
     found = texts.join(F.broadcast(picks), (F.col("_hash") == F.col("_h")) & F.col(id_col).eqNullSafe(F.col("_id")))
     rows = found.dropDuplicates(["_id", "_h", "_class"]).select(F.col(id_col), F.col("_bytes").alias(text_col), F.col("_class").alias(class_col), "_draw", "_h").collect()
     return sorted(((decoded(bytes(r[1])), r[2]) for r in sorted(rows, key=lambda r: (r["_draw"], r["_h"]))), key=lambda r: str(r[1]))
+
+
+def filter_by_text(docs: DataFrame, text_col: str, prepare) -> DataFrame:
+    """The rows for which ``prepare()``, called once a task, says true of their text (bytes or None).
+
+    Strings travel as bytes, as Arrow takes none that is not UTF-8.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        judge = prepare()
+        for b in batches:
+            yield b.filter(pa.array(judge(b.column(at).to_pylist()), pa.bool_()))
+
+    def carried(f):
+        return docs[f.name].cast("binary").alias(f.name) if f.dataType.typeName() == "string" else docs[f.name]
+
+    packed = docs.select(*map(carried, docs.schema.fields))
+    kept = packed.mapInArrow(run, packed.schema)
+    return kept.select(*(kept[f.name].cast(f.dataType).alias(f.name) for f in docs.schema.fields))

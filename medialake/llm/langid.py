@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialake.llm.common import bounded_sample, decoded
+from medialake.llm.common import bounded_sample, decoded, filter_by_text
 from medialake.llm.crf import Crf, forward_backward, long_marginals
 
 _ASCII = re.compile("[a-z]+")
@@ -260,18 +260,15 @@ def keep_clear(docs: DataFrame, model: Model | None, text_col: str = "text", min
     of each word's best marginal, by letters, is ``min_score`` at least.
     Without a model all are ``und``, so none stays.
     """
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def prepare():
         labeller = Labeller(shared.value) if shared.value else None
-        for b in batches:
-            found = labeller.judge([decoded(t) for t in b.column(at).to_pylist()]) if labeller else [(UNKNOWN, 0.0, 0.0)] * len(b)
-            yield b.filter(pa.array([x != UNKNOWN and sure >= min_score for x, _, sure in found], pa.bool_()))
 
-    # texts travel as bytes, as Arrow takes no string that is not UTF-8
-    def carried(f):
-        return docs[f.name].cast("binary").alias(f.name) if f.dataType.typeName() == "string" else docs[f.name]
+        def judge(texts):
+            found = labeller.judge([decoded(t) for t in texts]) if labeller else [(UNKNOWN, 0.0, 0.0)] * len(texts)
+            return [x != UNKNOWN and sure >= min_score for x, _, sure in found]
+
+        return judge
 
-    packed = docs.select(*map(carried, docs.schema.fields))
-    kept = packed.mapInArrow(run, packed.schema)
-    return kept.select(*(kept[f.name].cast(f.dataType).alias(f.name) for f in docs.schema.fields))
+    return filter_by_text(docs, text_col, prepare)

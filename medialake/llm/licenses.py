@@ -1,12 +1,16 @@
 """Licence scan (DataFrame functions only).
 
-Templates and texts are sparse TF-IDF vectors over the templates' words, with
-document frequencies counted over the whole corpus.  The units compared are
+Templates and texts are sparse TF-IDF vectors, with document frequencies of the
+templates' words counted over the whole corpus.  Every other word of a text weighs as one
+that a single document holds, so prose that happens to hold the words of a statement among
+its own is no statement.  Comment marks and signs are no words.  The units compared are
 every line of a text, every run of consecutive lines of at most ``ROOM`` times
 the longest template's words (headers wrapped over lines, wherever they stand;
 lines without a word are passed over) and, for licence files, the whole text.
 A unit carries the licence of the template with the greatest cosine, if that is
-at least ``min_cosine``.
+at least ``min_cosine``; a text that of its unit with the longest template among
+those of ``SURE`` or more (licences share paragraphs), else with the greatest
+cosine.
 
 Exact pruning: from each template the heaviest words are taken as anchors
 until the rest of its vector is shorter than ``min_cosine``; a unit without
@@ -18,7 +22,8 @@ at most the length of the part of a template whose words the unit holds.
 A file without a licence of its own inherits that of the licence file in the
 nearest directory above it: directories are expanded to their ancestors and
 joined by path with the directories that hold a licence file; a directory with
-a hundred thousand files is looked up once.
+a hundred thousand files is looked up once, and one that holds a great part of
+all files is not joined in one task.
 
 What travels to all tasks (word weights and templates) is bounded by the fixed
 template list.
@@ -39,26 +44,48 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Usual statements and title lines of public licences.
+from medialake.llm.common import join_spread, materialise
+
+# Usual statements, standard headers, and the paragraphs by which the full texts of public licences are known.
 TEMPLATES = [
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("Proprietary", "All rights reserved."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 _SPLIT = "[^a-z0-9]+"
+_NOWHERE = "\x00"  # directory of a file without a path
+#: Cosine from which a unit is sure enough for its length to count.
+SURE = 0.9
 #: Words of a run, in lengths of the longest template: its first and last line hold other words too.
-ROOM = 2
+ROOM = 1.5
 
 
 def words_of(text: str) -> list[str]:
@@ -70,12 +97,12 @@ def words(text: Column) -> Column:
 
 
 def word_weights(docs: DataFrame, text_col: str, vocabulary: list[str]) -> dict[str, float]:
-    """idf of each word: ln((1 + documents) / (1 + documents with it)) + 1, over all documents."""
+    """idf of each word: ln((1 + documents) / (1 + documents with it)) + 1, over all documents; under "" that of a word in one document."""
     held = F.array_intersect(words(F.coalesce(text_col, F.lit(""))), F.array(*map(F.lit, vocabulary)))
     rows = docs.select(F.explode(F.array_append(held, F.lit("\t"))).alias("w")).groupBy("w").count().collect()
     found = {r[0]: r[1] for r in rows}
     n = found.pop("\t", 0)
-    return {w: math.log((1 + n) / (1 + found.get(w, 0))) + 1 for w in vocabulary}
+    return {w: math.log((1 + n) / (1 + found.get(w, 0))) + 1 for w in vocabulary} | {"": math.log((1 + n) / 2) + 1}
 
 
 def template_vectors(templates, idf: dict[str, float]) -> list[tuple[str, dict[str, float]]]:
@@ -100,6 +127,18 @@ def anchors(vectors, min_cosine: float) -> list[str]:
     return sorted(out)
 
 
+def any_of(found: list[str]) -> str:
+    """Pattern of the given words (letters and digits) in which those with a common beginning share it."""
+    if not found:
+        return "[^\\s\\S]"
+    heads: dict[str, list[str]] = {}
+    for w in found:
+        heads.setdefault(w[:1], []).append(w[1:])
+    branches = [c + any_of(rest) if rest != [""] else c for c, rest in sorted(heads.items()) if c]
+    body = branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+    return body if "" not in heads else f"(?:{body})?"
+
+
 def runs(text: Column, mark: Column, vectors, min_cosine: float, most: int) -> Column:
     """Runs of two lines or more and ``most`` words at most that may reach ``min_cosine``.
 
@@ -159,35 +198,40 @@ def own_licenses(docs: DataFrame, path_col: str, text_col: str, templates=TEMPLA
     spark = docs.sparkSession
     vocabulary = sorted({w for _, t in templates for w in words_of(t)})
     idf = word_weights(docs, text_col, vocabulary)
+    other = idf.pop("")
     vectors = template_vectors(templates, idf)
     terms = F.broadcast(spark.createDataFrame([(i, name, w, x) for i, (name, v) in enumerate(vectors) for w, x in v.items()], "template int, license string, w string, x double"))
     weights = F.broadcast(spark.createDataFrame(list(idf.items()), "w string, idf double"))
-    mark = F.lit(r"(^|[^a-z0-9])(" + "|".join(anchors(vectors, min_cosine)) + r")($|[^a-z0-9])")
+    mark = F.lit(r"(^|[^a-z0-9])(" + any_of(anchors(vectors, min_cosine)) + r")($|[^a-z0-9])")
     lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: F.regexp_like(F.lower(x), mark))
-    most = ROOM * max((len(words_of(t)) for _, t in templates), default=0)
+    most = int(ROOM * max((len(words_of(t)) for _, t in templates), default=0))
     wrapped = runs(F.col("_text"), mark, vectors, min_cosine, most)
     whole = F.when(is_license_file(F.col(path_col)), F.array("_text")).otherwise(F.array().cast("array<string>"))
     held = docs.select(path_col, F.coalesce(text_col, F.lit("")).alias("_text")).where(F.regexp_like(F.lower("_text"), mark))
     units = held.select(path_col, F.xxhash64("_text").alias("_hash"), F.posexplode(F.concat(lines, wrapped, whole)).alias("_unit", "_line"))
-    tf = units.select(path_col, "_hash", "_unit", F.explode(words(F.col("_line"))).alias("w")).join(weights, "w").groupBy(path_col, "_hash", "_unit", "w").agg((F.count("*") * F.first("idf")).alias("y"))
+    tf = units.select(path_col, "_hash", "_unit", F.explode(words(F.col("_line"))).alias("w")).join(weights, "w", "left").groupBy(path_col, "_hash", "_unit", "w").agg((F.count("*") * F.coalesce(F.first("idf"), F.lit(other))).alias("y"))
     norms = tf.groupBy(path_col, "_hash", "_unit").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"), F.collect_list(F.struct("w", "y")).alias("v"))
     dots = norms.select(path_col, "_hash", "_unit", "norm", F.explode("v").alias("v")).select(path_col, "_hash", "_unit", "norm", "v.w", "v.y").join(terms, "w")
     cosines = dots.groupBy(path_col, "_hash", "_unit", "template", "license").agg((F.sum(F.col("x") * F.col("y")) / F.first("norm")).alias("c"))
-    best = cosines.where(F.col("c") >= min_cosine).groupBy(path_col, "_hash").agg(F.min(F.struct((-F.round("c", 9)).alias("c"), "license")).alias("b"))
+    sizes = F.element_at(F.array(*(F.lit(len(words_of(t))) for _, t in templates)), F.col("template") + 1)
+    units = cosines.where(F.col("c") >= min_cosine).groupBy(path_col, "_hash", "_unit").agg(F.min(F.struct((-F.round("c", 9)).alias("c"), "license", (-sizes).alias("n"))).alias("u"))
+    best = units.groupBy(path_col, "_hash").agg(F.min(F.struct(F.when(F.col("u.c") <= -SURE, F.col("u.n")).otherwise(0).alias("n"), F.col("u.c").alias("c"), F.col("u.license").alias("license"))).alias("b"))
     return best.select(path_col, "_hash", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates=TEMPLATES, min_cosine: float = 0.75) -> DataFrame:
     """One row per document: id, path, license, cosine, origin (``own``, ``inherited`` or null), license_dir."""
-    own = own_licenses(docs, path_col, text_col, templates, min_cosine)
-    slim = docs.select(id_col, path_col, F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_hash"), directory(F.col(path_col)).alias("_dir"))
+    own = materialise(own_licenses(docs, path_col, text_col, templates, min_cosine))
+    slim = materialise(docs.select(id_col, path_col, F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_hash"), F.coalesce(directory(F.col(path_col)), F.lit(_NOWHERE)).alias("_dir")))
     files = own.where(is_license_file(F.col(path_col))).select(directory(F.col(path_col)).alias("license_dir"), F.struct((-F.col("cosine")).alias("c"), "license").alias("b"))
     holders = files.groupBy("license_dir").agg(F.min("b").alias("b")).select("license_dir", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
+    dirs = materialise(slim.groupBy("_dir").agg(F.count("*").alias("_files")))
     parts = F.split("_dir", "/")
     ancestors = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    dirs = slim.where("_dir is not null").select("_dir").distinct().select("_dir", F.explode(ancestors).alias("license_dir")).distinct()
-    nearest = dirs.join(holders, "license_dir").groupBy("_dir").agg(F.max_by(F.struct("license_dir", "license", "cosine"), F.length("license_dir")).alias("up"))
+    above = dirs.where(F.col("_dir") != _NOWHERE).select("_dir", F.explode(ancestors).alias("license_dir")).distinct()
+    nearest = above.join(holders, "license_dir").groupBy("_dir").agg(F.max_by(F.struct("license_dir", "license", "cosine"), F.length("license_dir")).alias("up"))
     keyed = own.withColumnsRenamed({path_col: "_own_path", "_hash": "_own_hash"})
-    joined = slim.join(keyed, slim[path_col].eqNullSafe(keyed["_own_path"]) & (slim["_hash"] == keyed["_own_hash"]), "left").join(nearest, "_dir", "left")
+    joined = slim.join(keyed, slim[path_col].eqNullSafe(keyed["_own_path"]) & (slim["_hash"] == keyed["_own_hash"]), "left")
+    placed = join_spread(joined, dirs.join(nearest, "_dir", "left"), "_dir", "_files", dirs.agg(F.sum("_files")).first()[0] or 0)
     origin = F.when(F.col("license").isNotNull(), "own").when(F.col("up").isNotNull(), "inherited")
-    return joined.select(id_col, path_col, F.coalesce("license", "up.license").alias("license"), F.coalesce("cosine", "up.cosine").alias("cosine"), origin.alias("origin"), F.when(origin == "inherited", F.col("up.license_dir")).alias("license_dir"))
+    return placed.select(id_col, path_col, F.coalesce("license", "up.license").alias("license"), F.coalesce("cosine", "up.cosine").alias("cosine"), origin.alias("origin"), F.when(origin == "inherited", F.col("up.license_dir")).alias("license_dir"))

@@ -103,10 +103,12 @@ idf AS (SELECT w, ln((1 + (SELECT count(*) FROM p)) / (1 + coalesce(n, 0))::DOUB
 tv AS (SELECT template, license, w, count(*) * any_value(idf) AS y FROM tw JOIN idf USING (w) GROUP BY ALL),
 tn AS (SELECT template, license, w, y / sqrt(sum(y * y) OVER (PARTITION BY template)) AS x FROM tv),
 units AS (SELECT doc_id, i, s[i] AS line FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, CASE WHEN is_file THEN list_append(string_split(text, chr(10)), text) ELSE string_split(text, chr(10)) END AS s FROM p))),
-uw AS (SELECT doc_id, i, w, count(*) * any_value(idf) AS y FROM (SELECT doc_id, i, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS w FROM units) JOIN idf USING (w) GROUP BY doc_id, i, w),
+uw AS (SELECT doc_id, i, w, count(*) * coalesce(any_value(idf), (SELECT ln((1 + count(*)) / 2.0) + 1 FROM p)) AS y FROM (SELECT doc_id, i, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS w FROM units) LEFT JOIN idf USING (w) GROUP BY doc_id, i, w),
 un AS (SELECT doc_id, i, w, y / sqrt(sum(y * y) OVER (PARTITION BY doc_id, i)) AS y FROM uw),
-cos AS (SELECT doc_id, i, template, license, sum(x * y) AS c FROM un JOIN tn USING (w) GROUP BY ALL),
-own AS (SELECT doc_id, license, round(c, 9) AS cosine FROM cos WHERE c >= 0.75 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(c, 9) DESC, license) = 1),
+cos AS (SELECT doc_id, i, template, license, round(sum(x * y), 9) AS c FROM un JOIN tn USING (w) GROUP BY ALL),
+sizes AS (SELECT template, count(*) AS n FROM tw GROUP BY template),
+unit AS (SELECT doc_id, license, c, n FROM cos JOIN sizes USING (template) WHERE c >= 0.75 QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY c DESC, license, n DESC) = 1),
+own AS (SELECT doc_id, license, c AS cosine FROM unit QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN c >= 0.9 THEN -n ELSE 0 END, c DESC, license) = 1),
 holders AS (SELECT dir AS license_dir, license, cosine FROM p JOIN own USING (doc_id) WHERE is_file QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, license) = 1),
 near AS (SELECT doc_id, h.* FROM p JOIN holders h ON dir = license_dir OR starts_with(dir, license_dir || '/') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(license_dir) DESC) = 1)
 SELECT doc_id, path, coalesce(own.license, near.license) AS license, coalesce(own.cosine, near.cosine) AS cosine,

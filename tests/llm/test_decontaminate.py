@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import numpy as np
+
 from medialake.llm import decontaminate
 from tests.llm.cases import awkward, empty
 
@@ -41,6 +43,31 @@ def test_documents_in_one_and_many_blocks(spark):
     assert any(x[4] for x in expected.values())
 
 
+def test_matcher_equals_all_windows():
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{i}" for i in range(6)]
+    items = [(str(i), " ".join(rng.choice(vocabulary, int(rng.integers(0, 40)))).encode()) for i in range(30)]
+    docs = [(i, " ".join(rng.choice(vocabulary[: 3 + i % 4], int(rng.integers(0, 400))))) for i in range(40)]
+    docs += [(100 + i, items[i][1].decode()) for i in range(30)]
+    for window in (1, 2, 5, 10, 11):
+        m = decontaminate.Matcher(items, window)
+        m.CHUNK = 97
+        windows = {}
+        for i, t in items:
+            w = t.split()
+            for k in range(max(1, len(w) - window + 1)) if w else ():
+                windows.setdefault(tuple(w[k : k + window]), set()).add(i)
+        for _, t in docs:
+            w, hit, found = t.encode().split(), set(), set()
+            for k in range(len(w)):
+                for n in range(1, window + 1):
+                    if own := windows.get(tuple(w[k : k + n])) if k + n <= len(w) else None:
+                        hit.update(range(k, k + n))
+                        found |= own
+            spans, items_found = m.scan(w)
+            assert {p for a, z in spans for p in range(a, z + 1)} == hit and items_found == found
+
+
 def test_offsets_point_into_the_original(spark):
     text = "Ünïcode before: ONE two, three -- FOUR five six seven eight nine ten eleven; after"
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")

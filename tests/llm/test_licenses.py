@@ -47,6 +47,40 @@ def test_wrapped_headers(spark):
     assert got == {1: ("MIT", "own"), 2: ("GPL-3.0", "own"), 3: ("BSD-3-Clause", "own"), 4: (None, None), 5: ("BSD-3-Clause", "own"), 6: ("MIT", "own"), 7: (None, None)}
 
 
+HEADERS = {
+    "MIT": "Copyright (c) 2021 A. Person\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "LGPL-3.0": "This library is free software: you can redistribute it and/or modify\nit under the terms of the GNU Lesser General Public License as published\nby the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published\nby the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS",
+    "BSD-3-Clause": "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+}
+
+
+def test_headers_in_comments_and_plain_prose(spark):
+    rows, code = [], "\n\nimport numbers\n\ndef add(one, two):\n    return one + two\n"
+    for name, text in HEADERS.items():
+        for k, mark in enumerate(("", "# ", "// ", " * ")):
+            rows.append((f"{name}/{k}", f"{name}/{k}/x", "\n".join(mark + line for line in text.split("\n")) + code))
+    prose = ["In the end all rights were reserved", "The license was lost, and nobody could say who had published it.", "Permission is a fine thing, but this person had none to give.", "words and more words\n" * 50]
+    rows += [(f"prose/{i}", f"p{i}/x", t) for i, t in enumerate(prose)]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, path string, text string")).collect()}
+    wrong = {k: v for k, v in got.items() if v != (None if k.startswith("prose") else k.split("/")[0])}
+    assert not wrong, wrong
+
+
+def test_pattern_of_anchors():
+    import re
+
+    found = ["a", "any", "and", "license", "licenses", "b2"]
+    pattern = re.compile(licenses.any_of(found))
+    assert all(pattern.fullmatch(w) for w in found) and not any(pattern.fullmatch(w) for w in ("an", "licen", "b", "", "anyone"))
+    assert not re.search(licenses.any_of([]), "anything")
+
+
 def test_runs_equal_all_pairs_of_lines(spark):
     vectors = licenses.template_vectors([("a", "p q r s"), ("b", "u v")], dict.fromkeys("pqrsuv", 1.0))
     text = "x p\n\nq\nr s x\nx x\nu\nx u\n--\nv p q\nr\ns x x x x x x\nq r s\nx x x\np"
