@@ -1,17 +1,17 @@
 """Language-model scores by deleted interpolation.
 
-Model: p(w | v) = a * c(v, w) / c(v) + (1 - a) * (c(w) + 0.5) / (N + 0.5 (V + 1)).
-The weight ``a`` belongs to the bucket of the context's count, floor(log2(c(v) + 1)).
-It is learned by expectation-maximisation on held-out counts: one in ``em_part``
-training documents is set aside, the estimates come from the others, and the
-ratio of the two components of each held-out token enters a histogram (bucket
-by quarter of a binary order), which is all that reaches the driver.  The final
-counts include the part set aside.
-
-All counts are taken over all training documents.  N-grams travel as keys, so
-the tables hold no text: 64 bits for a word; for a pair 20 bits more than the
-number of tokens takes (63 at most), so that about one pair in a million
-shares its key with another.
+Model: p(w | u v) = a c(u v w) / c(u v) + b c(v w) / c(v) + (1 - a - b) (c(w) + 0.5) / (N + 0.5 (V + 1)).
+The weights belong to the bucket of the context: floor(log2(c(u v) + 1)) of the
+pair, or of the word where the pair was never seen (a is 0 there) or where a
+text begins.  They are learned by expectation-maximisation on held-out counts:
+one in ``em_part`` training documents is set aside, the estimates come from the
+others, and the ratios of the first two components to the third of each token
+set aside enter a histogram (bucket by half binary orders), which is all that
+reaches the driver.  The final counts include the part set aside.
+
+All counts are taken over all training documents.  N-grams travel as keys of 64
+bits, so the tables hold no text; at 10^13 tokens a key is shared with another
+n-gram with a probability of about 10^-6.
 1. Each task packs the documents it reads into blocks, one row each, with the
    texts compressed; this table is written to the shared folder.
 2. A block sends each of its distinct keys once, with its count, to the key's
@@ -47,7 +47,7 @@ from medialake.llm.common import id_fold, materialise
 _END = (0x5BD1E995A5A5A5A5).to_bytes(8, "big")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _NONE_BIN = -1000
-_SPACES = ("w", "p")  # words, pairs
+_SPACES = ("w", "p", "t")  # words, pairs, triples
 
 
 # --- tokens and keys --------------------------------------------------------
@@ -61,17 +61,25 @@ def word_keys(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), dtype=">u8").astype(np.uint64), np.array(lengths, dtype=np.int64)
 
 
-def pair_keys(words: np.ndarray, lengths: np.ndarray, bits: int) -> np.ndarray:
-    """Keys below 2**bits of (word before, word); a text starts after an end."""
-    x = np.empty_like(words)
-    x[1:] = words[:-1]
-    x[np.cumsum(lengths) - lengths] = np.uint64(int.from_bytes(_END, "big"))
+def _mixed(x: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Keys of (what ``x`` stands for, word); changes ``x``."""
     x *= _M1
     x ^= (words >> np.uint64(31)) ^ (words << np.uint64(33))
     x *= _M2
     x ^= x >> np.uint64(32)
     x *= _M1
-    return x >> np.uint64(64 - bits)
+    return x
+
+
+def gram_keys(words: np.ndarray, lengths: np.ndarray) -> dict[str, np.ndarray]:
+    """Keys of each token's word, of the pair and of the triple that it ends; a text starts after two ends."""
+    keys, first = {"w": words}, np.cumsum(lengths) - lengths
+    for space, shorter, edge in (("p", "w", int.from_bytes(_END, "big")), ("t", "p", 0x1F83D9ABFB41BD6B)):
+        x = np.empty_like(words)
+        x[1:] = keys[shorter][:-1]
+        x[first] = np.uint64(edge)
+        keys[space] = _mixed(x, words)
+    return keys
 
 
 class Distinct:
@@ -92,8 +100,8 @@ class Distinct:
         return np.add.reduceat(flags[self.order].astype(np.int64), self.starts)
 
 
-def _edges(buckets: int, bits: int) -> np.ndarray:
-    return np.array([-(-(i << bits) // buckets) for i in range(1, buckets)], dtype=np.uint64)
+def _edges(buckets: int) -> np.ndarray:
+    return np.array([-(-(i << 64) // buckets) for i in range(1, buckets)], dtype=np.uint64)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -152,8 +160,8 @@ def _texts(blob: bytes, sizes: list[int]) -> list[bytes]:
 
 
 # --- counts -----------------------------------------------------------------
-def _block_counts(buckets: int, bits: int):
-    """Rows (bucket, block, asking, keys and counts of words and of pairs) of each block."""
+def _block_counts(buckets: int):
+    """Rows (bucket, block, asking, keys and counts of words, pairs and triples) of each block."""
 
     def run(batches):
         for b in batches:
@@ -161,14 +169,15 @@ def _block_counts(buckets: int, bits: int):
                 words, lengths = word_keys(_texts(blob, sizes))
                 flags = [np.repeat(np.array(f, dtype=bool) & (not asking), lengths) for f in (train, em)]  # blocks of the part set aside only ask
                 columns = {}
-                for space, keys, width in (("w", words, 64), ("p", pair_keys(words, lengths, bits), bits)):
-                    d = Distinct(keys)
-                    cut = [0, *np.searchsorted(d.keys, _edges(buckets, width)).tolist(), len(d.keys)]
+                grams = gram_keys(words, lengths)
+                for space in _SPACES:
+                    d = Distinct(grams.pop(space))
+                    cut = [0, *np.searchsorted(d.keys, _edges(buckets)).tolist(), len(d.keys)]
                     columns[space] = [pack(np.diff(d.keys[x:y], prepend=np.uint64(0))) for x, y in zip(cut, cut[1:])]
                     for name, f in zip(("train", "held"), flags):
                         n = d.count(f)
                         columns[f"{space}_{name}"] = [pack(n[x:y]) if n[x:y].any() else b"" for x, y in zip(cut, cut[1:])]
-                some = [i for i in range(buckets) if columns["w"][i] or columns["p"][i]]
+                some = [i for i in range(buckets) if any(columns[c][i] for c in _SPACES)]
                 arrays = [pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([asking] * len(some), pa.bool_())]
                 arrays += [pa.array([columns[c][i] for i in some], pa.binary()) for c in columns]
                 yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "block", "asking", *columns])
@@ -176,8 +185,8 @@ def _block_counts(buckets: int, bits: int):
     return run
 
 
-_COUNTED = "bucket int, block long, asking boolean, w binary, w_train binary, w_held binary, p binary, p_train binary, p_held binary"
-_ANSWERS = "block long, bucket int, asking boolean, w_all binary, w_held binary, p_all binary, p_held binary, tokens long, held_tokens long, vocab long"
+_COUNTED = "bucket int, block long, asking boolean, " + ", ".join(f"{c} binary, {c}_train binary, {c}_held binary" for c in _SPACES)
+_ANSWERS = "block long, bucket int, asking boolean, " + ", ".join(f"{c}_all binary, {c}_held binary" for c in _SPACES) + ", tokens long, held_tokens long, vocab long"
 
 
 def _bucket_sums(t: pa.Table) -> pa.Table:
@@ -211,77 +220,94 @@ def _bucket_sums(t: pa.Table) -> pa.Table:
 class _Counted:
     """Tokens of a block with the sums of their keys."""
 
-    def __init__(self, docs: pa.Table, answers: pa.Table, bits: int):
+    def __init__(self, docs: pa.Table, answers: pa.Table):
         words, self.lengths = word_keys(_texts(docs.column("blob")[0].as_py(), docs.column("sizes")[0].as_py()))
-        self.at = {"w": Distinct(words).at, "p": Distinct(pair_keys(words, self.lengths, bits)).at}
+        grams = gram_keys(words, self.lengths)
+        self.at = {s: Distinct(grams.pop(s)).at for s in _SPACES}
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.answers, self.order = answers, np.argsort(answers.column("bucket").to_numpy()).tolist()
 
-    def counts(self, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts of each token's word, of its pair and of its context."""
-        word, pair = (np.concatenate([unpack(self.answers.column(f"{s}_{name}")[i].as_py()) for i in self.order]).astype(np.float64)[self.at[s]] for s in _SPACES)
-        before = np.empty_like(word)
-        before[1:] = word[:-1]
-        before[self.starts] = word[-1]  # the last token is an end
-        return word, pair, before
+    def counts(self, space: str, name: str) -> np.ndarray:
+        """Count of the n-gram that each token ends."""
+        return np.concatenate([unpack(self.answers.column(f"{space}_{name}")[i].as_py()) for i in self.order]).astype(np.float64)[self.at[space]]
+
+    def estimates(self, counts: dict[str, np.ndarray], n_tokens: int, n_vocab: int):
+        """(context bucket, estimate by triple, by pair, by word) of each token."""
+        word, pair, triple = (counts[s] for s in _SPACES)
+        before, before_pair = np.empty_like(word), np.empty_like(word)
+        before[1:], before_pair[1:] = word[:-1], pair[:-1]
+        before[self.starts], before_pair[self.starts] = word[-1], 0  # the last token is an end
+        low = (word + 0.5) / (n_tokens + 0.5 * (n_vocab + 1))
+        by_pair = np.divide(pair, before, out=np.zeros_like(pair), where=before > 0)
+        by_triple = np.divide(triple, before_pair, out=np.zeros_like(pair), where=before_pair > 0)
+        return context_bucket(before, before_pair), by_triple, by_pair, low
+
+
+def context_bucket(word: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Below 64 for contexts known by the word alone, from 64 on for pairs."""
+    return np.where(pair > 0, 64 + np.floor(np.log2(pair + 1)), np.floor(np.log2(word + 1))).astype(np.int64)
 
 
-def context_bucket(count: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(count + 1)).astype(np.int64)
+def _bins(estimate: np.ndarray, low: np.ndarray) -> np.ndarray:
+    out = np.full(len(low), float(_NONE_BIN))
+    hit = estimate > 0
+    out[hit] = np.round(2 * np.log2(estimate[hit] / low[hit]))
+    return out.astype(np.int64)
 
 
-def _ratios(n_tokens: int, n_vocab: int, bits: int):
-    """Histogram (context bucket, quarter binary orders of the components' ratio) of the part set aside."""
+def _ratios(n_tokens: int, n_vocab: int):
+    """Histogram (context bucket, half binary orders of the ratios of the triple's and the pair's estimate to the word's) of the part set aside."""
 
     def run(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        c = _Counted(docs, answers, bits)
-        word, pair, before = (a - h for a, h in zip(c.counts("all"), c.counts("held")))
-        low = (word + 0.5) / (n_tokens + 0.5 * (n_vocab + 1))
-        ratio = np.full(len(pair), float(_NONE_BIN))
-        hit = (pair > 0) & (before > 0)
-        ratio[hit] = np.round(4 * np.log2(pair[hit] / before[hit] / low[hit]))
-        bins, n = np.unique(np.stack([context_bucket(before), ratio.astype(np.int64)]), axis=1, return_counts=True)
-        return pa.table({"context": pa.array(bins[0], pa.int32()), "ratio": pa.array(bins[1], pa.int32()), "n": pa.array(n, pa.int64())})
+        c = _Counted(docs, answers)
+        bucket, triple, pair, low = c.estimates({s: c.counts(s, "all") - c.counts(s, "held") for s in _SPACES}, n_tokens, n_vocab)
+        bins, n = np.unique(np.stack([bucket, _bins(triple, low), _bins(pair, low)]), axis=1, return_counts=True)
+        return pa.table({"context": pa.array(bins[0], pa.int32()), "triple": pa.array(bins[1], pa.int32()), "pair": pa.array(bins[2], pa.int32()), "n": pa.array(n, pa.int64())})
 
     return run
 
 
-def mixture_weights(histogram: list[tuple[int, int, int]], rounds: int = 100) -> np.ndarray:
-    """Weight of the pair estimate for each context bucket, by expectation-maximisation.
+def mixture_weights(histogram: list[tuple[int, int, int, int]], rounds: int = 200) -> np.ndarray:
+    """Weights (triple, pair, word) of each context bucket, by expectation-maximisation.
 
-    One success and one failure are added to each bucket; contexts never seen get 0.
+    One success of each component is added to each bucket.  Where the pair, or
+    the word, before was never seen there is no estimate by it, and its weight is 0.
     """
-    weights = np.full(64, 0.5)
-    for b in range(64):
-        rows = [(r, n) for c, r, n in histogram if c == b]
-        rho = np.array([0.0 if r == _NONE_BIN else 2.0 ** (r / 4) for r, _ in rows])
-        n = np.array([n for _, n in rows], dtype=float)
-        a = 0.5
+    rows = np.array(sorted(histogram), dtype=np.int64).reshape(-1, 4)
+    weights = np.zeros((128, 3))
+    for b in range(128):
+        own = rows[rows[:, 0] == b]
+        n = own[:, 3].astype(float)
+        ratio = np.stack([np.where(own[:, k] == _NONE_BIN, 0.0, 2.0 ** (own[:, k] / 2)) for k in (1, 2)] + [np.ones(len(own))], axis=1)
+        live = np.array([b >= 64, b > 0, True])
+        a = live / live.sum()
         for _ in range(rounds):
-            a, old = (1 + (n * a * rho / (a * rho + 1 - a)).sum()) / (2 + n.sum()), a
-            if abs(a - old) < 1e-9:
+            part = ratio * a
+            new = live + (part / part.sum(axis=1, keepdims=True) * n[:, None]).sum(axis=0) if len(own) else live.astype(float)
+            new = new / new.sum()
+            done, a = np.abs(new - a).max() < 1e-9, new
+            if done:
                 break
         weights[b] = a
-    weights[0] = 0.0
     return weights
 
 
-def _scores(id_col: str, n_tokens: int, n_vocab: int, weights: np.ndarray, bits: int):
+def _scores(id_col: str, n_tokens: int, n_vocab: int, weights: np.ndarray):
     def run(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        c = _Counted(docs, answers, bits)
-        word, pair, before = c.counts("all")
-        low = (word + 0.5) / (n_tokens + 0.5 * (n_vocab + 1))
-        a = weights[context_bucket(before)]
-        p = a * np.divide(pair, before, out=np.zeros_like(pair), where=before > 0) + (1 - a) * low
+        c = _Counted(docs, answers)
+        counts = {s: c.counts(s, "all") for s in _SPACES}
+        bucket, triple, pair, low = c.estimates(counts, n_tokens, n_vocab)
+        a = weights[bucket]
+        p = a[:, 0] * triple + a[:, 1] * pair + a[:, 2] * low
         base, score = (np.add.reduceat(np.log10(x), c.starts) for x in (low, p))
-        known = np.add.reduceat((word > 0).astype(np.int64), c.starts)
+        known = np.add.reduceat((counts["w"] > 0).astype(np.int64), c.starts)
         columns = [docs.column("ids")[0].values, docs.column("held")[0].values, c.lengths, known, np.full(len(known), n_tokens, dtype=np.int64), base, score]
         return pa.table(columns, names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, em_part: int = 20, block_bytes: int = 6 << 20, bucket_bytes: int = 8 << 20, min_buckets: int = 24) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, em_part: int = 20, block_bytes: int = 4 << 20, bucket_bytes: int = 6 << 20, min_buckets: int = 24) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     kind = docs.schema[id_col].dataType.simpleString()
     fold = id_fold(id_col, folds * em_part)
@@ -290,19 +316,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     total = slim.agg(F.sum(F.coalesce(F.octet_length("_t"), F.lit(0)).cast("long") + 16)).first()[0] or 0
     size = max(block_bytes, int(math.sqrt(64 * total)))
     buckets = max(min_buckets, -(-total // max(bucket_bytes, 2 * size)))
-    bits = min(63, max(32, total.bit_length() - 2) + 20)
     bools = "array<boolean>"
     id_type = pa.schema(_arrow_field(slim.schema["_id"].dataType)).field(0).type
     blocks = materialise(slim.mapInArrow(_pack_blocks(size, id_type), f"block long, asking boolean, ids array<{kind}>, held {bools}, train {bools}, em {bools}, sizes array<int>, blob binary"))
-    counted = blocks.select("block", "asking", "train", "em", "sizes", "blob").mapInArrow(_block_counts(buckets, bits), _COUNTED)
-    answers = materialise(counted.groupBy("bucket").applyInArrow(_bucket_sums, _ANSWERS))
+    counted = blocks.select("block", "asking", "train", "em", "sizes", "blob").mapInArrow(_block_counts(buckets), _COUNTED)
+    answers = materialise(counted.repartition(3 * buckets, "bucket").groupBy("bucket").applyInArrow(_bucket_sums, _ANSWERS))
     n_tokens, n_held, n_vocab = (x or 0 for x in answers.where("block = -1").agg(F.sum("tokens"), F.sum("held_tokens"), F.sum("vocab")).first())
-    asked = answers.where("asking").select("block", "bucket", "w_all", "w_held", "p_all", "p_held").groupBy("block")
-    bins = blocks.where("asking").select("block", "sizes", "blob").groupBy("block").cogroup(asked).applyInArrow(_ratios(n_tokens - n_held, n_vocab, bits), "context int, ratio int, n long")
-    weights = mixture_weights([tuple(map(int, r)) for r in bins.groupBy("context", "ratio").agg(F.sum("n")).collect()])
-    mine = answers.where("not asking and block >= 0").select("block", "bucket", "w_all", "p_all").groupBy("block")
+    asked = answers.where("asking").drop("asking", "tokens", "held_tokens", "vocab").groupBy("block")
+    bins = blocks.where("asking").select("block", "sizes", "blob").groupBy("block").cogroup(asked).applyInArrow(_ratios(n_tokens - n_held, n_vocab), "context int, triple int, pair int, n long")
+    weights = mixture_weights([tuple(map(int, r)) for r in bins.groupBy("context", "triple", "pair").agg(F.sum("n")).collect()])
+    mine = answers.where("not asking and block >= 0").select("block", "bucket", *(f"{s}_all" for s in _SPACES)).groupBy("block")
     out = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.where("not asking").select("block", "ids", "held", "sizes", "blob").groupBy("block").cogroup(mine).applyInArrow(_scores(id_col, n_tokens, n_vocab, weights, bits), out)
+    return blocks.where("not asking").select("block", "ids", "held", "sizes", "blob").groupBy("block").cogroup(mine).applyInArrow(_scores(id_col, n_tokens, n_vocab, weights), out)
 
 
 def _arrow_field(spark_type) -> list:
