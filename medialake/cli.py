@@ -27,6 +27,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--version", action="version", version=f"%(prog)s {VERSION}")
     p.add_argument("--log-level", default="INFO", choices=["DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL"])
     commands = p.add_subparsers(dest="command")
+    # Names and defaults of the commands and options.
     one = commands.add_parser("index", help="scan a folder and save all images")
     one.add_argument("--path", required=True)
     one.add_argument("--workers", type=int, default=4)
@@ -54,8 +55,8 @@ def run(args: argparse.Namespace) -> int:
         print(f"Indexed {r.processed} of {r.discovered} files ({r.errors} errors).")
     elif args.command == "sync":
         r = sync(spark, args.path, library, args.cleanup_deleted, args.reprocess_modified, args.index_new, args.dry_run)
-        print(f"new={r.new_files} modified={r.modified_files} deleted={r.deleted_entries} unchanged={r.unchanged_files} errors={len(r.errors)}")
-        return 2 if r.errors else 0
+        print(f"new={r.new_files} modified={r.modified_files} deleted={r.deleted_entries} unchanged={r.unchanged_files} errors={r.error_count}")
+        return 2 if r.error_count else 0
     elif args.command == "stats":
         print(f"{library.count()} images")
     elif args.command == "search":

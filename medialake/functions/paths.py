@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: File suffixes indexed by default.
+# Suffixes indexed by default.
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".tiff", ".tif", ".bmp", ".gif", ".webp", ".heic", ".heif", ".raw", ".cr2", ".nef", ".arw", ".dng")
 
 #: Media types by suffix; others are octet streams.

@@ -22,18 +22,21 @@ def file_states(disk: DataFrame, db: DataFrame, hashes: Callable[[DataFrame], Da
 
     ``disk``: norm_path, size_bytes, modified_time, ord.  ``db``: norm_path,
     size_bytes, file_hash, ord.  ``hashes``: a table (norm_path, current_hash,
-    hash_error), or a function that makes it from the rows that need a hash.
-    Only rows that are new or of another size are hashed: equal sizes count as
-    unchanged.  A known file that cannot be hashed is left out.
+    hash_error), or a function that adds these two columns to the rows that
+    need a hash.  Only rows that are new or of another size are hashed: equal
+    sizes count as unchanged.  A known file that cannot be hashed is left out.
+    Rows that need no hash and those that do part after one join and meet in a
+    union; both sides read the same shuffle.
     """
     d = last_by(disk.select("norm_path", "size_bytes", "modified_time", "ord"), "norm_path", "ord").drop("ord")
     b = last_by(db.select("norm_path", F.col("size_bytes").alias("db_size"), F.col("file_hash").alias("db_hash"), "ord"), "norm_path", "ord").drop("ord")
     joined = d.withColumn("on_disk", F.lit(True)).join(b.withColumn("in_db", F.lit(True)), "norm_path", "full")
     disk_only, db_only = F.col("in_db").isNull(), F.col("on_disk").isNull()
-    same_size = F.col("size_bytes") == F.col("db_size")
-    needed = joined.where(F.col("on_disk") & (disk_only | ~same_size)).select("norm_path")
-    found = hashes(needed) if callable(hashes) else hashes
-    full = joined.join(found.select("norm_path", "current_hash", "hash_error"), "norm_path", "left")
+    same_size = F.coalesce(F.col("size_bytes") == F.col("db_size"), F.lit(False))
+    asks = ~db_only & (disk_only | ~same_size)
+    needed, none = joined.where(asks), F.lit(None).cast("string")
+    found = hashes(needed) if callable(hashes) else needed.join(hashes.select("norm_path", "current_hash", "hash_error"), "norm_path", "left")
+    full = joined.where(~asks).withColumns({"current_hash": none, "hash_error": none}).unionByName(found.select(*joined.columns, "current_hash", "hash_error"))
     state = F.when(db_only, "DELETED").when(disk_only, "NEW").when(same_size | (F.col("current_hash") == F.col("db_hash")), "UNCHANGED").otherwise("MODIFIED")
     known = F.when(db_only | (~disk_only & same_size), F.col("db_hash")).otherwise(F.col("current_hash"))
     unreadable = ~disk_only & ~db_only & ~same_size & F.col("current_hash").isNull()
@@ -44,6 +47,14 @@ def file_states(disk: DataFrame, db: DataFrame, hashes: Callable[[DataFrame], Da
     )
 
 
+def below(rows: DataFrame, column: str, folders: DataFrame, folder: str) -> DataFrame:
+    """``rows`` whose path in ``column`` is one of ``folders[folder]``, or lies below one."""
+    parts = F.split(column, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    hit = rows.select(column, F.explode(above).alias("_above")).join(folders.select(F.col(folder).alias("_above")).distinct(), "_above", "left_semi")
+    return rows.join(hit.select(column).distinct(), column, "left_semi")
+
+
 def state_counts(states: DataFrame) -> DataFrame:
     """One row (state, n) for each of the four states, zeros included."""
     one = states.agg(*[F.count_if(F.col("state") == s).alias(s) for s in STATES])

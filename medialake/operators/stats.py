@@ -24,3 +24,8 @@ def run_totals(rows: DataFrame, seconds: float | None) -> DataFrame:
     one = rows.agg(F.count("*").alias("discovered"), F.count_if(~failed).alias("processed"), F.count_if(failed).alias("errors"), F.coalesce(F.sum(F.when(~failed, F.col("size_bytes"))), F.lit(0)).cast("long").alias("bytes"))
     rate = F.col("processed") / (seconds / 60) if seconds else F.lit(0.0)
     return one.withColumn("images_per_minute", rate)
+
+
+def outcomes(rows: DataFrame) -> DataFrame:
+    """(state, error_type, n) of decoded files; a null error is a success."""
+    return rows.groupBy("state", "error_type").agg(F.count("*").alias("n"))

@@ -37,3 +37,8 @@ def with_paths(rows: DataFrame, paths: DataFrame, column: str = "file_info.path"
 def first_where(rows: DataFrame, column: str, value: str, order: str = "doc_id") -> DataFrame:
     """The first row by ``order`` whose ``column`` equals ``value``; none if there is none."""
     return rows.where(F.col(column) == F.lit(value)).orderBy(order).limit(1)
+
+
+def unique_contents(files: DataFrame, order: str = "seq") -> DataFrame:
+    """(file_hash, path, copies): one row a content, with the path that came last."""
+    return files.groupBy("file_hash").agg(F.max_by("path", order).alias("path"), F.count("*").alias("copies"))

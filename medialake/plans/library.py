@@ -16,17 +16,35 @@ from pyspark.sql import functions as F
 from medialake.operators import stats, store
 from medialake.schemas import LIBRARY_SCHEMA
 
+_LOG = "version long, snapshot string"
+
 
 class Library:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     def _current(self) -> tuple[int, str | None]:
+        """(version, snapshot); (0, None) only where there is no library at all.
+
+        Snapshots without a log are data that this class cannot name, so they
+        raise: the next commit must not pass for the whole library.
+        """
+        try:
+            last = self.spark.read.schema(_LOG).parquet(f"{self.path}/log").orderBy(F.desc("version")).limit(1).collect()
+        except AnalysisException:
+            last = []
+        if last:
+            return last[0].version, last[0].snapshot
+        if self._holds_data():
+            raise RuntimeError(f"{self.path} has snapshots but no log: restore the log, or remove the folder")
+        return 0, None
+
+    def _holds_data(self) -> bool:
         try:
-            last = self.spark.read.schema("version long, snapshot string").parquet(f"{self.path}/log").orderBy(F.desc("version")).limit(1).collect()
+            files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(self.path)
+            return bool(files.where(~F.contains("path", F.lit("/log/"))).select("path").head(1))
         except AnalysisException:
-            return 0, None
-        return (last[0].version, last[0].snapshot) if last else (0, None)
+            return False
 
     def read(self) -> DataFrame:
         """All rows (``list_all``)."""
@@ -40,7 +58,9 @@ class Library:
         version, _ = self._current()
         snapshot = f"v{version + 1:08d}-{uuid.uuid4().hex[:8]}"
         rows.write.parquet(f"{self.path}/{snapshot}")
-        self.spark.createDataFrame([(version + 1, snapshot)], "version long, snapshot string").coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+        self.spark.createDataFrame([(version + 1, snapshot)], _LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+        if self.spark.read.schema(_LOG).parquet(f"{self.path}/log").where(F.col("version") == version + 1).count() > 1:
+            raise RuntimeError(f"two writers made version {version + 1} of {self.path}: one of them must save again")
         return version + 1
 
     def save(self, rows: DataFrame, order: str = "seq") -> int:

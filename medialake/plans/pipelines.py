@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import datetime
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from medialake.functions.exif import exif_struct
 from medialake.functions.paths import IMAGE_SUFFIXES, mime_type
@@ -18,6 +18,10 @@ from medialake.plans.library import Library
 from medialake.sources.decode import decode, hashed
 from medialake.sources.walk import list_files
 
+#: (session, folder, suffixes) -> file rows; file rows -> file rows with the DECODED columns.
+Source = Callable[[SparkSession, str, object], DataFrame]
+Extractor = Callable[[DataFrame], DataFrame]
+
 
 @dataclass
 class SyncResult:
@@ -26,6 +30,7 @@ class SyncResult:
     deleted_entries: int = 0
     unchanged_files: int = 0
     errors: list[str] = field(default_factory=list)
+    error_count: int = 0
     duration_seconds: float = 0.0
 
     @property
@@ -53,27 +58,43 @@ def library_rows(decoded: DataFrame, added_at: datetime.datetime) -> DataFrame:
     )
 
 
-def numbered(files: DataFrame) -> DataFrame:
-    """Order of discovery: by path.  Numbers are per directory group, not from one task."""
-    by_folder = files.withColumn("_folder", F.regexp_replace("original_path", "[^/]*$", ""))
-    sizes = by_folder.groupBy("_folder").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_folder").rowsBetween(Window.unboundedPreceding, -1)))
-    rank = F.row_number().over(Window.partitionBy("_folder").orderBy("original_path"))
-    placed = by_folder.withColumn("_rank", rank).join(before.select("_folder", "_before"), "_folder")
-    return placed.withColumn("seq", F.coalesce("_before", F.lit(0)) + F.col("_rank") - 1).drop("_folder", "_rank", "_before")
-
+def numbered(files: DataFrame, parts: int = 0) -> DataFrame:
+    """Files with ``seq``, their place by path, from 0.
 
-def index(spark: SparkSession, folder: str, library: Library, workers: int = 4, fail_fast: bool = False, suffixes=IMAGE_SUFFIXES, added_at: datetime.datetime | None = None) -> IndexResult:
+    Paths are dealt to ranges and sorted there; what reaches the driver is the
+    number of rows of each range.  The result is kept, so that numbers do not
+    change, and ``parts`` tasks (by default four a core) read it.
+    """
+    spark = files.sparkSession
+    ranged = files.repartitionByRange(max(parts, 4 * spark.sparkContext.defaultParallelism), "original_path").sortWithinPartitions("original_path")
+    kept = ranged.withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    part = F.shiftright("_at", 33)
+    before, offsets = 0, []
+    for p, n in sorted(map(tuple, kept.groupBy(part.alias("p")).count().collect())):
+        offsets.append((p, before))
+        before += n
+    first = F.broadcast(spark.createDataFrame(offsets, "_part long, _before long"))
+    return kept.join(first, part == F.col("_part")).withColumn("seq", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
+
+
+def index(spark: SparkSession, folder: str, library: Library, workers: int = 4, fail_fast: bool = False, suffixes=IMAGE_SUFFIXES, added_at: datetime.datetime | None = None, source: Source = list_files, extractor: Extractor = decode, progress: Callable[[dict], None] | None = None) -> IndexResult:
     """Scan, decode and save all images below ``folder``.
 
     Files that cannot be read are counted and left out; with ``fail_fast`` the
-    first one raises and nothing is saved.
+    first one raises and nothing is saved.  ``source`` lists files (FILE_SCHEMA,
+    and ``content`` if it has the bytes), ``extractor`` adds the DECODED columns;
+    ``workers`` is the least number of tasks.  ``progress`` is told the counts
+    once the files have been decoded.
     """
     began = time.monotonic()
-    files = numbered(list_files(spark, folder, suffixes)).repartition(max(1, workers))
-    decoded = decode(files).persist(StorageLevel.MEMORY_AND_DISK)
+    files = numbered(source(spark, folder, suffixes), workers)
+    seen = Observation("progress")
+    decoded = extractor(files).observe(seen, F.count(F.lit(1)).alias("discovered"), F.count("decode_error").alias("errors"), F.sum("size_bytes").alias("bytes")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         failed = decoded.where("decode_error is not null")
+        decoded.count()
+        if progress:
+            progress(seen.get)
         if fail_fast and (bad := failed.select("decode_error").first()):
             raise OSError(bad[0])
         library.save(library_rows(decoded.where("decode_error is null"), added_at or datetime.datetime.now()))
@@ -84,30 +105,38 @@ def index(spark: SparkSession, folder: str, library: Library, workers: int = 4,
         decoded.unpersist()
 
 
-def sync(spark: SparkSession, folder: str, library: Library, cleanup_deleted: bool = False, reprocess_modified: bool = True, index_new: bool = True, dry_run: bool = False, suffixes=IMAGE_SUFFIXES, keep_superseded: bool = False, scope_to_path: bool = False, added_at: datetime.datetime | None = None) -> SyncResult:
+def sync(spark: SparkSession, folder: str, library: Library, cleanup_deleted: bool = False, reprocess_modified: bool = True, index_new: bool = True, dry_run: bool = False, suffixes=IMAGE_SUFFIXES, keep_superseded: bool = False, scope_to_path: bool = False, added_at: datetime.datetime | None = None, source: Source = list_files, extractor: Extractor = decode, hashes=hashed, analyzer=diff.file_states, max_errors: int = 1000) -> SyncResult:
     """Bring ``library`` in step with the files below ``folder``.
 
     New and modified files are saved first; then, with ``cleanup_deleted``, the
     rows whose own path is gone are dropped, so the row of a renamed file
     stays.  A modified file retires the row of its former content at the same
-    path, unless ``keep_superseded``.
+    path, unless ``keep_superseded``.  What lies in a folder, or behind a file,
+    that could not be read is not deleted.  ``errors`` holds ``max_errors``
+    messages at most, ``error_count`` counts all.  ``source``, ``extractor``,
+    ``hashes`` and ``analyzer`` replace the own listing, decoding, hashing and
+    change analysis.
     """
     began = time.monotonic()
-    scanned = list_files(spark, folder, suffixes).persist(StorageLevel.MEMORY_AND_DISK)
-    errors = [r[0] for r in scanned.where("error is not null").select("error").collect()]
+    scanned = source(spark, folder, suffixes).persist(StorageLevel.MEMORY_AND_DISK)
+    unread = scanned.where("error is not null")
+    errors, n_errors = [r[0] for r in unread.select("error").limit(max_errors).collect()], unread.count()
     files = numbered(scanned.where("error is null"))
     old = library.read()
     if scope_to_path:
         old_scope = old.where(F.startswith("norm_path", F.lit(folder.rstrip("/") + "/")))
     else:
         old_scope = old
+    if n_errors:
+        hidden = diff.below(old_scope.select("norm_path").distinct(), "norm_path", unread, "original_path")
+        old_scope = old_scope.join(hidden, "norm_path", "left_anti").select(*old.columns)
     db = old_scope.select("norm_path", F.col("file_info.size_bytes").alias("size_bytes"), "file_hash", F.col("doc_id").alias("ord"))
-    states = diff.file_states(files.withColumnRenamed("seq", "ord"), db, hashed).persist(StorageLevel.MEMORY_AND_DISK)
+    states = analyzer(files.withColumnRenamed("seq", "ord"), db, hashes).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         plan = diff.planned(states, cleanup_deleted, reprocess_modified, index_new).first()
-        result = SyncResult(plan.new_files, plan.modified_files, plan.deleted_entries, plan.unchanged_files, errors)
+        result = SyncResult(plan.new_files, plan.modified_files, plan.deleted_entries, plan.unchanged_files, errors, n_errors)
         if not dry_run and plan.total_changes:
-            _apply(spark, states, files, old, library, result, cleanup_deleted, reprocess_modified, index_new, keep_superseded, added_at or datetime.datetime.now())
+            _apply(spark, states, files, old, library, result, cleanup_deleted, reprocess_modified, index_new, keep_superseded, added_at or datetime.datetime.now(), extractor, max_errors)
         result.duration_seconds = time.monotonic() - began
         return result
     finally:
@@ -115,19 +144,21 @@ def sync(spark: SparkSession, folder: str, library: Library, cleanup_deleted: bo
         scanned.unpersist()
 
 
-def _apply(spark, states, files, old, library, result, cleanup_deleted, reprocess_modified, index_new, keep_superseded, added_at) -> None:
+def _apply(spark, states, files, old, library, result, cleanup_deleted, reprocess_modified, index_new, keep_superseded, added_at, extractor, max_errors) -> None:
     wanted = [s for s, on in (("NEW", index_new), ("MODIFIED", reprocess_modified)) if on]
     todo = states.where(F.col("state").isin(*wanted)).select(F.col("file_path").alias("norm_path"), "state", "previous_hash")
     # files reached under several names are read once, by their resolved path, as rows name it
     paths = files.groupBy("norm_path").agg(F.max_by(F.struct("modified_time", "size_bytes", "seq"), "seq").alias("f")).select("norm_path", "f.*")
     work = todo.join(paths, "norm_path").withColumn("original_path", F.col("norm_path")).withColumn("filename", F.element_at(F.split("norm_path", "/"), -1)).withColumn("error", F.lit(None).cast("string"))
-    decoded = decode(work).persist(StorageLevel.MEMORY_AND_DISK)
+    decoded = extractor(work).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        failed = decoded.where("decode_error is not null").select("state", "norm_path", "decode_error", "error_type").collect()
-        for r in failed:
+        failed = decoded.where("decode_error is not null")
+        for r in failed.select("state", "norm_path", "decode_error", "error_type").limit(max(0, max_errors - len(result.errors))).collect():
             result.errors.append(r.decode_error if r.error_type == "FileNotFoundError" else f"extract error [{r.state}]: {r.norm_path}: {r.decode_error}")
-        result.new_files -= sum(r.state == "NEW" for r in failed)
-        result.modified_files -= sum(r.state == "MODIFIED" for r in failed)
+        lost = {r.state: r.n for r in stats.outcomes(failed).groupBy("state").agg(F.sum("n").alias("n")).collect()}
+        result.error_count += sum(lost.values())
+        result.new_files -= lost.get("NEW", 0)
+        result.modified_files -= lost.get("MODIFIED", 0)
         good = decoded.where("decode_error is null")
         rows = old
         if not keep_superseded:

@@ -7,6 +7,8 @@ them), cameras from ``part``, times from ``orders``, places from ``customer``.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from medialake.functions import camera, exif, paths
@@ -68,11 +70,11 @@ def directory_markers(spark, sf_dir):
 
 
 def content_dedup(spark, sf_dir):
-    return files(spark, sf_dir).groupBy("file_hash").agg(F.max_by("path", "seq").alias("path"), F.count("*").alias("copies"))
+    return store.unique_contents(files(spark, sf_dir))
 
 
 def mime_counts(spark, sf_dir):
-    return files(spark, sf_dir).groupBy(paths.mime_type(F.col("filename")).alias("mime_type")).agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"))
+    return stats.by_mime(files(spark, sf_dir).select(F.struct(paths.mime_type(F.col("filename")).alias("mime_type"), "size_bytes").alias("file_info")))
 
 
 def ext_rollup(spark, sf_dir):
@@ -99,12 +101,12 @@ def sync_counts(spark, sf_dir):
 
 def sync_plan_flags(spark, sf_dir):
     """What a dry run reports, one row for each setting of the three flags."""
-    counts = diff.state_counts(_states(spark, sf_dir)).groupBy().pivot("state", ["NEW", "MODIFIED", "UNCHANGED", "DELETED"]).agg(F.first("n"))
-    flag = F.explode(F.array(F.lit(False), F.lit(True)))
-    flags = counts.withColumn("cleanup_deleted", flag).withColumn("reprocess_modified", flag).withColumn("index_new", flag)
-    gate = lambda on, n: F.when(F.col(on), F.col(n)).otherwise(F.lit(0)).cast("long")
-    rows = flags.select("cleanup_deleted", "reprocess_modified", "index_new", gate("index_new", "NEW").alias("new_files"), gate("reprocess_modified", "MODIFIED").alias("modified_files"), gate("cleanup_deleted", "DELETED").alias("deleted_entries"), F.col("UNCHANGED").alias("unchanged_files"))
-    return rows.withColumn("total_changes", F.col("new_files") + F.col("modified_files") + F.col("deleted_entries"))
+    states, parts = _states(spark, sf_dir), None
+    for flags in itertools.product((False, True), repeat=3):
+        named = dict(zip(("cleanup_deleted", "reprocess_modified", "index_new"), flags))
+        one = diff.planned(states, **named).select(*(F.lit(v).alias(k) for k, v in named.items()), "*")
+        parts = one if parts is None else parts.unionByName(one)
+    return parts
 
 
 def orphaned_paths(spark, sf_dir):
@@ -143,8 +145,7 @@ def find_paths(spark, sf_dir):
 def lookup_hash(spark, sf_dir):
     """First file with the greatest content hash."""
     f = files(spark, sf_dir)
-    top = f.agg(F.max("file_hash").alias("file_hash"))
-    return f.join(F.broadcast(top), "file_hash").orderBy("seq").limit(1).select("seq", "path", "file_hash")
+    return store.first_where(f, "file_hash", f.agg(F.max("file_hash")).first()[0], "seq").select("seq", "path", "file_hash")
 
 
 def lookup_path(spark, sf_dir):

@@ -22,10 +22,11 @@ def hash_file(path: str) -> str:
     return digest.hexdigest()
 
 
-def _decode_one(path: str):
+def _decode_one(path: str, data: bytes | None = None):
     try:
-        with open(path, "rb") as f:
-            data = f.read()
+        if data is None:
+            with open(path, "rb") as f:
+                data = f.read()
         tags, numbers = read_tags(data)
         width, height = read_size(data)
         return hashlib.sha256(data).hexdigest(), width, height, tags, numbers, None, None
@@ -36,29 +37,35 @@ def _decode_one(path: str):
 
 
 def decode(files: DataFrame, path_col: str = "original_path") -> DataFrame:
-    """``files`` with the DECODED columns; one file's bytes are held at a time."""
+    """``files`` with the DECODED columns; one file's bytes are held at a time.
+
+    A column ``content``, as listings of object stores have it, is read instead
+    of the file, and left out of the result.
+    """
     names = [c.split()[0] for c in DECODED.split(", ")]
 
     def run(batches):
         for pdf in batches:
-            rows = pd.DataFrame([_decode_one(p) for p in pdf[path_col]], columns=names, index=pdf.index)
+            data = pdf.pop("content") if "content" in pdf else [None] * len(pdf)
+            rows = pd.DataFrame([_decode_one(p, x) for p, x in zip(pdf[path_col], data)], columns=names, index=pdf.index)
             yield pd.concat([pdf, rows], axis=1)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields if f.name != "content")
     return files.mapInPandas(run, f"{schema}, {DECODED}")
 
 
-def hashed(paths: DataFrame, path_col: str = "norm_path") -> DataFrame:
-    """(norm_path, current_hash, hash_error) of files, read in chunks."""
+def hashed(rows: DataFrame, path_col: str = "norm_path") -> DataFrame:
+    """``rows`` with current_hash and hash_error of their files, read in chunks."""
 
     def run(batches):
         for pdf in batches:
-            rows = []
+            found = []
             for p in pdf[path_col]:
                 try:
-                    rows.append((p, hash_file(p), None))
+                    found.append((hash_file(p), None))
                 except OSError as e:
-                    rows.append((p, None, str(e)))
-            yield pd.DataFrame(rows, columns=["norm_path", "current_hash", "hash_error"])
+                    found.append((None, str(e)))
+            yield pd.concat([pdf, pd.DataFrame(found, columns=["current_hash", "hash_error"], index=pdf.index)], axis=1)
 
-    return paths.select(path_col).mapInPandas(run, "norm_path string, current_hash string, hash_error string")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInPandas(run, f"{schema}, current_hash string, hash_error string")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from medialake.functions.exif import strip
 from medialake.schemas import PROFILES
@@ -12,6 +15,16 @@ _EXIF = "struct<camera_make:string,camera_model:string,f_stop:double,exposure_ti
 _DOC = f"struct<file_hash:string,file_info:struct<name:string,path:string,size_bytes:long,mime_type:string>,dimensions:struct<width:int,height:int>,exif:{_EXIF},labels:array<string>,added_at:string>"
 
 
+@F.udf(T.StringType())
+def _real(path):
+    return os.path.realpath(path) if path else path
+
+
+def normal(path):
+    """Absolute path without links or dots, as a scan names it."""
+    return _real(path)
+
+
 def typed(docs: DataFrame) -> DataFrame:
     """Library rows of documents whose times are texts.
 
@@ -24,7 +37,7 @@ def typed(docs: DataFrame) -> DataFrame:
     located = F.when(bad, F.raise_error(F.lit("place out of range"))).when(place.isNotNull(), F.struct(place["latitude"].alias("latitude"), place["longitude"].alias("longitude"), place["altitude"].alias("altitude"), F.coalesce(place["datum"], F.lit("WGS84")).alias("datum")))
     profile = F.when(F.col("exif.camera_profile").isin(*PROFILES), F.col("exif.camera_profile")).otherwise("unknown")
     exif = F.col("exif").withField("captured_at", strip(F.col("exif.captured_at")).try_cast("timestamp_ntz")).withField("camera_profile", profile).withField("location", located).withField("raw_tags", F.coalesce("exif.raw_tags", F.create_map().cast("map<string,string>")))
-    return docs.select("file_hash", F.col("doc_id").cast("long").alias("doc_id"), F.col("file_info.path").alias("norm_path"), "file_info", "dimensions", exif.alias("exif"), F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), F.col("added_at").cast("timestamp_ntz").alias("added_at"))
+    return docs.select("file_hash", F.col("doc_id").cast("long").alias("doc_id"), normal(F.col("file_info.path")).alias("norm_path"), "file_info", "dimensions", exif.alias("exif"), F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), F.col("added_at").cast("timestamp_ntz").alias("added_at"))
 
 
 def read_documents(spark: SparkSession, path: str, name: str = "metadata") -> DataFrame:

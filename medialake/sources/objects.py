@@ -19,3 +19,9 @@ def list_objects(spark: SparkSession, url: str, suffixes=None) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(url).where(~is_directory_marker(F.col("path")))
     rows = raw.select(F.col("path").alias("original_path"), basename(F.col("path")).alias("filename"), F.col("length").alias("size_bytes"), F.col("modificationTime").cast("timestamp_ntz").alias("modified_time"), "content")
     return rows if suffixes is None else rows.where(has_suffix(F.col("filename"), suffixes))
+
+
+def list_with_content(spark: SparkSession, url: str, suffixes=None) -> DataFrame:
+    """A source for ``index``: the rows of ``list_objects`` as file rows, with the bytes that ``decode`` reads."""
+    rows = list_objects(spark, url, suffixes)
+    return rows.withColumns({"norm_path": F.col("original_path"), "error": F.lit(None).cast("string")})

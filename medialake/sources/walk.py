@@ -7,6 +7,7 @@ to tasks; the tasks list and stat the files.
 
 from __future__ import annotations
 
+import contextlib
 import datetime
 import os
 
@@ -28,8 +29,8 @@ def deal(root: str, parts: int) -> list[Subtree]:
     while deep and len(deep) < 4 * parts:
         level = []
         for folder in deep:
-            flat.append((folder, False))
-            with os.scandir(folder) as found:
+            flat.append((folder, False))  # if it cannot be opened, the task says so
+            with contextlib.suppress(OSError), os.scandir(folder) as found:
                 level += [e.path for e in found if e.is_dir(follow_symlinks=False)]
         deep = sorted(level)
     work = flat + [(f, True) for f in deep]
@@ -38,19 +39,28 @@ def deal(root: str, parts: int) -> list[Subtree]:
 
 
 def list_folder(folder: str, down: bool):
+    """(path, name) of what is no folder; (folder, the error) of a folder that cannot be opened."""
+    failed: list[OSError] = []
     if down:
-        for top, _, names in os.walk(folder, followlinks=False):
+        for top, _, names in os.walk(folder, followlinks=False, onerror=failed.append):
             for n in names:
                 yield os.path.join(top, n), n
     else:
-        with os.scandir(folder) as found:
-            for e in found:
-                if not e.is_dir(follow_symlinks=True):
-                    yield e.path, e.name
+        try:
+            with os.scandir(folder) as found:
+                for e in found:
+                    if not e.is_dir(follow_symlinks=True):
+                        yield e.path, e.name
+        except OSError as e:
+            failed.append(e)
+    for e in failed:
+        yield e.filename or folder, e
 
 
-def stat_row(path: str, name: str):
+def stat_row(path: str, name: str | OSError):
     """One FILE_SCHEMA row; None for what is not a file."""
+    if isinstance(name, OSError):
+        return path, None, None, None, None, f"list error: {path}: {name}"
     try:
         if not os.path.isfile(path):
             return None
@@ -88,10 +98,13 @@ class WalkSource(DataSource):
         return _WalkReader(self.options)
 
 
-def list_files(spark: SparkSession, root: str, suffixes=None, partitions: int = 8) -> DataFrame:
-    """FILE_SCHEMA rows of the files below ``root``, of the given suffixes if any."""
+def list_files(spark: SparkSession, root: str, suffixes=None, partitions: int | None = None) -> DataFrame:
+    """FILE_SCHEMA rows of the files below ``root``, of the given suffixes if any, and of folders that cannot be opened.
+
+    ``partitions``: by default four for each core of the cluster.
+    """
     if not root or not os.path.isdir(root):
         raise NotADirectoryError(str(root))
     spark.dataSource.register(WalkSource)
-    files = spark.read.format("file_walk").option("partitions", str(partitions)).load(root)
-    return files if suffixes is None else files.where(has_suffix(files.filename, suffixes))
+    files = spark.read.format("file_walk").option("partitions", str(partitions or 4 * spark.sparkContext.defaultParallelism)).load(root)
+    return files if suffixes is None else files.where(files.filename.isNull() | has_suffix(files.filename, suffixes))

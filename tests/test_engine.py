@@ -3,6 +3,7 @@
 import datetime
 import json
 import os
+import shutil
 import struct
 
 import pytest
@@ -12,13 +13,16 @@ from medialake import cli
 from medialake.operators import diff, store
 from medialake.operators.search import search
 from medialake.plans.library import Library
-from medialake.plans.pipelines import index, sync
-from medialake.sources import legacy, objects
+from medialake.plans.pipelines import index, numbered, sync
+from medialake.schemas import LIBRARY_SCHEMA
+from medialake.sources import legacy, objects, walk
+from medialake.sources.decode import decode
 from medialake.sources.image_bytes import flash_words, read_size, read_tags
 from medialake.sources.walk import list_files
 from medialake.streaming.index_stream import stream_index
 
 T0 = datetime.datetime(2024, 1, 1)
+NAMES = ["harbour.jpg", "meadow.jpg", "tower.jpg"]
 
 
 # --- change analysis ----------------------------------------------------------
@@ -131,7 +135,7 @@ def photos(tmp_path):
     root = tmp_path / "photos"
     root.mkdir()
     for i in (1, 2, 3):
-        (root / f"photo{i}.jpg").write_bytes(f"photo{i}_content".encode())
+        (root / NAMES[i - 1]).write_bytes(bytes([i]) * (10 + i))
     return root
 
 
@@ -174,7 +178,7 @@ def test_index_and_lookups(spark, photos, library):
     assert library.get_by_path("x").first() is None
     assert [x.file_hash for x in search(library.read(), "2022-09-21", "2022-09-21", "eos", (-33.0, 151.0, 100.0)).collect()] == [row.file_hash]
     assert library.delete(row.file_hash) and not library.delete(row.file_hash) and library.count() == 3
-    assert library.delete_by_path(str(photos / "photo1.jpg")) and library.count() == 2
+    assert library.delete_by_path(str(photos / "harbour.jpg")) and library.count() == 2
 
 
 def test_sync_scenarios(spark, photos, library):
@@ -183,16 +187,16 @@ def test_sync_scenarios(spark, photos, library):
     assert tally(go(dry_run=True)) == (3, 0, 0, 0, 0) and library.count() == 0
     assert tally(go()) == (3, 0, 0, 0, 0) and library.count() == 3
     assert tally(go()) == (0, 0, 0, 3, 0)
-    (photos / "photo4.jpg").write_bytes(b"4")
+    (photos / "bridge.jpg").write_bytes(b"4")
     assert tally(go()) == (1, 0, 0, 3, 0)
-    (photos / "photo2.jpg").write_bytes(b"a longer content than before")
+    (photos / "meadow.jpg").write_bytes(b"a longer content than before")
     assert tally(go(reprocess_modified=False)) == (0, 0, 0, 3, 0)
     r = go()
     assert tally(r) == (0, 1, 0, 3, 0) and r.total_changes == 1 and library.count() == 4  # the old content is retired
-    (photos / "photo1.jpg").unlink()
+    (photos / "harbour.jpg").unlink()
     assert tally(go()) == (0, 0, 0, 3, 0) and library.count() == 4
     assert tally(go(cleanup_deleted=True)) == (0, 0, 1, 3, 0) and library.count() == 3
-    (photos / "photo3.jpg").rename(photos / "renamed.jpg")
+    (photos / "tower.jpg").rename(photos / "renamed.jpg")
     assert tally(go(cleanup_deleted=True)) == (1, 0, 1, 2, 0) and library.count() == 3  # the renamed file's row stays
     same = (photos / "renamed.jpg").stat().st_size
     (photos / "renamed.jpg").write_bytes(b"x" * same)
@@ -212,6 +216,57 @@ def test_fail_fast_and_unreadable(spark, photos, library, monkeypatch):
     assert Library(spark, library.path + "2").count() == 0
 
 
+def test_sources_extractors_and_progress(spark, photos, library):
+    told = []
+    r = index(spark, str(photos), library, source=objects.list_with_content, progress=told.append)
+    assert (r.discovered, r.processed, r.errors) == (3, 3, 0) and told[0]["discovered"] == 3 and told[0]["errors"] == 0
+    assert {x.file_info.name for x in library.read().collect()} == set(NAMES)
+    assert sorted(x.doc_id for x in library.read().collect()) == [0, 1, 2]
+
+    def fixed(files):
+        return decode(files).withColumn("width", F.lit(77))
+
+    other = Library(spark, library.path + "3")
+    index(spark, str(photos), other, extractor=fixed)
+    assert {x.dimensions.width for x in other.read().collect()} == {77}
+    nothing = lambda disk, db, hashes: diff.file_states(disk.limit(0), db.limit(0), hashes)
+    assert sync(spark, str(photos), other, analyzer=nothing).total_changes == 0
+
+
+def test_folders_that_cannot_be_opened_delete_nothing(spark, photos, library, monkeypatch):
+    (photos / "closed").mkdir()
+    (photos / "closed" / "in.jpg").write_bytes(b"inside")
+    index(spark, str(photos), library)
+
+    def partly(spark, root, suffixes):
+        found = list_files(spark, root, suffixes).where(~F.contains("original_path", F.lit("/closed/")))
+        lost = spark.createDataFrame([(f"{root}/closed", "list error: closed")], "original_path string, error string")
+        return found.unionByName(lost, allowMissingColumns=True)
+
+    (photos / "tower.jpg").unlink()
+    r = sync(spark, str(photos), library, cleanup_deleted=True, source=partly)
+    assert r.deleted_entries == 1 and r.error_count == 1 and {x.file_info.name for x in library.read().collect()} == {"harbour.jpg", "meadow.jpg", "in.jpg"}
+    rows = [walk.stat_row(*x) for x in walk.list_folder(str(photos / "nowhere"), False)] + [walk.stat_row(*x) for x in walk.list_folder(str(photos / "nowhere"), True)]
+    assert len(rows) == 2 and all(x[5].startswith("list error") and x[1] is None for x in rows)
+
+
+def test_a_library_without_its_log_is_no_new_library(spark, photos, library):
+    index(spark, str(photos), library)
+    shutil.rmtree(library.path + "/log")
+    with pytest.raises(RuntimeError, match="no log"):
+        library.count()
+    os.mkdir(library.path + "/log")
+    with pytest.raises(RuntimeError, match="no log"):
+        library.save(library.spark.createDataFrame([], LIBRARY_SCHEMA).withColumn("seq", F.lit(0)))
+    assert Library(spark, library.path + "-none").count() == 0
+
+
+def test_numbers_are_places_by_path(spark, tmp_path):
+    names = [f"/{'abc'[i % 3]}/{i:04d}" for i in range(500)]
+    rows = numbered(spark.createDataFrame([(n,) for n in names], "original_path string").repartition(7)).collect()
+    assert {r.original_path: r.seq for r in rows} == {n: i for i, n in enumerate(sorted(names))}
+
+
 def test_legacy_import(spark, tmp_path):
     doc = {"file_hash": "h", "file_info": {"name": "a.jpg", "path": "/a.jpg", "size_bytes": 3, "mime_type": "image/jpeg"}, "dimensions": {"width": 1, "height": 2}, "exif": {"camera_make": "Sony", "captured_at": "2024-01-15T14:30:00", "camera_profile": "odd", "location": {"latitude": 1.5, "longitude": 2.5}, "raw_tags": {"n": 5}}, "added_at": "2024-02-16T10:30:00.123456"}
     bad = json.loads(json.dumps(doc)) | {"file_hash": "x"}
@@ -229,7 +284,7 @@ def test_legacy_import(spark, tmp_path):
 
 
 def test_object_listing(spark, photos):
-    assert {r.filename for r in objects.list_objects(spark, str(photos), [".jpg"]).select("filename").collect()} == {"photo1.jpg", "photo2.jpg", "photo3.jpg"}
+    assert {r.filename for r in objects.list_objects(spark, str(photos), [".jpg"]).select("filename").collect()} == {"harbour.jpg", "meadow.jpg", "tower.jpg"}
     assert objects.object_url("b", "p/") == "s3a://b/p/"
     with pytest.raises(ValueError):
         objects.object_url("")
@@ -248,7 +303,7 @@ def test_cli(spark, photos, tmp_path, capsys):
     assert cli.main(["index", "--path", str(photos), "--db", db]) == 0 and "Indexed 3 of 3" in capsys.readouterr().out
     assert cli.main(["sync", "--path", str(photos), "--db", db, "--dry-run"]) == 0 and "unchanged=3" in capsys.readouterr().out
     assert cli.main(["stats", "--db", db]) == 0 and "3 images" in capsys.readouterr().out
-    assert cli.main(["search", "--db", db, "--date-from", "2000-01-01"]) == 0 and "photo1.jpg" in capsys.readouterr().out
+    assert cli.main(["search", "--db", db, "--date-from", "2000-01-01"]) == 0 and "harbour.jpg" in capsys.readouterr().out
     assert cli.main(["index", "--path", "/nowhere", "--db", db]) == 1
     with pytest.raises(SystemExit):
         cli.main(["index"])
