@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _WRITTEN: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,23 +34,35 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage, so that a lost executor never makes an earlier step run
-    again, and later readers do not repeat the work.  ``release`` removes the
-    tables once nothing reads them any more.
+    again, and later readers do not repeat the work.  Shuffle files of the write
+    go with it, as nothing needs them any more; ``release`` removes the tables
+    once nothing reads them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/medialake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, newest: int = 0) -> int:
-    """Delete the tables ``materialise`` has written, but for the ``newest``; how many went.
+def written() -> int:
+    """Number of tables that ``materialise`` has written and ``release`` not removed."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, oldest: int = 0, newest: int = 0) -> int:
+    """Delete the tables ``materialise`` has written, but for the ``oldest`` and the ``newest``; how many went.
 
     Call it only when every DataFrame built on them has been written or read.
     """
-    gone = _WRITTEN[: len(_WRITTEN) - newest]
-    del _WRITTEN[: len(gone)]
+    end = len(_WRITTEN) - newest
+    gone = _WRITTEN[oldest:end]
+    del _WRITTEN[oldest:end]
     for path in gone:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -5,7 +5,7 @@ templates' words counted over the whole corpus.  Every other word of a text weig
 that a single document holds, so prose that happens to hold the words of a statement among
 its own is no statement.  Comment marks and signs are no words.  The units compared are
 every line of a text, every run of consecutive lines of at most ``ROOM`` times
-the longest template's words (headers wrapped over lines, wherever they stand;
+the words of a template it may match (headers wrapped over lines, wherever they stand;
 lines without a word are passed over) and, for licence files, the whole text.
 A unit carries the licence of the template with the greatest cosine, if that is
 at least ``min_cosine``; a text that of its unit with the longest template among
@@ -37,6 +37,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -96,9 +97,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _SPLIT), lambda w: w != "")
 
 
+def _word_list(found: list[str]) -> Column:
+    return F.split(F.lit(" ".join(found)), " ")
+
+
 def word_weights(docs: DataFrame, text_col: str, vocabulary: list[str]) -> dict[str, float]:
     """idf of each word: ln((1 + documents) / (1 + documents with it)) + 1, over all documents; under "" that of a word in one document."""
-    held = F.array_intersect(words(F.coalesce(text_col, F.lit(""))), F.array(*map(F.lit, vocabulary)))
+    held = F.array_intersect(words(F.coalesce(text_col, F.lit(""))), _word_list(vocabulary))
     rows = docs.select(F.explode(F.array_append(held, F.lit("\t"))).alias("w")).groupBy("w").count().collect()
     found = {r[0]: r[1] for r in rows}
     n = found.pop("\t", 0)
@@ -139,28 +144,32 @@ def any_of(found: list[str]) -> str:
     return body if "" not in heads else f"(?:{body})?"
 
 
-def runs(text: Column, mark: Column, vectors, min_cosine: float, most: int) -> Column:
-    """Runs of two lines or more and ``most`` words at most that may reach ``min_cosine``.
+def runs(text: Column, mark: Column, vectors, lengths: list[int], min_cosine: float) -> Column:
+    """Runs of two lines or more that may reach ``min_cosine`` with a template to whose words (``lengths``) theirs are at most ``ROOM`` to one.
 
     Each run is made once, from the first of its lines with an anchor.
     """
-    terms = F.array(*(F.array(*(F.struct(F.lit(w).alias("w"), F.lit(x * x).alias("xx")) for w, x in v.items())) for _, v in vectors))
-    vocabulary = F.array(*(F.lit(w) for w in sorted({w for _, v in vectors for w in v})))
-
-    def near(lines: Column) -> Column:
+    most = int(ROOM * max(lengths, default=0))
+    # one literal each: folded from text, instead of thousands of expressions
+    weights = json.dumps([{"most": int(ROOM * n), "v": [{"w": w, "xx": x * x} for w, x in v.items()]} for n, (_, v) in zip(lengths, vectors)])
+    terms = F.from_json(F.lit(weights), "array<struct<most:int,v:array<struct<w:string,xx:double>>>>")
+    vocabulary = _word_list(sorted({w for _, v in vectors for w in v}))
+
+    def near(lines: Column, among: Column) -> Column:
+        """Of the templates ``among``, those whose words ``lines`` hold to a great enough part."""
         held = F.array_intersect(words(F.array_join(lines.s, " ")), vocabulary)
         share = lambda t: F.aggregate(t, F.lit(0.0), lambda a, e: a + F.when(F.array_contains(held, e.w), e.xx).otherwise(0.0))
-        return F.exists(terms, lambda t: share(t) >= min_cosine * min_cosine * (1 - 1e-9))
+        return F.filter(among, lambda t: share(t.v) >= min_cosine * min_cosine * (1 - 1e-9))
 
     def n_words(lines: Column) -> Column:
         return F.aggregate(lines.n, F.lit(0), lambda a, n: a + n)
 
-    def fitting(lines: Column, ends: Column) -> Column:
-        """The first of ``lines`` up to ``most`` words, and before one with an anchor if ``ends``."""
+    def fitting(lines: Column, ends: Column, limit) -> Column:
+        """The first of ``lines`` up to ``limit`` words, and before one with an anchor if ``ends``."""
         start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit(True).alias("go"))
 
         def step(a, x):
-            go = a.go & (a.n + x.n <= most) & ~(x.anchor & ends)
+            go = a.go & (a.n + x.n <= limit) & ~(x.anchor & ends)
             return F.struct((a.n + F.when(go, x.n).otherwise(0)).alias("n"), (a.k + go.cast("int")).alias("k"), go.alias("go"))
 
         return F.slice(lines, 1, F.aggregate(lines, start, step, lambda a: a.k))
@@ -168,16 +177,21 @@ def runs(text: Column, mark: Column, vectors, min_cosine: float, most: int) -> C
     def window(lines: Column, i: Column) -> Column:
         """Around line ``i``, which has an anchor: (lines before it, nearest first; itself and those after)."""
         first = F.greatest(i - most, F.lit(1))
-        before = fitting(F.reverse(F.slice(lines, first, i - first)), F.lit(True))
-        return F.struct(before.alias("before"), fitting(F.slice(lines, i, most), F.lit(False)).alias("after"))
+        before = fitting(F.reverse(F.slice(lines, first, i - first)), F.lit(True), most)
+        return F.struct(before.alias("before"), fitting(F.slice(lines, i, most), F.lit(False), most).alias("after"))
 
     def parts(w: Column) -> Column:
+        """Runs of a window; ``w.near`` are the templates that all of it together may reach."""
         made = F.transform(F.sequence(F.lit(0), F.size(w.before)), lambda b: F.transform(F.sequence(F.lit(1), F.size(w.after)), lambda a: F.concat(F.reverse(F.slice(w.before, 1, b)), F.slice(w.after, 1, a))))
-        return F.filter(F.flatten(made), lambda x: (F.size(x) > 1) & (n_words(x) <= most) & near(x))
+        short = F.filter(F.flatten(made), lambda x: (F.size(x) > 1) & (n_words(x) <= w.longest))
+        return F.filter(short, lambda x: F.size(near(x, F.filter(w.near, lambda t: t.most >= n_words(x)))) > 0)
 
     def windows(lines: Column) -> Column:
         at = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.get(lines, i - 1).anchor)
-        return F.filter(F.transform(at, lambda i: window(lines, i)), lambda w: (F.size(w.after) > 0) & near(F.concat(w.before, w.after)))
+        found = F.filter(F.transform(at, lambda i: window(lines, i)), lambda w: F.size(w.after) > 0)
+        told = F.transform(found, lambda w: F.struct(w.before.alias("before"), w.after.alias("after"), near(F.concat(w.before, w.after), terms).alias("near")))
+        long = F.transform(F.filter(told, lambda w: F.size(w.near) > 0), lambda w: F.struct(w.before.alias("before"), w.after.alias("after"), w.near.alias("near"), F.array_max(w.near.most).alias("longest")))
+        return F.transform(long, lambda w: F.struct(fitting(w.before, F.lit(False), w.longest).alias("before"), fitting(w.after, F.lit(False), w.longest).alias("after"), w.near.alias("near"), w.longest.alias("longest")))
 
     line = lambda x: F.struct(x.alias("s"), F.size(words(x)).alias("n"), F.regexp_like(F.lower(x), mark).alias("anchor"))
     lines = F.filter(F.transform(F.split(text, "\n"), line), lambda x: x.n > 0)
@@ -204,8 +218,7 @@ def own_licenses(docs: DataFrame, path_col: str, text_col: str, templates=TEMPLA
     weights = F.broadcast(spark.createDataFrame(list(idf.items()), "w string, idf double"))
     mark = F.lit(r"(^|[^a-z0-9])(" + any_of(anchors(vectors, min_cosine)) + r")($|[^a-z0-9])")
     lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: F.regexp_like(F.lower(x), mark))
-    most = int(ROOM * max((len(words_of(t)) for _, t in templates), default=0))
-    wrapped = runs(F.col("_text"), mark, vectors, min_cosine, most)
+    wrapped = runs(F.col("_text"), mark, vectors, [len(words_of(t)) for _, t in templates], min_cosine)
     whole = F.when(is_license_file(F.col(path_col)), F.array("_text")).otherwise(F.array().cast("array<string>"))
     held = docs.select(path_col, F.coalesce(text_col, F.lit("")).alias("_text")).where(F.regexp_like(F.lower("_text"), mark))
     units = held.select(path_col, F.xxhash64("_text").alias("_hash"), F.posexplode(F.concat(lines, wrapped, whole)).alias("_unit", "_line"))
@@ -213,7 +226,7 @@ def own_licenses(docs: DataFrame, path_col: str, text_col: str, templates=TEMPLA
     norms = tf.groupBy(path_col, "_hash", "_unit").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"), F.collect_list(F.struct("w", "y")).alias("v"))
     dots = norms.select(path_col, "_hash", "_unit", "norm", F.explode("v").alias("v")).select(path_col, "_hash", "_unit", "norm", "v.w", "v.y").join(terms, "w")
     cosines = dots.groupBy(path_col, "_hash", "_unit", "template", "license").agg((F.sum(F.col("x") * F.col("y")) / F.first("norm")).alias("c"))
-    sizes = F.element_at(F.array(*(F.lit(len(words_of(t))) for _, t in templates)), F.col("template") + 1)
+    sizes = F.element_at(F.from_json(F.lit(json.dumps([len(words_of(t)) for _, t in templates])), "array<int>"), F.col("template") + 1)
     units = cosines.where(F.col("c") >= min_cosine).groupBy(path_col, "_hash", "_unit").agg(F.min(F.struct((-F.round("c", 9)).alias("c"), "license", (-sizes).alias("n"))).alias("u"))
     best = units.groupBy(path_col, "_hash").agg(F.min(F.struct(F.when(F.col("u.c") <= -SURE, F.col("u.n")).otherwise(0).alias("n"), F.col("u.c").alias("c"), F.col("u.license").alias("license"))).alias("b"))
     return best.select(path_col, "_hash", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
