@@ -18,6 +18,8 @@ n-gram with a probability of about 10^-6.
    range.  A word that is everywhere costs one entry a block.
 3. Each range sums its keys and returns the sums in the block's own order, so
    the answer holds no keys.  This table is written, too.
+   Words and pairs come first, then triples, and the shuffle files of the first
+   go before the second begins.
 4. Blocks meet their answers and score their documents.
 Memory of a task is that of one block or one range.  Blocks hold
 ``block_bytes`` of text, more only as the square root of the input, which
@@ -160,60 +162,49 @@ def _texts(blob: bytes, sizes: list[int]) -> list[bytes]:
 
 
 # --- counts -----------------------------------------------------------------
-def _block_counts(buckets: int):
-    """Rows (bucket, block, asking, keys and counts of words, pairs and triples) of each block."""
+def _block_counts(buckets: int, spaces: tuple[str, ...]):
+    """Rows (space, bucket, block, asking, keys, their counts in training, in the part set aside) of each block."""
 
     def run(batches):
         for b in batches:
             for block, asking, train, em, sizes, blob in zip(*[b.column(i).to_pylist() for i in range(6)]):
                 words, lengths = word_keys(_texts(blob, sizes))
                 flags = [np.repeat(np.array(f, dtype=bool) & (not asking), lengths) for f in (train, em)]  # blocks of the part set aside only ask
-                columns = {}
                 grams = gram_keys(words, lengths)
-                for space in _SPACES:
+                for space in spaces:
                     d = Distinct(grams.pop(space))
+                    counts = [d.count(f) for f in flags]
                     cut = [0, *np.searchsorted(d.keys, _edges(buckets)).tolist(), len(d.keys)]
-                    columns[space] = [pack(np.diff(d.keys[x:y], prepend=np.uint64(0))) for x, y in zip(cut, cut[1:])]
-                    for name, f in zip(("train", "held"), flags):
-                        n = d.count(f)
-                        columns[f"{space}_{name}"] = [pack(n[x:y]) if n[x:y].any() else b"" for x, y in zip(cut, cut[1:])]
-                some = [i for i in range(buckets) if any(columns[c][i] for c in _SPACES)]
-                arrays = [pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([asking] * len(some), pa.bool_())]
-                arrays += [pa.array([columns[c][i] for i in some], pa.binary()) for c in columns]
-                yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "block", "asking", *columns])
+                    rows = [(i, pack(np.diff(d.keys[x:y], prepend=np.uint64(0))), *(pack(n[x:y]) if n[x:y].any() else b"" for n in counts)) for i, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
+                    bucket, keys, in_training, aside = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array([space] * len(rows)), pa.array(bucket, pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([asking] * len(rows), pa.bool_()), pa.array(keys, pa.binary()), pa.array(in_training, pa.binary()), pa.array(aside, pa.binary())], names=_COUNTED_NAMES)
 
     return run
 
 
-_COUNTED = "bucket int, block long, asking boolean, " + ", ".join(f"{c} binary, {c}_train binary, {c}_held binary" for c in _SPACES)
-_ANSWERS = "block long, bucket int, asking boolean, " + ", ".join(f"{c}_all binary, {c}_held binary" for c in _SPACES) + ", tokens long, held_tokens long, vocab long"
+_COUNTED = "space string, bucket int, block long, asking boolean, keys binary, train binary, held binary"
+_COUNTED_NAMES = [c.split()[0] for c in _COUNTED.split(", ")]
+_ANSWERS = "space string, bucket int, block long, asking boolean, total binary, held binary, tokens long, held_tokens long, vocab long"
 
 
 def _bucket_sums(t: pa.Table) -> pa.Table:
     """Answers of one key range: the sums in each block's order, and a row (block -1) of totals."""
-    n, asking = len(t), t.column("asking").to_pylist()
-    out = {"block": [*t.column("block").to_pylist(), -1], "bucket": t.column("bucket").to_pylist()[:1] * (n + 1), "asking": [*asking, False]}
-    totals = {}
-    for space in _SPACES:
-        keys = [np.cumsum(unpack(x.as_py()), dtype=np.uint64) for x in t.column(space)]
-        ends = np.cumsum([len(k) for k in keys]).tolist()
-        spans = list(zip([0, *ends], ends))
-        d = Distinct(np.concatenate(keys))
-        del keys
-        sums = {}
-        for name in ("train", "held"):
-            sums[name] = np.zeros(len(d.keys), dtype=np.int64)
-            for x, (a, z) in zip(t.column(f"{space}_{name}"), spans):
-                if packed := x.as_py():
-                    sums[name][d.at[a:z]] += unpack(packed).astype(np.int64)  # keys of a block are distinct
-        out[f"{space}_all"] = [pack(sums["train"][d.at[a:z]]) for a, z in spans] + [b""]
-        out[f"{space}_held"] = [pack(sums["held"][d.at[a:z]]) if ask else b"" for ask, (a, z) in zip(asking, spans)] + [b""]
-        if space == "w":
-            totals = {"tokens": sums["train"].sum(), "held_tokens": sums["held"].sum(), "vocab": (sums["train"] > 0).sum()}
-    for name, v in totals.items():
-        out[name] = [0] * n + [int(v)]
-    kinds = {"block": pa.int64(), "bucket": pa.int32(), "asking": pa.bool_()} | {f"{s}_{x}": pa.binary() for s in _SPACES for x in ("all", "held")} | {x: pa.int64() for x in totals}
-    return pa.table({name: pa.array(out[name], kind) for name, kind in kinds.items()})
+    n, asking, space = len(t), t.column("asking").to_pylist(), t.column("space")[0].as_py()
+    keys = [np.cumsum(unpack(x.as_py()), dtype=np.uint64) for x in t.column("keys")]
+    ends = np.cumsum([len(k) for k in keys]).tolist()
+    spans = list(zip([0, *ends], ends))
+    d = Distinct(np.concatenate(keys))
+    del keys
+    sums = {}
+    for name in ("train", "held"):
+        sums[name] = np.zeros(len(d.keys), dtype=np.int64)
+        for x, (a, z) in zip(t.column(name), spans):
+            if packed := x.as_py():
+                sums[name][d.at[a:z]] += unpack(packed).astype(np.int64)  # keys of a block are distinct
+    total = [pack(sums["train"][d.at[a:z]]) for a, z in spans]
+    held = [pack(sums["held"][d.at[a:z]]) if ask else b"" for ask, (a, z) in zip(asking, spans)]
+    whole = [int(x) for x in (sums["train"].sum(), sums["held"].sum(), (sums["train"] > 0).sum())]
+    return pa.table([pa.array([space] * (n + 1)), pa.array(t.column("bucket").to_pylist()[:1] * (n + 1), pa.int32()), pa.array([*t.column("block").to_pylist(), -1], pa.int64()), pa.array([*asking, False], pa.bool_()), pa.array([*total, b""], pa.binary()), pa.array([*held, b""], pa.binary()), *(pa.array([0] * n + [x], pa.int64()) for x in whole)], names=[c.split()[0] for c in _ANSWERS.split(", ")])
 
 
 # --- scores -----------------------------------------------------------------
@@ -225,11 +216,13 @@ class _Counted:
         grams = gram_keys(words, self.lengths)
         self.at = {s: Distinct(grams.pop(s)).at for s in _SPACES}
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.answers, self.order = answers, np.argsort(answers.column("bucket").to_numpy()).tolist()
+        self.answers, space = answers, np.array(answers.column("space").to_pylist())
+        by_bucket = np.argsort(answers.column("bucket").to_numpy(), kind="stable")
+        self.rows = {s: by_bucket[space[by_bucket] == s].tolist() for s in _SPACES}
 
     def counts(self, space: str, name: str) -> np.ndarray:
         """Count of the n-gram that each token ends."""
-        return np.concatenate([unpack(self.answers.column(f"{space}_{name}")[i].as_py()) for i in self.order]).astype(np.float64)[self.at[space]]
+        return np.concatenate([unpack(self.answers.column(name)[i].as_py()) for i in self.rows[space]]).astype(np.float64)[self.at[space]]
 
     def estimates(self, counts: dict[str, np.ndarray], n_tokens: int, n_vocab: int):
         """(context bucket, estimate by triple, by pair, by word) of each token."""
@@ -260,7 +253,7 @@ def _ratios(n_tokens: int, n_vocab: int):
 
     def run(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
         c = _Counted(docs, answers)
-        bucket, triple, pair, low = c.estimates({s: c.counts(s, "all") - c.counts(s, "held") for s in _SPACES}, n_tokens, n_vocab)
+        bucket, triple, pair, low = c.estimates({s: c.counts(s, "total") - c.counts(s, "held") for s in _SPACES}, n_tokens, n_vocab)
         bins, n = np.unique(np.stack([bucket, _bins(triple, low), _bins(pair, low)]), axis=1, return_counts=True)
         return pa.table({"context": pa.array(bins[0], pa.int32()), "triple": pa.array(bins[1], pa.int32()), "pair": pa.array(bins[2], pa.int32()), "n": pa.array(n, pa.int64())})
 
@@ -295,7 +288,7 @@ def mixture_weights(histogram: list[tuple[int, int, int, int]], rounds: int = 20
 def _scores(id_col: str, n_tokens: int, n_vocab: int, weights: np.ndarray):
     def run(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
         c = _Counted(docs, answers)
-        counts = {s: c.counts(s, "all") for s in _SPACES}
+        counts = {s: c.counts(s, "total") for s in _SPACES}
         bucket, triple, pair, low = c.estimates(counts, n_tokens, n_vocab)
         a = weights[bucket]
         p = a[:, 0] * triple + a[:, 1] * pair + a[:, 2] * low
@@ -319,13 +312,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     bools = "array<boolean>"
     id_type = pa.schema(_arrow_field(slim.schema["_id"].dataType)).field(0).type
     blocks = materialise(slim.mapInArrow(_pack_blocks(size, id_type), f"block long, asking boolean, ids array<{kind}>, held {bools}, train {bools}, em {bools}, sizes array<int>, blob binary"))
-    counted = blocks.select("block", "asking", "train", "em", "sizes", "blob").mapInArrow(_block_counts(buckets), _COUNTED)
-    answers = materialise(counted.repartition(3 * buckets, "bucket").groupBy("bucket").applyInArrow(_bucket_sums, _ANSWERS))
-    n_tokens, n_held, n_vocab = (x or 0 for x in answers.where("block = -1").agg(F.sum("tokens"), F.sum("held_tokens"), F.sum("vocab")).first())
-    asked = answers.where("asking").drop("asking", "tokens", "held_tokens", "vocab").groupBy("block")
+    answers = None
+    for spaces in (("w", "p"), ("t",)):  # one after the other, so that less lies in shuffle files at a time
+        counted = blocks.select("block", "asking", "train", "em", "sizes", "blob").mapInArrow(_block_counts(buckets, spaces), _COUNTED)
+        part = materialise(counted.repartition(3 * buckets, "space", "bucket").groupBy("space", "bucket").applyInArrow(_bucket_sums, _ANSWERS))
+        answers = part if answers is None else answers.unionByName(part)
+    n_tokens, n_held, n_vocab = (x or 0 for x in answers.where("block = -1 and space = 'w'").agg(F.sum("tokens"), F.sum("held_tokens"), F.sum("vocab")).first())
+    asked = answers.where("asking").select("block", "space", "bucket", "total", "held").groupBy("block")
     bins = blocks.where("asking").select("block", "sizes", "blob").groupBy("block").cogroup(asked).applyInArrow(_ratios(n_tokens - n_held, n_vocab), "context int, triple int, pair int, n long")
     weights = mixture_weights([tuple(map(int, r)) for r in bins.groupBy("context", "triple", "pair").agg(F.sum("n")).collect()])
-    mine = answers.where("not asking and block >= 0").select("block", "bucket", *(f"{s}_all" for s in _SPACES)).groupBy("block")
+    mine = answers.where("not asking and block >= 0").select("block", "space", "bucket", "total").groupBy("block")
     out = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocks.where("not asking").select("block", "ids", "held", "sizes", "blob").groupBy("block").cogroup(mine).applyInArrow(_scores(id_col, n_tokens, n_vocab, weights), out)
 
