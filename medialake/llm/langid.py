@@ -126,7 +126,7 @@ def train(texts: list[tuple[str, str]], max_words: int = 300_000, rounds: int =
 class Labeller:
     """Applies a model to texts; remembers the emissions of words it has seen."""
 
-    def __init__(self, model: Model, memory: int = 400_000):
+    def __init__(self, model: Model, memory: int = 200_000):
         self.model, self.memory = model, memory
         self._reset()
 
@@ -196,7 +196,7 @@ class Labeller:
                 best, total = int(mass[:-1].argmax()), mass[:-1].sum()
                 out[i] = self.model.languages[best], float(min(1.0, mass[best] / total)), float(mass[-1] / total)
         live = [i for i, t in enumerate(texts) if t and len(t) <= long]
-        for lo, hi in _runs([len(texts[i]) for i in live], 3_000_000):
+        for lo, hi in _runs([len(texts[i]) for i in live], 1_500_000):
             part = live[lo:hi]
             m, letters, lengths = self.marginals([texts[i] for i in part])
             full = np.flatnonzero(lengths)
