@@ -95,17 +95,21 @@ def join_spread(rows: DataFrame, other: DataFrame, key: str, weight: str, total:
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
-def bounded_sample(docs: DataFrame, id_col: str, class_col: str, per_class: int, max_chars: int, text_col: str, labels: DataFrame | None = None, max_rows: int = 10_000) -> list:
+def bounded_sample(docs: DataFrame, id_col: str, class_col: str | None, per_class: int, max_chars: int, text_col: str, labels: DataFrame | None = None, max_rows: int = 10_000) -> list:
     """At most ``per_class`` whole rows of each class, and ``max_rows`` in all, picked by a hash of the id.
 
-    The class is a column of ``docs``, or of ``labels`` (id and class).  Slim
+    The class is a column of ``docs``, or of ``labels`` (id and class); with
+    None all rows are one class, of which each task keeps its own first.  Slim
     keys are ranked first; the texts of those picked are fetched by a second
     scan.  Rows longer than ``max_chars`` are passed over, so that the driver
     holds ``max_rows * max_chars`` characters at most.  Beyond ``max_rows``
     every class keeps its first rows before any keeps one more.
     """
     keyed = docs.where(F.length(text_col) <= max_chars).withColumns({"_hash": F.xxhash64(text_col), "_draw": F.xxhash64(F.col(id_col), F.lit(17))})
-    slim = keyed.select(id_col, "_hash", "_draw", *([] if labels is not None else [class_col]))
+    if class_col is None:
+        class_col, slim = "_all", keyed.select(id_col, "_hash", "_draw").orderBy("_draw", "_hash").limit(per_class).withColumn("_all", F.lit("all"))
+    else:
+        slim = keyed.select(id_col, "_hash", "_draw", *([] if labels is not None else [class_col]))
     if labels is not None:
         slim = slim.join(labels.select(id_col, class_col), id_col)
     order = Window.partitionBy(class_col).orderBy("_draw", "_hash")

@@ -227,6 +227,7 @@ def test_samples_are_bounded(spark):
     labels = docs.where("doc_id is not null").select("doc_id", "class")
     assert {c for _, c in bounded_sample(docs.drop("class"), "doc_id", "class", 3, 100, "text", labels)} == {f"c{i}" for i in range(40)}
     assert bounded_sample(docs, "doc_id", "class", 10, 3, "text") == []
+    assert len(bounded_sample(docs, "doc_id", None, 25, 100, "text")) == 25
 
 
 def test_texts_of_three_languages_are_clear():
