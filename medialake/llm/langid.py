@@ -26,6 +26,7 @@ import re
 import unicodedata
 from array import array
 from collections import Counter
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -60,26 +61,73 @@ def slices(text: str, size: int):
 
 def word_features(word: str) -> set[str]:
     padded = f"^{word}$"
-    found = {f"={word}"}
-    found.update("<" + word[:i] for i in (1, 2, 3))
-    found.update(">" + word[-i:] for i in (1, 2, 3))
-    found.update(padded[i : i + 2] for i in range(len(padded) - 1))
-    found.update(padded[i : i + 3] for i in range(len(padded) - 2))
+    pairs = list(map(add, padded, padded[1:]))
+    found = {f"={word}", "<" + word[:1], "<" + word[:2], "<" + word[:3], ">" + word[-1:], ">" + word[-2:], ">" + word[-3:]}
+    found.update(pairs, map(add, pairs, padded[2:]))
     return found
 
 
 class Model:
+    """Languages, features by name, and the field.
+
+    Features of at most four characters (all but the lexicon) are also kept as
+    numbers, their characters being the digits, so that many words are looked
+    up at once.
+    """
+
     def __init__(self, languages: list[str], feature_ids: dict[str, int], crf: Crf):
         self.languages, self.feature_ids, self.crf = languages, feature_ids, crf
+        short = {f: i for f, i in feature_ids.items() if f and f[0] != "="}
+        self.letters = np.array(sorted({ord(c) for f in short for c in f}), dtype=np.uint32)
+        self.base = len(self.letters) + 2  # digits from 1; the last is any other character
+        keys = np.array([self._key(f) for f in short], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.key_ids = keys[order], np.array(list(short.values()), dtype=np.int64)[order]
+
+    def _digits(self, text: str) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        if not len(self.letters):
+            return np.full(len(points), self.base - 1)
+        at = np.minimum(np.searchsorted(self.letters, points), len(self.letters) - 1)
+        return np.where(self.letters[at] == points, at + 1, self.base - 1)
+
+    def _key(self, feature: str) -> int:
+        key = 0
+        for d in self._digits(feature):
+            key = key * self.base + int(d)
+        return key
+
+    def _short_keys(self, words: list[str]):
+        """(keys, the words they belong to) of affixes, pairs and triples; some twice."""
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        d, word = self._digits(f"^{'$^'.join(words)}$"), np.repeat(np.arange(len(words)), size + 2)
+        pair, base = d[:-1] * self.base + d[1:], self.base
+        triple = pair[:-1] * base + d[2:]
+        for n, keys in ((1, pair), (2, triple)):
+            inside = word[:-n] == word[n:]
+            yield keys[inside], word[:-n][inside]
+        end = np.cumsum(size + 2) - 1
+        begin, first, last = end - size, self._key("<"), self._key(">")
+        for n in (1, 2, 3):
+            full = np.flatnonzero(size >= n)
+            head, tail = np.full(len(full), first), np.full(len(full), last)
+            for i in range(n):
+                head, tail = head * base + d[begin[full] + i], tail * base + d[end[full] - n + i]
+            yield head, full
+            yield tail, full
 
     def emission(self, words: list[str]) -> np.ndarray:
-        ids, known = [], self.feature_ids
-        indptr = [0]
-        for w in words:
-            ids.append(0)  # bias
-            ids.extend(known[f] for f in word_features(w) if f in known)
-            indptr.append(len(ids))
-        return self.crf.emissions(np.array(ids), np.array(indptr))
+        n, ids, get = len(self.feature_ids), [np.arange(len(words)) * len(self.feature_ids)], self.feature_ids.get
+        if len(self.keys):
+            for keys, word in self._short_keys(words):
+                at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+                known = self.keys[at] == keys
+                ids.append(word[known] * n + self.key_ids[at[known]])
+        lexicon = np.array([get("=" + w, 0) for w in words], dtype=np.int64)
+        ids.append(np.arange(len(words)) * n + lexicon)
+        ids = np.sort(np.concatenate(ids))
+        ids = ids[np.diff(ids, prepend=-1) > 0]  # a feature counts once a word; 0 is the bias
+        return self.crf.emissions(ids % n, np.searchsorted(ids, np.arange(len(words) + 1) * n))
 
 
 def train(texts: list[tuple[str, str]], max_words: int = 300_000, rounds: int = 40, seed: int = 5) -> Model | None:
@@ -141,7 +189,8 @@ class Labeller:
         at = len(self.ids)
         if at + len(new) > len(self.emit):
             self.emit = np.concatenate([self.emit, np.zeros((max(len(new), len(self.emit)), self.emit.shape[1]))])
-        self.emit[at : at + len(new)] = self.model.emission(new)
+        for i in range(0, len(new), 10_000):
+            self.emit[at + i : at + min(len(new), i + 10_000)] = self.model.emission(new[i : i + 10_000])
         self.ids.update(zip(new, range(at, at + len(new))))
 
     def _kinds(self, words: list[str]) -> np.ndarray:
@@ -178,15 +227,15 @@ class Labeller:
     def marginals(self, texts: list[str]):
         """(marginals of all words, letters of each word, words of each text)."""
         self._make_room()
-        kinds, letters, lengths = [], [], []
+        words, lengths = [], []
         for text in texts:
-            words = words_of(text)
-            kinds.append(self._kinds(words))
-            letters.append(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
-            lengths.append(len(words))
-        kind = np.concatenate(kinds) if kinds else np.zeros(0, dtype=np.int64)
-        m = forward_backward(self.emit[kind], np.array(lengths, dtype=np.int64), self.model.crf.trans, self.model.crf.start)
-        return m, np.concatenate(letters) if letters else kind, np.array(lengths, dtype=np.int64)
+            found = words_of(text)
+            words += found
+            lengths.append(len(found))
+        kind, lengths = self._kinds(words), np.array(lengths, dtype=np.int64)
+        letters = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        del words
+        return forward_backward(self.emit[kind], lengths, self.model.crf.trans, self.model.crf.start), letters, lengths
 
     def judge(self, texts: list[str | None], long: int = 3_000_000):
         """[(language, its share of the letters, mean best marginal)] of each text; those of over ``long`` characters are read a part at a time."""
