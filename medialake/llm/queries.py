@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from medialake.llm import decontaminate, langid, licenses, lm, mixing, quality, rules, sharding, simhash, topics, toxicity
+from medialake.llm import decontaminate, langid, licenses, lm, merkle, mixing, quality, rules, sharding, simhash, topics, toxicity
 from medialake.llm.common import id_fold, materialise, table
 
 
@@ -77,6 +77,43 @@ def op10_rules(spark, sf_dir):
     return rules.judge(table(spark, sf_dir, "documents"), rules.fit(*_learnt(spark, sf_dir, "quality", 4, 2)))
 
 
+def op13_merkle(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = merkle.manifest(docs, changed=merkle.tampered(docs))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _crc32_sql(text):
+    """Unsigned crc32 of ASCII text, bit by bit."""
+    byte = "list_reduce([xor(c, b)] || [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))"
+    return f"xor(list_reduce([4294967295::UBIGINT] || list_transform(string_split({text}, ''), lambda b: ascii(b)::UBIGINT), lambda c, b: {byte}), 4294967295::UBIGINT)"
+
+
+def _merkle_sql(levels=12, over=4):
+    """One step of the tree, and of the folding, for each level that there may be."""
+    leaf = lambda text: "sha256(concat(" + ", ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END" for c in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    with_slot = "left(pre, 64 * s) || {own} || substr(pre, 64 * s + 65)"
+    steps = [
+        f"d AS (SELECT doc_id, lang, {leaf('text')} AS leaf, CASE WHEN {_crc32_sql('doc_id::VARCHAR')} % 3 = 0 THEN {leaf(lower)} END AS other FROM documents)",
+        "n0 AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d)",
+        "t0 AS (SELECT lang, i, n, leaf AS h FROM n0)",
+    ]
+    for k in range(1, levels + 1):
+        steps += [f"p{k} AS (SELECT lang, i // 8 AS i, (any_value(n) + 7) // 8 AS n, string_agg(h, '' ORDER BY t{k - 1}.i) AS pre FROM t{k - 1} WHERE n > 1 GROUP BY lang, i // 8)", f"t{k} AS (SELECT lang, i, n, sha256(pre) AS h FROM p{k})"]
+    steps += ["subs AS (" + " UNION ALL ".join(f"SELECT lang, h FROM t{k} WHERE n = 1" for k in range(levels + 1)) + ")", "u0 AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM subs)"]
+    for k in range(1, over + 1):
+        steps += [f"q{k} AS (SELECT i // 8 AS i, (any_value(n) + 7) // 8 AS n, string_agg(h, '' ORDER BY u{k - 1}.i) AS pre FROM u{k - 1} WHERE n > 1 GROUP BY i // 8)", f"u{k} AS (SELECT i, n, sha256(pre) AS h FROM q{k})"]
+    steps += ["tops AS (" + " UNION ALL ".join(f"SELECT h AS root FROM u{k} WHERE n = 1" for k in range(over + 1)) + ")", "f0 AS (SELECT doc_id, lang, leaf, i, coalesce(other, leaf) AS cur, '' AS sib FROM n0)"]
+    columns, fold = "doc_id, {g}, leaf, {i}", f"CASE WHEN pre IS NULL THEN cur ELSE sha256({with_slot.format(own='cur')}) END AS cur, sib || coalesce({with_slot.format(own=repr(''))}, '') AS sib"
+    for k in range(1, levels + 1):
+        steps.append(f"f{k} AS (SELECT {columns.format(g='f.lang', i='f.i')}, {fold} FROM (SELECT *, (i // {8 ** (k - 1)}) % 8 AS s FROM f{k - 1}) f LEFT JOIN p{k} p ON f.lang IS NOT DISTINCT FROM p.lang AND p.i = f.i // {8**k})")
+    steps.append(f"g0 AS (SELECT doc_id, leaf, u.h AS subroot, u.i, cur, sib FROM f{levels} f JOIN u0 u ON f.lang IS NOT DISTINCT FROM u.lang)")
+    for k in range(1, over + 1):
+        steps.append(f"g{k} AS (SELECT {columns.format(g='subroot', i='f.i')}, {fold} FROM (SELECT *, (i // {8 ** (k - 1)}) % 8 AS s FROM g{k - 1}) f LEFT JOIN q{k} p ON p.i = f.i // {8**k})")
+    return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, leaf, subroot, root, sha256(sib) AS proof_sha256, cur AS folded_root, cur = root AS verified FROM g{over}, tops"
+
+
 QUERIES = {
     "op1_lm": op1_lm,
     "op2_quality": op2_quality,
@@ -88,6 +125,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_rules": op10_rules,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLE_SQL = {
@@ -126,4 +164,5 @@ words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(
 items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS list FROM hit GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op13_merkle": _merkle_sql(),
 }
