@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from medialake.llm import decontaminate, langid, licenses, lm, merkle, mixing, quality, rules, sharding, simhash, topics, toxicity
+from medialake.llm import bpe, decontaminate, langid, licenses, lm, merkle, mixing, quality, rules, sharding, simhash, topics, toxicity
 from medialake.llm.common import id_fold, materialise, table
 
 
@@ -77,6 +77,18 @@ def op10_rules(spark, sf_dir):
     return rules.judge(table(spark, sf_dir, "documents"), rules.fit(*_learnt(spark, sf_dir, "quality", 4, 2)))
 
 
+def op12_bpe(spark, sf_dir, tokenizer=None):
+    """``tokenizer``: path of a byte-level tokenizer file, by default that of the public one."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    vocabulary = bpe.read_vocabulary(tokenizer)
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary), vocabulary)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op13_merkle(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = merkle.manifest(docs, changed=merkle.tampered(docs))
@@ -125,6 +137,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_rules": op10_rules,
+    "op12_bpe": op12_bpe,
     "op13_merkle": op13_merkle,
 }
 
