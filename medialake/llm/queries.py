@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from medialake.llm import bpe, decontaminate, langid, licenses, lm, merkle, mixing, quality, rules, sharding, simhash, topics, toxicity
+from medialake.llm import bpe, decontaminate, langid, licenses, lm, merkle, mixing, quality, repair, rules, sharding, simhash, topics, toxicity
 from medialake.llm.common import id_fold, materialise, table
 
 
@@ -77,6 +77,58 @@ def op10_rules(spark, sf_dir):
     return rules.judge(table(spark, sf_dir, "documents"), rules.fit(*_learnt(spark, sf_dir, "quality", 4, 2)))
 
 
+def op11_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    damaged = repair.damage(rows)
+    found = repair.repair(damaged)
+    of = lambda df: df.withColumnRenamed("conv", "_conv")
+    own, same = rows.select("conv_id").distinct(), F.col("conv_id").eqNullSafe(F.col("_conv"))
+    for part in (repair.gaps(damaged), found.summary, repair.digests(found.turns)):
+        own = own.join(of(part), same, "left").drop("_conv")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return own.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
+def _repair_sql():
+    """Cheapest repair from each row on and after each initial read so far, (cost, audit, text), from the last row back."""
+    after = [2, 2, 3, 2]
+    keeps = [{"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2}]
+    role = lambda to: "user" if to == 2 else "assistant"
+    step = lambda b, cost, letter, line: f"{{'c': {b}.c + {cost}, 'a': '{letter}' || {b}.a, 't': " + (f"{line} || CASE WHEN {b}.t = '' THEN '' ELSE chr(10) || {b}.t END" if line else f"{b}.t") + "}"
+    taken = []
+    for q in range(4):
+        own = [step(f"b[{q + 1}]", 4, "D", "")]
+        own.append(f"CASE WHEN stays THEN {step(f'b[{after[q] + 1}]', '3 + cut', 'R', chr(39) + role(after[q]) + ':' + chr(39) + ' || text')} END")
+        own += [f"CASE WHEN stays AND left(role, 1) = '{i}' THEN {step(f'b[{to + 1}]', 'cut', 'K', chr(34) + 'role' + chr(34) + ' || ' + chr(39) + ':' + chr(39) + ' || text')} END" for i, to in keeps[q].items()]
+        taken.append(f"list_min([{', '.join(own)}])")
+    inserted = []
+    for q in range(4):
+        best, lines, node = [f"x[{q + 1}]"], [], q
+        for m in range(1, 4):
+            node = after[node]
+            lines.append(f"{role(node)}:")
+            best.append(step(f"x[{node + 1}]", 3 * m, "I" * m, "'" + "' || chr(10) || '".join(lines) + "'"))
+        inserted.append(f"list_min([{', '.join(best)}])")
+    none = "{'c': 1000000000::BIGINT, 'a': '', 't': ''}"
+    full = "{'c': 0::BIGINT, 'a': '', 't': ''}"
+    closed = f"[{', '.join(inserted)}]"
+    return f"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS k FROM conversations),
+hurt AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM raw WHERE k <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS bare FROM hurt),
+faults AS (SELECT *, bare = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, right(bare, 1) NOT IN ('.', '!', '?') AS open_end,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM placed),
+rows_in AS (SELECT conv_id, i, role, text, NOT blank AND NOT again AS stays, CASE WHEN open_end THEN 3 ELSE 0 END AS cut FROM faults),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+  count(*) FILTER (open_end AND NOT blank AND NOT again) AS truncated, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM faults GROUP BY conv_id),
+best(conv_id, i, b) AS (
+  SELECT conv_id, n, {closed} FROM (SELECT conv_id, n, [{full}, {none}, {none}, {full}] AS x FROM counts)
+  UNION ALL SELECT conv_id, i, {closed} FROM (SELECT best.conv_id, best.i - 1 AS i, [{', '.join(taken)}] AS x FROM best JOIN rows_in r ON r.conv_id IS NOT DISTINCT FROM best.conv_id AND r.i = best.i)),
+done AS (SELECT conv_id, b[1] AS x FROM best WHERE i = 0)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(x.c, 0) AS cost, coalesce(x.a, '') AS audit, sha256(coalesce(x.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM d.conv_id"""
+
+
 def op12_bpe(spark, sf_dir, tokenizer=None):
     """``tokenizer``: path of a byte-level tokenizer file, by default that of the public one."""
     if tokenizer is None:
@@ -137,6 +189,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_rules": op10_rules,
+    "op11_repair": op11_repair,
     "op12_bpe": op12_bpe,
     "op13_merkle": op13_merkle,
 }
@@ -177,5 +230,6 @@ words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(
 items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS list FROM hit GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_repair": _repair_sql(),
     "op13_merkle": _merkle_sql(),
 }
