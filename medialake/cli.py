@@ -8,7 +8,6 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from medialake.operators.search import search
 from medialake.plans.library import Library
 from medialake.plans.pipelines import index, sync
 
@@ -61,7 +60,7 @@ def run(args: argparse.Namespace) -> int:
         print(f"{library.count()} images")
     elif args.command == "search":
         place = tuple(float(x) for x in args.location.split(",")) if args.location else None
-        found = search(library.read(), args.date_from, args.date_to, args.camera, place, args.tags.split(",") if args.tags else None)
+        found = library.search(args.date_from, args.date_to, args.camera, place, args.tags.split(",") if args.tags else None)
         for row in found.select("file_info.path").toLocalIterator():
             print(row.path)
     return 0

@@ -17,22 +17,30 @@ def last_by(rows: DataFrame, key: str, order: str) -> DataFrame:
     return kept.select(key, "_r.*").select(*rows.columns)
 
 
-def file_states(disk: DataFrame, db: DataFrame, hashes: Callable[[DataFrame], DataFrame] | DataFrame) -> DataFrame:
+def file_states(disk: DataFrame, db: DataFrame, hashes: Callable[[DataFrame], DataFrame] | DataFrame, fingerprint: str = "size") -> DataFrame:
     """States of all paths.
 
     ``disk``: norm_path, size_bytes, modified_time, ord.  ``db``: norm_path,
     size_bytes, file_hash, ord.  ``hashes``: a table (norm_path, current_hash,
     hash_error), or a function that adds these two columns to the rows that
     need a hash.  Only rows that are new or of another size are hashed: equal
-    sizes count as unchanged.  A known file that cannot be hashed is left out.
+    sizes count as unchanged.  With the ``fingerprint`` ``size+mtime``, ``db``
+    has modified_time too, and files of another time are hashed as well; a row
+    whose time is not known counts by its size.  A known file that cannot be
+    hashed is left out.
     Rows that need no hash and those that do part after one join and meet in a
     union; both sides read the same shuffle.
     """
+    if fingerprint not in ("size", "size+mtime"):
+        raise ValueError(f"no fingerprint {fingerprint}")
+    timed = fingerprint == "size+mtime"
     d = last_by(disk.select("norm_path", "size_bytes", "modified_time", "ord"), "norm_path", "ord").drop("ord")
-    b = last_by(db.select("norm_path", F.col("size_bytes").alias("db_size"), F.col("file_hash").alias("db_hash"), "ord"), "norm_path", "ord").drop("ord")
+    b = last_by(db.select("norm_path", F.col("size_bytes").alias("db_size"), F.col("file_hash").alias("db_hash"), *([F.col("modified_time").alias("db_time")] if timed else []), "ord"), "norm_path", "ord").drop("ord")
     joined = d.withColumn("on_disk", F.lit(True)).join(b.withColumn("in_db", F.lit(True)), "norm_path", "full")
     disk_only, db_only = F.col("in_db").isNull(), F.col("on_disk").isNull()
     same_size = F.coalesce(F.col("size_bytes") == F.col("db_size"), F.lit(False))
+    if timed:
+        same_size &= F.coalesce(F.col("modified_time") == F.col("db_time"), F.lit(True))
     asks = ~db_only & (disk_only | ~same_size)
     needed, none = joined.where(asks), F.lit(None).cast("string")
     found = hashes(needed) if callable(hashes) else needed.join(hashes.select("norm_path", "current_hash", "hash_error"), "norm_path", "left")

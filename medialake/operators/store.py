@@ -6,19 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "file_hash", order: str = "seq", ordinal: str = "doc_id") -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: str = "file_hash", order: str = "seq", ordinal: str = "doc_id", top: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """``old`` with the rows of ``new``: the last row of a key wins whole, the key's first ordinal stays.
 
     ``new`` has the columns of ``old`` but ``ordinal``, and ``order``.  New keys
-    are numbered after the greatest ordinal, by their first ``order``.
+    are numbered after the greatest ordinal (``top``, if ``old`` is only a part
+    of the table), by their first ``order``.  Columns ``keep`` keep the value
+    that a known key has.
     """
     body = [c for c in old.columns if c not in (key, ordinal)]
     # maps cannot be compared, so the row travels beside its order
     last = new.groupBy(key).agg(F.max_by(F.struct(*body), order).alias("_r"), F.min(order).alias("_first"))
-    start = old.agg(F.coalesce(F.max(ordinal), F.lit(-1)).alias("_top")).first()[0]
-    known = old.select(key, F.col(ordinal).alias("_known"))
+    start = old.agg(F.coalesce(F.max(ordinal), F.lit(-1)).alias("_top")).first()[0] if top is None else top
+    known = old.select(key, F.struct(F.col(ordinal).alias("_ordinal"), *keep).alias("_known"))
     placed = last.join(known, key, "left")
-    merged = placed.select(key, F.coalesce("_known", F.col("_first") + start + 1).alias(ordinal), *[F.col(f"_r.{c}").alias(c) for c in body])
+    own = lambda c: F.when(F.col("_known").isNotNull(), F.col(f"_known.{c}")).otherwise(F.col(f"_r.{c}")) if c in keep else F.col(f"_r.{c}")
+    merged = placed.select(key, F.coalesce("_known._ordinal", F.col("_first") + start + 1).alias(ordinal), *[own(c).alias(c) for c in body])
     return old.join(last.select(key), key, "left_anti").select(*old.columns).unionByName(merged.select(*old.columns))
 
 

@@ -219,7 +219,7 @@ def test_fail_fast_and_unreadable(spark, photos, library, monkeypatch):
 def test_sources_extractors_and_progress(spark, photos, library):
     told = []
     r = index(spark, str(photos), library, source=objects.list_with_content, progress=told.append)
-    assert (r.discovered, r.processed, r.errors) == (3, 3, 0) and told[0]["discovered"] == 3 and told[0]["errors"] == 0
+    assert (r.discovered, r.processed, r.errors) == (3, 3, 0) and told[-1]["discovered"] == 3 and told[-1]["errors"] == 0
     assert {x.file_info.name for x in library.read().collect()} == set(NAMES)
     assert sorted(x.doc_id for x in library.read().collect()) == [0, 1, 2]
 
