@@ -19,7 +19,7 @@ Decoding looks up where each token's bytes lie in one string of all tokens and
 gathers them; bytes that are not UTF-8 become U+FFFD.
 
 Each Python worker builds the tables once from a broadcast copy of the
-vocabulary (about 1 MB).  Pieces of up to 64 characters are remembered (300,000
+vocabulary (about 1 MB).  Pieces of up to 64 characters are remembered (500,000
 at most).  Memory for one text is its bytes, five bytes for each token and one
 for each byte of its longest piece.
 
@@ -50,7 +50,8 @@ from medialake.llm.common import decoded
 # Fixed value: how byte-level tokenizers cut a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SLICE = 1 << 16
-_MEMO, _MEMO_CHARS = 150_000, 64
+_MEMO, _MEMO_CHARS = 250_000, 64
+_ROWS = 500  # of a result's batch
 _LONG = 1 << 20
 
 
@@ -143,13 +144,19 @@ class Encoder:
 
     def encode_piece(self, piece: str) -> array:
         """Tokens of the bytes of one piece."""
-        raw = piece.encode().decode("latin-1")
+        raw = piece if piece.isascii() else piece.encode().decode("latin-1")
         end, place = len(raw), 0
         if not raw:
             return array("i")
         longest = self.longest(raw) if end <= _SLICE else _Slices(self, raw)
-        length, shorter, fits, out, dead = self.length, self.shorter, self.compatible, array("i"), bytearray(end + 1)
         token = longest[0]
+        length, shorter, fits, out = self.length, self.shorter, self.compatible, array("i")
+        if length[token] == end:  # one token, or two that nothing joins, which is most pieces
+            return array("i", (token,))
+        second = longest[length[token]]
+        if length[token] + length[second] == end and fits(token, second):
+            return array("i", (token, second))
+        dead = bytearray(end + 1)
         while place < end:
             while token >= 0 and (dead[place + length[token]] or out and not fits(out[-1], token)):
                 token = shorter[token]
@@ -229,25 +236,27 @@ def _encoder(packed: bytes) -> Encoder:
     return Encoder(packed)
 
 
-def _added(rows: DataFrame, source: str, vocabulary: bytes, run, name: str, kind: str) -> DataFrame:
-    """``rows`` with column ``name``, which ``run(encoder, Arrow column)`` makes of column ``source``.
+def _added(rows: DataFrame, source: str, vocabulary: bytes, run, made: dict[str, str]) -> DataFrame:
+    """``rows`` with the columns ``made`` (name to type), which ``run(encoder, Arrow column)`` gives for column ``source``.
 
-    Only that column goes to Python, strings as bytes; the other columns go
-    with it as they are.
+    The other columns travel with it as they are, strings as bytes.
     """
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
-    kept = [c for c in rows.columns if c != name]
-    text = rows[source].cast("binary") if dict(rows.dtypes)[source] == "string" else rows[source]
-    packed = rows.select(text.alias("_source"), F.struct(F.lit(0).alias("_"), *((rows[c].cast("binary") if t == "string" else rows[c]).alias(f"_{i}") for i, (c, t) in enumerate(rows.dtypes) if c in kept)).alias("_row"))
+    sent = lambda c, kind: rows[c].cast("binary") if kind == "string" else rows[c]
+    kept = [(i, c, t) for i, (c, t) in enumerate(rows.dtypes) if c not in made]
+    packed = rows.select(sent(source, dict(rows.dtypes)[source]).alias("_source"), F.struct(F.lit(0).alias("_"), *(sent(c, t).alias(f"_{i}") for i, c, t in kept)).alias("_row"))
+    names = [f"_made{i}" for i in range(len(made))]
 
     def work(batches):
         encoder = _encoder(shared.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([run(encoder, b.column(0)), b.column(1)], names=["_made", "_row"])
+            for low in range(0, b.num_rows, _ROWS):
+                part = b.slice(low, _ROWS)
+                yield pa.RecordBatch.from_arrays([*run(encoder, part.column(0)), part.column(1)], names=[*names, "_row"])
 
-    made = packed.mapInArrow(work, f"_made {kind}, _row {packed.schema['_row'].dataType.simpleString()}")
-    back = [F.col(f"_row._{i}").cast(t).alias(c) for i, (c, t) in enumerate(rows.dtypes) if c in kept]
-    return made.select(*back, (F.col("_made").cast("string") if kind == "binary" else F.col("_made")).alias(name))
+    schema = ", ".join(f"{n} {'binary' if t == 'string' else t}" for n, t in zip(names, made.values()))
+    found = packed.mapInArrow(work, f"{schema}, _row {packed.schema['_row'].dataType.simpleString()}")
+    return found.select(*(F.col(f"_row._{i}").cast(t).alias(c) for i, c, t in kept), *(F.col(n).cast(t).alias(c) for n, (c, t) in zip(names, made.items())))
 
 
 def _encode_column(encoder: Encoder, column: pa.Array) -> pa.Array:
@@ -263,11 +272,16 @@ def _decode_column(encoder: Encoder, column: pa.Array) -> pa.Array:
     return pa.array(texts, pa.binary())
 
 
-def encode(docs: DataFrame, vocabulary: bytes, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of their texts as an array."""
-    return _added(docs, text_col, vocabulary, _encode_column, ids_col, "array<int>")
+def encode(docs: DataFrame, vocabulary: bytes, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """``docs`` with the token ids of their texts as an array, and, if it has a name, with the text decoded from these ids by the same task."""
+
+    def run(encoder, column):
+        ids = _encode_column(encoder, column)
+        return [ids, _decode_column(encoder, ids)] if decoded_col else [ids]
+
+    return _added(docs, text_col, vocabulary, run, {ids_col: "array<int>"} | ({decoded_col: "string"} if decoded_col else {}))
 
 
 def decode(rows: DataFrame, vocabulary: bytes, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``rows`` with the text of their token ids."""
-    return _added(rows, ids_col, vocabulary, _decode_column, text_col, "binary")
+    return _added(rows, ids_col, vocabulary, lambda encoder, column: [_decode_column(encoder, column)], {text_col: "string"})

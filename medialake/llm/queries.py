@@ -136,7 +136,7 @@ def op12_bpe(spark, sf_dir, tokenizer=None):
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     vocabulary = bpe.read_vocabulary(tokenizer)
-    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary), vocabulary)
+    found = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, decoded_col="decoded")
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
