@@ -225,13 +225,13 @@ class Library:
     def record_errors(self, errors: DataFrame) -> None:
         """Add to the table of all errors: path, state, error, error_type."""
         told = errors.withColumn("told_at", F.lit(datetime.datetime.now()).cast("timestamp_ntz"))
-        told.select("path", "state", "error", "error_type", "told_at").write.mode("append").parquet(f"{self.path}/errors")
+        told.select("path", "state", "error", "error_type", "told_at").write.parquet(f"{self.path}/errors/{_stamp()}")
 
     def errors(self) -> DataFrame:
         """Everything that went wrong in indexing and syncing: path, state, error, error_type, told_at."""
         if not self.log.folder.files("errors"):
             return self.spark.createDataFrame([], _ERRORS)
-        return self.spark.read.schema(_ERRORS).parquet(f"{self.path}/errors")
+        return self.spark.read.schema(_ERRORS).option("recursiveFileLookup", "true").parquet(f"{self.path}/errors")
 
     # --- lookups --------------------------------------------------------------------
     def get_by_filehash(self, file_hash: str) -> DataFrame:

@@ -9,11 +9,12 @@ by path shuffles the other side only.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-COLUMNS = "norm_path STRING, file_hash STRING, size_bytes BIGINT, doc_id BIGINT, modified_time TIMESTAMP_NTZ, live BOOLEAN, gen STRING"
+COLUMNS = "norm_path STRING, file_hash STRING, size_bytes BIGINT, doc_id BIGINT, modified_time TIMESTAMP_NTZ, live BOOLEAN"
 _TRACKED = "spark.sql.hive.manageFilesourcePartitions"
 #: With more generations than this, a writer merges all into one.
 MOST = 8
@@ -24,17 +25,17 @@ class PathIndex:
         self.spark, self.folder, self.buckets = spark, f"{folder.rstrip('/')}/paths", buckets
         self.table = "medialake_paths_" + hashlib.md5(f"{self.folder} {buckets}".encode()).hexdigest()
 
-    def _known(self) -> str:
-        """Name of an external table over the folder, whose files Spark lists itself."""
-        if not self.spark.catalog.tableExists(self.table):
+    def _table(self, name: str, place: str, columns: str, partitioned: str = "") -> str:
+        """An external table of a folder, whose files Spark lists itself."""
+        if not self.spark.catalog.tableExists(name):
             before = self.spark.conf.get(_TRACKED)
             self.spark.conf.set(_TRACKED, "false")
             try:
-                place = self.folder.replace("'", "\\'")
-                self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.table} ({COLUMNS}) USING parquet PARTITIONED BY (gen) CLUSTERED BY (norm_path) SORTED BY (norm_path) INTO {self.buckets} BUCKETS LOCATION '{place}'")
+                quoted = place.replace("'", "\\'")
+                self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet {partitioned} CLUSTERED BY (norm_path) SORTED BY (norm_path) INTO {self.buckets} BUCKETS LOCATION '{quoted}'")
             finally:
                 self.spark.conf.set(_TRACKED, before)
-        return self.table
+        return name
 
     def dealt(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with norm_path) in the index's own partitions, so that a join with it moves no more."""
@@ -44,14 +45,20 @@ class PathIndex:
         """norm_path, file_hash, size_bytes, doc_id, modified_time of the library's rows, in buckets."""
         if not generations:
             return self.dealt(self.spark.createDataFrame([], "norm_path string, file_hash string, size_bytes long, doc_id long, modified_time timestamp_ntz"))
-        self.spark.catalog.refreshTable(self._known())
-        told = self.spark.table(self._known()).where(F.col("gen").isin(*generations))
+        table = self._table(self.table, self.folder, f"{COLUMNS}, gen STRING", "PARTITIONED BY (gen)")
+        self.spark.catalog.refreshTable(table)
+        told = self.spark.table(table).where(F.col("gen").isin(*generations))
         last = told.groupBy("norm_path", "file_hash").agg(F.max_by(F.struct("live", "size_bytes", "doc_id", "modified_time"), "gen").alias("_r"))
         return last.where("_r.live").select("norm_path", "file_hash", "_r.size_bytes", "_r.doc_id", "_r.modified_time")
 
     def add(self, changes: DataFrame, generation: str) -> None:
         """Write a generation: norm_path, file_hash, size_bytes, doc_id, modified_time, live."""
-        self.dealt(changes).select("norm_path", "file_hash", "size_bytes", "doc_id", "modified_time", "live", F.lit(generation).alias("gen")).write.mode("append").insertInto(self._known())
+        # a table of its own, so that writers side by side share no folder
+        own = self._table(f"{self.table}_{uuid.uuid4().hex}", f"{self.folder}/gen={generation}", COLUMNS)
+        try:
+            self.dealt(changes).select("norm_path", "file_hash", "size_bytes", "doc_id", "modified_time", "live").write.mode("append").insertInto(own)
+        finally:
+            self.spark.sql(f"DROP TABLE {own}")  # an external one: the files stay
 
     @staticmethod
     def changes(before: DataFrame, after: DataFrame) -> DataFrame:
