@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 
 from medialake.plans.library import Library
 from medialake.plans.pipelines import index, sync
+from medialake.sources.objects import list_as_files
+from medialake.sources.walk import list_files
 
 VERSION = "0.1.0"
 
@@ -46,14 +48,23 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def source_of(path: str):
+    """How to list ``path``: a folder of a disk, or an object store by its URI."""
+    return list_as_files if "://" in path else list_files
+
+
+def progress(counts: dict) -> None:
+    logging.getLogger("medialake").info("%s files, %s errors, %.0f images a minute", counts["discovered"], counts["errors"], counts["images_per_minute"])
+
+
 def run(args: argparse.Namespace) -> int:
     spark = session()
     library = Library(spark, args.db)
     if args.command == "index":
-        r = index(spark, args.path, library, workers=args.workers)
+        r = index(spark, args.path, library, workers=args.workers, source=source_of(args.path), progress=progress, every=10.0)
         print(f"Indexed {r.processed} of {r.discovered} files ({r.errors} errors).")
     elif args.command == "sync":
-        r = sync(spark, args.path, library, args.cleanup_deleted, args.reprocess_modified, args.index_new, args.dry_run)
+        r = sync(spark, args.path, library, args.cleanup_deleted, args.reprocess_modified, args.index_new, args.dry_run, source=source_of(args.path))
         print(f"new={r.new_files} modified={r.modified_files} deleted={r.deleted_entries} unchanged={r.unchanged_files} errors={r.error_count}")
         return 2 if r.error_count else 0
     elif args.command == "stats":

@@ -3,33 +3,41 @@
 from __future__ import annotations
 
 import hashlib
+import io
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from medialake.schemas import DECODED
 from medialake.sources.image_bytes import read_size, read_tags
+from medialake.sources.opening import FileBytes, open_input
 
 CHUNK = 64 * 1024
 
 
-def hash_file(path: str) -> str:
-    """SHA-256 of a file, read in chunks."""
+def hash_stream(file) -> str:
+    """SHA-256 of an open file, read in chunks."""
     digest = hashlib.sha256()
-    with open(path, "rb") as f:
-        while block := f.read(CHUNK):
-            digest.update(block)
+    while block := file.read(CHUNK):
+        digest.update(block)
     return digest.hexdigest()
 
 
+def hash_file(path: str) -> str:
+    """SHA-256 of a file on a disk or in an object store."""
+    with open_input(path) as f:
+        return hash_stream(f)
+
+
 def _decode_one(path: str, data: bytes | None = None):
+    """DECODED values; of a file, its bytes pass by once for the hash, and the pages with tags are sought."""
     try:
-        if data is None:
-            with open(path, "rb") as f:
-                data = f.read()
-        tags, numbers = read_tags(data)
-        width, height = read_size(data)
-        return hashlib.sha256(data).hexdigest(), width, height, tags, numbers, None, None
+        with open_input(path) if data is None else io.BytesIO(data) as f:
+            found = hash_stream(f)
+            view = FileBytes(f)
+            tags, numbers = read_tags(view)
+            width, height = read_size(view)
+        return found, width, height, tags, numbers, None, None
     except FileNotFoundError as e:
         return None, 0, 0, {}, {}, f"race-condition (file disappeared): {path}", type(e).__name__
     except OSError as e:
@@ -37,7 +45,7 @@ def _decode_one(path: str, data: bytes | None = None):
 
 
 def decode(files: DataFrame, path_col: str = "original_path") -> DataFrame:
-    """``files`` with the DECODED columns; one file's bytes are held at a time.
+    """``files`` with the DECODED columns; no file is held in memory: a few pages of it are.
 
     A column ``content``, as listings of object stores have it, is read instead
     of the file, and left out of the result.

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from medialake.functions.exif import strip
 from medialake.schemas import PROFILES
@@ -15,14 +15,14 @@ _EXIF = "struct<camera_make:string,camera_model:string,f_stop:double,exposure_ti
 _DOC = f"struct<file_hash:string,file_info:struct<name:string,path:string,size_bytes:long,mime_type:string>,dimensions:struct<width:int,height:int>,exif:{_EXIF},labels:array<string>,added_at:string>"
 
 
-@F.udf(T.StringType())
-def _real(path):
-    return os.path.realpath(path) if path else path
-
-
 def normal(path):
     """Absolute path without links or dots, as a scan names it."""
-    return _real(path)
+
+    @F.pandas_udf("string")
+    def real(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: os.path.realpath(p) if p else p)
+
+    return real(path)
 
 
 def typed(docs: DataFrame) -> DataFrame:

@@ -22,6 +22,11 @@ def list_objects(spark: SparkSession, url: str, suffixes=None) -> DataFrame:
 
 
 def list_with_content(spark: SparkSession, url: str, suffixes=None) -> DataFrame:
-    """A source for ``index``: the rows of ``list_objects`` as file rows, with the bytes that ``decode`` reads."""
+    """A source for ``index`` alone: the rows of ``list_objects`` as file rows, with the bytes that ``decode`` reads."""
     rows = list_objects(spark, url, suffixes)
     return rows.withColumns({"norm_path": F.col("original_path"), "error": F.lit(None).cast("string")})
+
+
+def list_as_files(spark: SparkSession, url: str, suffixes=None) -> DataFrame:
+    """A source for ``index`` and ``sync``: file rows of objects, whose bytes tasks read by their URI when they need them."""
+    return list_with_content(spark, url, suffixes).drop("content")
