@@ -154,6 +154,8 @@ class Library:
         return self._commit(lambda m: (set(range(max(m.buckets, buckets))), self._rows(m.files).drop("cell")), buckets)
 
     def _commit(self, plan: Callable[[Manifest], tuple[set[int], DataFrame]], buckets: int | None = None) -> int:
+        if not self.manifest().version:
+            self.log.create(Manifest(buckets=self.buckets))  # so that a reader never sees data before a log
         for _ in range(self.attempts):
             m = self.manifest()
             touched, rows = plan(m)
