@@ -1,4 +1,4 @@
-"""Command line: index, sync, stats, search."""
+"""Command line: index, sync, stats, search, export."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from medialake.plans.library import Library
 from medialake.plans.pipelines import index, sync
+from medialake.sources.json_store import export
 from medialake.sources.objects import list_as_files
 from medialake.sources.walk import list_files
 
@@ -43,7 +44,10 @@ def parser() -> argparse.ArgumentParser:
     for name in ("date-from", "date-to", "camera", "tags"):
         four.add_argument(f"--{name}")
     four.add_argument("--location", help="lat,lon,radius_km")
-    for c in (one, two, three, four):
+    five = commands.add_parser("export", help="write all images as a JSON document store")
+    five.add_argument("--out", required=True)
+    five.add_argument("--single", action="store_true", help="one file")
+    for c in (one, two, three, four, five):
         c.add_argument("--db", default="media_library")
     return p
 
@@ -69,6 +73,9 @@ def run(args: argparse.Namespace) -> int:
         return 2 if r.error_count else 0
     elif args.command == "stats":
         print(f"{library.count()} images")
+    elif args.command == "export":
+        export(library.read(), args.out, single=args.single)
+        print(f"{library.count()} images written to {args.out}")
     elif args.command == "search":
         place = tuple(float(x) for x in args.location.split(",")) if args.location else None
         found = library.search(args.date_from, args.date_to, args.camera, place, args.tags.split(",") if args.tags else None)
