@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -69,6 +70,17 @@ def state_counts(states: DataFrame) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(s).alias("state"), F.col(s).alias("n")) for s in STATES])).alias("x")).select("x.*")
 
 
+def planned_by_flags(states: DataFrame) -> DataFrame:
+    """``planned`` for each setting of the three flags; the states are counted once."""
+    counts = states.agg(*[F.count_if(F.col("state") == s).alias(s) for s in STATES])
+    names = ("cleanup_deleted", "reprocess_modified", "index_new")
+    settings = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(names, flags))) for flags in itertools.product((False, True), repeat=3)))
+    each = counts.select(*STATES, F.explode(settings).alias("_s")).select(*STATES, "_s.*")
+    gated = lambda s, flag: F.when(F.col(flag), F.col(s)).otherwise(F.lit(0)).cast("long")
+    out = each.select(*names, gated("NEW", "index_new").alias("new_files"), gated("MODIFIED", "reprocess_modified").alias("modified_files"), gated("DELETED", "cleanup_deleted").alias("deleted_entries"), F.col("UNCHANGED").alias("unchanged_files"))
+    return out.withColumn("total_changes", F.col("new_files") + F.col("modified_files") + F.col("deleted_entries"))
+
+
 def planned(states: DataFrame, cleanup_deleted: bool = False, reprocess_modified: bool = True, index_new: bool = True) -> DataFrame:
     """One row: what a sync with these flags would do."""
     gate = {"new_files": ("NEW", index_new), "modified_files": ("MODIFIED", reprocess_modified), "deleted_entries": ("DELETED", cleanup_deleted), "unchanged_files": ("UNCHANGED", True)}

@@ -7,12 +7,15 @@ them), cameras from ``part``, times from ``orders``, places from ``customer``.
 
 from __future__ import annotations
 
-import itertools
+import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
-from medialake.functions import camera, exif, paths
+from medialake.functions import camera, cells, exif, paths
 from medialake.operators import diff, search, stats, store
+from medialake.plans.library import Library
+from medialake.schemas import EXIF
 
 SUFFIXES = [".jpg", ".JPEG", ".png", ".txt", ".heic", ".raw", "", ".NEF"]
 MAKES = ["Canon", "NIKON", "Sony", "Apple", " samsung ", "GoPro", "Epson", "Leica", "", "DJI"]
@@ -100,13 +103,8 @@ def sync_counts(spark, sf_dir):
 
 
 def sync_plan_flags(spark, sf_dir):
-    """What a dry run reports, one row for each setting of the three flags."""
-    states, parts = _states(spark, sf_dir), None
-    for flags in itertools.product((False, True), repeat=3):
-        named = dict(zip(("cleanup_deleted", "reprocess_modified", "index_new"), flags))
-        one = diff.planned(states, **named).select(*(F.lit(v).alias(k) for k, v in named.items()), "*")
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+    """What a dry run reports, one row for each setting of the three flags, from one count of the states."""
+    return diff.planned_by_flags(_states(spark, sf_dir))
 
 
 def orphaned_paths(spark, sf_dir):
@@ -156,6 +154,61 @@ def library_count(spark, sf_dir):
     return stats.total(_old_rows(spark, sf_dir))
 
 
+# --- the library ------------------------------------------------------------------
+def _new_library(spark):
+    """An empty library in the folder that driver and executors share (a temporary one in local sessions without it)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="medialake-")
+    return Library(spark, f"{shared.rstrip('/')}/library-{uuid.uuid4().hex}", buckets=4)
+
+
+def _as_library(rows):
+    """Library rows (with ``seq``) of (seq, path, size_bytes, file_hash)."""
+    info = F.struct(paths.basename(F.col("path")).alias("name"), "path", "size_bytes", paths.mime_type(paths.basename(F.col("path"))).alias("mime_type"))
+    blank = F.lit(None)
+    return rows.select("file_hash", F.col("path").alias("norm_path"), info.alias("file_info"), F.struct(F.lit(0).alias("width"), F.lit(0).alias("height")).alias("dimensions"), blank.cast(EXIF).alias("exif"), F.array().cast("array<string>").alias("labels"), blank.cast("timestamp_ntz").alias("added_at"), "seq")
+
+
+def _changed_library(spark, sf_dir):
+    """The older state saved, the present one saved over it, and the rows of some paths dropped: three versions."""
+    library, now = _new_library(spark), files(spark, sf_dir)
+    library.save(_as_library(prev_index(spark, sf_dir)))
+    library.save(_as_library(now.where("seq % 4 = 1")))
+    library.change(gone=now.where("seq % 12 = 5").select(F.col("path").alias("norm_path")))
+    library.clear()
+    return library
+
+
+def library_rows(spark, sf_dir):
+    """Rows of a library after an upsert and deletions that rewrote the buckets concerned."""
+    return _changed_library(spark, sf_dir).read().select("file_hash", "doc_id", "norm_path", "file_info.size_bytes")
+
+
+def library_kinds(spark, sf_dir):
+    """Counts of the same library from its manifest."""
+    kinds = _changed_library(spark, sf_dir).stats().kinds
+    return spark.createDataFrame([(k, n, b) for k, (n, b) in kinds.items()], "mime_type string, n long, bytes long")
+
+
+def library_states(spark, sf_dir):
+    """Change analysis of the present files against the same library's index of paths."""
+    library, f = _changed_library(spark, sf_dir), files(spark, sf_dir)
+    disk = f.select(F.col("path").alias("norm_path"), "size_bytes", F.lit(None).cast("timestamp_ntz").alias("modified_time"), F.col("seq").alias("ord"))
+    current = f.select(F.col("path").alias("norm_path"), F.col("file_hash").alias("current_hash"), F.lit(None).cast("string").alias("hash_error"))
+    states = diff.file_states(library.dealt_by_path(disk), library.paths().withColumnRenamed("doc_id", "ord"), lambda needed: needed.join(current, "norm_path"))
+    return states.drop("last_modified")
+
+
+def search_cells(spark, sf_dir):
+    """Places around a point near the date line, found by intervals of cells."""
+    lat, lon = F.col("exif.location.latitude"), F.col("exif.location.longitude")
+    near = _photos(spark, sf_dir).withColumn("cell", cells.cell(lat, lon)).where(cells.among(F.col("cell"), cells.cover(-17.5, 178.5, 2500.0)))
+    return search.search(near, location=(-17.5, 178.5, 2500.0)).select("c_custkey", "cell", F.round(search.distance_km(lat, lon, -17.5, 178.5), 6).alias("km"))
+
+
 # --- photo fields -----------------------------------------------------------------
 def camera_profile(spark, sf_dir):
     p = _t(spark, sf_dir, "part").select("p_partkey", _pick(MAKES, F.col("p_partkey")).alias("make"), _pick(MODELS, F.col("p_partkey")).alias("model"), (F.col("p_size") % 2 == 0).alias("has_lens"))
@@ -267,7 +320,22 @@ _PROFILE_SQL = """CASE WHEN make IS NULL OR make = '' THEN 'unknown' WHEN upper(
 _MIME_SQL = "CASE lower(regexp_extract(filename, '^.+(\\.[^.]+)$', 1)) WHEN '.jpg' THEN 'image/jpeg' WHEN '.jpeg' THEN 'image/jpeg' WHEN '.png' THEN 'image/png' WHEN '.heic' THEN 'image/heic' WHEN '.nef' THEN 'image/x-nikon-nef' WHEN '.txt' THEN 'text/plain' ELSE 'application/octet-stream' END"
 _KM_SQL = "2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians(lat - 48.5) / 2), 2) + cos(radians(lat)) * cos(radians(48.5)) * pow(sin(radians(lon - 11.25) / 2), 2))))"
 
+_CHANGED_SQL = f"""{_OLD_SQL}, top AS (SELECT max(doc_id) AS t FROM old),
+new AS (SELECT file_hash, arg_max(path, seq) AS path, arg_max(size_bytes, seq) AS size_bytes, min(seq) AS first FROM files WHERE seq % 4 = 1 GROUP BY file_hash),
+merged AS (SELECT * FROM old WHERE file_hash NOT IN (SELECT file_hash FROM new) UNION ALL SELECT new.file_hash, coalesce(old.doc_id, new.first + 1 + t), new.path, new.size_bytes FROM new CROSS JOIN top LEFT JOIN old USING (file_hash)),
+held AS (SELECT file_hash, doc_id, path, size_bytes FROM merged WHERE path NOT IN (SELECT path FROM files WHERE seq % 12 = 5))"""
+_BITS_SQL = lambda v: " + ".join(f"((({v}) >> {i}) & 1) * {1 << (2 * i)}" for i in range(16))
+_CELL_SQL = f"(2 * ({_BITS_SQL('y')}) + {_BITS_SQL('x')})::BIGINT"
+_FIJI_SQL = _KM_SQL.replace("48.5", "-17.5").replace("11.25", "178.5").replace("lat - -17.5", "lat + 17.5")
+
 ORACLE_SQL = {
+    "library_rows": f"WITH {FILES_SQL}, {_CHANGED_SQL} SELECT file_hash, doc_id, path AS norm_path, size_bytes FROM held",
+    "library_kinds": f"WITH {FILES_SQL}, {_CHANGED_SQL} SELECT {_MIME_SQL.replace('filename', 'path')} AS mime_type, count(*) AS n, sum(size_bytes)::BIGINT AS bytes FROM held GROUP BY 1",
+    "library_states": f"""WITH {FILES_SQL}, {_CHANGED_SQL}, known AS (SELECT path, arg_max(file_hash, doc_id) AS file_hash, arg_max(size_bytes, doc_id) AS size_bytes FROM held GROUP BY path)
+SELECT coalesce(f.path, p.path) AS file_path, CASE WHEN f.path IS NULL THEN 'DELETED' WHEN p.path IS NULL THEN 'NEW' WHEN f.size_bytes = p.size_bytes OR f.file_hash = p.file_hash THEN 'UNCHANGED' ELSE 'MODIFIED' END AS state,
+  CASE WHEN f.path IS NULL OR f.size_bytes = p.size_bytes THEN p.file_hash ELSE f.file_hash END AS file_hash, f.size_bytes AS size_bytes, CASE WHEN f.size_bytes <> p.size_bytes AND f.file_hash <> p.file_hash THEN p.file_hash END AS previous_hash
+FROM files f FULL OUTER JOIN known p ON f.path = p.path""",
+    "search_cells": f"WITH {_PHOTOS_SQL}, c AS (SELECT *, least(65535, floor((lat + 90) / 180 * 65536))::BIGINT AS y, least(65535, floor((lon + 180) / 360 * 65536))::BIGINT AS x FROM photos) SELECT c_custkey, {_CELL_SQL} AS cell, round({_FIJI_SQL}, 6) AS km FROM c WHERE {_FIJI_SQL} <= 2500",
     "file_fingerprint": f"WITH {FILES_SQL} SELECT seq, path, size_bytes, file_hash FROM files",
     "extension_filter": f"WITH {FILES_SQL} SELECT seq, filename, lower(regexp_extract(filename, '^.+(\\.[^.]+)$', 1)) AS suffix FROM files WHERE lower(regexp_extract(filename, '^.+(\\.[^.]+)$', 1)) IN {paths.IMAGE_SUFFIXES}",
     "directory_markers": f"WITH {FILES_SQL} SELECT seq, path AS key, filename AS name FROM files WHERE seq % 9 <> 0",
