@@ -301,3 +301,19 @@ def test_all_errors_are_kept(spark, tmp_path):
     assert r.errors == [] and r.error_count == 1 and r.new_files == 1
     (told,) = library.errors().collect()
     assert told.state == "NEW" and "mem" in told.path and told.error.startswith("extract error [NEW]")
+
+
+def test_a_folder_in_another_store(spark, tmp_path):
+    """The way through Hadoop's file systems, here over the local one."""
+    f = Folder(spark, f"file://{tmp_path}/store")
+    f.local = None
+    assert f.files("log") == [] and f.create("log/1", "one ü") and not f.create("log/1", "other") and f.create("log/2", "two")
+    assert f.files("log") == ["log/1", "log/2"] == f.files() and f.read("log/1") == "one ü" and 0 <= f.age("log/2") < 60
+    f.remove("log/1")
+    assert f.files() == ["log/2"]
+    library = Library(spark, f"file://{tmp_path}/lib", buckets=2)
+    library.log.folder.local = None
+    library.save(rows(spark, range(10)))
+    library.save(rows(spark, range(5, 15)))
+    assert library.count() == library.read().count() == library.paths().count() == 15
+    assert library.vacuum(keep=1, grace_seconds=0) > 0 and library.read().count() == 15
