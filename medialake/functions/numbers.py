@@ -30,9 +30,13 @@ def rounded(x: Column, digits: int) -> Column:
 
 
 def fixed(x: Column, digits: int) -> Column:
-    """Text of ``x`` with ``digits`` decimals (|x| below 10**12); null for null, nan and infinities."""
+    """Text of ``x`` with ``digits`` decimals; null for null, nan and infinities.
+
+    From 10**12 on, where doubles have no more decimals to round than a few, by
+    ``format_string``.
+    """
     n = rounded(F.abs(x), digits).cast("long")
     unit = 10**digits
     sign = F.when((x < 0) | (x.cast("string") == "-0.0"), "-").otherwise("")
     text = F.concat(sign, F.floor(n / unit).cast("long").cast("string"), F.lit("."), F.lpad((n % unit).cast("string"), digits, "0"))
-    return F.when(F.abs(x) < 1e12, text)
+    return F.when(F.abs(x) < 1e12, text).when(F.abs(x) < float("inf"), F.format_string(f"%.{digits}f", x))

@@ -13,7 +13,8 @@ state, so no row of either is lost.  Readers hold the files of one version.
 * Each manifest holds the sums of each file, so counts read no data.
 
 Only the lists of files and their sums reach the driver.  A bucket is written by
-one task: choose ``buckets`` so that it holds a few GB, or ``rebucket``.
+one task, so the number of buckets follows the rows: a new library is dealt by
+those of its first change, and dealt anew when it has grown to four times that.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ _INNER = ("modified_time", "cell")
 _SLIM = ("norm_path", "file_hash", "file_info.size_bytes", "doc_id", "modified_time")
 _ERRORS = "path string, state string, error string, error_type string, told_at timestamp_ntz"
 _BLOOM = {f"parquet.bloom.filter.enabled#{c}": "true" for c in ("file_hash", "norm_path", "file_info.path")}
+#: Rows that a bucket is meant for, and the least number of buckets, where the caller gives none.
+ROWS_PER_BUCKET, LEAST_BUCKETS = 1_000_000, 16
 #: Beyond this many paths a lookup joins instead of listing them in a condition.
 _LISTED = 1000
 
@@ -60,8 +63,8 @@ class LibraryStats:
 
 
 class Library:
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, rows_per_file: int = 1_000_000, attempts: int = 20):
-        """``buckets``: of a new library; an old one keeps its own."""
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, rows_per_file: int = 1_000_000, attempts: int = 20):
+        """``buckets``: of a new library, which then keeps them; by default they follow the rows."""
         self.spark, self.path, self.buckets, self.rows_per_file, self.attempts = spark, path.rstrip("/"), buckets, rows_per_file, attempts
         self.log = Log(spark, self.path)
         self._scratch: list[str] = []
@@ -77,7 +80,7 @@ class Library:
         if found is None:
             if any(f.endswith(".parquet") and not f.startswith(("staging/", "errors/")) for f in self.log.folder.files()):
                 raise RuntimeError(f"{self.path} has data but no log: restore the log, or remove the folder")
-            return Manifest(buckets=self.buckets)
+            return Manifest(buckets=self.buckets or LEAST_BUCKETS)
         return found
 
     def _rows(self, files: list[DataFile] | tuple[DataFile, ...]) -> DataFrame:
@@ -128,6 +131,8 @@ class Library:
         """
         if saved is not None and "modified_time" not in saved.columns:
             saved = saved.withColumn("modified_time", F.lit(None).cast("timestamp_ntz"))
+        if saved is not None and self.buckets is None and self.log.latest() is None:
+            self._begun(saved.count())
 
         def plan(m: Manifest):
             known, lost = self._index(m).rows(m.generations), None
@@ -154,8 +159,7 @@ class Library:
         return self._commit(lambda m: (set(range(max(m.buckets, buckets))), self._rows(m.files).drop("cell")), buckets)
 
     def _commit(self, plan: Callable[[Manifest], tuple[set[int], DataFrame]], buckets: int | None = None) -> int:
-        if not self.manifest().version:
-            self.log.create(Manifest(buckets=self.buckets))  # so that a reader never sees data before a log
+        self._begun(0)
         for _ in range(self.attempts):
             m = self.manifest()
             touched, rows = plan(m)
@@ -166,9 +170,16 @@ class Library:
             kept = tuple(f for f in m.files if f.bucket not in touched)
             following = replace(m, version=m.version + 1, buckets=n, top=max([m.top, *(f.top for f in made)]), files=kept + tuple(made))
             if self.log.create(replace(following, generations=self._indexed(m, following, touched, made))):
+                if self.buckets is None and following.count() > 4 * ROWS_PER_BUCKET * n:
+                    return self.rebucket(_buckets_for(following.count()))
                 return following.version
         raise Conflict(f"{self.attempts} attempts to change {self.path} came second")
 
+    def _begun(self, rows: int) -> None:
+        """Write the empty version of a new library, so that a reader never sees data before a log."""
+        if not self.manifest().version:
+            self.log.create(Manifest(buckets=self.buckets or _buckets_for(rows)))
+
     def _write(self, rows: DataFrame, buckets: int) -> list[DataFile]:
         """Write rows as files of their buckets, and sum them up."""
         place, folder = F.col("exif.location"), f"data/{_stamp()}"
@@ -294,6 +305,11 @@ def _bucket(file_hash: Column, buckets: int) -> Column:
     return (F.crc32(file_hash.cast("binary")) % buckets).cast("int")
 
 
+def _buckets_for(rows: int) -> int:
+    """The least power of two at which a bucket has no more rows than it is meant for."""
+    return max(LEAST_BUCKETS, 1 << max(0, -(-rows // ROWS_PER_BUCKET) - 1).bit_length())
+
+
 def _stamp() -> str:
     """Name of a folder that no other writer has."""
     return f"{int(time.time() * 1000)}-{uuid.uuid4().hex[:12]}"

@@ -212,6 +212,7 @@ def _apply(states, files, library, result, cleanup_deleted, reprocess_modified,
     failed, good = decoded.where("decode_error is not null"), decoded.where("decode_error is null")
     lost = {r.state: r.n for r in stats.outcomes(failed).groupBy("state").agg(F.sum("n").alias("n")).collect()}
     if lost:
+        # Fixed value: wording of a file that could not be decoded.
         vanished = F.col("error_type") == "FileNotFoundError"
         told = F.when(vanished, F.col("decode_error")).otherwise(F.format_string("extract error [%s]: %s: %s", "state", "norm_path", "decode_error"))
         messages = failed.select(F.col("norm_path").alias("path"), "state", told.alias("error"), "error_type")

@@ -38,6 +38,7 @@ def _decode_one(path: str, data: bytes | None = None):
             tags, numbers = read_tags(view)
             width, height = read_size(view)
         return found, width, height, tags, numbers, None, None
+    # Fixed value: wording of a file that went meanwhile.
     except FileNotFoundError as e:
         return None, 0, 0, {}, {}, f"race-condition (file disappeared): {path}", type(e).__name__
     except OSError as e:

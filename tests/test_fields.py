@@ -97,3 +97,9 @@ def test_suffix(spark):
 def test_distance(spark):
     km = values(spark, [(48.8566, 2.3522)], "a double, o double", search.distance_km(F.col("a"), F.col("o"), 51.5074, -0.1278))[0]
     assert abs(km - 343.56) < 0.5
+
+
+def test_large_numbers_have_a_text(spark):
+    values = [1e12, -2.5e12, 123456789012345.0, 1e15, float("inf"), float("nan"), None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(numbers.fixed(F.col("x"), 1)).collect()]
+    assert got == [*(f"{v:.1f}" for v in values[:4]), None, None, None]

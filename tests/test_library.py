@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from medialake.functions import cells
 from medialake.operators import diff
 from medialake.operators import search as searching
+from medialake.plans import library as module
 from medialake.plans.library import Conflict, Library
 from medialake.plans.pipelines import sync
 from medialake.schemas import LIBRARY_SCHEMA
@@ -141,6 +142,19 @@ def test_old_versions_and_clean_up(spark, library):
     assert library.paths().count() == library.count() == 50
 
 
+def test_buckets_follow_the_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(module, "ROWS_PER_BUCKET", 10)
+    monkeypatch.setattr(module, "LEAST_BUCKETS", 2)
+    assert [module._buckets_for(n) for n in (0, 10, 20, 21, 81, 160)] == [2, 2, 2, 4, 16, 16]
+    library = Library(spark, str(tmp_path / "grows"))
+    library.save(rows(spark, range(30)))
+    assert library.manifest().buckets == 4
+    library.save(rows(spark, range(20, 170)))
+    assert library.manifest().buckets == 32 and library.count() == library.read().count() == library.paths().count() == 170
+    library.save(rows(spark, range(180)))
+    assert library.manifest().buckets == 32 and library.count() == 180
+
+
 def test_kept_labels(spark, library):
     library.save(rows(spark, [1, 2], labels=["mine"]))
     library.save(rows(spark, [2, 3], path="/b/{}"), keep=("labels",))
