@@ -141,7 +141,7 @@ def photos(tmp_path):
 
 @pytest.fixture
 def library(spark, tmp_path):
-    return Library(spark, str(tmp_path / "lib"))
+    return Library(spark, str(tmp_path / "lib"), buckets=2)
 
 
 def test_walk_lists_what_a_plain_walk_lists(spark, tmp_path):
