@@ -205,7 +205,7 @@ def library_states(spark, sf_dir):
 def search_cells(spark, sf_dir):
     """Places around a point near the date line, found by intervals of cells."""
     lat, lon = F.col("exif.location.latitude"), F.col("exif.location.longitude")
-    near = _photos(spark, sf_dir).withColumn("cell", cells.cell(lat, lon)).where(cells.among(F.col("cell"), cells.cover(-17.5, 178.5, 2500.0)))
+    near = _photos(spark, sf_dir).withColumn("cell", cells.cell(lat, lon)).where(cells.among(F.col("cell"), cells.cover(-17.5, 178.5, 2500.0, most=8)))
     return search.search(near, location=(-17.5, 178.5, 2500.0)).select("c_custkey", "cell", F.round(search.distance_km(lat, lon, -17.5, 178.5), 6).alias("km"))
 
 
