@@ -199,19 +199,21 @@ ORACLE_SQL = {
 WITH f AS (SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', source, 'pkg' || doc_id % 7) AS up, 'part' || (doc_id // 7) % 5 AS part FROM documents),
 p AS (SELECT doc_id, text, doc_id % 10 = 0 AS is_file, CASE WHEN doc_id % 20 = 0 THEN up ELSE up || '/' || part END AS dir,
   CASE WHEN doc_id % 20 = 0 THEN up || '/LICENSE.d' || doc_id WHEN doc_id % 10 = 0 THEN up || '/' || part || '/LICENSE.d' || doc_id ELSE up || '/' || part || '/' || doc_id || '.txt' END AS path FROM f),
-t(template, license, body) AS (VALUES {_values([(i, a, b) for i, (a, b) in enumerate(licenses.TEMPLATES)])}),
+t(template, license, body, needs, bars) AS (VALUES {_values([(i, a, b, " ".join(licenses.needs(a, b)), " ".join(licenses.bars(b))) for i, (a, b) in enumerate(licenses.TEMPLATES)])}),
 tw AS (SELECT template, license, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS w FROM t),
 vocab AS (SELECT DISTINCT w FROM tw),
 df AS (SELECT w, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM p) JOIN vocab USING (w) GROUP BY w),
 idf AS (SELECT w, ln((1 + (SELECT count(*) FROM p)) / (1 + coalesce(n, 0))::DOUBLE) + 1 AS idf FROM vocab LEFT JOIN df USING (w)),
 tv AS (SELECT template, license, w, count(*) * any_value(idf) AS y FROM tw JOIN idf USING (w) GROUP BY ALL),
 tn AS (SELECT template, license, w, y / sqrt(sum(y * y) OVER (PARTITION BY template)) AS x FROM tv),
-units AS (SELECT doc_id, i, s[i] AS line FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, CASE WHEN is_file THEN list_append(string_split(text, chr(10)), text) ELSE string_split(text, chr(10)) END AS s FROM p))),
+units AS (SELECT doc_id, i, s[i] AS line FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, CASE WHEN is_file THEN list_append(string_split(text, chr(10)), text) ELSE string_split(text, chr(10)) END AS s FROM (SELECT doc_id, is_file, regexp_replace(text, '{licenses.NOTICE}', '\\1', 'g') AS text FROM p)))),
 uw AS (SELECT doc_id, i, w, count(*) * coalesce(any_value(idf), (SELECT ln((1 + count(*)) / 2.0) + 1 FROM p)) AS y FROM (SELECT doc_id, i, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS w FROM units) LEFT JOIN idf USING (w) GROUP BY doc_id, i, w),
 un AS (SELECT doc_id, i, w, y / sqrt(sum(y * y) OVER (PARTITION BY doc_id, i)) AS y FROM uw),
 cos AS (SELECT doc_id, i, template, license, round(sum(x * y), 9) AS c FROM un JOIN tn USING (w) GROUP BY ALL),
 sizes AS (SELECT template, count(*) AS n FROM tw GROUP BY template),
-unit AS (SELECT doc_id, license, c, n FROM cos JOIN sizes USING (template) WHERE c >= 0.75 QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY c DESC, license, n DESC) = 1),
+held AS (SELECT doc_id, i, list(w) AS ws FROM uw GROUP BY doc_id, i),
+unit AS (SELECT doc_id, cos.license, c, n FROM cos JOIN sizes USING (template) JOIN t USING (template) JOIN held USING (doc_id, i)
+  WHERE c >= 0.75 AND (needs = '' OR list_has_all(ws, string_split(needs, ' '))) AND NOT list_has_any(ws, string_split(bars, ' ')) QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY c DESC, cos.license, n DESC) = 1),
 own AS (SELECT doc_id, license, c AS cosine FROM unit QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN c >= 0.9 THEN -n ELSE 0 END, c DESC, license) = 1),
 holders AS (SELECT dir AS license_dir, license, cosine FROM p JOIN own USING (doc_id) WHERE is_file QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, license) = 1),
 near AS (SELECT doc_id, h.* FROM p JOIN holders h ON dir = license_dir OR starts_with(dir, license_dir || '/') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(license_dir) DESC) = 1)

@@ -92,6 +92,73 @@ def test_runs_equal_all_pairs_of_lines(spark):
             held = set(sum(lines[i:j], []))
             if held & marks and any(sum(v[w] ** 2 for w in held & set(v)) >= 0.5624 and len(sum(lines[i:j], [])) <= 1.5 * n for n, (_, v) in zip((4, 2), vectors)):
                 want.append(" ".join(map(" ".join, lines[i:j])))
+    single = [" ".join(x) for x in lines if set(x) & marks]
     mark = F.lit("(^|[^a-z0-9])(" + "|".join(marks) + ")($|[^a-z0-9])")
-    got = spark.createDataFrame([(text,)], "t string").select(licenses.runs(F.col("t"), mark, vectors, [4, 2], 0.75)).first()[0]
-    assert want and sorted(got) == sorted(want)
+    docs = spark.createDataFrame([(1, text), (2, "x p x"), (3, ""), (4, "--\n")], "i int, t string")
+    whole = F.when(F.col("i") == 2, F.array("t")).otherwise(F.array().cast("array<string>"))
+    got = licenses.units(docs, "t", whole, mark, vectors, [4, 2], 0.75).collect()
+    assert want and sorted(r._line for r in got if r.i == 1) == sorted(want + single)
+    assert [r._line for r in got if r.i > 1] == ["x p x", "x p x"]
+
+
+STATEMENTS = [
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("GPL-2.0", "Licensed under the GPLv2."),
+    ("GPL-3.0", "# Licensed under the GPLv3"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-SA-3.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."),
+    ("CC-BY-NC-SA-3.0", "Licensed under CC BY-NC-SA 3.0."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("MIT", "// SPDX-License-Identifier: MIT"),
+    ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-only */"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-only"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0"),
+    ("Apache-2.0", "SPDX-License-Identifier: MIT OR Apache-2.0"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("0BSD", "SPDX-License-Identifier: 0BSD"),
+    ("CC-BY-SA-4.0", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+    ("EPL-2.0", "SPDX-License-Identifier: EPL-2.0"),
+    ("Proprietary", "Copyright 2019 Foo Inc. All rights reserved."),
+    ("Proprietary", "# (c) 2001-2020 The Quite Long Name of Some Company, Limited, of Somewhere. All Rights Reserved."),
+    ("MIT", "Copyright (c) 2020 Foo. All rights reserved.\nReleased under the MIT License."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software."),
+    ("EPL-2.0", " * This program and the accompanying materials are made available under the\n * terms of the Eclipse Public License 2.0 which is available at\n * https://www.eclipse.org/legal/epl-2.0/"),
+    ("BSL-1.0", "// Distributed under the Boost Software License, Version 1.0."),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted."),
+    ("OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE\n Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE\n Version 2.1, February 1999"),
+]
+PROSE = [
+    "The license of the house was granted in the spring.", "Nobody may copy this by hand, said the clerk, and all rights were lost.", "The public license office opens at two.", "A general of the public library spoke for an hour.",
+    "Version 2 of the story is longer than version 3.", "She released the bird under the old license of the town.", "Redistribution of land was on the list of conditions.", "The software was free, but the font was not.",
+    "He copied, modified and merged three drafts into one.", "Permission was granted, free of charge, to any visitor.", "The foundation gave away its source of income.", "In no event was the warranty used.",
+    "The apache helicopter, version 2, flew over the gnu.", "Creative people share alike.", "Copyright is a word in this sentence and nothing more.", "An identifier of the license plate was read aloud.",
+    "The mozilla in the poem was a lizard.", "The work is in the public domain of talk.", "By 4.0 seconds she won the race.", "All rights reserved seats were taken by the guests of the museum on that day.",
+]
+
+
+def test_versions_variants_tags_and_notices(spark):
+    code = "\n\nimport numbers\n\ndef add(one, two):\n    return one + two\n"
+    rows = [(i, f"{i}/x", text + code) for i, (_, text) in enumerate(STATEMENTS)]
+    rows += [(1000 + i, f"{1000 + i}/x", f"Some words came before.\n{text}\nAnd others after.") for i, text in enumerate(PROSE)]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id int, path string, text string")).collect()}
+    wrong = [(name, got[i], text) for i, (name, text) in enumerate(STATEMENTS) if got[i] != name]
+    wrong += [(None, got[1000 + i], text) for i, text in enumerate(PROSE) if got[1000 + i]]
+    assert not wrong, wrong
