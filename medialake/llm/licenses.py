@@ -86,6 +86,7 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("Artistic-1.0", "The \"Artistic License\" Preamble The intent of this document is to state the conditions under which a Package may be copied"),
     ("Artistic-2.0", "The Artistic License 2.0"),
     ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
     ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
@@ -94,7 +95,13 @@ TEMPLATES = [
     ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
     ("EPL-2.0", "Eclipse Public License - v 2.0"),
     ("EUPL-1.2", "Licensed under the EUPL, Version 1.2"),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("MPL-1.1", "MOZILLA PUBLIC LICENSE Version 1.1"),
     ("OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
 ]
@@ -275,9 +282,10 @@ def own_licenses(docs: DataFrame, path_col: str, text_col: str, templates=TEMPLA
     rows += [(i, name, len(needed[i]), lengths[i], w, 0.0, False, True) for i, (name, t) in enumerate(templates) for w in bars(t)]
     terms = F.broadcast(spark.createDataFrame(rows, "template int, license string, needs int, words int, w string, x double, need boolean, bar boolean"))
     weights = F.broadcast(spark.createDataFrame(list(idf.items()), "w string, idf double"))
-    mark = F.lit(r"(^|[^a-z0-9])(" + any_of(anchors(vectors, min_cosine)) + r")($|[^a-z0-9])")
+    marks = anchors(vectors, min_cosine)
+    mark = F.lit(r"(^|[^a-z0-9])(" + any_of(marks) + r")($|[^a-z0-9])")
     whole = F.when(is_license_file(F.col(path_col)), F.array("_text")).otherwise(F.array().cast("array<string>"))
-    held = docs.select(path_col, F.coalesce(text_col, F.lit("")).alias("_text")).where(F.regexp_like(F.lower("_text"), mark))
+    held = docs.select(path_col, F.coalesce(text_col, F.lit("")).alias("_text")).where(F.arrays_overlap(F.split(F.lower("_text"), _SPLIT), _word_list(marks)))
     held = held.select(path_col, F.xxhash64("_text").alias("_hash"), F.regexp_replace("_text", NOTICE, "$1").alias("_text"))
     found = units(held, "_text", whole, mark, vectors, lengths, min_cosine, needed)
     # equal units of a text are one, as a cosine does not change with the times its words are counted
