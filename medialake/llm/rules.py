@@ -11,15 +11,19 @@ Base counts of a text, with words ``[^\\x20\\x09-\\x0D]+``: n_words; word_chars
 (lines with a word that equal an earlier line); n_repeat_words (words inside
 five-word windows that occur twice or more, first occurrence included).
 ``base_failed``: fewer than 10 words, or more than 20 % repeated words.
+Words, lines and windows are told apart by 64-bit hashes.
 
 Defined cases: a null or empty text has no words and fails; with no labelled
 rows every line is content; bytes that are not UTF-8 count as U+FFFD; a text of
-very many lines is decoded a part at a time; null ids and repeated rows give a
+very many lines is decoded, and a long text counted, a part at a time; null ids and repeated rows give a
 row each; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import io
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,49 +31,65 @@ from pyspark.sql import functions as F
 
 from medialake.llm.common import decoded
 from medialake.llm.langid import _runs
-from medialake.llm.lines import Lines, fit_lines
+from medialake.llm.lines import PIECE, Lines, fit_lines
 from medialake.llm.quality import labelled_sample
 
 _SYMBOLS = b"#*$%&|<>"
-_INNER_SPACE = b" \t\x0b\x0c\r"
+_SPACE = re.compile(rb"\s")
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)]
 WINDOW = 5
 
 
-def repeat_words(ids: np.ndarray) -> int:
-    """Words in windows of five equal to another window of the same text."""
+def repeat_words(ids: np.ndarray, step: int = PIECE) -> int:
+    """Words in windows of five equal to another window of the same text; windows are mixed and looked up ``step`` at a time."""
     n = len(ids) - WINDOW + 1
     if n < 2:
         return 0
     key = np.zeros(n, dtype=np.uint64)
-    for i in range(WINDOW):  # a 64-bit mix of the five word numbers
-        x = (key ^ ids[i : i + n].astype(np.uint64)) * _MIX[i]
-        key = x ^ (x >> np.uint64(29))
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
-    if not same.any():
+    for at in range(0, n, step):
+        part = key[at : at + step]
+        for i in range(WINDOW):  # a 64-bit mix of the five words
+            x = (part ^ ids[at + i : at + i + len(part)].astype(np.uint64)) * _MIX[i]
+            part[:] = x ^ (x >> np.uint64(29))
+    ranked = np.sort(key)
+    twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+    del ranked
+    if not len(twice):
         return 0
-    twice = np.zeros(n, dtype=np.int64)
-    twice[order[1:][same]] = 1
-    twice[order[:-1][same]] = 1
-    edge = np.zeros(len(ids) + 1, dtype=np.int64)
-    edge[:n] += twice
-    edge[WINDOW : WINDOW + n] -= twice
-    return int((np.cumsum(edge)[:-1] > 0).sum())
-
-
-def base_counts(text: bytes | None) -> tuple[int, int, int, int, int]:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
+    held = np.zeros(len(ids), dtype=bool)
+    for at in range(0, n, step):
+        part = key[at : at + step]
+        found = twice[np.minimum(np.searchsorted(twice, part), len(twice) - 1)] == part
+        for i in range(WINDOW):
+            held[at + i : at + i + len(part)] |= found
+    return int(held.sum())
+
+
+def pieces(text: bytes, size: int = PIECE):
+    """Parts of about ``size`` bytes that cut no word."""
+    at = 0
+    while at < len(text):
+        space = _SPACE.search(text, at + size)
+        end = space.start() if space else len(text)
+        yield text[at:end]
+        at = end
+
+
+def base_counts(text: bytes | None, size: int = PIECE) -> tuple[int, int, int, int, int]:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words); eight bytes a word and a line are held beside a part of the text."""
     if not text:
         return 0, 0, 0, 0, 0
-    words = text.split()
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=len(words))
-    joined = b"".join(words)
-    chars = len(joined.decode("utf-8", "replace"))
-    symbols = len(text) - len(text.translate(None, _SYMBOLS))
-    lines = [x for x in text.split(b"\n") if x.strip(_INNER_SPACE)]
-    return len(words), chars, symbols, len(lines) - len(set(lines)), repeat_words(ids)
+    ids, chars, symbols = [], 0, 0
+    for piece in pieces(text, size):
+        words = piece.split()
+        ids.append(np.fromiter(map(hash, words), dtype=np.int64, count=len(words)))
+        chars += len(b"".join(words).decode("utf-8", "replace"))
+        symbols += len(piece) - len(piece.translate(None, _SYMBOLS))
+    lines = np.fromiter((hash(x.removesuffix(b"\n")) for x in io.BytesIO(text) if not x.isspace()), dtype=np.int64)
+    lines.sort()
+    repeated = int((lines[1:] == lines[:-1]).sum())
+    ids = np.concatenate(ids)
+    return len(ids), chars, symbols, repeated, repeat_words(ids)
 
 
 def base_fails(n_words: int, n_repeat_words: int) -> bool:
