@@ -95,13 +95,30 @@ def join_spread(rows: DataFrame, other: DataFrame, key: str, weight: str, total:
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
+def lowest(rows: DataFrame, class_col: str, draw_col: str, per_class: int, max_rows: int) -> DataFrame:
+    """Of each class the ``per_class`` rows with the least draws and some more, about twice as many, however many rows and tasks there are.
+
+    Rows are counted by class and by the number of leading zeros of their draw
+    (64 counts a class, summed within tasks first); a class keeps the rows from
+    the number on that still leaves it ``per_class``.  These bounds are
+    broadcast for at most ``max_rows`` classes, the largest; a class beyond
+    them has fewer than one in ``max_rows`` of all rows and keeps its own.
+    """
+    zeros = 64 - F.length(F.bin(F.col(draw_col).bitwiseXOR(F.lit(-(1 << 63)))))
+    counted = rows.select(F.col(class_col).alias("_of"), zeros.alias("_zeros")).groupBy("_of", "_zeros").count()
+    left = F.sum("count").over(Window.partitionBy("_of").orderBy(F.desc("_zeros")))
+    bounds = counted.withColumn("_left", left).where(F.col("_left") >= per_class).groupBy("_of").agg(F.max("_zeros").alias("_from"))
+    bounds = bounds.where(F.col("_from") > 0).orderBy(F.desc("_from"), "_of").limit(max_rows)
+    return rows.join(F.broadcast(bounds), F.col(class_col) == F.col("_of"), "left").where(zeros >= F.coalesce("_from", F.lit(0))).select(*rows.columns)
+
+
 def bounded_sample(docs: DataFrame, id_col: str, class_col: str | None, per_class: int, max_chars: int, text_col: str, labels: DataFrame | None = None, max_rows: int = 10_000) -> list:
     """At most ``per_class`` whole rows of each class, and ``max_rows`` in all, picked by a hash of the id.
 
     The class is a column of ``docs``, or of ``labels`` (id and class); with
     None all rows are one class, of which each task keeps its own first.  Slim
-    keys are ranked first; the texts of those picked are fetched by a second
-    scan.  Rows longer than ``max_chars`` are passed over, so that the driver
+    keys are ranked first, of which ``lowest`` leaves few; the texts of those
+    picked are fetched by another scan.  Rows longer than ``max_chars`` are passed over, so that the driver
     holds ``max_rows * max_chars`` characters at most.  Beyond ``max_rows``
     every class keeps its first rows before any keeps one more.
     """
@@ -112,8 +129,11 @@ def bounded_sample(docs: DataFrame, id_col: str, class_col: str | None, per_clas
         slim = keyed.select(id_col, "_hash", "_draw", *([] if labels is not None else [class_col]))
     if labels is not None:
         slim = slim.join(labels.select(id_col, class_col), id_col)
+    slim = slim.where(F.col(class_col).isNotNull())
+    if class_col != "_all":
+        slim = lowest(slim, class_col, "_draw", per_class, max_rows)
     order = Window.partitionBy(class_col).orderBy("_draw", "_hash")
-    first = slim.where(F.col(class_col).isNotNull()).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class)
+    first = slim.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class)
     picks = first.orderBy("_n", "_draw", "_hash", class_col).limit(max_rows).select(F.col(id_col).alias("_id"), F.col("_hash").alias("_h"), F.col(class_col).alias("_class")).distinct()
     texts = keyed.select(F.col(id_col), F.col(text_col).cast("binary").alias("_bytes"), "_hash", "_draw")
     found = texts.join(F.broadcast(picks), (F.col("_hash") == F.col("_h")) & F.col(id_col).eqNullSafe(F.col("_id")))

@@ -2,6 +2,8 @@
 
 import itertools
 import math
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 import regex
 
 from medialake.llm import langid, quality, queries, rules, toxicity
-from medialake.llm.common import bounded_sample
+from medialake.llm.common import bounded_sample, lowest
 from medialake.llm.lines import Lines
 from tests.llm.cases import awkward, empty
 
@@ -205,6 +207,51 @@ def test_fifty_megabytes():
     assert few.shape == (3,) and abs(few[0] - few[1]) < 0.05 and 0 <= few[2] <= 1
 
 
+def growth(code: str) -> float:
+    """MB by which the memory of a process of its own grows at most while it runs ``code``; ``text`` is 50 MB of words."""
+    setup = """
+import random, resource
+from medialake.llm import rules
+r = random.Random(1)
+words = [b"w%d" % i for i in range(60000)]
+block = b"\\n".join(b" ".join(r.choices(words, k=9)) for _ in range(1000)) + b"\\n"
+text = b"".join(block.replace(b"w", b"%dw" % i) for i in range(50_000_000 // len(block) + 1))
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+before = peak()
+"""
+    return float(subprocess.run([sys.executable, "-c", f"{setup}{code}\nprint(peak() - before)"], check=True, capture_output=True, text=True).stdout)
+
+
+def test_fifty_megabytes_are_counted_in_little_memory():
+    assert growth("assert rules.base_counts(text)[0] > 3_000_000") < 400
+
+
+def test_counts_by_parts():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        text = "".join(r.choice(list("ab#| \n\t") + ["wörd ", "\n\n"], size=r.integers(1, 80))).encode()
+        words, lines = text.split(), [x for x in text.split(b"\n") if x.split()]
+        windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        times = Counter(windows)
+        held = {i + k for i, w in enumerate(windows) if times[w] > 1 for k in range(5)}
+        want = (len(words), sum(len(w.decode()) for w in words), sum(text.count(c) for c in (b"#", b"|")), len(lines) - len(set(lines)), len(held))
+        assert rules.base_counts(text) == rules.base_counts(text, size=7) == want
+        ids = np.fromiter(map(hash, words), dtype=np.int64, count=len(words))
+        assert rules.repeat_words(ids, step=3) == len(held)
+
+
+def test_few_rows_are_ranked(spark):
+    rows = spark.range(40_000).selectExpr("xxhash64(id) as draw", "if(id % 3 = 0, 'a', if(id < 60, concat('c', id), 'b')) as class", "id")
+    kept = [sorted(lowest(rows.repartition(n), "class", "draw", 50, 100).collect()) for n in (10, 200)]
+    assert kept[0] == kept[1]
+    want = Counter(r["class"] for r in rows.collect())
+    got = Counter(r["class"] for r in kept[0])
+    for name, n in want.items():
+        assert min(n, 50) <= got[name] <= min(n, 400)
+        least = sorted(r.draw for r in rows.where(f"class = '{name}'").collect())[:50] if name in "ab" else []
+        assert set(least) <= {r.draw for r in kept[0] if r["class"] == name}
+
+
 def test_bytes_that_are_not_utf8_and_letters(spark):
     docs = spark.createDataFrame([(1, bytearray(b"good words \xff and more of them")), (2, bytearray("½ ②".encode())), (3, bytearray("हिन्दी".encode()))], "doc_id long, b binary").selectExpr("doc_id", "cast(b as string) as text", "'x' as lang", "0 as row")
     lang, line = langid.train([("good words and more " * 4, "en"), ("हिन्दी भाषा " * 4, "hi")]), line_model()
