@@ -249,23 +249,49 @@ def rake_table(cells: DataFrame, targets: list[DataFrame], budget: float, rounds
 
 
 # --- documents --------------------------------------------------------------
+def counted(docs: DataFrame, text_col: str = "text", dims=DIMENSIONS, keep: list[str] | None = None) -> DataFrame:
+    """``row`` (the columns ``keep``, or all), those dimensions that ``docs`` has as d0, d1, ..., tokens, and vec (what the text's topic is found from)."""
+
+    @F.pandas_udf("tokens long, vec binary")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            counts = [topics.word_counts(bytes(t) if t is not None else None) for t in b]
+            yield pd.DataFrame({"tokens": [sum(c.values()) for c in counts], "vec": [topics.packed(c) for c in counts]})
+
+    own = [docs[d].cast("string").alias(f"d{i}") for i, d in enumerate(dims) if d in docs.columns]
+    found = docs.select(F.struct(*(docs[c] for c in keep or docs.columns)).alias("row"), *own, read(docs[text_col].cast("binary")).alias("x"))
+    return found.select(*found.columns[:-1], "x.tokens", "x.vec")
+
+
+def placed(found: DataFrame, model: topics.Model | None, dims=DIMENSIONS) -> DataFrame:
+    """A ``counted`` table with all dimensions, and without vec."""
+    shared = found.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("string")
+    def topic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            out = pd.Series([None] * len(b), dtype=object)
+            at = np.flatnonzero(b.notna())
+            if shared.value and len(at):
+                out.iloc[at] = [f"topic{k}" for k in shared.value.nearest(b.iloc[at].tolist())]
+            yield out
+
+    values = [F.coalesce(F.col(f"d{i}") if f"d{i}" in found.columns else topic("vec"), F.lit(NONE)).alias(f"d{i}") for i, _ in enumerate(dims)]
+    return found.select("row", *values, "tokens")
+
+
 def described(docs: DataFrame, model: topics.Model | None, text_col: str = "text", dims=DIMENSIONS, keep: list[str] | None = None) -> DataFrame:
     """``row`` (the columns ``keep``, or all), the dimensions as d0, d1, ..., and tokens.
 
     ``topic`` is found from the text, unless ``docs`` has a column of that name.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return placed(counted(docs, text_col, dims, keep), model, dims)
 
-    @F.pandas_udf("tokens long, topic string")
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for b in batches:
-            counts = [topics.word_counts(bytes(t) if t is not None else None) for t in b]
-            yield pd.DataFrame({"tokens": [sum(c.values()) for c in counts], "topic": [f"topic{m.topic(c)}" if m and c else None for c in counts]})
 
-    found = docs.select(F.struct(*(docs[c] for c in keep or docs.columns)).alias("row"), *(docs[d].cast("string").alias(f"d{i}") for i, d in enumerate(dims) if d in docs.columns), read(docs[text_col].cast("binary")).alias("x"))
-    values = [F.coalesce(F.col(f"d{i}") if d in docs.columns else F.col(f"x.{d}"), F.lit(NONE)).alias(f"d{i}") for i, d in enumerate(dims)]
-    return found.select("row", *values, F.col("x.tokens").alias("tokens"))
+def described_by_all(docs: DataFrame, text_col: str = "text", dims=DIMENSIONS, keep: list[str] | None = None, topic_count: int = 8) -> DataFrame:
+    """``described``, written, by topics that are learned from all rows of ``docs``; texts are read once."""
+    found = materialise(counted(docs, text_col, dims, keep))
+    return materialise(placed(found, topics.learn(found.select("vec").where("vec is not null"), topic_count), dims))
 
 
 @dataclass
@@ -419,5 +445,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims=DI
 
     Texts are read once: the rows are written with their dimensions and tokens.
     """
-    placed = materialise(described(docs, topics.fit(docs, id_col, text_col, topic_count), text_col, dims))
-    return calibrated(placed, plan(placed, dims=len(dims), id_col=id_col, **kw), id_col).where("kept").select("row.*")
+    found = described_by_all(docs, text_col, dims, topic_count=topic_count)
+    return calibrated(found, plan(found, dims=len(dims), id_col=id_col, **kw), id_col).where("kept").select("row.*")

@@ -2,28 +2,43 @@
 
 A text is a vector of hashed words, log counts times inverse document
 frequency, scaled to length 1; topics are the centres of a spherical k-means
-over a bounded sample, and every text takes the nearest centre.
+over all texts, and every text takes the nearest centre.
 
-Training sees at most ``rows`` whole documents, none longer than ``max_chars``.
-A text is read ``PIECE`` bytes at a time.
+All texts are counted: each round sums the vectors of all of them by their
+nearest centre, in tasks first, in whole numbers of 2^-24, so that the sums do
+not depend on the tasks.  The first centres are taken as in k-means||: in two
+passes over all texts those are picked whose hashed draw, weighted by the square
+of their distance from those picked so far, is least; each is weighed by the
+number of texts nearest to it, and those that leave the least distance are
+taken one by one.  Only picked texts and sums by centre reach the driver.
 
-Defined cases: a text without words has no topic (None); of equally near
-centres the first wins; with no text to learn from no text has a topic.
+A text is read ``PIECE`` bytes at a time and becomes ``WIDTH`` entries at most.
+
+Defined cases: a text without words has no vector and no topic (None); of
+equally near centres the first wins; texts with equal vectors are picked once;
+with no text to learn from no text has a topic.
 """
 
 from __future__ import annotations
 
-import math
+import heapq
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from medialake.llm.common import bounded_sample
+from medialake.llm.common import materialise
 
 PIECE = 1 << 20
 WIDTH = 2048
+ENTRY = np.dtype([("at", "<u2"), ("weight", "<f4")])
+_UNIT = float(1 << 24)
+_SUMS = 4  # tasks that add up the sums of all others
+_STEP = 1024  # texts whose vectors are unpacked at once
 
 
 def word_counts(text: bytes | None) -> Counter:
@@ -40,58 +55,168 @@ def word_counts(text: bytes | None) -> Counter:
     return found
 
 
+def packed(counts: Counter) -> bytes | None:
+    """The places of a text's words and the sum of the log counts at each; None without words."""
+    if not counts:
+        return None
+    at = np.fromiter(map(zlib.crc32, counts), dtype=np.uint32, count=len(counts)) % WIDTH
+    sums = np.bincount(at, weights=np.log1p(np.fromiter(counts.values(), dtype=float, count=len(counts))), minlength=WIDTH)
+    held = np.flatnonzero(sums)
+    entries = np.empty(len(held), ENTRY)
+    entries["at"], entries["weight"] = held, sums[held]
+    return entries.tobytes()
+
+
+def _unpacked(vectors: list[bytes], idf: np.ndarray):
+    """(places, weights scaled to length 1, where each text begins, its entries) of texts a step at a time."""
+    for i in range(0, len(vectors), _STEP):
+        part = vectors[i : i + _STEP]
+        rows = np.frombuffer(b"".join(part), ENTRY)
+        size = np.fromiter(map(len, part), dtype=np.int64, count=len(part)) // ENTRY.itemsize
+        starts = np.cumsum(size) - size
+        at = rows["at"].astype(np.int64)
+        x = rows["weight"] * idf[at]
+        yield part, at, x / np.repeat(np.sqrt(np.add.reduceat(x * x, starts)), size), starts, size
+
+
+def _likeness(at, x, starts, centres: np.ndarray) -> np.ndarray:
+    """Cosine of each centre (rows) and text (columns)."""
+    return np.stack([np.add.reduceat(x * c[at], starts) for c in centres])
+
+
 class Model:
-    def __init__(self, idf: np.ndarray, centres: np.ndarray, memory: int = 500_000):
-        self.idf, self.centres, self.memory = idf, centres, memory
-        self._place: dict[bytes, int] = {}
-
-    def __reduce__(self):
-        return Model, (self.idf, self.centres, self.memory)
-
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """(places, weights) of a text's words."""
-        known = self._place
-        if len(known) > self.memory:
-            known.clear()
-        for w in counts:
-            if w not in known:
-                known[w] = zlib.crc32(w) % WIDTH
-        at = np.fromiter(map(known.__getitem__, counts), dtype=np.int64, count=len(counts))
-        return at, np.log1p(np.fromiter(counts.values(), dtype=float, count=len(counts))) * self.idf[at]
+    def __init__(self, idf: np.ndarray, centres: np.ndarray):
+        self.idf, self.centres = idf, centres
+
+    def nearest(self, vectors: list[bytes]) -> list[int]:
+        rows = np.ascontiguousarray(self.centres.T)
+        return [k for _, at, x, starts, _ in _unpacked(vectors, self.idf) for k in _likeness(at, x, starts, rows).argmax(axis=0).tolist()]
 
     def topic(self, counts: Counter) -> int:
-        at, x = self.vector(counts)
-        return int((x @ self.centres[at]).argmax())
+        return self.nearest([packed(counts)])[0]
 
 
-def train(texts: list[bytes], topics: int = 8, rounds: int = 25) -> Model | None:
-    counts = [c for c in map(word_counts, texts) if c]
-    if not counts:
+# --- steps over all texts: a list of vectors, or a table of them --------------
+def _summed(vectors: list[bytes] | DataFrame, part, size: int) -> np.ndarray:
+    """Sum of ``part(vectors)``, ``size`` whole numbers, over all texts."""
+    if isinstance(vectors, list):
+        return part(vectors)
+
+    def add(batches, of):
+        total = np.zeros(size, dtype=np.int64)
+        for b in batches:
+            total += of(b.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    def together(some):
+        return sum((np.frombuffer(x, np.int64) for x in some), np.zeros(size, dtype=np.int64))
+
+    tasks = vectors.mapInArrow(lambda batches: add(batches, part), "sums binary")
+    few = tasks.repartition(_SUMS).mapInArrow(lambda batches: add(batches, together), "sums binary")
+    return together(bytes(r.sums) for r in few.collect())
+
+
+def _least(vectors: list[bytes] | DataFrame, part, n: int) -> list[bytes]:
+    """The ``n`` different vectors for which ``part`` gives the least keys."""
+
+    def few(lists):
+        found: dict[bytes, float] = {}
+        for some in lists:
+            for some_vectors, keys in part(some):
+                most = max(found.values()) if len(found) >= n else np.inf
+                found.update((some_vectors[i], float(keys[i])) for i in np.flatnonzero(keys < most))
+                found = dict(heapq.nsmallest(n, found.items(), key=lambda r: (r[1], r[0])))
+        return found
+
+    if isinstance(vectors, list):
+        return list(few([vectors]))
+
+    def run(batches):
+        found = few(b.column(0).to_pylist() for b in batches)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.float64())], names=["vec", "key"])
+
+    return [bytes(r.vec) for r in vectors.mapInArrow(run, "vec binary, key double").groupBy("vec").agg(F.min("key").alias("key")).orderBy("key", "vec").limit(n).collect()]
+
+
+def _held(vectors: list[bytes]) -> np.ndarray:
+    """Texts that hold each place, and texts."""
+    at = np.frombuffer(b"".join(vectors), ENTRY)["at"]
+    return np.append(np.bincount(at, minlength=WIDTH), len(vectors))
+
+
+def _dense(vectors: list[bytes], idf: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(vectors), WIDTH))
+    for row, v in zip(out, vectors):
+        for _, at, x, _, _ in _unpacked([v], idf):
+            row[at] = x
+    return out
+
+
+def _draws(idf: np.ndarray, centres: np.ndarray, seed: int):
+    """Keys of texts: an exponential draw over the squared distance from the nearest centre."""
+
+    def part(vectors):
+        for some, at, x, starts, _ in _unpacked(vectors, idf):
+            u = (np.array([xxhash.xxh64_intdigest(v, seed) for v in some], dtype=np.uint64) + 0.5) / 2.0**64
+            far = 1 - _likeness(at, x, starts, centres).max(axis=0) if len(centres) else np.ones(len(some))
+            yield some, np.where(far > 1e-6, -np.log(np.minimum(u, 1 - 1e-16)) / np.maximum(far, 1e-6) ** 2, np.inf)
+
+    return part
+
+
+def _by_centre(idf: np.ndarray, centres: np.ndarray):
+    """Sums of the texts' vectors by nearest centre and place."""
+    size_all = len(centres) * WIDTH
+
+    def part(vectors):
+        total = np.zeros(size_all, dtype=np.int64)
+        for _, at, x, starts, size in _unpacked(vectors, idf):
+            own = _likeness(at, x, starts, centres).argmax(axis=0)
+            total += np.bincount(np.repeat(own * WIDTH, size) + at, weights=np.rint(x * _UNIT), minlength=size_all).astype(np.int64)
+        return total
+
+    return part
+
+
+def _near(idf: np.ndarray, centres: np.ndarray):
+    """Texts by nearest centre."""
+    return lambda vectors: sum((np.bincount(_likeness(at, x, starts, centres).argmax(axis=0), minlength=len(centres)) for _, at, x, starts, _ in _unpacked(vectors, idf)), np.zeros(len(centres), dtype=np.int64))
+
+
+def learn(vectors: list[bytes] | DataFrame, topics: int = 8, rounds: int = 25, passes: int = 2, still: float = 1e-3) -> Model | None:
+    """Spherical k-means over all of ``vectors``: a list, or a table whose first column holds them, none null; ends when no centre moves by more than ``still``."""
+    *held, n = _summed(vectors, _held, WIDTH + 1).tolist()
+    if not n:
         return None
-    held = np.zeros(WIDTH)
-    for c in counts:
-        held[list({zlib.crc32(w) % WIDTH for w in c})] += 1
-    model = Model(np.log((1 + len(counts)) / (1 + held)) + 1, np.zeros((WIDTH, 0)))
-    x = np.zeros((len(counts), WIDTH))
-    for row, c in zip(x, counts):
-        at, w = model.vector(c)
-        np.add.at(row, at, w)
-        row /= math.sqrt(row @ row)
-    first = [0]
-    for _ in range(min(topics, len(x)) - 1):  # the text farthest from all centres so far
-        first.append(int((x @ x[first].T).max(axis=1).argmin()))
-    centres = x[first]
+    idf = np.log((1 + n) / (1 + np.array(held))) + 1
+    picked = np.zeros((0, WIDTH))
+    for seed in range(passes):
+        picked = np.concatenate([picked, _dense(_least(vectors, _draws(idf, picked, seed), 2 * topics), idf)])
+    weight = _summed(vectors, _near(idf, picked), len(picked))
+    apart, left, first = (1 - np.minimum(1, picked @ picked.T)) ** 2, np.full(len(picked), 1e9), []
+    for _ in range(min(topics, len(picked))):
+        first.append(int((weight[:, None] * np.minimum(left[:, None], apart)).sum(axis=0).argmin()))
+        left = np.minimum(left, apart[:, first[-1]])
+    centres = picked[first]
     for _ in range(rounds):
-        own = (x @ centres.T).argmax(axis=1)
-        new = np.stack([x[own == k].sum(axis=0) if (own == k).any() else centres[k] for k in range(len(centres))])
-        new /= np.sqrt((new * new).sum(axis=1, keepdims=True))
-        if np.allclose(new, centres):
+        sums = _summed(vectors, _by_centre(idf, centres), centres.size).reshape(centres.shape) / _UNIT
+        size = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        new = np.where(size > 0, sums / np.maximum(size, 1e-300), centres)
+        moved, centres = np.sqrt(((new - centres) ** 2).sum(axis=1)).max(), new
+        if moved <= still:
             break
-        centres = new
-    model.centres = centres.T.copy()
-    return model
+    return Model(idf, centres.T.copy())
+
+
+def train(texts: list[bytes], topics: int = 8, rounds: int = 25) -> Model | None:
+    return learn([v for v in map(packed, map(word_counts, texts)) if v], topics, rounds)
+
+
+def fit(docs: DataFrame, text_col: str = "text", topics: int = 8) -> Model | None:
+    """Train on all rows of ``docs``."""
 
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([packed(word_counts(t)) for t in b.column(0).to_pylist()], pa.binary())], names=["vec"])
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topics: int = 8, rows: int = 1500, max_chars: int = 20_000) -> Model | None:
-    sample = bounded_sample(docs.select(id_col, text_col), id_col, None, rows, max_chars, text_col)
-    return train([t.encode() for t, _ in sample], topics)
+    return learn(materialise(docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "vec binary").where("vec is not null")), topics)

@@ -1,4 +1,5 @@
 import itertools
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -173,3 +174,20 @@ def test_the_least_step():
         tries = []
         got = mixing.least_pull(lambda r, first=first, tries=tries: tries.append(r) or (r if r * 16 >= first else None))
         assert got[1] == min(first, 16) and len(tries) <= 6
+
+
+def test_topics_are_learned_from_all_texts(spark):
+    """More texts than a sample held, one longer than it took: equal to all of them counted by hand, however they are dealt."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"{'abc'[i % 3]}{j}" for j in rng.integers(40, size=30)) for i in range(2400)] + ["long words " * 3000, "", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model = topics.fit(docs.repartition(3), topics=3)
+    held = Counter(p for t in texts if t for p in {topics.zlib.crc32(w.encode()) % topics.WIDTH for w in t.split()})
+    assert np.allclose(model.idf, [np.log(2402 / (1 + held[p])) + 1 for p in range(topics.WIDTH)])
+    vectors = [topics.packed(topics.word_counts(t.encode())) for t in texts if t]
+    x, own = topics._dense(vectors, model.idf), np.array(model.nearest(vectors))
+    for k in range(3):
+        mean = x[own == k].sum(axis=0)
+        assert np.allclose(model.centres[:, k], mean / np.linalg.norm(mean), atol=1e-5)
+    again = topics.fit(docs.repartition(7), topics=3)
+    assert (again.centres == model.centres).all() and (topics.train([(t or "").encode() for t in texts[::-1]], 3).centres == model.centres).all()
