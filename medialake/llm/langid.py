@@ -1,17 +1,21 @@
 """Language of a text by a conditional random field over its words.
 
 Features of a word: prefixes and suffixes of one to three letters, character
-pairs and triples of the word with its borders, and the word itself if the
-sample holds it often (lexicon).  The chain's transitions are learned on
-fragments of different languages laid end to end, so that a text that
-switches between languages is labelled word by word with forward-backward.
-A document's language has the largest share of letters, weighted by the
-words' marginals; that share is its score.
-
-Training sees a bounded sample of whole documents: at most ``per_language``
-documents of ``max_chars`` characters at most, and ``max_words`` words of
-whole documents in all.  Words are letters (and marks after the first), by
-Unicode category.
+pairs and triples of the word with its borders, and the word itself
+(lexicon), as far as they make up one in ``_RARE`` of the words and occur
+thrice; that bounds the model.  A text that switches between languages is
+labelled word by word with forward-backward.  A document's language has the
+largest share of letters, weighted by the words' marginals; that share is its
+score.
+
+Training counts the words of all documents that have a language, whole texts,
+by language; every language weighs alike.  The field is trained piecewise: the
+weights of features by maximum likelihood of the languages of all counted words
+(each round sums the gradient over the table of counts, in whole numbers, so
+that it does not depend on the tasks), the transitions from the counts of
+words and of fragments of ``_FRAGMENT`` words, as if all fragments were laid end
+to end in any order.  Weights and sums by feature reach the driver, no text.
+Words are letters (and marks after the first), by Unicode category.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 ties go to the language that sorts first; with no row to learn from every text
@@ -24,7 +28,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from array import array
 from collections import Counter
 from operator import add
 
@@ -34,7 +37,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialake.llm.common import bounded_sample, decoded, filter_by_text
+from medialake.llm.common import bounded_sample, decoded, filter_by_text, materialise, summed
 from medialake.llm.crf import Crf, forward_backward, long_marginals
 
 _ASCII = re.compile("[a-z]+")
@@ -130,45 +133,136 @@ class Model:
         return self.crf.emissions(ids % n, np.searchsorted(ids, np.arange(len(words) + 1) * n))
 
 
-def train(texts: list[tuple[str, str]], max_words: int = 300_000, rounds: int = 40, seed: int = 5) -> Model | None:
+_FRAGMENT = 35  # words of one language that follow each other in a text that switches
+_RARE = 100_000
+_UNIT = float(1 << 50)
+_PART = 1 << 20  # characters of a text that are held as words at once
+_HELD = 200_000  # counts that a task holds at once
+
+
+def _counts(rows):
+    """Counters of (language, word), the word "" for fragments, of (text, language) rows; more than one if there is much."""
+    found: Counter = Counter()
+    for text, lang in rows:
+        n = 0
+        for lo, hi in slices(text, _PART):
+            words = words_of(text[lo:hi])
+            n += len(words)
+            for w, c in Counter(words).items():
+                found[lang, w] += c
+        if n:
+            found[lang, ""] += -(-n // _FRAGMENT)
+        if len(found) > _HELD:
+            yield found
+            found = Counter()
+    yield found
+
+
+def _feature_counts(rows):
+    """Counters of (language, feature) of (language, word, n) rows."""
+    found: Counter = Counter()
+    for lang, word, n in rows:
+        for x in word_features(word):
+            found[lang, x] += n
+        if len(found) > _HELD:
+            yield found
+            found = Counter()
+    yield found
+
+
+def _pairs(counters):
+    """Record batches (lang, word, n) of such counters."""
+    for found in counters:
+        keys = list(found)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
+
+
+def _instances(rows, languages: list[str], feature_ids: dict[str, int]) -> pa.RecordBatch:
+    """(label, n, ids) of (language, word, n) rows; ids packed."""
+    label, get = {x: i for i, x in enumerate(languages)}, feature_ids.get
+    rows = list(rows)
+    ids = [np.array([0, *sorted(i for x in word_features(w) if (i := get(x)))], dtype=np.int32).tobytes() for _, w, _ in rows]
+    return pa.RecordBatch.from_arrays([pa.array([label[x] for x, _, _ in rows], pa.int32()), pa.array([n for _, _, n in rows], pa.int64()), pa.array(ids, pa.binary())], names=["label", "n", "ids"])
+
+
+def _gradient(weights: np.ndarray, share: np.ndarray):
+    """Of a batch of instances, the gradient of the log likelihood by feature and language, in whole numbers; a word of language y weighs ``share[y]``."""
+    size, k = weights.shape
+
+    def part(batch):
+        label, n, packs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+        total = np.zeros((k, size), dtype=np.int64)
+        for i in range(0, len(packs), 4096):
+            some, y = packs[i : i + 4096], label[i : i + 4096]
+            ids, held = np.frombuffer(b"".join(some), np.int32), np.fromiter(map(len, some), dtype=np.int64) // 4
+            emit = np.add.reduceat(weights[ids], np.cumsum(held) - held, axis=0)
+            miss = -np.exp(emit - emit.max(axis=1, keepdims=True))
+            miss /= -miss.sum(axis=1, keepdims=True)
+            miss[np.arange(len(y)), y] += 1
+            miss = np.rint(miss * (n[i : i + 4096] * share[y])[:, None] * _UNIT)
+            for c in range(k):
+                total[c] += np.bincount(ids, weights=np.repeat(miss[:, c], held), minlength=size).astype(np.int64)
+        return total.ravel()
+
+    return part
+
+
+def _learn(totals: dict[str, tuple[int, int]], feature_ids: dict[str, int], gradient, rounds: int, weight_decay: float = 1e-5, rate: float = 0.15) -> Model:
+    """``totals``: words and fragments of each language; ``gradient(part, size)`` sums ``part`` over all instances.  Adam, as in ``Crf.fit``."""
+    languages, k = sorted(totals), len(totals)
+    crf = Crf(len(feature_ids), k)
+    share = np.array([1 / (k * totals[x][0]) for x in languages])
+    m1, m2 = np.zeros_like(crf.weights), np.zeros_like(crf.weights)
+    for step in range(1, rounds + 1):
+        g = gradient(_gradient(crf.weights, share), crf.weights.size).reshape(k, -1).T / _UNIT - weight_decay * crf.weights
+        m1 = 0.9 * m1 + 0.1 * g
+        m2 = 0.99 * m2 + 0.01 * g * g
+        crf.weights = crf.weights + rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-10)
+    ends = np.array([totals[x][1] / totals[x][0] for x in languages])
+    crf.trans = np.log(k * np.diag(1 - ends) + ends[:, None])  # over the languages' equal weight, which the features' weights hold
+    return Model(languages, feature_ids, crf)
+
+
+def _numbered(features) -> dict[str, int]:
+    return {"": 0} | {f: i for i, f in enumerate(sorted(features), 1)}
+
+
+def train(texts: list[tuple[str, str]], rounds: int = 40) -> Model | None:
     """Fit on (text, language) pairs; None without any word to learn from."""
-    languages = sorted({lang for _, lang in texts})
-    if not languages:
+    counts = sum(_counts(texts), Counter())
+    rows = [(x, w, n) for (x, w), n in counts.items() if w]
+    if not rows:
         return None
-    share, used = max_words // len(languages), Counter()
-    kinds, kind_ids, parts = Counter(), {}, []
-    rng = np.random.default_rng(seed)
-    for text, lang in texts:
-        words = words_of(text)
-        if not words or used[lang] > share:
-            continue
-        used[lang] += len(words)
-        kinds.update(words)
-        ids = np.array([kind_ids.setdefault(w, len(kind_ids)) for w in words])
-        at = 0
-        while at < len(ids):  # fragments, to be laid end to end with those of other texts
-            n = int(rng.integers(10, 60))
-            parts.append((ids[at : at + n], languages.index(lang)))
-            at += n
-    if not parts:
+    words: Counter = Counter()
+    for x, _, n in rows:
+        words[x] += n
+    found, share = Counter(), Counter()
+    for (x, f), n in sum(_feature_counts(rows), Counter()).items():
+        found[f] += n
+        share[f] += n / (len(words) * words[x])
+    feature_ids = _numbered(f for f in found if found[f] >= 3 and share[f] * _RARE >= 1)
+    batch = _instances(rows, sorted(words), feature_ids)
+    return _learn({x: (n, counts[x, ""]) for x, n in words.items()}, feature_ids, lambda part, size: part(batch), rounds)
+
+
+def train_on_all(rows: DataFrame, rounds: int = 40) -> Model | None:
+    """``train`` on a table (text as bytes, language)."""
+    columns = "lang string, word string, n long"
+    listed = lambda batches: (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+    told = rows.mapInArrow(lambda batches: _pairs(_counts((decoded(t), x) for t, x in listed(batches))), columns)
+    counts = materialise(told.groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    of_word = F.col("word") != ""
+    totals = {r.lang: (r.words, r.fragments) for r in counts.groupBy("lang").agg(F.sum(F.when(of_word, F.col("n"))).alias("words"), F.sum(F.when(~of_word, F.col("n"))).alias("fragments")).collect()}
+    if not totals:
         return None
-    parts = [parts[i] for i in rng.permutation(len(parts))]
-    found = Counter()
-    for w in kind_ids:
-        for x in word_features(w):
-            found[x] += kinds[w]
-    feature_ids = {"": 0} | {f: i for i, f in enumerate((f for f, n in sorted(found.items()) if n >= 3), 1)}
-    del found
-    fids, indptr = array("l"), [0]
-    for w in kind_ids:  # made again rather than kept: they would be most of the driver's memory
-        fids.append(0)
-        fids.extend(sorted(feature_ids[x] for x in word_features(w) if x in feature_ids))
-        indptr.append(len(fids))
-    lengths = np.array([sum(len(p) for p, _ in parts[i : i + 8]) for i in range(0, len(parts), 8)])
-    labels = np.concatenate([np.full(len(p), y) for p, y in parts])
-    crf = Crf(len(feature_ids), len(languages))
-    crf.fit(np.array(fids), np.array(indptr), np.concatenate([p for p, _ in parts]), labels, lengths, rounds=rounds)
-    return Model(languages, feature_ids, crf)
+    words, languages = counts.where(of_word), sorted(totals)
+    sizes = rows.sparkSession.createDataFrame([(x, float(len(totals) * n)) for x, (n, _) in totals.items()], "lang string, size double")
+    found = words.mapInArrow(lambda batches: _pairs(_feature_counts(listed(batches))), columns).join(F.broadcast(sizes), "lang")
+    often = found.groupBy("word", "lang", "size").agg(F.sum("n").alias("n")).groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.col("n") / F.col("size")).alias("share"))
+    feature_ids = _numbered(r.word for r in often.where((F.col("n") >= 3) & (F.col("share") * _RARE >= 1)).select("word").collect())
+    shared = rows.sparkSession.sparkContext.broadcast(feature_ids)
+    instances = materialise(words.mapInArrow(lambda batches: (_instances(listed([b]), languages, shared.value) for b in batches), "label int, n long, ids binary"))
+    return _learn(totals, feature_ids, lambda part, size: summed(instances, part, size), rounds)
 
 
 class Labeller:
@@ -278,10 +372,12 @@ def _runs(sizes: list[int], limit: int):
         yield lo, len(sizes)
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 200, max_chars: int = 20_000, max_words: int = 300_000) -> Model | None:
-    """Train on a bounded sample of the rows of ``labelled`` that have a text and a language."""
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int | None = None, max_chars: int = 20_000) -> Model | None:
+    """Train on all rows of ``labelled`` that have a text and a language; if ``per_language`` is given, on so many of each language, none longer than ``max_chars``."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(id_col, text_col, lang_col)
-    return train(bounded_sample(rows, id_col, lang_col, per_language, max_chars, text_col), max_words)
+    if per_language is not None:
+        return train(bounded_sample(rows, id_col, lang_col, per_language, max_chars, text_col))
+    return train_on_all(rows.select(F.col(text_col).cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang")))
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:

@@ -31,13 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialake.llm.common import materialise
+from medialake.llm.common import materialise, summed
 
 PIECE = 1 << 20
 WIDTH = 2048
 ENTRY = np.dtype([("at", "<u2"), ("weight", "<f4")])
 _UNIT = float(1 << 24)
-_SUMS = 4  # tasks that add up the sums of all others
 _STEP = 1024  # texts whose vectors are unpacked at once
 
 
@@ -101,19 +100,7 @@ def _summed(vectors: list[bytes] | DataFrame, part, size: int) -> np.ndarray:
     """Sum of ``part(vectors)``, ``size`` whole numbers, over all texts."""
     if isinstance(vectors, list):
         return part(vectors)
-
-    def add(batches, of):
-        total = np.zeros(size, dtype=np.int64)
-        for b in batches:
-            total += of(b.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
-
-    def together(some):
-        return sum((np.frombuffer(x, np.int64) for x in some), np.zeros(size, dtype=np.int64))
-
-    tasks = vectors.mapInArrow(lambda batches: add(batches, part), "sums binary")
-    few = tasks.repartition(_SUMS).mapInArrow(lambda batches: add(batches, together), "sums binary")
-    return together(bytes(r.sums) for r in few.collect())
+    return summed(vectors, lambda b: part(b.column(0).to_pylist()), size)
 
 
 def _least(vectors: list[bytes] | DataFrame, part, n: int) -> list[bytes]:

@@ -300,3 +300,13 @@ def test_cases(spark):
         assert scored.count() == 0
     labelled = empty(spark).selectExpr("doc_id", "text", "lang", "1 as quality", "0 as toxic")
     assert quality.fit(labelled) is None and toxicity.fit(labelled) is None and rules.fit(labelled) is None and langid.fit(labelled) is None
+
+
+def test_languages_are_learned_from_all_texts(spark):
+    """A language of one text, longer than a sample took, beside more texts than it held: as if all were in one list."""
+    rows = [(f"the house stands near water{' while they watch' * (i % 3)} w{'abcde'[i % 5]}x", "en") for i in range(300)] + [("das haus steht am wasser " * 1000, "de")]
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(rows)], "doc_id long, text string, lang string")
+    model, listed = langid.fit(docs.repartition(3)), langid.train(rows[::-1])
+    assert model.languages == ["de", "en"] and model.feature_ids == listed.feature_ids
+    assert (model.crf.weights == listed.crf.weights).all() and (model.crf.trans == listed.crf.trans).all()
+    assert [x for x, _ in langid.Labeller(model).languages(["am haus", "near the house"])] == ["de", "en"]
