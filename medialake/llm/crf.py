@@ -65,6 +65,42 @@ def forward_backward(emit: np.ndarray, lengths, trans: np.ndarray, start: np.nda
     return out, log_z, xi * a_mat, gamma[: steps[0][1]].sum(axis=0)
 
 
+_SCALED = 8  # steps after which a chain's vector is scaled anew
+
+
+def smoothed(e: np.ndarray, lay: Layout, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Marginals of positions in the order of ``lay``, where ``e`` has their likelihoods, the greatest of each being 1 and none below e**-60.
+
+    Vectors are scaled every ``_SCALED`` steps: as one likelihood is 1, the
+    greatest entry falls by the least transition at most in a step.
+    """
+    if not lay.n:
+        return np.zeros((0, len(start)))
+    a_mat, s_vec = np.exp(trans - trans.max()), np.exp(start - start.max())
+    back, steps = np.ascontiguousarray(a_mat.T), lay.steps()
+    gamma, beta = np.empty_like(e), np.ones_like(e)
+    prev = None
+    for t, (o, m) in enumerate(steps):
+        cur = gamma[o : o + m]
+        if t:
+            np.matmul(prev[:m], a_mat, out=cur)
+            cur *= e[o : o + m]
+        else:
+            np.multiply(e[o : o + m], s_vec, out=cur)
+        if t % _SCALED == 0:
+            cur /= cur.sum(axis=1, keepdims=True)
+        prev = cur
+    for t in range(lay.longest - 2, -1, -1):
+        (o, _), (o2, m2) = steps[t], steps[t + 1]
+        cur = beta[o : o + m2]
+        np.matmul(e[o2 : o2 + m2] * beta[o2 : o2 + m2], back, out=cur)
+        if t % _SCALED == 0:
+            cur /= cur.sum(axis=1, keepdims=True)
+    gamma *= beta
+    gamma /= (gamma @ np.ones(len(start)))[:, None]
+    return gamma
+
+
 def viterbi(emit: np.ndarray, lengths, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Label of each position on the best path of its chain (ties: the lower label)."""
     lay = Layout(lengths)

@@ -28,19 +28,22 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import count, islice
 from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medialake.llm.common import bounded_sample, decoded, filter_by_text, materialise, summed
-from medialake.llm.crf import Crf, forward_backward, long_marginals
+from medialake.llm.crf import Crf, Layout, long_marginals, smoothed
 
 _ASCII = re.compile("[a-z]+")
+_LATIN = re.compile("[a-zªµºß-öø-ÿ]+")  # the letters up to U+00FF, where there are no marks
 #: A word begins with a letter; marks, such as vowel signs, belong to it.
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNKNOWN = "und"
@@ -48,7 +51,13 @@ UNKNOWN = "und"
 
 def words_of(text: str) -> list[str]:
     text = text.lower()
-    return (_ASCII if text.isascii() else _LETTERS).findall(text)
+    if text.isascii():
+        return _ASCII.findall(text)
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _LETTERS.findall(text)
+    return _LATIN.findall(text)
 
 
 def slices(text: str, size: int):
@@ -70,6 +79,38 @@ def word_features(word: str) -> set[str]:
     return found
 
 
+def _points(words: list[str]) -> np.ndarray:
+    """Code points of the words with their borders, in a row."""
+    return np.frombuffer(f"^{'$^'.join(words)}$".encode("utf-32-le"), dtype=np.uint32)
+
+
+def _short_keys(digits: np.ndarray, size: np.ndarray, base: int):
+    """(keys, the words they belong to) of affixes, pairs and triples of words of ``size`` letters; some twice.
+
+    ``digits`` are those of ``_points``, from 1 to ``base`` - 1.  A key is a
+    number of three digits; those of prefixes and suffixes are greater by
+    ``base`` ** 3 and twice that.
+    """
+    word, step = np.repeat(np.arange(len(size)), size + 2), base**3
+    pair = digits[:-1] * base + digits[1:]
+    triple = pair[:-1] * base + digits[2:]
+    for n, keys in ((1, pair), (2, triple)):
+        inside = word[:-n] == word[n:]
+        yield keys[inside], word[:-n][inside]
+    end = np.cumsum(size + 2) - 1
+    begin = end - size
+    for n in (1, 2, 3):
+        full = np.flatnonzero(size >= n)
+        head, tail = np.zeros(len(full), dtype=np.int64), np.zeros(len(full), dtype=np.int64)
+        for i in range(n):
+            head, tail = head * base + digits[begin[full] + i], tail * base + digits[end[full] - n + i]
+        yield head + step, full
+        yield tail + 2 * step, full
+
+
+_TABLE = 1 << 22  # keys up to here are looked up in a table
+
+
 class Model:
     """Languages, features by name, and the field.
 
@@ -81,56 +122,51 @@ class Model:
     def __init__(self, languages: list[str], feature_ids: dict[str, int], crf: Crf):
         self.languages, self.feature_ids, self.crf = languages, feature_ids, crf
         short = {f: i for f, i in feature_ids.items() if f and f[0] != "="}
-        self.letters = np.array(sorted({ord(c) for f in short for c in f}), dtype=np.uint32)
-        self.base = len(self.letters) + 2  # digits from 1; the last is any other character
+        letters = sorted({ord(c) for f in short for c in f.lstrip("<>")})
+        self.base = len(letters) + 2  # digits from 1; the last is any other character
+        self.digits = np.full(letters[-1] + 2 if letters else 1, self.base - 1, dtype=np.int64)
+        self.digits[letters] = np.arange(1, len(letters) + 1)
         keys = np.array([self._key(f) for f in short], dtype=np.int64)
         order = np.argsort(keys)
-        self.keys, self.key_ids = keys[order], np.array(list(short.values()), dtype=np.int64)[order]
-
-    def _digits(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        if not len(self.letters):
-            return np.full(len(points), self.base - 1)
-        at = np.minimum(np.searchsorted(self.letters, points), len(self.letters) - 1)
-        return np.where(self.letters[at] == points, at + 1, self.base - 1)
+        self.keys, self.key_ids, self.table = keys[order], np.array(list(short.values()), dtype=np.int64)[order], None
+        if 3 * self.base**3 <= _TABLE:
+            self.table = np.zeros(3 * self.base**3, dtype=np.int32)
+            self.table[self.keys] = self.key_ids
 
     def _key(self, feature: str) -> int:
-        key = 0
-        for d in self._digits(feature):
-            key = key * self.base + int(d)
-        return key
-
-    def _short_keys(self, words: list[str]):
-        """(keys, the words they belong to) of affixes, pairs and triples; some twice."""
-        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        d, word = self._digits(f"^{'$^'.join(words)}$"), np.repeat(np.arange(len(words)), size + 2)
-        pair, base = d[:-1] * self.base + d[1:], self.base
-        triple = pair[:-1] * base + d[2:]
-        for n, keys in ((1, pair), (2, triple)):
-            inside = word[:-n] == word[n:]
-            yield keys[inside], word[:-n][inside]
-        end = np.cumsum(size + 2) - 1
-        begin, first, last = end - size, self._key("<"), self._key(">")
-        for n in (1, 2, 3):
-            full = np.flatnonzero(size >= n)
-            head, tail = np.full(len(full), first), np.full(len(full), last)
-            for i in range(n):
-                head, tail = head * base + d[begin[full] + i], tail * base + d[end[full] - n + i]
-            yield head, full
-            yield tail, full
+        key, kind = 0, "<>".find(feature[0]) + 1
+        for c in feature[kind > 0 :]:
+            key = key * self.base + int(self.digits[ord(c)])
+        return kind * self.base**3 + key
+
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        """Features by key; 0 for what is none."""
+        if self.table is not None:
+            return self.table[keys].astype(np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.key_ids[at], 0)
+
+    def features(self, words: list[str]):
+        """(features, where those of each word begin): each once a word, in order, 0 (the bias) first."""
+        n, get = len(self.feature_ids), self.feature_ids.get
+        lexicon = np.fromiter((get("=" + w, 0) for w in words), dtype=np.int64, count=len(words))
+        all_words = np.arange(len(words)) * n
+        ids = [all_words, (all_words + lexicon)[lexicon > 0]]
+        if len(self.keys) and words:
+            size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+            digits = self.digits[np.minimum(_points(words), len(self.digits) - 1)]
+            for keys, word in _short_keys(digits, size, self.base):
+                found = self._known(keys)
+                known = found > 0
+                ids.append(word[known] * n + found[known])
+        ids = np.sort(np.concatenate(ids))
+        ids = ids[np.diff(ids, prepend=-1) > 0]
+        starts = np.searchsorted(ids, all_words)
+        return ids - np.repeat(all_words, np.diff(starts, append=len(ids))), starts
 
     def emission(self, words: list[str]) -> np.ndarray:
-        n, ids, get = len(self.feature_ids), [np.arange(len(words)) * len(self.feature_ids)], self.feature_ids.get
-        if len(self.keys):
-            for keys, word in self._short_keys(words):
-                at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-                known = self.keys[at] == keys
-                ids.append(word[known] * n + self.key_ids[at[known]])
-        lexicon = np.array([get("=" + w, 0) for w in words], dtype=np.int64)
-        ids.append(np.arange(len(words)) * n + lexicon)
-        ids = np.sort(np.concatenate(ids))
-        ids = ids[np.diff(ids, prepend=-1) > 0]  # a feature counts once a word; 0 is the bias
-        return self.crf.emissions(ids % n, np.searchsorted(ids, np.arange(len(words) + 1) * n))
+        ids, starts = self.features(words)
+        return self.crf.emissions(ids, np.append(starts, len(ids)))
 
 
 _FRAGMENT = 35  # words of one language that follow each other in a text that switches
@@ -141,68 +177,146 @@ _HELD = 200_000  # counts that a task holds at once
 
 
 def _counts(rows):
-    """Counters of (language, word), the word "" for fragments, of (text, language) rows; more than one if there is much."""
-    found: Counter = Counter()
+    """Counters of words by language, the word "" for fragments, of (text, language) rows; more than one set if there is much."""
+    found, held = defaultdict(Counter), 0
     for text, lang in rows:
-        n = 0
+        own, n = found[lang], 0
+        held -= len(own)
         for lo, hi in slices(text, _PART):
             words = words_of(text[lo:hi])
             n += len(words)
-            for w, c in Counter(words).items():
-                found[lang, w] += c
+            own.update(words)
         if n:
-            found[lang, ""] += -(-n // _FRAGMENT)
-        if len(found) > _HELD:
+            own[""] += -(-n // _FRAGMENT)
+        held += len(own)
+        if held > _HELD:
             yield found
-            found = Counter()
-    yield found
-
-
-def _feature_counts(rows):
-    """Counters of (language, feature) of (language, word, n) rows."""
-    found: Counter = Counter()
-    for lang, word, n in rows:
-        for x in word_features(word):
-            found[lang, x] += n
-        if len(found) > _HELD:
-            yield found
-            found = Counter()
+            found, held = defaultdict(Counter), 0
     yield found
 
 
 def _pairs(counters):
     """Record batches (lang, word, n) of such counters."""
     for found in counters:
-        keys = list(found)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
+        for lang, own in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), lang, dtype=object), pa.string()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["lang", "word", "n"])
+
 
+_POINTS = 0x110001  # base of keys that hold for any text: the digit of a character is its code point and one
 
-def _instances(rows, languages: list[str], feature_ids: dict[str, int]) -> pa.RecordBatch:
-    """(label, n, ids) of (language, word, n) rows; ids packed."""
-    label, get = {x: i for i, x in enumerate(languages)}, feature_ids.get
-    rows = list(rows)
-    ids = [np.array([0, *sorted(i for x in word_features(w) if (i := get(x)))], dtype=np.int32).tobytes() for _, w, _ in rows]
-    return pa.RecordBatch.from_arrays([pa.array([label[x] for x, _, _ in rows], pa.int32()), pa.array([n for _, _, n in rows], pa.int64()), pa.array(ids, pa.binary())], names=["label", "n", "ids"])
+
+def _feature_counts(batches):
+    """Record batches (lang, key, n) of record batches (lang, word, n): how many words hold each short feature."""
+
+    def together():
+        some, held = [], 0
+        for b in batches:
+            some.append(b)
+            held += b.num_rows
+            if held >= _AT_ONCE:
+                yield some
+                some, held = [], 0
+        if some:
+            yield some
+
+    for some in together():
+        langs, words, ns = ([x for b in some for x in b.column(i).to_pylist()] for i in range(3))
+        names = sorted(set(langs))
+        number = {x: i for i, x in enumerate(names)}
+        lang = np.fromiter(map(number.get, langs), dtype=np.int64, count=len(langs))
+        for of, keys, n in _key_counts(words, lang, np.array(ns, dtype=np.int64)):
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(of)), pa.array(keys), pa.array(n)], names=["lang", "key", "n"])
+
+
+_AT_ONCE = 40_000  # words whose features are counted at once
+
+
+def _key_counts(words: list[str], lang: np.ndarray, n: np.ndarray):
+    """(language, key, words that hold it) arrays."""
+    if not words:
+        return
+    points = _points(words)
+    digits = np.zeros(int(points.max()) + 1, dtype=np.int64)
+    digits[points] = 1
+    letters = np.flatnonzero(digits)
+    base = len(letters) + 1
+    digits[letters] = np.arange(1, base)
+    bits = (3 * base**3).bit_length()
+    if len(words) > 1 and bits + len(words).bit_length() + 1 > 62:  # numbers of a word and a key in 63 bits
+        half = len(words) // 2
+        yield from _key_counts(words[:half], lang[:half], n[:half])
+        yield from _key_counts(words[half:], lang[half:], n[half:])
+        return
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    held = np.sort(np.concatenate([(word << bits) | keys for keys, word in _short_keys(digits[points], size, base)]))
+    held = held[np.diff(held, prepend=-1) > 0]  # a feature counts once a word
+    word, key = held >> bits, held & ((1 << bits) - 1)
+    of, found = np.unique(lang, return_inverse=True)  # not more than words
+    pairs, at = np.unique((found[word] << bits) | key, return_inverse=True)
+    sums = np.zeros(len(pairs), dtype=np.int64)
+    np.add.at(sums, at, n[word])
+    key = pairs & ((1 << bits) - 1)
+    points_of, any_key = np.append(0, letters + 1), key // base**3
+    for power in (2, 1, 0):
+        any_key = any_key * _POINTS + points_of[key // base**power % base]
+    yield of[pairs >> bits], any_key, sums
+
+
+def _named(key: int) -> str:
+    """A short feature by its key."""
+    found = ""
+    for _ in range(3):
+        key, point = divmod(key, _POINTS)
+        found = (chr(point - 1) if point else "") + found
+    return ("", "<", ">")[key] + found
+
+
+_BLOCK = 4096  # instances in a row of their table
+
+
+def _instances(batches, languages: list[str], feature_ids: dict[str, int]):
+    """Record batches of record batches (lang, word, n): each row has the labels, counts, numbers of features and features of a block of words."""
+    label, model, kind = {x: i for i, x in enumerate(languages)}, Model(languages, feature_ids, Crf(0, 0)), _kind(len(feature_ids))
+    for b in batches:
+        rows = []
+        for i in range(0, b.num_rows, _BLOCK):
+            langs, words, n = (c.to_pylist() for c in b.slice(i, _BLOCK).columns)
+            ids, starts = model.features(words)
+            rows.append((np.array([label[x] for x in langs], dtype=np.int32), np.array(n, dtype=np.int64), np.diff(starts, append=len(ids)).astype(np.int32), ids.astype(kind)))
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in c], pa.binary()) for c in zip(*rows)] if rows else [pa.array([], pa.binary())] * 4, names=["label", "n", "held", "ids"])
+
+
+def _kind(size: int) -> np.dtype:
+    """The least type of the numbers of so many features."""
+    return np.min_scalar_type(max(0, size - 1))
 
 
 def _gradient(weights: np.ndarray, share: np.ndarray):
-    """Of a batch of instances, the gradient of the log likelihood by feature and language, in whole numbers; a word of language y weighs ``share[y]``."""
+    """Of a batch of instances, the gradient of the log likelihood by language and feature, in whole numbers; a word of language y weighs ``share[y]``.
+
+    Weights count from those of the last language, whose gradient is what the
+    others leave to 0.
+    """
     size, k = weights.shape
+    apart, kind = np.ascontiguousarray((weights[:, :-1] - weights[:, -1:]).T), _kind(size)
 
     def part(batch):
-        label, n, packs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-        total = np.zeros((k, size), dtype=np.int64)
-        for i in range(0, len(packs), 4096):
-            some, y = packs[i : i + 4096], label[i : i + 4096]
-            ids, held = np.frombuffer(b"".join(some), np.int32), np.fromiter(map(len, some), dtype=np.int64) // 4
-            emit = np.add.reduceat(weights[ids], np.cumsum(held) - held, axis=0)
-            miss = -np.exp(emit - emit.max(axis=1, keepdims=True))
-            miss /= -miss.sum(axis=1, keepdims=True)
-            miss[np.arange(len(y)), y] += 1
-            miss = np.rint(miss * (n[i : i + 4096] * share[y])[:, None] * _UNIT)
-            for c in range(k):
-                total[c] += np.bincount(ids, weights=np.repeat(miss[:, c], held), minlength=size).astype(np.int64)
-        return total.ravel()
+        total = np.zeros((k, size))
+        for row in zip(*batch.columns):
+            y, n, held, ids = (np.frombuffer(x.as_buffer(), t) for x, t in zip(row, (np.int32, np.int64, np.int32, kind)))
+            ids = ids.astype(np.intp)
+            starts, miss = np.cumsum(held) - held, np.zeros((k, len(y)))
+            for c in range(k - 1):
+                np.add.reduceat(apart[c].take(ids), starts, out=miss[c])
+            miss = -np.exp(miss - miss.max(axis=0))
+            miss /= -miss.sum(axis=0)
+            miss[y, np.arange(len(y))] += 1
+            miss = np.rint(miss * (n * share[y] * _UNIT))
+            word = np.repeat(np.arange(len(y)), held)
+            for c in range(k - 1):
+                total[c] += np.bincount(ids, weights=miss[c].take(word), minlength=size)
+        total[-1] = -total[:-1].sum(axis=0)
+        return total.astype(np.int64).ravel()
 
     return part
 
@@ -229,39 +343,45 @@ def _numbered(features) -> dict[str, int]:
 
 def train(texts: list[tuple[str, str]], rounds: int = 40) -> Model | None:
     """Fit on (text, language) pairs; None without any word to learn from."""
-    counts = sum(_counts(texts), Counter())
-    rows = [(x, w, n) for (x, w), n in counts.items() if w]
-    if not rows:
+    counts: dict[str, Counter] = defaultdict(Counter)
+    for found in _counts(texts):
+        for x, own in found.items():
+            counts[x].update(own)
+    totals = {x: (sum(own.values()) - own[""], own[""]) for x, own in counts.items() if own}
+    if not totals:
         return None
-    words: Counter = Counter()
-    for x, _, n in rows:
-        words[x] += n
-    found, share = Counter(), Counter()
-    for (x, f), n in sum(_feature_counts(rows), Counter()).items():
-        found[f] += n
-        share[f] += n / (len(words) * words[x])
-    feature_ids = _numbered(f for f in found if found[f] >= 3 and share[f] * _RARE >= 1)
-    batch = _instances(rows, sorted(words), feature_ids)
-    return _learn({x: (n, counts[x, ""]) for x, n in words.items()}, feature_ids, lambda part, size: part(batch), rounds)
+    batches = [b.filter(pc.not_equal(b.column(1), "")) for b in _pairs([counts])]
+    held, share = Counter(), Counter()
+    for b in (*_feature_counts(batches), *batches):
+        for x, f, n in zip(*(c.to_pylist() for c in b.columns)):
+            held[f] += n
+            share[f] += n / (len(totals) * totals[x][0])
+    often = [f for f in held if held[f] >= 3 and share[f] * _RARE >= 1]
+    feature_ids = _numbered(f"={f}" if isinstance(f, str) else _named(f) for f in often)
+    blocks = list(_instances(batches, sorted(totals), feature_ids))
+    return _learn(totals, feature_ids, lambda part, size: sum(map(part, blocks), np.zeros(size, dtype=np.int64)), rounds)
 
 
 def train_on_all(rows: DataFrame, rounds: int = 40) -> Model | None:
     """``train`` on a table (text as bytes, language)."""
-    columns = "lang string, word string, n long"
     listed = lambda batches: (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
-    told = rows.mapInArrow(lambda batches: _pairs(_counts((decoded(t), x) for t, x in listed(batches))), columns)
+    told = rows.mapInArrow(lambda batches: _pairs(_counts((decoded(t), x) for t, x in listed(batches))), "lang string, word string, n long")
     counts = materialise(told.groupBy("lang", "word").agg(F.sum("n").alias("n")))
     of_word = F.col("word") != ""
     totals = {r.lang: (r.words, r.fragments) for r in counts.groupBy("lang").agg(F.sum(F.when(of_word, F.col("n"))).alias("words"), F.sum(F.when(~of_word, F.col("n"))).alias("fragments")).collect()}
     if not totals:
         return None
     words, languages = counts.where(of_word), sorted(totals)
-    sizes = rows.sparkSession.createDataFrame([(x, float(len(totals) * n)) for x, (n, _) in totals.items()], "lang string, size double")
-    found = words.mapInArrow(lambda batches: _pairs(_feature_counts(listed(batches))), columns).join(F.broadcast(sizes), "lang")
-    often = found.groupBy("word", "lang", "size").agg(F.sum("n").alias("n")).groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.col("n") / F.col("size")).alias("share"))
-    feature_ids = _numbered(r.word for r in often.where((F.col("n") >= 3) & (F.col("share") * _RARE >= 1)).select("word").collect())
+    sizes = F.broadcast(rows.sparkSession.createDataFrame([(x, float(len(totals) * n)) for x, (n, _) in totals.items()], "lang string, size double"))
+
+    def often(by_lang: DataFrame) -> list:
+        found = by_lang.join(sizes, "lang").groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") / F.col("size")).alias("share"))
+        return [r.key for r in found.where((F.col("n") >= 3) & (F.col("share") * _RARE >= 1)).select("key").collect()]
+
+    short = words.mapInArrow(_feature_counts, "lang string, key long, n long").groupBy("key", "lang").agg(F.sum("n").alias("n"))
+    feature_ids = _numbered([*map(_named, often(short)), *(f"={w}" for w in often(words.withColumnRenamed("word", "key")))])
     shared = rows.sparkSession.sparkContext.broadcast(feature_ids)
-    instances = materialise(words.mapInArrow(lambda batches: (_instances(listed([b]), languages, shared.value) for b in batches), "label int, n long, ids binary"))
+    instances = materialise(words.mapInArrow(lambda batches: _instances(batches, languages, shared.value), "label binary, n binary, held binary, ids binary"))
     return _learn(totals, feature_ids, lambda part, size: summed(instances, part, size), rounds)
 
 
@@ -273,27 +393,27 @@ class Labeller:
         self._reset()
 
     def _reset(self):
-        self.ids: dict[str, int] = {}
-        self.emit = np.zeros((1024, len(self.model.languages)))
-
-    def _learn(self, words: list[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.ids]
-        if not new:
-            return
-        at = len(self.ids)
+        self.ids: dict[str, int] = defaultdict(count().__next__)
+        self.emit = np.zeros((1024, len(self.model.languages)))  # the likelihoods of the languages, the greatest being 1
+        self.letters = np.zeros(1024, dtype=np.int64)
+
+    def _learn(self, new: list[str], at: int) -> None:
         if at + len(new) > len(self.emit):
-            self.emit = np.concatenate([self.emit, np.zeros((max(len(new), len(self.emit)), self.emit.shape[1]))])
+            more = max(len(new), len(self.emit))
+            self.emit = np.concatenate([self.emit, np.zeros((more, self.emit.shape[1]))])
+            self.letters = np.concatenate([self.letters, np.zeros(more, dtype=np.int64)])
         for i in range(0, len(new), 10_000):
-            self.emit[at + i : at + min(len(new), i + 10_000)] = self.model.emission(new[i : i + 10_000])
-        self.ids.update(zip(new, range(at, at + len(new))))
+            some = new[i : i + 10_000]
+            emit = self.model.emission(some)
+            self.emit[at + i : at + i + len(some)] = np.exp(np.maximum(emit - emit.max(axis=1, keepdims=True), -60.0))
+            self.letters[at + i : at + i + len(some)] = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
 
     def _kinds(self, words: list[str]) -> np.ndarray:
-        get = self.ids.get
-        ids = [get(w) for w in words]
-        if None in ids:
-            self._learn([w for w, i in zip(words, ids) if i is None])
-            ids = [get(w) for w in words]
-        return np.array(ids, dtype=np.int64)
+        before = len(self.ids)
+        kinds = np.fromiter(map(self.ids.__getitem__, words), dtype=np.int64, count=len(words))
+        if len(self.ids) > before:
+            self._learn(list(islice(self.ids, before, None)), before)
+        return kinds
 
     def _make_room(self) -> None:
         if len(self.ids) > self.memory:
@@ -306,7 +426,7 @@ class Labeller:
 
         def emissions(i):
             self._make_room()
-            return self.emit[self._kinds(words_of(text[slice(*places[i])]))]
+            return np.log(self.emit[self._kinds(words_of(text[slice(*places[i])]))])
 
         def use(i, gamma):
             words = words_of(text[slice(*places[i])])
@@ -318,8 +438,8 @@ class Labeller:
         long_marginals(len(places), emissions, self.model.crf.trans, self.model.crf.start, use)
         return mass
 
-    def marginals(self, texts: list[str]):
-        """(marginals of all words, letters of each word, words of each text)."""
+    def _smoothed(self, texts: list[str]):
+        """(marginals, letters and layout of all words, in the layout's order, words of each text)."""
         self._make_room()
         words, lengths = [], []
         for text in texts:
@@ -327,9 +447,17 @@ class Labeller:
             words += found
             lengths.append(len(found))
         kind, lengths = self._kinds(words), np.array(lengths, dtype=np.int64)
-        letters = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         del words
-        return forward_backward(self.emit[kind], lengths, self.model.crf.trans, self.model.crf.start), letters, lengths
+        lay = Layout(lengths)
+        kind = kind[lay.perm]
+        return smoothed(self.emit.take(kind, axis=0), lay, self.model.crf.trans, self.model.crf.start), self.letters[kind], lay, lengths
+
+    def marginals(self, texts: list[str]):
+        """(marginals of all words, letters of each word, words of each text)."""
+        gamma, size, lay, lengths = self._smoothed(texts)
+        out, letters = np.empty_like(gamma), np.empty_like(size)
+        out[lay.perm], letters[lay.perm] = gamma, size
+        return out, letters, lengths
 
     def judge(self, texts: list[str | None], long: int = 3_000_000):
         """[(language, its share of the letters, mean best marginal)] of each text; those of over ``long`` characters are read a part at a time."""
@@ -341,14 +469,16 @@ class Labeller:
         live = [i for i, t in enumerate(texts) if t and len(t) <= long]
         for lo, hi in _runs([len(texts[i]) for i in live], 1_500_000):
             part = live[lo:hi]
-            m, letters, lengths = self.marginals([texts[i] for i in part])
+            m, letters, lay, lengths = self._smoothed([texts[i] for i in part])
             full = np.flatnonzero(lengths)
             if not len(full):
                 continue
-            starts = (np.cumsum(lengths) - lengths)[full]
-            mass = np.add.reduceat(m * letters[:, None], starts, axis=0)
+            text = np.repeat(np.arange(len(lengths)), lengths)[lay.perm]
+            by_text = lambda x: np.bincount(text, weights=x, minlength=len(lengths))[full]
+            m *= letters[:, None]
+            mass = np.stack([by_text(c) for c in m.T], axis=1)
             total = mass.sum(axis=1)
-            sure = np.add.reduceat(m.max(axis=1) * letters, starts) / total
+            sure = by_text(np.maximum.reduce(list(m.T))) / total
             share = mass / total[:, None]
             best = share.argmax(axis=1)
             for j, b, s, c in zip(full, best, share[np.arange(len(full)), best], sure):

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import regex
 
@@ -310,3 +311,42 @@ def test_languages_are_learned_from_all_texts(spark):
     assert model.languages == ["de", "en"] and model.feature_ids == listed.feature_ids
     assert (model.crf.weights == listed.crf.weights).all() and (model.crf.trans == listed.crf.trans).all()
     assert [x for x, _ in langid.Labeller(model).languages(["am haus", "near the house"])] == ["de", "en"]
+
+
+def test_languages_are_trained_a_block_of_words_at_a_time():
+    """Features are counted, and the gradient is summed, by arrays of many words; as word by word."""
+    rng = np.random.default_rng(4)
+    letters = "abcdeéß" + "हिन्दी漢字" + "".join(map(chr, range(0x4E00, 0x5000))) + "\U00020000\U0002fa1d"
+    words = {"x", "ab", "aaaa", "abcabcabc"} | {"".join(rng.choice(list(letters[: (5, 13, len(letters))[i % 3]]), 1 + i % 9)) for i in range(900)}
+    rows = [(x, w, int(rng.integers(1, 9))) for x in ("de", "en", "hi") for w in sorted(words) if rng.random() < 0.6]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 500])], names=["lang", "word", "n"]) for i in range(0, len(rows), 500)]
+    want = Counter()
+    for x, w, n in rows:
+        for f in langid.word_features(w):
+            want[x, f] += n
+    for at_once in (70, 40_000):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(langid, "_AT_ONCE", at_once)
+            got = Counter()
+            for b in langid._feature_counts(iter(batches)):
+                for x, key, n in zip(*(c.to_pylist() for c in b.columns)):
+                    got[x, langid._named(key)] += n
+        assert got == Counter({k: n for k, n in want.items() if k[1][0] != "="})
+    names = sorted({f for _, f in want})[::2]
+    ids = langid._numbered(names)
+    blocks = list(langid._instances(iter(batches), ["de", "en", "hi"], ids))
+    assert sum(b.num_rows for b in blocks) == len(batches)  # not one row a word
+    weights, share, gradient = rng.normal(size=(len(ids), 3)), np.array([0.1, 0.2, 0.3]) / 1e4, np.zeros((3, len(ids)))
+    for x, w, n in rows:
+        held = [0, *sorted(ids[f] for f in langid.word_features(w) if f in ids)]
+        p, y = np.exp(weights[held].sum(axis=0)), ["de", "en", "hi"].index(x)
+        for i in held:
+            gradient[:, i] += ((np.arange(3) == y) - p / p.sum()) * n * share[y]
+    found = sum(map(langid._gradient(weights, share), blocks)).reshape(3, -1)
+    assert (found.sum(axis=0) == 0).all() and np.abs(found / langid._UNIT - gradient).max() < 1e-11
+    one = langid.train([("some words", "en")])
+    assert langid.Labeller(one).languages(["words", "1"]) == [("en", 1.0), ("und", 0.0)] and langid.train([("1", "en")]) is None
+    text = "Où est l'été? ½x²y ªº µ_ß9ÿ × ÷ Ǆ naïve"
+    assert langid.words_of(text) == regex.findall(r"\p{L}[\p{L}\p{M}]*", text.lower())
+    for t in map(chr, range(256)):
+        assert langid.words_of(f"a{t}é") == regex.findall(r"\p{L}[\p{L}\p{M}]*", f"a{t}é".lower())
