@@ -6,7 +6,11 @@ over all texts, and every text takes the nearest centre.
 
 All texts are counted: each round sums the vectors of all of them by their
 nearest centre, in tasks first, in whole numbers of 2^-24, so that the sums do
-not depend on the tasks.  The first centres are taken as in k-means||: in two
+not depend on the tasks.  A likeness changes by no more than its centre moves,
+so a text whose nearest centre leads by more than the centres have moved since
+keeps it: once they move little, such texts are left in their sums, and the
+rounds read the others only, until a centre has moved further than was allowed
+for.  The sums are the same as those of all texts.  The first centres are taken as in k-means||: in two
 passes over all texts those are picked whose hashed draw, weighted by the square
 of their distance from those picked so far, is least; each is weighed by the
 number of texts nearest to it, and those that leave the least distance are
@@ -37,7 +41,7 @@ PIECE = 1 << 20
 WIDTH = 2048
 ENTRY = np.dtype([("at", "<u2"), ("weight", "<f4")])
 _UNIT = float(1 << 24)
-_STEP = 1024  # texts whose vectors are unpacked at once
+_STEP = 256  # texts whose vectors are unpacked at once
 
 
 def word_counts(text: bytes | None) -> Counter:
@@ -165,6 +169,77 @@ def _by_centre(idf: np.ndarray, centres: np.ndarray):
     return part
 
 
+def _open(idf: np.ndarray, centres: np.ndarray, slack: np.ndarray):
+    """The texts whose nearest centre may be another once each centre has moved by its ``slack`` at most."""
+
+    def part(vectors):
+        out = []
+        for some, at, x, starts, _ in _unpacked(vectors, idf):
+            like, each = _likeness(at, x, starts, centres), np.arange(len(some))
+            own = like.argmax(axis=0)
+            least = like[own, each] - slack[own] - 1e-9
+            like += slack[:, None]
+            like[own, each] = -np.inf
+            out += [some[i] for i in np.flatnonzero(like.max(axis=0) >= least)]
+        return out
+
+    return part
+
+
+def _kept(vectors: list[bytes] | DataFrame, part) -> list[bytes] | DataFrame:
+    """The vectors that ``part`` gives, written."""
+    if isinstance(vectors, list):
+        return part(vectors)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(part(b.column(0).to_pylist()), pa.binary())], names=["vec"])
+
+    return materialise(vectors.mapInArrow(run, "vec binary"))
+
+
+class _Rounds:
+    """Sums of all texts by nearest centre, round after round.
+
+    ``levels`` are ever smaller parts of the texts: from a level on, those left
+    out are in ``done``, as long as no centre is further than ``slack`` from
+    where it was when they were left out.
+    """
+
+    def __init__(self, vectors: list[bytes] | DataFrame, idf: np.ndarray, shape: tuple[int, int]):
+        self.idf, self.levels = idf, []
+        self.levels.append((vectors, np.zeros(shape, dtype=np.int64), None, np.full(shape[0], np.inf), _LITTLE))
+
+    def _read(self, vectors, centres: np.ndarray) -> np.ndarray:
+        return _summed(vectors, _by_centre(self.idf, centres), centres.size).reshape(centres.shape)
+
+    def sums(self, centres: np.ndarray) -> np.ndarray:
+        while self.levels[-1][2] is not None and (_apart(centres, self.levels[-1][2]) > self.levels[-1][3]).any():
+            self.levels.pop()
+        vectors, done, *_ = self.levels[-1]
+        self.now = self._read(vectors, centres)
+        return done + self.now
+
+    def moved(self, centres: np.ndarray, new: np.ndarray) -> None:
+        """After ``sums(centres)``: if the centres moved little from there, leaves texts out of the next rounds."""
+        vectors, done, _, _, little = self.levels[-1]
+        step = _apart(new, centres)
+        if step.max() <= little:
+            slack = _AHEAD * step + step.max() / 8
+            some = _kept(vectors, _open(self.idf, centres, slack))
+            self.levels.append((some, done + self.now - self._read(some, centres), centres, slack, step.max() / _LESS))
+
+
+_LITTLE = 0.02  # texts are left out once no centre moves by more,
+_LESS = 3  # and again when none moves by more than this part of that
+_AHEAD = 3  # times its last step a centre may move before all are read again
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance of each centre from where it was."""
+    return np.sqrt(((a - b) ** 2).sum(axis=1))
+
+
 def _near(idf: np.ndarray, centres: np.ndarray):
     """Texts by nearest centre."""
     return lambda vectors: sum((np.bincount(_likeness(at, x, starts, centres).argmax(axis=0), minlength=len(centres)) for _, at, x, starts, _ in _unpacked(vectors, idf)), np.zeros(len(centres), dtype=np.int64))
@@ -185,13 +260,15 @@ def learn(vectors: list[bytes] | DataFrame, topics: int = 8, rounds: int = 25, p
         first.append(int((weight[:, None] * np.minimum(left[:, None], apart)).sum(axis=0).argmin()))
         left = np.minimum(left, apart[:, first[-1]])
     centres = picked[first]
-    for _ in range(rounds):
-        sums = _summed(vectors, _by_centre(idf, centres), centres.size).reshape(centres.shape) / _UNIT
+    texts = _Rounds(vectors, idf, centres.shape)
+    for last in range(rounds)[::-1]:
+        sums = texts.sums(centres) / _UNIT
         size = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
         new = np.where(size > 0, sums / np.maximum(size, 1e-300), centres)
-        moved, centres = np.sqrt(((new - centres) ** 2).sum(axis=1)).max(), new
-        if moved <= still:
+        moved, before, centres = _apart(new, centres).max(), centres, new
+        if moved <= still or not last:
             break
+        texts.moved(before, centres)
     return Model(idf, centres.T.copy())
 
 

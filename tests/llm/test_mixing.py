@@ -2,6 +2,7 @@ import itertools
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from medialake.llm import mixing, topics
@@ -191,3 +192,32 @@ def test_topics_are_learned_from_all_texts(spark):
         assert np.allclose(model.centres[:, k], mean / np.linalg.norm(mean), atol=1e-5)
     again = topics.fit(docs.repartition(7), topics=3)
     assert (again.centres == model.centres).all() and (topics.train([(t or "").encode() for t in texts[::-1]], 3).centres == model.centres).all()
+
+
+def test_rounds_read_texts_that_may_change_only(spark):
+    """Texts that surely keep their topic are not read again, and the centres are those of reading all in each round."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{j}" for j in rng.normal(i / 2, 30, size=60).astype(int)) for i in range(2000)]
+    vectors = [topics.packed(topics.word_counts(t.encode())) for t in texts]
+    read, sums, kept = [], topics._by_centre, topics._open
+
+    def noted(make):
+        def made(*args):
+            part = make(*args)
+            return lambda some: (read.append(len(some)), part(some))[1]
+
+        return made
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(topics, "_by_centre", noted(sums))
+        m.setattr(topics, "_open", noted(kept))
+        found, reads = {}, {}
+        for little, ahead in ((-1, 3), (0.02, 3), (0.5, 0.3), (0.5, 3)):
+            read.clear()
+            m.setattr(topics, "_LITTLE", little)
+            m.setattr(topics, "_AHEAD", ahead)
+            found[little, ahead], reads[little, ahead] = topics.learn(vectors, 6, still=0).centres, sum(read)
+    assert reads[0.02, 3] < 0.8 * reads[-1, 3]
+    assert all((c == found[-1, 3]).all() for c in found.values())
+    table = spark.createDataFrame([(v,) for v in vectors], "vec binary").repartition(3)
+    assert (topics.learn(table, 6, still=0).centres == found[-1, 3]).all()
