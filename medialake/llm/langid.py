@@ -271,19 +271,33 @@ def _named(key: int) -> str:
     return ("", "<", ">")[key] + found
 
 
-_BLOCK = 4096  # instances in a row of their table
+_BLOCK = 8  # instances in a row of their table: few, as Spark's readers hold thousands of rows at once
+_STEP = 4096  # instances whose gradient is summed at once
 
 
 def _instances(batches, languages: list[str], feature_ids: dict[str, int]):
     """Record batches of record batches (lang, word, n): each row has the labels, counts, numbers of features and features of a block of words."""
     label, model, kind = {x: i for i, x in enumerate(languages)}, Model(languages, feature_ids, Crf(0, 0)), _kind(len(feature_ids))
     for b in batches:
-        rows = []
-        for i in range(0, b.num_rows, _BLOCK):
-            langs, words, n = (c.to_pylist() for c in b.slice(i, _BLOCK).columns)
-            ids, starts = model.features(words)
-            rows.append((np.array([label[x] for x in langs], dtype=np.int32), np.array(n, dtype=np.int64), np.diff(starts, append=len(ids)).astype(np.int32), ids.astype(kind)))
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in c], pa.binary()) for c in zip(*rows)] if rows else [pa.array([], pa.binary())] * 4, names=["label", "n", "held", "ids"])
+        langs, words, n = (c.to_pylist() for c in b.columns)
+        ids, starts = model.features(words)
+        ends = np.append(starts, len(ids))
+        at = np.append(np.arange(0, len(words), _BLOCK), len(words))  # where the blocks begin
+        held = ((np.array([label[x] for x in langs], dtype=np.int32), at), (np.array(n, dtype=np.int64), at), (np.diff(ends).astype(np.int32), at), (ids.astype(kind), ends[at]))
+        yield pa.RecordBatch.from_arrays([_packed(values, of) for values, of in held], names=["label", "n", "held", "ids"])
+
+
+def _packed(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Binary values, each of those from one of ``at`` to the next."""
+    offsets = (at * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _flat(column: pa.Array, kind) -> np.ndarray:
+    """All values of a binary column in a row, without a copy."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind) if len(column) else np.zeros(0, kind)
 
 
 def _kind(size: int) -> np.dtype:
@@ -302,9 +316,11 @@ def _gradient(weights: np.ndarray, share: np.ndarray):
 
     def part(batch):
         total = np.zeros((k, size))
-        for row in zip(*batch.columns):
-            y, n, held, ids = (np.frombuffer(x.as_buffer(), t) for x, t in zip(row, (np.int32, np.int64, np.int32, kind)))
-            ids = ids.astype(np.intp)
+        labels, counts, sizes, features = (_flat(c, t) for c, t in zip(batch.columns, (np.int32, np.int64, np.int32, kind)))
+        ends = np.append(0, np.cumsum(sizes, dtype=np.int64))
+        for lo in range(0, len(labels), _STEP):
+            y, n, held = (x[lo : lo + _STEP] for x in (labels, counts, sizes))
+            ids = features[ends[lo] : ends[lo + len(y)]].astype(np.intp)
             starts, miss = np.cumsum(held) - held, np.zeros((k, len(y)))
             for c in range(k - 1):
                 np.add.reduceat(apart[c].take(ids), starts, out=miss[c])
