@@ -39,7 +39,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialake.llm.common import bounded_sample, decoded, filter_by_text, materialise, summed
+from medialake.llm.common import bounded_sample, decoded, filter_by_text, materialise, release, summed, written
 from medialake.llm.crf import Crf, Layout, long_marginals, smoothed
 
 _ASCII = re.compile("[a-z]+")
@@ -379,7 +379,15 @@ def train(texts: list[tuple[str, str]], rounds: int = 40) -> Model | None:
 
 
 def train_on_all(rows: DataFrame, rounds: int = 40) -> Model | None:
-    """``train`` on a table (text as bytes, language)."""
+    """``train`` on a table (text as bytes, language); leaves no table behind."""
+    before = written()
+    try:
+        return _train_on_all(rows, rounds)
+    finally:
+        release(rows.sparkSession, before)
+
+
+def _train_on_all(rows: DataFrame, rounds: int) -> Model | None:
     listed = lambda batches: (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
     told = rows.mapInArrow(lambda batches: _pairs(_counts((decoded(t), x) for t, x in listed(batches))), "lang string, word string, n long")
     counts = materialise(told.groupBy("lang", "word").agg(F.sum("n").alias("n")))

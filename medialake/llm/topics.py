@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialake.llm.common import materialise, summed
+from medialake.llm.common import materialise, release, summed, written
 
 PIECE = 1 << 20
 WIDTH = 2048
@@ -259,16 +259,18 @@ def learn(vectors: list[bytes] | DataFrame, topics: int = 8, rounds: int = 25, p
     for _ in range(min(topics, len(picked))):
         first.append(int((weight[:, None] * np.minimum(left[:, None], apart)).sum(axis=0).argmin()))
         left = np.minimum(left, apart[:, first[-1]])
-    centres = picked[first]
+    centres, before = picked[first], written()
     texts = _Rounds(vectors, idf, centres.shape)
     for last in range(rounds)[::-1]:
         sums = texts.sums(centres) / _UNIT
         size = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
         new = np.where(size > 0, sums / np.maximum(size, 1e-300), centres)
-        moved, before, centres = _apart(new, centres).max(), centres, new
+        moved, last_centres, centres = _apart(new, centres).max(), centres, new
         if moved <= still or not last:
             break
-        texts.moved(before, centres)
+        texts.moved(last_centres, centres)
+    if not isinstance(vectors, list):
+        release(vectors.sparkSession, before)  # the levels
     return Model(idf, centres.T.copy())
 
 

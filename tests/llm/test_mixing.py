@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from medialake.llm import mixing, topics
+from medialake.llm import common, langid, mixing, topics
 from tests.llm.cases import awkward, empty
 
 
@@ -221,3 +221,18 @@ def test_rounds_read_texts_that_may_change_only(spark):
     assert all((c == found[-1, 3]).all() for c in found.values())
     table = spark.createDataFrame([(v,) for v in vectors], "vec binary").repartition(3)
     assert (topics.learn(table, 6, still=0).centres == found[-1, 3]).all()
+
+
+def test_mixing_writes_texts_once_and_models_leave_no_tables(spark):
+    """What a stage writes stays until its result is written, so no text is written twice and nothing stays that only a model was learned from."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for fit in (langid.fit, lambda docs: topics.learn(spark.createDataFrame([(topics.packed(topics.word_counts(r.text.encode())),) for r in docs.collect() if r.text and r.text.split()], "vec binary"))):
+        before = common.written()
+        assert fit(docs) is not None and common.written() == before
+    before = common.written()
+    mixed = mixing.mix(docs)
+    left = [spark.read.parquet(path).schema for path in common._WRITTEN[before:]]
+    assert sum("row" in s.names and "text" in s["row"].dataType.names for s in left) == 1
+    placed = mixing.described_by_all(docs, keep=["doc_id"])
+    kept = mixing.calibrated(placed, mixing.plan(placed)).where("kept").select("row.doc_id")
+    assert mixed.columns == docs.columns and sorted(r.doc_id for r in mixed.collect()) == sorted(r.doc_id for r in kept.collect())
