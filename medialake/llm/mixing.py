@@ -255,8 +255,8 @@ def counted(docs: DataFrame, text_col: str = "text", dims=DIMENSIONS, keep: list
     @F.pandas_udf("tokens long, vec binary")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            counts = [topics.word_counts(bytes(t) if t is not None else None) for t in b]
-            yield pd.DataFrame({"tokens": [sum(c.values()) for c in counts], "vec": [topics.packed(c) for c in counts]})
+            tokens, vectors = topics.counted([bytes(t) if t is not None else None for t in b])
+            yield pd.DataFrame({"tokens": tokens, "vec": vectors})
 
     own = [docs[d].cast("string").alias(f"d{i}") for i, d in enumerate(dims) if d in docs.columns]
     found = docs.select(F.struct(*(docs[c] for c in keep or docs.columns)).alias("row"), *own, read(docs[text_col].cast("binary")).alias("x"))

@@ -8,15 +8,17 @@ All texts are counted: each round sums the vectors of all of them by their
 nearest centre, in tasks first, in whole numbers of 2^-24, so that the sums do
 not depend on the tasks.  A likeness changes by no more than its centre moves,
 so a text whose nearest centre leads by more than the centres have moved since
-keeps it: once they move little, such texts are left in their sums, and the
-rounds read the others only, until a centre has moved further than was allowed
-for.  The sums are the same as those of all texts.  The first centres are taken as in k-means||: in two
+keeps it: once they move little, a round that sums all texts also writes those
+that may change, and the next rounds read these only, with the sums of the
+others, until a centre has moved further than was allowed for.  The sums are the same as those of all texts.  The first centres are taken as in k-means||: in two
 passes over all texts those are picked whose hashed draw, weighted by the square
 of their distance from those picked so far, is least; each is weighed by the
 number of texts nearest to it, and those that leave the least distance are
 taken one by one.  Only picked texts and sums by centre reach the driver.
 
-A text is read ``PIECE`` bytes at a time and becomes ``WIDTH`` entries at most.
+A text is read ``PIECE`` bytes at a time and becomes ``WIDTH`` entries at most;
+shorter ones are counted many at once, by arrays of all their words.  For the
+rounds vectors are written a few to a row.
 
 Defined cases: a text without words has no vector and no topic (None); of
 equally near centres the first wins; texts with equal vectors are picked once;
@@ -31,6 +33,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +44,10 @@ PIECE = 1 << 20
 WIDTH = 2048
 ENTRY = np.dtype([("at", "<u2"), ("weight", "<f4")])
 _UNIT = float(1 << 24)
+_LOG = float(1 << 32)  # log counts are summed in whole numbers of 2^-32, in any order
 _STEP = 256  # texts whose vectors are unpacked at once
+_MANY = 128  # short texts that are counted at once
+_ROW = 8  # vectors in a row of the tables for the rounds
 
 
 def word_counts(text: bytes | None) -> Counter:
@@ -63,11 +69,76 @@ def packed(counts: Counter) -> bytes | None:
     if not counts:
         return None
     at = np.fromiter(map(zlib.crc32, counts), dtype=np.uint32, count=len(counts)) % WIDTH
-    sums = np.bincount(at, weights=np.log1p(np.fromiter(counts.values(), dtype=float, count=len(counts))), minlength=WIDTH)
+    return _entries(at, np.fromiter(counts.values(), dtype=np.int64, count=len(counts)), 1)[0]
+
+
+def _entries(at: np.ndarray, counts: np.ndarray, texts: int) -> list[bytes | None]:
+    """The vectors of texts; ``at``: of each of their words the place, plus ``WIDTH`` times the text's number."""
+    sums = np.bincount(at, weights=np.rint(np.log1p(counts) * _LOG), minlength=texts * WIDTH)
     held = np.flatnonzero(sums)
     entries = np.empty(len(held), ENTRY)
-    entries["at"], entries["weight"] = held, sums[held]
-    return entries.tobytes()
+    entries["at"], entries["weight"] = held % WIDTH, sums[held] / _LOG
+    ends = (np.searchsorted(held, np.arange(texts + 1) * WIDTH) * ENTRY.itemsize).tolist()
+    data = entries.tobytes()
+    return [data[a:b] or None for a, b in zip(ends, ends[1:])]
+
+
+_CRC = np.array([zlib.crc32(bytes([i])) ^ zlib.crc32(b"\0") for i in range(256)], dtype=np.uint32)
+
+
+def _crc32(data: np.ndarray, ends: np.ndarray, most: int = 32) -> np.ndarray:
+    """crc32 of the words that lie one behind the other in ``data``, a byte of each at a time; of those over ``most`` bytes one by one."""
+    size = np.diff(ends)
+    order = np.argsort(-np.minimum(size, most + 1), kind="stable")
+    live, crc = np.searchsorted(-size[order], -np.arange(most), "left"), np.full(len(size), 0xFFFFFFFF, dtype=np.uint32)
+    begin = ends[:-1][order]
+    for i, n in enumerate(live.tolist()):
+        if not n:
+            break
+        crc[:n] = _CRC[(crc[:n] ^ data[begin[:n] + i]) & 0xFF] ^ (crc[:n] >> 8)
+    out = np.empty_like(crc)
+    out[order] = ~crc
+    for i in np.flatnonzero(size > most).tolist():
+        out[i] = zlib.crc32(data[ends[i] : ends[i + 1]])
+    return out
+
+
+def _counted_together(texts: list[bytes]) -> tuple[list[int], list[bytes | None]]:
+    """Words of each text and its vector, by arrays of all their words."""
+    raw = pa.array(texts, pa.binary()).view(pa.string())  # not checked to be UTF-8: what follows goes by bytes
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(raw))
+    told = lists.values.dictionary_encode()
+    _, ends, data = told.dictionary.buffers()
+    different = len(told.dictionary)
+    ends = np.frombuffer(ends, np.int32, different + 1) if ends else np.zeros(1, np.int32)
+    place = (_crc32(np.frombuffer(data or b"", np.uint8), ends.astype(np.int64)) % WIDTH).astype(np.int64)
+    pairs = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy())) * different + told.indices.to_numpy()
+    pairs.sort()
+    first = np.flatnonzero(np.diff(pairs, prepend=-1))
+    counts = np.diff(first, append=len(pairs))
+    text, kind = np.divmod(pairs[first], max(1, different))
+    full = ends[kind + 1] > ends[kind]  # no word stands before a leading blank or behind the last one
+    text, kind, counts = text[full], kind[full], counts[full]
+    sizes = np.bincount(text, weights=counts, minlength=len(texts)).astype(np.int64)
+    return sizes.tolist(), _entries(text * WIDTH + place[kind], counts, len(texts))
+
+
+def counted(texts: list[bytes | None]) -> tuple[list[int], list[bytes | None]]:
+    """Words of each text and its vector, as ``packed(word_counts(text))`` gives it."""
+    sizes, vectors, lo = [], [], 0
+    while lo < len(texts):
+        hi, total = lo, 0
+        while hi < len(texts) and hi - lo < _MANY and (total := total + len(texts[hi] or b"")) <= PIECE:
+            hi += 1
+        if hi > lo:
+            some = _counted_together([t or b"" for t in texts[lo:hi]])
+        else:
+            counts, hi = word_counts(texts[lo]), lo + 1
+            some = [sum(counts.values())], [packed(counts)]
+        sizes += some[0]
+        vectors += some[1]
+        lo = hi
+    return sizes, vectors
 
 
 def _unpacked(vectors: list[bytes], idf: np.ndarray):
@@ -100,11 +171,34 @@ class Model:
 
 
 # --- steps over all texts: a list of vectors, or a table of them --------------
+def _rows(vectors: list[bytes]) -> list[pa.Array]:
+    """Vectors, ``_ROW`` to a row: their lengths and their entries."""
+    parts = [vectors[i : i + _ROW] for i in range(0, len(vectors), _ROW)]
+    return [pa.array([np.fromiter(map(len, p), np.int32, len(p)).tobytes() for p in parts], pa.binary()), pa.array(list(map(b"".join, parts)), pa.binary())]
+
+
+def _vectors(batch: pa.RecordBatch) -> list[bytes]:
+    """The vectors of ``_rows``."""
+    out = []
+    for sizes, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        at = 0
+        for n in np.frombuffer(sizes, np.int32).tolist():
+            out.append(entries[at : at + n])
+            at += n
+    return out
+
+
+def _stored(vectors: DataFrame) -> DataFrame:
+    """A table of a vector a row, written a few to a row."""
+    names = ["sizes", "entries"]
+    return materialise(vectors.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays(_rows(b.column(0).to_pylist()), names=names) for b in batches), "sizes binary, entries binary"))
+
+
 def _summed(vectors: list[bytes] | DataFrame, part, size: int) -> np.ndarray:
     """Sum of ``part(vectors)``, ``size`` whole numbers, over all texts."""
     if isinstance(vectors, list):
         return part(vectors)
-    return summed(vectors, lambda b: part(b.column(0).to_pylist()), size)
+    return summed(vectors, lambda b: part(_vectors(b)), size)
 
 
 def _least(vectors: list[bytes] | DataFrame, part, n: int) -> list[bytes]:
@@ -123,7 +217,7 @@ def _least(vectors: list[bytes] | DataFrame, part, n: int) -> list[bytes]:
         return list(few([vectors]))
 
     def run(batches):
-        found = few(b.column(0).to_pylist() for b in batches)
+        found = few(map(_vectors, batches))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.float64())], names=["vec", "key"])
 
     return [bytes(r.vec) for r in vectors.mapInArrow(run, "vec binary, key double").groupBy("vec").agg(F.min("key").alias("key")).orderBy("key", "vec").limit(n).collect()]
@@ -170,32 +264,42 @@ def _by_centre(idf: np.ndarray, centres: np.ndarray):
 
 
 def _open(idf: np.ndarray, centres: np.ndarray, slack: np.ndarray):
-    """The texts whose nearest centre may be another once each centre has moved by its ``slack`` at most."""
+    """(texts whose nearest centre may be another once each centre has moved by its ``slack`` at most, sums as by ``_by_centre`` of the others and of these)."""
+    half = len(centres) * WIDTH
 
     def part(vectors):
-        out = []
-        for some, at, x, starts, _ in _unpacked(vectors, idf):
+        out, total = [], np.zeros(2 * half, dtype=np.int64)
+        for some, at, x, starts, size in _unpacked(vectors, idf):
             like, each = _likeness(at, x, starts, centres), np.arange(len(some))
             own = like.argmax(axis=0)
             least = like[own, each] - slack[own] - 1e-9
             like += slack[:, None]
             like[own, each] = -np.inf
-            out += [some[i] for i in np.flatnonzero(like.max(axis=0) >= least)]
-        return out
+            may = like.max(axis=0) >= least
+            out += [some[i] for i in np.flatnonzero(may)]
+            total += np.bincount(np.repeat(may * half + own * WIDTH, size) + at, weights=np.rint(x * _UNIT), minlength=2 * half).astype(np.int64)
+        return out, total
 
     return part
 
 
-def _kept(vectors: list[bytes] | DataFrame, part) -> list[bytes] | DataFrame:
-    """The vectors that ``part`` gives, written."""
+def _parted(vectors: list[bytes] | DataFrame, part, size: int) -> tuple[list[bytes] | DataFrame, np.ndarray]:
+    """The vectors that ``part`` gives, written, and its ``size`` sums."""
     if isinstance(vectors, list):
         return part(vectors)
 
     def run(batches):
+        total = np.zeros(size, dtype=np.int64)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(part(b.column(0).to_pylist()), pa.binary())], names=["vec"])
+            some, sums = part(_vectors(b))
+            total += sums
+            own = _rows(some)
+            yield pa.RecordBatch.from_arrays([*own, pa.nulls(len(own[0]), pa.binary())], names=["sizes", "entries", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["sizes", "entries", "sums"])
 
-    return materialise(vectors.mapInArrow(run, "vec binary"))
+    found = materialise(vectors.mapInArrow(run, "sizes binary, entries binary, sums binary"))
+    sums = summed(found.select("sums").where("sums is not null"), lambda b: sum((np.frombuffer(x, np.int64) for x in b.column(0).to_pylist()), np.zeros(size, dtype=np.int64)), size)
+    return found.select("sizes", "entries").where("sizes is not null"), sums
 
 
 class _Rounds:
@@ -203,36 +307,31 @@ class _Rounds:
 
     ``levels`` are ever smaller parts of the texts: from a level on, those left
     out are in ``done``, as long as no centre is further than ``slack`` from
-    where it was when they were left out.
+    where it was when they were left out.  ``step``: how far each centre moved
+    last.
     """
 
     def __init__(self, vectors: list[bytes] | DataFrame, idf: np.ndarray, shape: tuple[int, int]):
-        self.idf, self.levels = idf, []
-        self.levels.append((vectors, np.zeros(shape, dtype=np.int64), None, np.full(shape[0], np.inf), _LITTLE))
-
-    def _read(self, vectors, centres: np.ndarray) -> np.ndarray:
-        return _summed(vectors, _by_centre(self.idf, centres), centres.size).reshape(centres.shape)
+        self.idf, self.step = idf, np.full(shape[0], np.inf)
+        self.levels = [(vectors, np.zeros(shape, dtype=np.int64), None, self.step, _LITTLE)]
 
     def sums(self, centres: np.ndarray) -> np.ndarray:
         while self.levels[-1][2] is not None and (_apart(centres, self.levels[-1][2]) > self.levels[-1][3]).any():
             self.levels.pop()
-        vectors, done, *_ = self.levels[-1]
-        self.now = self._read(vectors, centres)
-        return done + self.now
-
-    def moved(self, centres: np.ndarray, new: np.ndarray) -> None:
-        """After ``sums(centres)``: if the centres moved little from there, leaves texts out of the next rounds."""
         vectors, done, _, _, little = self.levels[-1]
-        step = _apart(new, centres)
-        if step.max() <= little:
-            slack = _AHEAD * step + step.max() / 8
-            some = _kept(vectors, _open(self.idf, centres, slack))
-            self.levels.append((some, done + self.now - self._read(some, centres), centres, slack, step.max() / _LESS))
+        most = self.step.max()
+        if most > little:
+            return done + _summed(vectors, _by_centre(self.idf, centres), centres.size).reshape(centres.shape)
+        slack = _AHEAD * (self.step + most)
+        some, sums = _parted(vectors, _open(self.idf, centres, slack), 2 * centres.size)
+        left, now = sums.reshape(2, *centres.shape)
+        self.levels.append((some, done + left, centres, slack, most / _LESS))
+        return done + left + now
 
 
 _LITTLE = 0.02  # texts are left out once no centre moves by more,
 _LESS = 3  # and again when none moves by more than this part of that
-_AHEAD = 3  # times its last step a centre may move before all are read again
+_AHEAD = 2  # times its last step and the longest one a centre may move before all are read again
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -246,7 +345,17 @@ def _near(idf: np.ndarray, centres: np.ndarray):
 
 
 def learn(vectors: list[bytes] | DataFrame, topics: int = 8, rounds: int = 25, passes: int = 2, still: float = 1e-3) -> Model | None:
-    """Spherical k-means over all of ``vectors``: a list, or a table whose first column holds them, none null; ends when no centre moves by more than ``still``."""
+    """Spherical k-means over all of ``vectors``: a list, or a table whose first column holds them, none null; ends when no centre moves by more than ``still``; leaves no table behind."""
+    if isinstance(vectors, list):
+        return _learn(vectors, topics, rounds, passes, still)
+    before = written()
+    try:
+        return _learn(_stored(vectors), topics, rounds, passes, still)
+    finally:
+        release(vectors.sparkSession, before)
+
+
+def _learn(vectors: list[bytes] | DataFrame, topics: int, rounds: int, passes: int, still: float) -> Model | None:
     *held, n = _summed(vectors, _held, WIDTH + 1).tolist()
     if not n:
         return None
@@ -259,18 +368,15 @@ def learn(vectors: list[bytes] | DataFrame, topics: int = 8, rounds: int = 25, p
     for _ in range(min(topics, len(picked))):
         first.append(int((weight[:, None] * np.minimum(left[:, None], apart)).sum(axis=0).argmin()))
         left = np.minimum(left, apart[:, first[-1]])
-    centres, before = picked[first], written()
+    centres = picked[first]
     texts = _Rounds(vectors, idf, centres.shape)
-    for last in range(rounds)[::-1]:
+    for _ in range(rounds):
         sums = texts.sums(centres) / _UNIT
         size = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
         new = np.where(size > 0, sums / np.maximum(size, 1e-300), centres)
-        moved, last_centres, centres = _apart(new, centres).max(), centres, new
-        if moved <= still or not last:
+        texts.step, centres = _apart(new, centres), new
+        if texts.step.max() <= still:
             break
-        texts.moved(last_centres, centres)
-    if not isinstance(vectors, list):
-        release(vectors.sparkSession, before)  # the levels
     return Model(idf, centres.T.copy())
 
 
@@ -283,6 +389,6 @@ def fit(docs: DataFrame, text_col: str = "text", topics: int = 8) -> Model | Non
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([packed(word_counts(t)) for t in b.column(0).to_pylist()], pa.binary())], names=["vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(counted(b.column(0).to_pylist())[1], pa.binary())], names=["vec"])
 
     return learn(materialise(docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "vec binary").where("vec is not null")), topics)

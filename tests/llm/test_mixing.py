@@ -236,3 +236,31 @@ def test_mixing_writes_texts_once_and_models_leave_no_tables(spark):
     placed = mixing.described_by_all(docs, keep=["doc_id"])
     kept = mixing.calibrated(placed, mixing.plan(placed)).where("kept").select("row.doc_id")
     assert mixed.columns == docs.columns and sorted(r.doc_id for r in mixed.collect()) == sorted(r.doc_id for r in kept.collect())
+
+
+def test_short_texts_counted_together():
+    """Many texts at once give what each gives alone, whatever their bytes."""
+    rng = np.random.default_rng(9)
+    some = list(b" \t\n\x0b\x0c\rAaBz")
+    texts = [None, b"", b" \n", b" a ", b"\xff A\x00b\x0bB\x1c\x85 \xa0", b"x" * 31 + b" " + b"Y" * 32 + b" " + b"z" * 33, "\u00c9t\u00e9 \u00e9t\u00e9".encode()]
+    texts += [bytes(rng.choice([*range(256), *some * 20], size=n).astype(np.uint8)) for n in rng.integers(0, 400, size=400)]
+    texts += [b"Ab cd " * (topics.PIECE // 4), b"e" * 5000, b"last one"]
+    counts = [topics.word_counts(t) for t in texts]
+    assert topics.counted(texts) == ([sum(c.values()) for c in counts], [topics.packed(c) for c in counts])
+    assert topics.counted([]) == ([], [])
+
+
+def test_a_round_reads_no_text_twice(spark):
+    """Also in the rounds that write the texts that may change; of a table of vectors, too, which is read a few to a row."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{j}" for j in rng.normal(i / 2, 30, size=60).astype(int)) for i in range(500)]
+    vectors = [topics.packed(topics.word_counts(t.encode())) for t in texts]
+    reads, opened, sums, kept = [], [], topics._by_centre, topics._open
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(topics, "_by_centre", lambda *args: lambda some: (reads.append(len(some)), sums(*args)(some))[1])
+        m.setattr(topics, "_open", lambda *args: lambda some: (reads.append(len(some)), opened.append(len(some)), kept(*args)(some))[2])
+        topics.learn(vectors, 6, rounds=10, still=0)
+    assert opened and len(reads) == 10
+    rows = topics._stored(spark.createDataFrame([(v,) for v in vectors[:43]], "vec binary").coalesce(1))
+    assert rows.count() == 6
+    assert [v for r in rows.toArrow().to_batches() for v in topics._vectors(r)] == vectors[:43]
