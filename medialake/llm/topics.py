@@ -18,7 +18,8 @@ taken one by one.  Only picked texts and sums by centre reach the driver.
 
 A text is read ``PIECE`` bytes at a time and becomes ``WIDTH`` entries at most;
 shorter ones are counted many at once, by arrays of all their words.  For the
-rounds vectors are written a few to a row.
+rounds vectors are written a few to a row and not compressed, as each round
+would spend half as much on reading compressed ones as on comparing them.
 
 Defined cases: a text without words has no vector and no topic (None); of
 equally near centres the first wins; texts with equal vectors are picked once;
@@ -191,7 +192,7 @@ def _vectors(batch: pa.RecordBatch) -> list[bytes]:
 def _stored(vectors: DataFrame) -> DataFrame:
     """A table of a vector a row, written a few to a row."""
     names = ["sizes", "entries"]
-    return materialise(vectors.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays(_rows(b.column(0).to_pylist()), names=names) for b in batches), "sizes binary, entries binary"))
+    return materialise(vectors.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays(_rows(b.column(0).to_pylist()), names=names) for b in batches), "sizes binary, entries binary"), "none")
 
 
 def _summed(vectors: list[bytes] | DataFrame, part, size: int) -> np.ndarray:
@@ -297,7 +298,7 @@ def _parted(vectors: list[bytes] | DataFrame, part, size: int) -> tuple[list[byt
             yield pa.RecordBatch.from_arrays([*own, pa.nulls(len(own[0]), pa.binary())], names=["sizes", "entries", "sums"])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["sizes", "entries", "sums"])
 
-    found = materialise(vectors.mapInArrow(run, "sizes binary, entries binary, sums binary"))
+    found = materialise(vectors.mapInArrow(run, "sizes binary, entries binary, sums binary"), "none")
     sums = summed(found.select("sums").where("sums is not null"), lambda b: sum((np.frombuffer(x, np.int64) for x in b.column(0).to_pylist()), np.zeros(size, dtype=np.int64)), size)
     return found.select("sizes", "entries").where("sizes is not null"), sums
 
