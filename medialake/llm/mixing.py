@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medialake.llm import topics
-from medialake.llm.common import join_spread, materialise
+from medialake.llm.common import join_spread, materialise, release, written
 
 NONE = "(none)"
 DIMENSIONS = ("source", "lang", "topic")
@@ -263,8 +263,8 @@ def counted(docs: DataFrame, text_col: str = "text", dims=DIMENSIONS, keep: list
     return found.select(*found.columns[:-1], "x.tokens", "x.vec")
 
 
-def placed(found: DataFrame, model: topics.Model | None, dims=DIMENSIONS, keep: list[str] | None = None) -> DataFrame:
-    """A ``counted`` table with all dimensions, and without vec; ``row`` has the columns ``keep``, or all."""
+def placed(found: DataFrame, model: topics.Model | None, dims=DIMENSIONS) -> DataFrame:
+    """A ``counted`` table with all dimensions, and without vec."""
     shared = found.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")
@@ -277,8 +277,7 @@ def placed(found: DataFrame, model: topics.Model | None, dims=DIMENSIONS, keep:
             yield out
 
     values = [F.coalesce(F.col(f"d{i}") if f"d{i}" in found.columns else topic("vec"), F.lit(NONE)).alias(f"d{i}") for i, _ in enumerate(dims)]
-    row = F.struct(*(F.col("row")[c].alias(c) for c in keep)).alias("row") if keep else F.col("row")
-    return found.select(row, *values, "tokens")
+    return found.select("row", *values, "tokens")
 
 
 def described(docs: DataFrame, model: topics.Model | None, text_col: str = "text", dims=DIMENSIONS, keep: list[str] | None = None) -> DataFrame:
@@ -290,14 +289,15 @@ def described(docs: DataFrame, model: topics.Model | None, text_col: str = "text
 
 
 def described_by_all(docs: DataFrame, text_col: str = "text", dims=DIMENSIONS, keep: list[str] | None = None, topic_count: int = 8) -> DataFrame:
-    """``described``, written, by topics that are learned from all rows of ``docs``; texts are read once."""
-    return materialise(placed(*_learned(docs, text_col, dims, keep, topic_count), dims))
+    """``described``, written, by topics that are learned from all rows of ``docs``; texts are read once.
 
-
-def _learned(docs: DataFrame, text_col: str, dims, keep: list[str] | None, topic_count: int) -> tuple[DataFrame, topics.Model | None]:
-    """``counted``, written, and the topics of all its rows."""
+    What this writes on the way is removed, so the rows are left there once.
+    """
+    before = written()
     found = materialise(counted(docs, text_col, dims, keep))
-    return found, topics.learn(found.select("vec").where("vec is not null"), topic_count)
+    out = materialise(placed(found, topics.learn(found.select("vec").where("vec is not null"), topic_count), dims))
+    release(docs.sparkSession, before, newest=1)
+    return out
 
 
 @dataclass
@@ -449,11 +449,7 @@ def report(placed: DataFrame, plan: Plan) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims=DIMENSIONS, topic_count: int = 8, **kw) -> DataFrame:
     """The sampled rows of ``docs``, with its own columns.
 
-    Texts are read once and written once, with what their topics are found from;
-    the plan is made from a slim table, and topics are found again for the rows
-    that are handed on, so these are not written a second time.
+    Texts are read once: the rows are written with their dimensions and tokens.
     """
-    found, model = _learned(docs, text_col, dims, None, topic_count)
-    slim = materialise(placed(found, model, dims, [id_col]))
-    whole = plan(slim, dims=len(dims), id_col=id_col, **kw)
-    return calibrated(placed(found, model, dims), whole, id_col).where("kept").select("row.*")
+    found = described_by_all(docs, text_col, dims, topic_count=topic_count)
+    return calibrated(found, plan(found, dims=len(dims), id_col=id_col, **kw), id_col).where("kept").select("row.*")

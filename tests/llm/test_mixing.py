@@ -223,8 +223,8 @@ def test_rounds_read_texts_that_may_change_only(spark):
     assert (topics.learn(table, 6, still=0).centres == found[-1, 3]).all()
 
 
-def test_mixing_writes_texts_once_and_models_leave_no_tables(spark):
-    """What a stage writes stays until its result is written, so no text is written twice and nothing stays that only a model was learned from."""
+def test_mixing_leaves_texts_once_and_models_leave_no_tables(spark):
+    """What a stage writes stays until its result is written, so no text stays twice and nothing stays that only a model was learned from."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for fit in (langid.fit, lambda docs: topics.learn(spark.createDataFrame([(topics.packed(topics.word_counts(r.text.encode())),) for r in docs.collect() if r.text and r.text.split()], "vec binary"))):
         before = common.written()
