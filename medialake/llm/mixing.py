@@ -40,7 +40,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -252,11 +252,11 @@ def rake_table(cells: DataFrame, targets: list[DataFrame], budget: float, rounds
 def counted(docs: DataFrame, text_col: str = "text", dims=DIMENSIONS, keep: list[str] | None = None) -> DataFrame:
     """``row`` (the columns ``keep``, or all), those dimensions that ``docs`` has as d0, d1, ..., tokens, and vec (what the text's topic is found from)."""
 
-    @F.pandas_udf("tokens long, vec binary")
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("tokens long, vec binary")
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            tokens, vectors = topics.counted([bytes(t) if t is not None else None for t in b])
-            yield pd.DataFrame({"tokens": tokens, "vec": vectors})
+            tokens, vectors = topics.counted(b.to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), pa.array(vectors, pa.binary())], names=["tokens", "vec"])
 
     own = [docs[d].cast("string").alias(f"d{i}") for i, d in enumerate(dims) if d in docs.columns]
     found = docs.select(F.struct(*(docs[c] for c in keep or docs.columns)).alias("row"), *own, read(docs[text_col].cast("binary")).alias("x"))
@@ -267,14 +267,11 @@ def placed(found: DataFrame, model: topics.Model | None, dims=DIMENSIONS) -> Dat
     """A ``counted`` table with all dimensions, and without vec."""
     shared = found.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("string")
-    def topic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def topic(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            out = pd.Series([None] * len(b), dtype=object)
-            at = np.flatnonzero(b.notna())
-            if shared.value and len(at):
-                out.iloc[at] = [f"topic{k}" for k in shared.value.nearest(b.iloc[at].tolist())]
-            yield out
+            own = iter(shared.value.nearest(b.drop_null().to_pylist()) if shared.value else [])
+            yield pa.array([f"topic{next(own)}" if shared.value and some else None for some in b.is_valid().to_pylist()], pa.string())
 
     values = [F.coalesce(F.col(f"d{i}") if f"d{i}" in found.columns else topic("vec"), F.lit(NONE)).alias(f"d{i}") for i, _ in enumerate(dims)]
     return found.select("row", *values, "tokens")
@@ -329,9 +326,20 @@ def _large(placed: DataFrame, total: float, dims: int, id_col: str) -> list[tupl
     return [(r.draw, tuple(r[n] for n in names), r.tokens, r["count"]) for r in found]
 
 
+_ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+
+
+def _told(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows of the driver, sent as Arrow, so that no task starts Python to read them."""
+    if not rows:
+        return spark.createDataFrame(rows, schema)
+    names, kinds = zip(*(c.split() for c in schema.split(", ")))
+    return spark.createDataFrame(pa.table([pa.array(c, _ARROW[k]) for c, k in zip(zip(*rows), kinds)], names=list(names)))
+
+
 def _decisions(spark, kept: dict[tuple, bool], dims: int) -> DataFrame | None:
     schema = "draw double, " + ", ".join(f"d{i} string" for i in range(dims)) + ", size long, decided double"
-    return spark.createDataFrame([(d, *cell, t, float(ok)) for (d, cell, t), ok in kept.items()], schema) if kept else None
+    return _told(spark, [(d, *cell, t, float(ok)) for (d, cell, t), ok in kept.items()], schema) if kept else None
 
 
 def plan(placed: DataFrame, targets: Shares | None = None, share: float = 0.7, power: float = 0.7, dims: int = len(DIMENSIONS), max_cells: int = 200_000, id_col: str = "doc_id") -> Plan:
@@ -346,7 +354,7 @@ def plan(placed: DataFrame, targets: Shares | None = None, share: float = 0.7, p
     cells = {tuple(r[:dims]): float(r.tokens or 0) for r in found}
     p, met, kept = calibrate_held(cells, targets or tempered(cells, dims, power), share, large)
     schema = ", ".join(f"d{i} string" for i in range(dims)) + ", tokens double, rows long, p double"
-    return Plan(spark.createDataFrame([(*r, p[tuple(r[:dims])]) for r in found], schema), met, True, rows, _decisions(spark, kept, dims))
+    return Plan(_told(spark, [(*r, p[tuple(r[:dims])]) for r in found], schema), met, True, rows, _decisions(spark, kept, dims))
 
 
 def filled_table(goals: DataFrame) -> DataFrame:

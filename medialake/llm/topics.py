@@ -18,8 +18,9 @@ taken one by one.  Only picked texts and sums by centre reach the driver.
 
 A text is read ``PIECE`` bytes at a time and becomes ``WIDTH`` entries at most;
 shorter ones are counted many at once, by arrays of all their words.  For the
-rounds vectors are written a few to a row and not compressed, as each round
-would spend half as much on reading compressed ones as on comparing them.
+rounds vectors are written a few to a row, two bytes for nearly all entries, and
+not compressed further, as each round would spend half as much on reading
+compressed ones as on comparing them; a task takes a batch of them as arrays.
 
 Defined cases: a text without words has no vector and no topic (None); of
 equally near centres the first wins; texts with equal vectors are picked once;
@@ -44,10 +45,12 @@ from medialake.llm.common import materialise, release, summed, written
 PIECE = 1 << 20
 WIDTH = 2048
 ENTRY = np.dtype([("at", "<u2"), ("weight", "<f4")])
+_LOGS = np.log(np.arange(2, 33)).astype("<f4")  # weights that have a number: those of words that occur up to 31 times, alone at their place or together
+_OTHER = len(_LOGS) * WIDTH  # from here on a code says that the weight stands elsewhere
 _UNIT = float(1 << 24)
 _LOG = float(1 << 32)  # log counts are summed in whole numbers of 2^-32, in any order
-_STEP = 256  # texts whose vectors are unpacked at once
-_MANY = 128  # short texts that are counted at once
+_STEP = 128  # texts whose vectors are unpacked at once
+_MANY = 384  # short texts that are counted at once
 _ROW = 8  # vectors in a row of the tables for the rounds
 
 
@@ -73,12 +76,22 @@ def packed(counts: Counter) -> bytes | None:
     return _entries(at, np.fromiter(counts.values(), dtype=np.int64, count=len(counts)), 1)[0]
 
 
+def _log(counts: np.ndarray) -> np.ndarray:
+    return np.rint(np.log1p(counts) * _LOG)
+
+
+_COUNT_LOGS = _log(np.arange(1024))
+
+
 def _entries(at: np.ndarray, counts: np.ndarray, texts: int) -> list[bytes | None]:
     """The vectors of texts; ``at``: of each of their words the place, plus ``WIDTH`` times the text's number."""
-    sums = np.bincount(at, weights=np.rint(np.log1p(counts) * _LOG), minlength=texts * WIDTH)
-    held = np.flatnonzero(sums)
+    logs = _COUNT_LOGS[np.minimum(counts, len(_COUNT_LOGS) - 1)]
+    if len(many := np.flatnonzero(counts >= len(_COUNT_LOGS))):
+        logs[many] = _log(counts[many])
+    sums = np.bincount(at, weights=logs, minlength=texts * WIDTH)
+    held = np.flatnonzero(sums > 0)
     entries = np.empty(len(held), ENTRY)
-    entries["at"], entries["weight"] = held % WIDTH, sums[held] / _LOG
+    entries["at"], entries["weight"] = held & (WIDTH - 1), sums[held] / _LOG
     ends = (np.searchsorted(held, np.arange(texts + 1) * WIDTH) * ENTRY.itemsize).tolist()
     data = entries.tobytes()
     return [data[a:b] or None for a, b in zip(ends, ends[1:])]
@@ -118,8 +131,9 @@ def _counted_together(texts: list[bytes]) -> tuple[list[int], list[bytes | None]
     first = np.flatnonzero(np.diff(pairs, prepend=-1))
     counts = np.diff(first, append=len(pairs))
     text, kind = np.divmod(pairs[first], max(1, different))
-    full = ends[kind + 1] > ends[kind]  # no word stands before a leading blank or behind the last one
-    text, kind, counts = text[full], kind[full], counts[full]
+    for none in np.flatnonzero(ends[1:] == ends[:-1]):  # no word stands before a leading blank or behind the last one
+        full = kind != none
+        text, kind, counts = text[full], kind[full], counts[full]
     sizes = np.bincount(text, weights=counts, minlength=len(texts)).astype(np.int64)
     return sizes.tolist(), _entries(text * WIDTH + place[kind], counts, len(texts))
 
@@ -142,21 +156,72 @@ def counted(texts: list[bytes | None]) -> tuple[list[int], list[bytes | None]]:
     return sizes, vectors
 
 
-def _unpacked(vectors: list[bytes], idf: np.ndarray):
-    """(places, weights scaled to length 1, where each text begins, its entries) of texts a step at a time."""
+class Texts:
+    """Vectors of texts: ``sizes`` in entries, ``codes`` (the place, plus ``WIDTH`` times the number of the weight in ``_LOGS``), and ``rest``, in order the weights that have no number."""
+
+    def __init__(self, sizes: np.ndarray, codes: np.ndarray, rest: np.ndarray):
+        self.sizes, self.codes, self.rest = sizes, codes, rest
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def vectors(self) -> list[bytes]:
+        """The same one by one, as ``packed`` gives them."""
+        entries = np.empty(len(self.codes), ENTRY)
+        entries["at"] = self.codes & (WIDTH - 1)
+        entries["weight"] = np.append(_LOGS, np.float32(0))[self.codes // WIDTH]
+        entries["weight"][self.codes >= _OTHER] = self.rest
+        ends = np.append(0, np.cumsum(self.sizes, dtype=np.int64) * ENTRY.itemsize).tolist()
+        data = entries.tobytes()
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+    def take(self, chosen: np.ndarray) -> Texts:
+        """Those for which ``chosen`` is true."""
+        kept = np.repeat(chosen, self.sizes)
+        return Texts(self.sizes[chosen], self.codes[kept], self.rest[kept[self.codes >= _OTHER]])
+
+
+def _coded(entries: np.ndarray, sizes: np.ndarray) -> Texts:
+    weight = entries["weight"]
+    number = np.minimum(np.searchsorted(_LOGS, weight), len(_LOGS) - 1)
+    number[other := _LOGS[number] != weight] = len(_LOGS)
+    return Texts(sizes.astype(np.int32), (entries["at"] + number * WIDTH).astype(np.uint16), weight[other])
+
+
+def coded(vectors: list[bytes]) -> Texts:
+    return _coded(np.frombuffer(b"".join(vectors), ENTRY), _sizes(vectors))
+
+
+def _sizes(vectors: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(len, vectors), dtype=np.int64, count=len(vectors)) // ENTRY.itemsize
+
+
+def _unpacked(vectors: list[bytes] | Texts, idf: np.ndarray):
+    """(first text, places, weights scaled to length 1, where each text begins, its entries) of texts a step at a time."""
+    if isinstance(vectors, Texts):
+        scaled, begin, used = np.outer(np.append(_LOGS, np.float32(0)).astype(float), idf).ravel(), 0, 0
     for i in range(0, len(vectors), _STEP):
-        part = vectors[i : i + _STEP]
-        rows = np.frombuffer(b"".join(part), ENTRY)
-        size = np.fromiter(map(len, part), dtype=np.int64, count=len(part)) // ENTRY.itemsize
+        if isinstance(vectors, Texts):
+            size = vectors.sizes[i : i + _STEP].astype(np.int64)
+            codes = vectors.codes[begin : (begin := begin + int(size.sum()))]
+            at, x, other = (codes & (WIDTH - 1)).astype(np.int64), scaled[codes], np.flatnonzero(codes >= _OTHER)
+            x[other] = vectors.rest[used : (used := used + len(other))] * idf[at[other]]
+        else:
+            rows, size = np.frombuffer(b"".join(vectors[i : i + _STEP]), ENTRY), _sizes(vectors[i : i + _STEP])
+            at = rows["at"].astype(np.int64)
+            x = rows["weight"] * idf[at]
         starts = np.cumsum(size) - size
-        at = rows["at"].astype(np.int64)
-        x = rows["weight"] * idf[at]
-        yield part, at, x / np.repeat(np.sqrt(np.add.reduceat(x * x, starts)), size), starts, size
+        yield i, at, x / np.repeat(np.sqrt(np.add.reduceat(x * x, starts)), size), starts, size
 
 
 def _likeness(at, x, starts, centres: np.ndarray) -> np.ndarray:
     """Cosine of each centre (rows) and text (columns)."""
-    return np.stack([np.add.reduceat(x * c[at], starts) for c in centres])
+    out, product = np.empty((len(centres), len(starts))), np.empty_like(x)
+    for c, own in zip(centres, out):
+        c.take(at, out=product, mode="clip")
+        np.multiply(product, x, out=product)
+        np.add.reduceat(product, starts, out=own)
+    return out
 
 
 class Model:
@@ -171,38 +236,56 @@ class Model:
         return self.nearest([packed(counts)])[0]
 
 
-# --- steps over all texts: a list of vectors, or a table of them --------------
-def _rows(vectors: list[bytes]) -> list[pa.Array]:
-    """Vectors, ``_ROW`` to a row: their lengths and their entries."""
-    parts = [vectors[i : i + _ROW] for i in range(0, len(vectors), _ROW)]
-    return [pa.array([np.fromiter(map(len, p), np.int32, len(p)).tobytes() for p in parts], pa.binary()), pa.array(list(map(b"".join, parts)), pa.binary())]
+# --- steps over all texts: their vectors, or a table of them ------------------
+_COLUMNS = ["sizes", "codes", "rest"]
+_SCHEMA = ", ".join(f"{c} binary" for c in _COLUMNS)
+
+
+def _rows(texts: Texts) -> list[pa.Array]:
+    """Columns of a table of ``texts``, ``_ROW`` to a row."""
+    first = np.minimum(np.arange(0, len(texts) + _ROW, _ROW), len(texts))
+    begin = np.append(0, np.cumsum(texts.sizes, dtype=np.int64))[first]
+    used = np.searchsorted(np.flatnonzero(texts.codes >= _OTHER), begin)
+    parts = zip((texts.sizes, texts.codes, texts.rest), (first, begin, used))
+    return [pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((at * x.itemsize).astype(np.int32)), pa.py_buffer(x.tobytes())]) for x, at in parts]
+
+
+def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, one value behind the other, and where they begin and end."""
+    _, ends, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    ends = np.frombuffer(ends, kind)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, kind)
+    return np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def _texts(batch: pa.RecordBatch) -> Texts:
+    """The texts of ``_rows``."""
+    return Texts(*(_joined(column)[0].view(kind) for column, kind in zip(batch.columns, (np.int32, np.uint16, np.float32))))
 
 
 def _vectors(batch: pa.RecordBatch) -> list[bytes]:
-    """The vectors of ``_rows``."""
-    out = []
-    for sizes, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        at = 0
-        for n in np.frombuffer(sizes, np.int32).tolist():
-            out.append(entries[at : at + n])
-            at += n
-    return out
+    return _texts(batch).vectors()
 
 
 def _stored(vectors: DataFrame) -> DataFrame:
     """A table of a vector a row, written a few to a row."""
-    names = ["sizes", "entries"]
-    return materialise(vectors.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays(_rows(b.column(0).to_pylist()), names=names) for b in batches), "sizes binary, entries binary"), "none")
+
+    def run(batches):
+        for b in batches:
+            data, ends = _joined(b.column(0))
+            yield pa.RecordBatch.from_arrays(_rows(_coded(data.view(ENTRY), np.diff(ends) // ENTRY.itemsize)), names=_COLUMNS)
+
+    return materialise(vectors.mapInArrow(run, _SCHEMA), "none")
 
 
-def _summed(vectors: list[bytes] | DataFrame, part, size: int) -> np.ndarray:
+def _summed(vectors: Texts | DataFrame, part, size: int) -> np.ndarray:
     """Sum of ``part(vectors)``, ``size`` whole numbers, over all texts."""
-    if isinstance(vectors, list):
+    if isinstance(vectors, Texts):
         return part(vectors)
-    return summed(vectors, lambda b: part(_vectors(b)), size)
+    return summed(vectors, lambda b: part(_texts(b)), size)
 
 
-def _least(vectors: list[bytes] | DataFrame, part, n: int) -> list[bytes]:
+def _least(vectors: Texts | DataFrame, part, n: int) -> list[bytes]:
     """The ``n`` different vectors for which ``part`` gives the least keys."""
 
     def few(lists):
@@ -214,20 +297,19 @@ def _least(vectors: list[bytes] | DataFrame, part, n: int) -> list[bytes]:
                 found = dict(heapq.nsmallest(n, found.items(), key=lambda r: (r[1], r[0])))
         return found
 
-    if isinstance(vectors, list):
+    if isinstance(vectors, Texts):
         return list(few([vectors]))
 
     def run(batches):
-        found = few(map(_vectors, batches))
+        found = few(map(_texts, batches))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.float64())], names=["vec", "key"])
 
     return [bytes(r.vec) for r in vectors.mapInArrow(run, "vec binary, key double").groupBy("vec").agg(F.min("key").alias("key")).orderBy("key", "vec").limit(n).collect()]
 
 
-def _held(vectors: list[bytes]) -> np.ndarray:
+def _held(vectors: Texts) -> np.ndarray:
     """Texts that hold each place, and texts."""
-    at = np.frombuffer(b"".join(vectors), ENTRY)["at"]
-    return np.append(np.bincount(at, minlength=WIDTH), len(vectors))
+    return np.append(np.bincount(vectors.codes & (WIDTH - 1), minlength=WIDTH), len(vectors))
 
 
 def _dense(vectors: list[bytes], idf: np.ndarray) -> np.ndarray:
@@ -242,7 +324,9 @@ def _draws(idf: np.ndarray, centres: np.ndarray, seed: int):
     """Keys of texts: an exponential draw over the squared distance from the nearest centre."""
 
     def part(vectors):
-        for some, at, x, starts, _ in _unpacked(vectors, idf):
+        each = vectors.vectors()
+        for i, at, x, starts, size in _unpacked(vectors, idf):
+            some = each[i : i + len(size)]
             u = (np.array([xxhash.xxh64_intdigest(v, seed) for v in some], dtype=np.uint64) + 0.5) / 2.0**64
             far = 1 - _likeness(at, x, starts, centres).max(axis=0) if len(centres) else np.ones(len(some))
             yield some, np.where(far > 1e-6, -np.log(np.minimum(u, 1 - 1e-16)) / np.maximum(far, 1e-6) ** 2, np.inf)
@@ -269,38 +353,38 @@ def _open(idf: np.ndarray, centres: np.ndarray, slack: np.ndarray):
     half = len(centres) * WIDTH
 
     def part(vectors):
-        out, total = [], np.zeros(2 * half, dtype=np.int64)
-        for some, at, x, starts, size in _unpacked(vectors, idf):
-            like, each = _likeness(at, x, starts, centres), np.arange(len(some))
+        out, total = [np.zeros(0, dtype=bool)], np.zeros(2 * half, dtype=np.int64)
+        for _, at, x, starts, size in _unpacked(vectors, idf):
+            like, each = _likeness(at, x, starts, centres), np.arange(len(size))
             own = like.argmax(axis=0)
             least = like[own, each] - slack[own] - 1e-9
             like += slack[:, None]
             like[own, each] = -np.inf
             may = like.max(axis=0) >= least
-            out += [some[i] for i in np.flatnonzero(may)]
+            out.append(may)
             total += np.bincount(np.repeat(may * half + own * WIDTH, size) + at, weights=np.rint(x * _UNIT), minlength=2 * half).astype(np.int64)
-        return out, total
+        return vectors.take(np.concatenate(out)), total
 
     return part
 
 
-def _parted(vectors: list[bytes] | DataFrame, part, size: int) -> tuple[list[bytes] | DataFrame, np.ndarray]:
+def _parted(vectors: Texts | DataFrame, part, size: int) -> tuple[Texts | DataFrame, np.ndarray]:
     """The vectors that ``part`` gives, written, and its ``size`` sums."""
-    if isinstance(vectors, list):
+    if isinstance(vectors, Texts):
         return part(vectors)
 
     def run(batches):
         total = np.zeros(size, dtype=np.int64)
         for b in batches:
-            some, sums = part(_vectors(b))
+            some, sums = part(_texts(b))
             total += sums
             own = _rows(some)
-            yield pa.RecordBatch.from_arrays([*own, pa.nulls(len(own[0]), pa.binary())], names=["sizes", "entries", "sums"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["sizes", "entries", "sums"])
+            yield pa.RecordBatch.from_arrays([*own, pa.nulls(len(own[0]), pa.binary())], names=[*_COLUMNS, "sums"])
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.binary()) for _ in _COLUMNS), pa.array([total.tobytes()], pa.binary())], names=[*_COLUMNS, "sums"])
 
-    found = materialise(vectors.mapInArrow(run, "sizes binary, entries binary, sums binary"), "none")
+    found = materialise(vectors.mapInArrow(run, f"{_SCHEMA}, sums binary"), "none")
     sums = summed(found.select("sums").where("sums is not null"), lambda b: sum((np.frombuffer(x, np.int64) for x in b.column(0).to_pylist()), np.zeros(size, dtype=np.int64)), size)
-    return found.select("sizes", "entries").where("sizes is not null"), sums
+    return found.select(*_COLUMNS).where("sizes is not null"), sums
 
 
 class _Rounds:
@@ -312,7 +396,7 @@ class _Rounds:
     last.
     """
 
-    def __init__(self, vectors: list[bytes] | DataFrame, idf: np.ndarray, shape: tuple[int, int]):
+    def __init__(self, vectors: Texts | DataFrame, idf: np.ndarray, shape: tuple[int, int]):
         self.idf, self.step = idf, np.full(shape[0], np.inf)
         self.levels = [(vectors, np.zeros(shape, dtype=np.int64), None, self.step, _LITTLE)]
 
@@ -348,7 +432,7 @@ def _near(idf: np.ndarray, centres: np.ndarray):
 def learn(vectors: list[bytes] | DataFrame, topics: int = 8, rounds: int = 25, passes: int = 2, still: float = 1e-3) -> Model | None:
     """Spherical k-means over all of ``vectors``: a list, or a table whose first column holds them, none null; ends when no centre moves by more than ``still``; leaves no table behind."""
     if isinstance(vectors, list):
-        return _learn(vectors, topics, rounds, passes, still)
+        return _learn(coded(vectors), topics, rounds, passes, still)
     before = written()
     try:
         return _learn(_stored(vectors), topics, rounds, passes, still)
@@ -356,7 +440,7 @@ def learn(vectors: list[bytes] | DataFrame, topics: int = 8, rounds: int = 25, p
         release(vectors.sparkSession, before)
 
 
-def _learn(vectors: list[bytes] | DataFrame, topics: int, rounds: int, passes: int, still: float) -> Model | None:
+def _learn(vectors: Texts | DataFrame, topics: int, rounds: int, passes: int, still: float) -> Model | None:
     *held, n = _summed(vectors, _held, WIDTH + 1).tolist()
     if not n:
         return None

@@ -264,3 +264,30 @@ def test_a_round_reads_no_text_twice(spark):
     rows = topics._stored(spark.createDataFrame([(v,) for v in vectors[:43]], "vec binary").coalesce(1))
     assert rows.count() == 6 and all(".snappy." not in f for f in rows.inputFiles())
     assert [v for r in rows.toArrow().to_batches() for v in topics._vectors(r)] == vectors[:43]
+
+
+def test_rounds_read_two_bytes_an_entry(spark):
+    """Vectors for the rounds are less than half as long as before, and come back as they were, those with rare weights too."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{j}" for j in rng.zipf(1.3, size=n).clip(1, 5000)) for n in rng.integers(1, 600, size=300)] + ["same " * 40, "same " * 31 + "other " * 5000]
+    vectors = [topics.packed(topics.word_counts(t.encode())) for t in texts]
+    rows = topics._stored(spark.createDataFrame([(v,) for v in vectors], "vec binary").coalesce(1))
+    batches = rows.toArrow().to_batches()
+    assert [v for b in batches for v in topics._vectors(b)] == vectors
+    assert sum(len(x or b"") for b in batches for c in b.columns[1:] for x in c.to_pylist()) < 0.45 * sum(map(len, vectors))
+    read = topics.coded(vectors)
+    assert 0 < len(read.rest) and (chosen := rng.random(len(vectors)) < 0.5).any()
+    assert read.take(chosen).vectors() == [v for v, c in zip(vectors, chosen) if c]
+    idf, centres = rng.random(topics.WIDTH) + 1, rng.random((3, topics.WIDTH))
+    assert (topics._by_centre(idf, centres)(read) == topics._by_centre(idf, centres)(vectors)).all()
+    none = read.take(np.zeros(len(vectors), bool))
+    assert len(none) == 0 and none.vectors() == [] and [len(c) for c in topics._rows(none)] == [0, 0, 0]
+
+
+def test_the_plan_starts_no_python(spark):
+    """The cells of a plan and the decisions on large documents reach the tasks as Arrow; before, each task that joined them started Python."""
+    placed = spark.createDataFrame([((i,), f"s{i % 2}", "en", "topic0", 5 + 1000 * (i == 3)) for i in range(40)], "row struct<doc_id: long>, d0 string, d1 string, d2 string, tokens long")
+    plan = mixing.plan(placed)
+    for table in (plan.cells, plan.large):
+        assert "Scan ExistingRDD" not in table._jdf.queryExecution().executedPlan().toString() and table.count()
+    assert plan.cells.dtypes == [("d0", "string"), ("d1", "string"), ("d2", "string"), ("tokens", "double"), ("rows", "bigint"), ("p", "double")]
